@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlake.plans import dedup_queries, text_queries  # noqa: F401 - registering
+from postlake.plans import dedup_queries, page_queries, storage_queries, text_queries, traffic_queries  # noqa: F401 - registering
 from postlake.plans.registry import ORACLES, QUERIES, Query
 
 
