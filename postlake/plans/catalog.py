@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from postlake.plans import dedup_queries, page_queries, storage_queries, text_queries, traffic_queries  # noqa: F401 - registering
+from postlake.plans import (  # noqa: F401 - registering
+    dedup_queries,
+    page_queries,
+    payload_queries,
+    storage_queries,
+    stream_queries,
+    text_queries,
+    traffic_queries,
+)
 from postlake.plans.registry import ORACLES, QUERIES, Query
 
 

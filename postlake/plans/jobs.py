@@ -9,6 +9,7 @@ from postlake import constants as K
 from postlake.functions.hashing import hash16, with_fingerprints
 from postlake.functions.urls import domain_of
 from postlake.operators import dedup, ledger, lifecycle, listings, metrics, store
+from postlake.session import checkpoint_root
 from postlake.sources import pages as page_rules
 from postlake.sources import responses as model
 
@@ -93,12 +94,15 @@ def extract_pages(pages: DataFrame, responses: DataFrame, cache: DataFrame, as_o
     ``pages`` holds page_id, url, site, html; ``responses`` page_url next to the
     response columns; ``cache`` content_hash, jobs (JSON), cached_at.
     """
-    flagged = page_rules.with_block_flags(pages)
-    usable = (
-        flagged.filter(~F.col("blocked") & ~F.col("site_blocked"))
-        .drop("blocked", "site_blocked")
-        .withColumn("content_hash", hash16("html"))
+    checkpoint_root(pages.sparkSession)
+    # The keys are read several times below; the wide HTML is not carried along.
+    keys = (
+        page_rules.with_block_flags(pages)
+        .select("page_id", "url", "site", "blocked", "site_blocked", hash16("html").alias("content_hash"))
+        .checkpoint()
     )
+    blocked = F.col("blocked") | F.col("site_blocked")
+    usable = keys.filter(~blocked).drop("blocked", "site_blocked")
     hits, misses = ledger.cache_split(usable, cache, as_of)
 
     cached = hits.select(
@@ -109,13 +113,15 @@ def extract_pages(pages: DataFrame, responses: DataFrame, cache: DataFrame, as_o
         responses.join(misses.select(F.col("url").alias("page_url")), "page_url", "left_semi")
     ).select("api_format", "provider", "page_url", "source_label", "payload")
     records = model.sanitize_records(model.salvage_records(cached.unionByName(landed)))
-    extracted = model.to_listing(model.normalize_records(model.fresher_only(records)))
-    answered = model.fresher_only(records).select(F.col("page_url").alias("url")).distinct()
-    by_rules = page_rules.extract_fields(usable.join(answered, "url", "left_anti")).withColumn("source", F.col("site"))
+    fresh = model.fresher_only(records).checkpoint()
+    answered = fresh.select(F.col("page_url").alias("url")).distinct()
+    left_over = usable.join(answered, "url", "left_anti").select("page_id")
+    # Fields come out before the join, so only short columns are shuffled.
+    by_rules = page_rules.extract_fields(pages).join(left_over, "page_id", "left_semi").withColumn("source", F.col("site"))
     columns = ["title", "company", "description", "url", "source", "location", "experience", "job_type"]
     return {
-        "blocked": flagged.filter(F.col("blocked") | F.col("site_blocked")).select("page_id", "url", "site"),
-        "extracted": extracted,
+        "blocked": keys.filter(blocked).select("page_id", "url", "site"),
+        "extracted": model.to_listing(model.normalize_records(fresh)),
         "by_rules": by_rules.select(*columns, F.lit("headless").alias("source_tier")),
     }
 

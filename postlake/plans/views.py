@@ -41,9 +41,9 @@ def _sql_pick(values: list, index: str) -> str:
 
 # --- listings from pages: every page crawled twice ------------------------------
 
-def v_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_listings(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Each page as a listing, plus a re-crawl under a decorated URL."""
-    pages = read_table(spark, sf_dir, "pages").select(
+    pages = read_table(spark, sf_dir, "pages", stream).select(
         "page_id", "url",
         page_title("html").alias("title"),
         F.regexp_extract(url_host("url"), r"^(?:www\.|m\.|blog\.)?([^.]+)", 1).alias("company"),
@@ -133,17 +133,17 @@ v_doc_recrawl AS (SELECT seq,
 
 # --- events as request log, run events and alerts --------------------------------
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events").select(
+def _events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    return read_table(spark, sf_dir, "events", stream).select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value"
     )
 
 
-def v_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_traffic(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     status = F.when(
         F.col("event_type") == "error", _pick(STATUSES, (F.col("event_id") % 5 + 1).cast("int"))
     ).otherwise(F.lit(200))
-    return _events(spark, sf_dir).select(
+    return _events(spark, sf_dir, stream).select(
         "event_id", "ts",
         _pick(DOMAINS, (F.col("user_id") % len(DOMAINS) + 1).cast("int")).alias("domain"),
         F.floor(F.col("value") * 100 + 0.5).cast("bigint").alias("latency_ms"),
@@ -161,7 +161,7 @@ v_traffic AS (SELECT *, status IN (429, 403, 503) AS blocked FROM (
 """
 
 
-def v_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_run_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Run events: a request leaves a start and an outcome, failures their cause."""
     cause = F.when(F.col("event_id") % 5 < 2, F.lit("rate_limited")).when(
         F.col("event_id") % 5 == 3, F.lit("proxy_failed")
@@ -174,7 +174,7 @@ def v_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "click", F.array(F.lit("deduplicated")))
         .otherwise(F.array(F.lit("stored")))
     )
-    return _events(spark, sf_dir).select(
+    return _events(spark, sf_dir, stream).select(
         "event_id", "ts",
         _pick(DOMAINS, (F.col("user_id") % len(DOMAINS) + 1).cast("int")).alias("domain"),
         F.floor(F.col("value") * 100 + 0.5).cast("bigint").alias("latency_ms"),
@@ -194,8 +194,8 @@ v_run_events AS (SELECT event_id, ts, {_sql_pick(DOMAINS, f'user_id % {len(DOMAI
 """
 
 
-def v_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select(
+def v_alerts(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    return _events(spark, sf_dir, stream).select(
         "event_id", "ts",
         _pick(CHANNELS, (F.col("user_id") % len(CHANNELS) + 1).cast("int")).alias("channel"),
         F.when(F.col("event_type") == "error", F.lit("critical")).otherwise(F.lit("warning")).alias("severity"),

@@ -24,9 +24,9 @@ def jsonld_postings(pages: DataFrame, graph: bool = True) -> DataFrame:
     blocks = pages.select(
         *[c for c in pages.columns if c != "html"],
         F.explode(F.regexp_extract_all("html", F.lit(_LD_BLOCK), 1)).alias("block"),
-    ).withColumn("doc", F.try_parse_json("block")).filter(F.col("doc").isNotNull())
+    ).withColumn("doc", F.try_parse_json("block"))
     as_items = F.try_variant_get("doc", "$", "array<variant>")
-    wrapped = F.array("doc")
+    wrapped = F.when(F.col("doc").isNotNull(), F.array("doc"))
     if graph:
         wrapped = F.coalesce(F.try_variant_get("doc", "$['@graph']", "array<variant>"), wrapped)
     kept = [c for c in pages.columns if c not in ("html", "url")]

@@ -144,7 +144,8 @@ def salvage_records(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("chosen", chosen)
         .withColumn("doc", F.try_parse_json("chosen"))
-        .filter(F.col("doc").isNotNull())
+        # Unparsed text explodes to nothing; a filter here would be pushed down
+        # and repeat the whole parse.
         .select(*kept, F.posexplode(items).alias("item_no", "item"))
         .select(
             *kept, "item_no",

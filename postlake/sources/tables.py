@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from postlake import schema
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A table of the given folder, as a batch or as a file stream."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not stream:
+        return table
+    return spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:

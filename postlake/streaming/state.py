@@ -1,0 +1,51 @@
+"""Small state tables carried between micro-batches.
+
+Each micro-batch reads the version of an earlier batch and writes its own, so
+a replayed batch starts from the same state and ends in the same version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+KEEP_VERSIONS = 5
+
+
+class VersionedTable:
+    """A table whose versions are named by micro-batch."""
+
+    def __init__(self, spark: SparkSession, path: str, schema):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _versions(self) -> list[int]:
+        """Finished versions (those with a success marker), oldest first."""
+        fs, root = self._fs()
+        if not fs.exists(root):
+            return []
+        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        found = []
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith("batch-") and fs.exists(hadoop_path(status.getPath(), "_SUCCESS")):
+                found.append(int(name.removeprefix("batch-")))
+        return sorted(found)
+
+    def before(self, epoch: int) -> DataFrame:
+        earlier = [v for v in self._versions() if v < epoch]
+        if not earlier:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch-{earlier[-1]}")
+
+    def latest(self) -> DataFrame:
+        return self.before(1 << 62)
+
+    def write(self, df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch-{epoch}")
+        fs, root = self._fs()
+        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for old in [v for v in self._versions() if v <= epoch][:-KEEP_VERSIONS]:
+            fs.delete(hadoop_path(root, f"batch-{old}"), True)

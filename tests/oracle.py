@@ -9,6 +9,7 @@ import argparse
 import math
 import sys
 import time
+from collections import Counter
 
 import duckdb
 
@@ -63,9 +64,10 @@ def compare(spark, con, name, fn, sql, sf_dir) -> tuple[bool, str]:
     want = sorted(tuple(_cell(r[i]) for i in order) for r in rel.fetchall())
     if len(got) != len(want):
         return False, f"rows {len(got)} vs {len(want)}"
-    bad = [(g, w) for g, w in zip(got, want) if g != w]
-    if bad:
-        return False, f"{len(bad)} of {len(got)} rows differ, first: {[x[:300] for x in map(str, bad[0])]}"
+    extra, missing = Counter(got) - Counter(want), Counter(want) - Counter(got)
+    if extra or missing:
+        first = [str(next(iter(c), None))[:400] for c in (extra, missing)]
+        return False, f"{sum(extra.values())} of {len(got)} rows differ, first: {first}"
     return True, f"{len(got)} rows"
 
 
