@@ -20,7 +20,7 @@ def hash16(c) -> Column:
 def row_fingerprint(url="url", title="title", company="company") -> Column:
     """Full digest of url, title and company as stored."""
     parts = [F.coalesce(as_col(c), F.lit("")) for c in (url, title, company)]
-    return F.sha2(F.concat_ws("||", *parts), 256)
+    return _never_null(F.sha2(F.concat_ws("||", *parts), 256))
 
 
 def content_input(content_key: str) -> Column:
@@ -43,6 +43,15 @@ def content_input(content_key: str) -> Column:
     raise ValueError(f"content_key must be one of {CONTENT_KEYS}")
 
 
+def _never_null(c: Column) -> Column:
+    """Say that a hash cannot be null.
+
+    Otherwise every join on it gets a null filter, which is pushed below the
+    projection and works the whole hash out a second time.
+    """
+    return F.coalesce(c, F.lit(""))
+
+
 def with_fingerprints(df: DataFrame, content_key: str = "url_title") -> DataFrame:
     """Add canonical_url, norm_title, norm_company, url_hash, content_hash, desc_hash."""
     if "location" not in df.columns:
@@ -54,8 +63,8 @@ def with_fingerprints(df: DataFrame, content_key: str = "url_title") -> DataFram
             "norm_company": normalize_company(F.coalesce(F.col("company"), F.lit(""))),
         })
         .withColumns({
-            "url_hash": hash16("canonical_url"),
-            "content_hash": hash16(content_input(content_key)),
-            "desc_hash": hash16(normalize_description("description")),
+            "url_hash": _never_null(hash16("canonical_url")),
+            "content_hash": _never_null(hash16(content_input(content_key))),
+            "desc_hash": _never_null(hash16(normalize_description("description"))),
         })
     )
