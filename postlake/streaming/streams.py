@@ -67,24 +67,35 @@ def dedup_stream(rows: DataFrame, days: int = K.SEEN_RETENTION_DAYS) -> DataFram
 # --- idle keys ----------------------------------------------------------------------
 
 def idle_keys(events: DataFrame, key: str, minutes: int = K.IDLE_KEY_MINUTES, delay: str = DEFAULT_DELAY) -> DataFrame:
-    """Keys with no event for ``minutes``; their state is dropped when reported.
+    """Keys with no event for ``minutes``: reported with their last time.
 
-    The state is one timestamp per key, so rows are only folded to a maximum.
+    A key is reported when its time runs out, or when it comes back after a
+    longer gap than that.  The state is one timestamp per key and is dropped on
+    timeout; rows are only folded to a minimum and a maximum.  Gaps inside one
+    micro-batch are the business of the batch form (``stall_gaps``).
     """
     gap_ms = minutes * 60000
 
     def advance(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        idle = None
         if state.hasTimedOut:
-            (last,) = state.get
+            idle = last
             state.remove()
-            yield pd.DataFrame({key: [keys[0]], "last_us": [last]})
-            return
-        last = state.get[0] if state.exists else -1
-        for pdf in batches:
-            last = max(last, int(pdf["us"].max()))
-        state.update((last,))
-        # A timeout must lie ahead of the watermark even when the row was late.
-        state.setTimeoutTimestamp(max(last // 1000 + gap_ms, state.getCurrentWatermarkMs() + 1))
+        else:
+            first = None
+            newest = last if last is not None else -1
+            for pdf in batches:
+                low = int(pdf["us"].min())
+                first = low if first is None else min(first, low)
+                newest = max(newest, int(pdf["us"].max()))
+            if last is not None and first is not None and first - last >= gap_ms * 1000:
+                idle = last
+            state.update((newest,))
+            # A timeout must lie ahead of the watermark even for a late row.
+            state.setTimeoutTimestamp(max(newest // 1000 + gap_ms, state.getCurrentWatermarkMs() + 1))
+        if idle is not None:
+            yield pd.DataFrame({key: [keys[0]], "last_us": [idle]})
 
     slim = events.withWatermark("ts", delay).select(F.col(key), "ts", F.unix_micros("ts").alias("us"))
     return slim.groupBy(key).applyInPandasWithState(

@@ -27,9 +27,9 @@ def events_of(spark, started, modulo, base, jitter, extracted, deduplicated, rat
 
 # requests, failure modulo, latency base and jitter, extracted, deduplicated, rate-limit hits, proxy failures, seconds
 @pytest.mark.parametrize("profile,want", [
-    ((180, 12, 92, 53, 120, 30, 8, 6, 120), (165, 15, 92, 25.0, 60.0, 96.7, 4.4)),
-    ((1500, 11, 100, 100, 1314, 400, 70, 45, 600), (1363, 137, 91, 30.4, 131.4, 97.0, 4.7)),
-    ((6000, 10, 120, 140, 5400, 1890, 420, 192, 1800), (5400, 600, 90, 35.0, 180.0, 96.8, 7.0)),
+    ((180, 12, 90, 55, 120, 30, 8, 6, 120), (165, 15, 92, 25.0, 60.0, 96.7, 4.4, 117, 142)),
+    ((1500, 11, 110, 90, 920, 280, 70, 45, 420), (1363, 137, 91, 30.4, 131.4, 97.0, 4.7, 156, 196)),
+    ((6000, 10, 125, 140, 3600, 1260, 420, 190, 1200), (5400, 600, 90, 35.0, 180.0, 96.8, 7.0, 193, 255)),
 ])
 def test_run_profiles(spark, profile, want):
     started, modulo, base, jitter, extracted, dup, limited, proxy, secs = profile
@@ -38,9 +38,8 @@ def test_run_profiles(spark, profile, want):
     snap = metrics.snapshot(events, as_of, START)
     row, kpi = snap.first(), metrics.kpis(snap).first()
     assert (row.requests_succeeded, row.requests_failed, row.success_rate_pct, row.dedup_ratio_pct) == want[:4]
-    assert (kpi.jobs_per_minute, kpi.proxy_pass_pct, kpi.rate_limit_pct) == want[4:]
-    ok = [base + (i * 31 + 7) % jitter for i in range(started) if i % modulo][-100:]
-    assert row.avg_latency_ms == int(sum(ok) / 100 + 0.5) and row.p95_latency_ms == sorted(ok)[94]
+    assert (kpi.jobs_per_minute, kpi.proxy_pass_pct, kpi.rate_limit_pct) == want[4:7]
+    assert (row.avg_latency_ms, row.p95_latency_ms) == want[7:]
 
 
 def test_empty_log(spark):
