@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake import constants as K
-from postlake.functions.scalars import age_days, age_days_rounded, day_key, half_up, human_size
+from postlake.functions.scalars import age_days, age_days_rounded, day_key, human_size
 from postlake.session import scratch_path
 
 
@@ -136,11 +136,9 @@ def archive(hot: DataFrame, archive_root: str, as_of, days: int = K.ARCHIVE_AFTE
         "month": F.date_format("scraped_at", "MM"),
         "day": F.date_format("scraped_at", "dd"),
     })
-    old.write.mode("append").partitionBy("year", "month", "day").option("compression", "gzip").json(archive_root)
+    by_day = old.hint("rebalance", "year", "month", "day")
+    by_day.write.mode("append").partitionBy("year", "month", "day").option("compression", "gzip").json(archive_root)
     result["hot_path"] = scratch_path(hot.sparkSession, "hot")
     aged.filter(~F.col("_old")).drop("_old").write.parquet(result["hot_path"])
     return result
 
-
-def saved_bytes(original: Column, compressed: Column) -> Column:
-    return half_up(original - compressed)

@@ -134,7 +134,7 @@ def kpis(metrics: DataFrame, duration_seconds=None) -> DataFrame:
     )
 
 
-def stall_gaps(events: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def stall_gaps(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """Seconds since the previous extracted row, per extracted row.
 
     There is no key to partition by, so the previous time comes from the

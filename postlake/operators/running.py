@@ -72,7 +72,7 @@ def running(
 
 
 def trailing_count(
-    df: DataFrame, key: str, seconds: int, closed: bool = True, name: str = "trailing", slots: int = 10,
+    df: DataFrame, key: str, seconds: int, closed: bool = True, name: str = "trailing", slots: int = 4,
 ) -> DataFrame:
     """Rows of the same key in the trailing ``seconds``, current row included.
 

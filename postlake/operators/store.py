@@ -61,18 +61,19 @@ def upsert_jobs(rows: DataFrame, target_path: str, order: list) -> DataFrame:
     staged = scratch_path(spark, "insert")
     new_rows(rows, target, order).drop("seq").write.parquet(staged)
     fresh = spark.read.schema(schema.STORED_LISTING).parquet(staged)
-    fresh.write.mode("append").partitionBy("scraped_date").parquet(target_path)
+    # Rebalancing splits a heavy day over several files and merges light ones.
+    fresh.hint("rebalance", "scraped_date").write.mode("append").partitionBy("scraped_date").parquet(target_path)
     return fresh
 
 
 def read_jobs(spark, target_path: str) -> DataFrame:
-    """The stored table; an absent one reads as empty."""
+    """The stored table; an absent one reads as empty, absent columns as null."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(target_path)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return spark.createDataFrame([], schema.STORED_LISTING)
-    return spark.read.schema(schema.STORED_LISTING).option("mergeSchema", True).parquet(target_path)
+    return spark.read.schema(schema.STORED_LISTING).parquet(target_path)
 
 
 def count_jobs(target: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ from postlake.functions.text import as_col
 from postlake.functions.urls import domain_of
 from postlake.operators.running import last_n, running, time_bucket, trailing_count
 
+# Ten minutes of one domain are one window group, however busy the domain is.
+BUCKET_SECONDS = 600
+
 _POLICY = (
     "STRUCT<domain STRING, max_rpm INT, min_delay_ms INT, jitter_ms INT, max_concurrent INT, risk STRING, "
     "business_mult DOUBLE, backoff_mult DOUBLE, max_backoff_ms BIGINT, requires_auth BOOLEAN>"
@@ -80,7 +83,7 @@ def cap_breaches(requests: DataFrame, closed: bool = False) -> DataFrame:
     return with_policy(counted).filter(F.col("trailing") > F.col("max_rpm"))
 
 
-def active_over_time(spans: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def active_over_time(spans: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Open requests per domain after every start and end, never below zero.
 
     Clamping at zero after each step equals the plain running sum minus the
@@ -94,7 +97,7 @@ def active_over_time(spans: DataFrame, bucket_seconds: int = 86400) -> DataFrame
     return clamp_running(steps, bucket_seconds)
 
 
-def clamp_running(steps: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def clamp_running(steps: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """``active`` after each step of ``(domain, event_id, ts, step)``."""
     order = ["ts", F.col("step").desc(), "event_id"]
     bucket = time_bucket("ts", bucket_seconds)
@@ -118,7 +121,7 @@ def recent_violations(stats: DataFrame, viol: DataFrame, as_of, minutes: int, na
     return stats.join(counts, "domain", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
 
 
-def attempt_no(log: DataFrame, bucket_seconds: int = 86400, cap: int = K.MAX_BACKOFF_ATTEMPTS) -> DataFrame:
+def attempt_no(log: DataFrame, bucket_seconds: int = BUCKET_SECONDS, cap: int = K.MAX_BACKOFF_ATTEMPTS) -> DataFrame:
     """Failures since the last success of the domain, capped, on failure rows.
 
     ``log`` holds (domain, ts, event_id, success).  Failures so far minus

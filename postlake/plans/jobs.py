@@ -26,42 +26,39 @@ def postings_per_domain(rows: DataFrame, order: list | None = None) -> DataFrame
 
 
 def ingest_outcomes(
-    rows: DataFrame, seen: DataFrame, as_of, order: list,
+    rows: DataFrame, seen: DataFrame, as_of, order: list[str],
     content_key: str = "url_title", in_batch: bool = True, skip_validation: bool = False,
 ) -> DataFrame:
     """Every offered row with its ``outcome``: stored, duplicate or invalid.
 
-    ``in_batch=False`` leaves repeats inside one batch alone, so that only
-    history decides, as the collected system does.
+    ``order`` names columns that identify a row.  ``in_batch=False`` leaves
+    repeats inside one batch alone, so that only history decides, as the
+    collected system does.
+
+    Only hashes and the order key go through the history joins; the wide rows
+    are shuffled once, on their unique key.  Repeats of a URL are dropped on
+    the map side before any join, so one URL holding a third of the batch
+    reaches history as a single row.
     """
     stamped = listings.stamp(rows, as_of)
     checked = listings.with_reasons(stamped) if not skip_validation else stamped.withColumn(
         "reasons", F.array().cast("array<string>")
     )
-    hashed = with_fingerprints(checked, content_key)
-    valid = F.size("reasons") == 0
-    invalid = hashed.filter(~valid).withColumn("outcome", F.lit("invalid"))
-    batch = hashed.filter(valid)
+    hashes = ["url_hash", "content_hash", "desc_hash"]
+    slim = with_fingerprints(checked, content_key).filter(F.size("reasons") == 0).select(*order, *hashes)
     if in_batch:
-        # The rank only has to tell the first row of a URL from the rest; a
-        # grouped minimum does that with map-side merging, and the join back
-        # is on the unique order key instead of the possibly hot URL.
-        firsts = batch.groupBy("url_hash").agg(F.min(F.struct(*order)).alias("_o")).select("_o.*").withColumn(
-            "_first", F.lit(True)
-        )
-        batch = batch.join(firsts, order, "left")
-    else:
-        batch = batch.withColumn("_first", F.lit(True))
-    judged = dedup.dedup_verdict(batch, seen, as_of).withColumn(
+        slim = dedup.first_in_batch(slim, order)
+    judged = dedup.dedup_verdict(slim, seen, as_of)
+    return checked.join(judged, order, "left").withColumn(
         "outcome",
-        F.when(F.coalesce("_first", F.lit(False)) & (F.col("verdict") == "none"), F.lit("stored"))
+        F.when(F.size("reasons") > 0, F.lit("invalid"))
+        .when(F.col("verdict") == "none", F.lit("stored"))
         .otherwise(F.lit("duplicate")),
-    ).drop("_first")
-    return judged.unionByName(invalid, allowMissingColumns=True)
+    )
 
 
 def ingest(
-    rows: DataFrame, seen: DataFrame, target_path: str, as_of, order: list,
+    rows: DataFrame, seen: DataFrame, target_path: str, as_of, order: list[str],
     content_key: str = "url_title", in_batch: bool = True,
 ) -> dict[str, DataFrame]:
     """Validate, deduplicate, insert, and return what happened.

@@ -59,6 +59,15 @@ def page_links_same_domain(spark, sf):
     return P.page_links(_pages(spark, sf), pattern="(?i)^https?://[^/]*/t", scope="same-domain")
 
 
+@query(
+    "distinct_links",
+    r"""SELECT DISTINCT lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) || href AS link FROM (
+      SELECT url, unnest(regexp_extract_all(html, '(?i)href="(/[^"/][^"]*)"', 1)) AS href FROM pages)""",
+)
+def distinct_links(spark, sf):
+    return P.distinct_links(P.page_links(_pages(spark, sf), pattern="^[^:]+://[^/]+/"))
+
+
 _PLANTED = K.BLOCK_PHRASES + ["just a moment", "sign in to linkedin", "robot", "plain page"]
 
 

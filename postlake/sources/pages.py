@@ -144,13 +144,12 @@ def registrable(host) -> Column:
 
 
 def page_links(pages: DataFrame, pattern: str | None = None, scope: str = "same-hostname") -> DataFrame:
-    """Distinct links of hub pages inside the given scope."""
-    links = (
-        pages.select(
-            "page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_HREF), 1))).alias("href")
-        )
-        .withColumn("link", resolve_link("href", "url"))
-        .filter(F.rlike("link", F.lit("(?i)^https?://")))
+    """Links of hub pages inside the given scope, once per page."""
+    # Repeats only arise inside one page, so they go before the rows fan out
+    # and no shuffle is needed.
+    found = F.transform(F.regexp_extract_all("html", F.lit(_HREF), 1), lambda h: resolve_link(h, F.col("url")))
+    links = pages.select("page_id", "url", F.explode(F.array_distinct(found)).alias("link")).filter(
+        F.rlike("link", F.lit("(?i)^https?://"))
     )
     if pattern:
         links = links.filter(F.rlike("link", F.lit(pattern)))
@@ -160,7 +159,12 @@ def page_links(pages: DataFrame, pattern: str | None = None, scope: str = "same-
         links = links.filter(registrable(url_host("link")) == registrable(url_host("url")))
     elif scope != "all":
         raise ValueError("scope must be same-hostname, same-domain or all")
-    return links.select("page_id", "link").distinct()
+    return links.select("page_id", "link")
+
+
+def distinct_links(links: DataFrame) -> DataFrame:
+    """Every link once over all pages."""
+    return links.select("link").distinct()
 
 
 def is_blocked_page(title, body) -> Column:

@@ -50,9 +50,12 @@ def scan_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append listings, one folder per collection day; adds no shuffle."""
+    """Append listings, one folder per collection day.
+
+    Rebalancing by day keeps files few; a heavy day is split over several.
+    """
     out = df if "scraped_date" in df.columns else df.withColumn("scraped_date", F.to_date("scraped_at"))
-    out.write.mode("append").partitionBy("scraped_date").format(fmt).save(path)
+    out.hint("rebalance", "scraped_date").write.mode("append").partitionBy("scraped_date").format(fmt).save(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
