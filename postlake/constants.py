@@ -214,3 +214,106 @@ DEFAULT_QUERIES = [
     ("web developer junior", "India", 30),
     ("data analyst fresher", "India", 30),
 ]
+
+# --- page fields per site (fixed values) ----------------------------------------
+# Selectors in order of preference.
+
+SITE_FIELDS = {
+    "cutshort": {
+        "title": ['h1[class*="title"]', 'h2[class*="title"]', "h1"],
+        "company": ['span[class*="company"]', 'a[class*="company"]', 'div[class*="company"] span'],
+        "location": ['span[class*="location"]', 'div[class*="location"]'],
+        "description": ['div[class*="description"]', 'div[class*="job-desc"]', 'section[class*="description"]'],
+        "experience": ['span[class*="experience"]', 'div[class*="experience"]'],
+        "job_type": ['span[class*="job-type"]', 'div[class*="employment"]'],
+    },
+    "foundit": {
+        "title": ["h3.jobTitle", 'h1[class*="title"]', "h1.jdTitle", "h1"],
+        "company": ["span.companyName", 'a[class*="company"]', 'div[class*="companyName"]'],
+        "location": ["span.loc", 'span[class*="location"]', 'div[class*="location"]'],
+        "description": ['div[class*="job-desc"]', "div.jd-desc", 'section[class*="description"]'],
+        "experience": ['span[class*="exp"]', 'div[class*="experience"]'],
+        "salary": ['span[class*="salary"]', "span.sal"],
+        "job_type": ['span[class*="type"]', 'span[class*="empType"]'],
+    },
+    "shine": {
+        "title": ['h1[class*="title"]', 'h2[class*="title"]', "h1", "h2.job-title"],
+        "company": ['a[class*="company"]', 'span[class*="company"]', 'div[class*="compName"]'],
+        "location": ['span[class*="loc"]', 'span[class*="location"]', 'div[class*="location"]'],
+        "description": ['div[class*="description"]', 'div[class*="jd_content"]', 'section[class*="desc"]'],
+        "experience": ['span[class*="exp"]', 'div[class*="experience"]'],
+        "salary": ['span[class*="salary"]', 'span[class*="sal"]'],
+        "job_type": ['span[class*="type"]', 'span[class*="empType"]'],
+    },
+    "timesjobs": {
+        "title": ["h1.jd-job-title"],
+        "company": ["h2.jd-comp-name", "h2.heading"],
+        "location": ["span.loc", "div.location"],
+        "description": ["div.jd-desc", 'section[class*="description"]'],
+        "experience": ['li[title="experience"] i', "span.exp"],
+        "salary": ['li[title="salary"] i', "span.sal"],
+    },
+    "wellfound": {
+        "title": ['h2[class*="styles_component__"]', "h1.startup-header"],
+        "company": ['h1[class*="styles_name__"]', 'div[class*="companyName"]'],
+        "location": ['div[class*="styles_location__"]'],
+        "description": ['div[class*="styles_description__"]', "div.job-description"],
+    },
+    "indeed": {
+        "title": ['[data-testid="jobsearch-JobInfoHeader-title"]', ".jobsearch-JobInfoHeader-title", 'h1[class*="jobTitle"]'],
+        "company": ['[data-testid="inlineHeader-companyName"] a', '[data-testid="inlineHeader-companyName"]',
+                    ".jobsearch-InlineCompanyRating-companyHeader a",
+                    '.jobsearch-CompanyInfoContainer a[data-tn-element="companyName"]'],
+        "location": ['[data-testid="job-location"]', '[data-testid="inlineHeader-companyLocation"]',
+                     '.jobsearch-JobInfoHeader-subtitle div[class*="location"]', ".companyLocation"],
+        "description": ["#jobDescriptionText", ".jobsearch-jobDescriptionText"],
+        "posted_date": ['[data-testid="job-age"]', ".jobsearch-JobMetadataHeader-item--date", 'span[class*="date"]'],
+        "salary": ['[data-testid="attribute_snippet_testid"]', ".jobsearch-JobMetadataHeader-item--salary",
+                   "#salaryInfoAndJobType span"],
+        "job_type": ['[data-testid="attribute_snippet_testid"]', ".jobsearch-JobMetadataHeader-item--jobtype"],
+    },
+    "linkedin": {
+        "title": ["h1.top-card-layout__title", 'h1[class*="job-details-jobs-unified-top-card__job-title"]', "h1.topcard__title"],
+        "company": ['a[data-tracking-control-name="public_jobs_topcard-org-name"]', ".top-card-layout__first-subline a",
+                    ".topcard__org-name-link", 'a[class*="company-name"]'],
+        "location": [".top-card-layout__second-subline .topcard__flavor",
+                     '[class*="job-details-jobs-unified-top-card__bullet"]', ".topcard__flavor--bullet"],
+        "description": ["section.show-more-less-html .show-more-less-html__markup", ".description__text",
+                        'div[class*="description"] .show-more-less-html__markup'],
+        "posted_date": ['span[class*="posted-time-ago"]', ".topcard__flavor--metadata", "time"],
+        "job_type": ['span[class*="employment-type"]', ".description__job-criteria-text--criteria"],
+        "seniority": ['span[class*="experience-level"]', 'li[class*="job-criteria__item"] span'],
+    },
+    "exampleboard": {
+        "title": ["h1.job-title", ".header-title h1", '[data-automation="job-title"]'],
+        "company": [".company-name", ".employer-label"],
+        "description": [".job-description"],
+        "location": [".job-location"],
+    },
+}
+
+# Result cards: card selectors, then the fields inside one card.
+SITE_CARDS = {
+    "internshala": (
+        [".individual_internship", ".internship_meta", '[class*="internship-card"]'],
+        {
+            "title": [".heading_4_5 a", "h3 a", ".job-internship-name a", ".profile a"],
+            "company": [".heading_6", ".company_name a", ".company_name", ".link_display_like_text"],
+            "location": [".location_link a", "#location_names a", ".locations a"],
+            "salary": [".stipend", '[class*="stipend"]'],
+            "description": [".internship_other_details", ".other_detail_item"],
+        },
+    ),
+    "naukri": (
+        ['[class*="jobTuple"]', '[class*="srp-jobtuple"]', 'article[class*="jobCard"]', ".cust-job-tuple"],
+        {
+            "title": ['[class*="title"] a', '[class*="designation"] a', ".row1 a", "h2.title"],
+            "company": ['[class*="companyInfo"] a', '[class*="company"]', ".subTitle", "a.comp-name"],
+            "location": ['[class*="location"]', ".locWdth", '[class*="loc"] span'],
+            "experience": ['[class*="experience"]', ".expwdth"],
+            "salary": ['[class*="salary"]', ".salwdth"],
+            "description": ['[class*="job-description"]', ".job-desc", ".ellipsis"],
+        },
+    ),
+}
+SITE_CARD_ORIGINS = {"internshala": "https://internshala.com", "naukri": "https://www.naukri.com"}

@@ -28,6 +28,13 @@ def stamp(df: DataFrame, as_of, tier_default: str = "direct_crawl") -> DataFrame
     })
 
 
+def with_run_context(df: DataFrame, run_id: str, started_at, platform: str) -> DataFrame:
+    """Stamp the run that produced the rows."""
+    return df.withColumns({
+        "run_id": F.lit(run_id), "run_started_at": ts_literal(started_at), "run_platform": F.lit(platform),
+    })
+
+
 def with_reasons(df: DataFrame) -> DataFrame:
     """Default the company and list what is wrong with each row."""
     title, text = F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postlake import constants as K
 from postlake.functions.text import page_title
+from postlake.functions.urls import url_host
 from postlake.plans import sqltext as S
 from postlake.plans import views as V
 from postlake.plans.registry import query
@@ -68,6 +69,60 @@ def distinct_links(spark, sf):
     return P.distinct_links(P.page_links(_pages(spark, sf), pattern="^[^:]+://[^/]+/"))
 
 
+_MARKUP = {  # site: markup of title and company around the page's own words
+    "cutshort": ('<h1 class="a job-title b">{t}</h1>', '<div class="company-box"><i>x</i><span>{c}</span></div>'),
+    "foundit": ('<h3 class="jobTitle">{t}</h3>', '<span class="companyName">{c}</span>'),
+    "timesjobs": ('<h1 class="jd-job-title">{t}</h1>', '<h2 class="heading">{c}</h2>'),
+    "wellfound": ('<h1 class="startup-header">{t}</h1>', '<h1 class="styles_name__9">Job at {c} | Site</h1>'),
+    "indeed": ('<p data-testid="jobsearch-JobInfoHeader-title">{t}</p>', '<div data-testid="inlineHeader-companyName"><a href="#">{c}</a></div>'),
+    "exampleboard": ('<div class="header-title"><h1>{t}</h1></div>', '<p class="employer-label">{c}</p>'),
+}
+
+
+def _marked(spark, sf):
+    """Pages of six sites: one marked-up title and company, and the page text."""
+    n = (F.col("page_id") % len(_MARKUP) + 1).cast("int")
+    base = _pages(spark, sf).select(
+        "page_id", "url", F.element_at(F.array(*[F.lit(s) for s in _MARKUP]), n).alias("site"),
+        page_title("html").alias("t"), url_host("url").alias("c"), "html",
+    )
+    mark = F.lit("")
+    for site, (title, company) in _MARKUP.items():
+        parts = (title + company).replace("{t}", "\x00t\x00").replace("{c}", "\x00c\x00").split("\x00")
+        text = F.concat(*[F.col(p) if p in ("t", "c") else F.lit(p) for p in parts])
+        mark = F.when(F.col("site") == site, text).otherwise(mark)
+    return base.withColumn("html", F.concat(mark, "html")).drop("t", "c")
+
+
+@query(
+    "site_fields",
+    f"""SELECT page_id, ([{', '.join(S.lit(s) for s in _MARKUP)}])[page_id % {len(_MARKUP)} + 1] AS site,
+      nullif({S.strip_tags(S.page_title('html'))}, '') AS title, {S.host('url')} AS company FROM pages""",
+)
+def site_fields(spark, sf):
+    return P.site_fields(_marked(spark, sf)).select("page_id", "site", "title", "company")
+
+
+@query(
+    "card_listings",
+    f"""WITH p AS (SELECT page_id, url, {S.strip_tags(S.page_title('html'))} AS t, {S.host('url')} AS c FROM pages)
+    SELECT page_id, CAST(0 AS BIGINT) AS card_no, t AS title, c AS company, 'https://www.naukri.com/j/' || page_id AS url,
+      t || ' at ' || c AS description FROM p WHERE t <> ''
+    UNION ALL SELECT page_id, 1, 'second', 'Unknown', url, 'details' FROM p""",
+)
+def card_listings(spark, sf):
+    cards = F.concat(
+        F.lit('<ul><li class="x jobTuple"><h2 class="title"><a href="/j/'), F.col("page_id").cast("string"), F.lit('">'),
+        page_title("html"), F.lit('</a></h2><a class="comp-name company">'), url_host("url"),
+        F.lit('</a></li><li class="jobTuple"><h2 class="title">second</h2><a href="'), F.col("url"),
+        F.lit('">go</a><div class="job-desc">details</div></li></ul>'),
+    )
+    pages = _pages(spark, sf).select("page_id", "url", cards.alias("html"))
+    return P.card_listings(pages, "naukri").select(
+        "page_id", F.col("card_no").cast("bigint").alias("card_no"), "title", "company", "url", "description"
+    )
+
+
 _PLANTED = K.BLOCK_PHRASES + ["just a moment", "sign in to linkedin", "robot", "plain page"]
 
 

@@ -6,13 +6,15 @@ table; the wide ``html`` column is dropped as soon as its fields are out.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake import constants as K
 from postlake.functions.text import (
     as_col, contains_any, content_cap, empty_to_null, first_filled, literal_pattern, page_text, page_title, strip_tags,
-    ws_trim,
+    title_company, ws_trim,
 )
 from postlake.functions.urls import url_host, url_origin, url_scheme
 
@@ -117,6 +119,112 @@ def extract_fields(pages: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     return pages.select(*[c for c in pages.columns if c != "html"], *fields)
 
 
+def _step(selector: str) -> tuple[str, str]:
+    """(tag, attributes) of one selector step as patterns."""
+    m = re.fullmatch(r"([a-z0-9]*)((?:\.[\w-]+)*)(?:#([\w-]+))?(?:\[([\w-]+)(\*?)=\"([^\"]*)\"\])?", selector)
+    if not m:
+        raise ValueError(f"unsupported selector step {selector!r}")
+    tag, classes, ident, attr, part, value = m.groups()
+    tests = [rf"(?=[^>]*\sclass=\"(?:[^\"]*\s)?{re.escape(c)}[\s\"])" for c in classes.split(".")[1:]]
+    if ident:
+        tests.append(rf"(?=[^>]*\sid=\"{re.escape(ident)}\")")
+    if attr:
+        inner = f"[^\"]*{re.escape(value)}[^\"]*" if part else re.escape(value)
+        tests.append(rf"(?=[^>]*\s{attr}=\"{inner}\")")
+    return tag or "[a-z][a-z0-9]*", "".join(tests)
+
+
+def _open_tag(selector: str, capture: bool = False) -> str:
+    tag, tests = _step(selector)
+    return rf"<({tag})\b{tests}[^>]*>" if capture else rf"<(?:{tag})\b{tests}[^>]*>"
+
+
+def selector_pattern(selector: str) -> tuple[str, int]:
+    """(pattern, group of the content) of a simple selector.
+
+    Steps are a tag, classes, an id and one attribute test; a blank means
+    inside.  An element ends at the first closing tag of its own kind.
+    """
+    *outer, last = selector.split(" ")
+    lead = "".join(
+        rf"{_open_tag(step, capture=True)}(?:(?!</\{n}\s*>).)*?" for n, step in enumerate(outer, start=1)
+    )
+    own = len(outer) + 1
+    return rf"(?is){lead}{_open_tag(last, capture=True)}(.*?)</\{own}\s*>", own + 1
+
+
+def _first_match(html, selectors: list[str]) -> Column:
+    return first_filled(*[strip_tags(F.regexp_extract(as_col(html), *selector_pattern(s))) for s in selectors])
+
+
+_RULES = "ARRAY<STRUCT<pattern STRING, content INT>>"
+
+
+def _rules_by_site(name: str) -> Column:
+    """Site to its ordered patterns for one field, as a constant map."""
+    entries = []
+    for site, fields in K.SITE_FIELDS.items():
+        patterns = [selector_pattern(sel) for sel in fields.get(name, [])]
+        entries += [F.lit(site), F.array(*[
+            F.struct(F.lit(p).alias("pattern"), F.lit(g).alias("content")) for p, g in patterns
+        ]).cast(_RULES)]
+    return F.create_map(*entries)
+
+
+def site_fields(pages: DataFrame) -> DataFrame:
+    """Detail fields by the selectors of each page's own site.
+
+    ``pages`` holds a ``site`` column.  The selectors are data, not code: a
+    field walks the few patterns of its site and stops at the first that gives
+    text, where one branch per site and selector would outgrow what a generated
+    method may hold.
+    """
+    names = ["title", "company", "location", "description", "experience", "job_type", "salary", "posted_date", "seniority"]
+
+    def field(name: str) -> Column:
+        def step(found: Column, rule: Column) -> Column:
+            content = F.call_function("regexp_extract", F.col("html"), rule["pattern"], rule["content"])
+            return F.when(found.isNotNull(), found).otherwise(empty_to_null(strip_tags(content)))
+
+        rules = F.try_element_at(_rules_by_site(name), F.col("site"))
+        found = F.aggregate(rules, F.lit(None).cast("string"), step)
+        if name == "company":  # one site writes "Role at Company | .." there
+            found = F.when(F.col("site") == "wellfound", title_company(found)).otherwise(found)
+        return found.alias(name)
+
+    return pages.select(*[c for c in pages.columns if c != "html"], *[field(n) for n in names])
+
+
+def card_listings(pages: DataFrame, site: str) -> DataFrame:
+    """One listing per result card of a search page.
+
+    A card reaches from its opening tag to the next card or the page end.
+    """
+    card_selectors, fields = K.SITE_CARDS[site]
+    start = "|".join(_open_tag(s) for s in card_selectors)
+    blocks = F.regexp_extract_all("html", F.lit(rf"(?is)(?:{start})(?:(?!{start}).)*+"), 0)
+    kept = [c for c in pages.columns if c not in ("html", "url", "site")]
+    origin = K.SITE_CARD_ORIGINS[site]
+    href = F.regexp_extract("card", _HREF, 1)
+    found = {name: _first_match("card", sels) for name, sels in fields.items()}
+    company = F.coalesce(found["company"], F.lit("Unknown"))
+    lead = "Internship: " if site == "internshala" else ""
+    rows = (
+        pages.select(*kept, F.posexplode(blocks).alias("card_no", "card"))
+        .select(
+            *kept, "card_no", found["title"].alias("title"), company.alias("company"),
+            *[v.alias(n) for n, v in found.items() if n not in ("title", "company", "description")],
+            found["description"].alias("_text"), found["company"].alias("_company"),
+            F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(F.lit(origin), href)).alias("url"),
+        )
+        .filter(F.col("title").isNotNull())
+    )
+    described = F.coalesce(
+        "_text", F.concat(F.lit(lead), F.col("title"), F.lit(" at "), F.coalesce("_company", F.lit("")))
+    )
+    return rows.withColumn("description", described).withColumn("source", F.lit(site)).drop("_text", "_company")
+
+
 _HREF = r'(?i)href="([^"]+)"'
 
 

@@ -169,3 +169,42 @@ def test_page_path_prefers_cache_then_model_then_rules(spark):
     assert [r.page_id for r in out["blocked"].collect()] == [3]
     late = jobs.extract_pages(df, answers, cache, "2024-01-03 00:00:00")
     assert {r.url for r in late["extracted"].collect()} == {"https://m/1"}
+
+
+def test_site_fields(spark):
+    marked = {
+        "indeed": '<div data-testid="inlineHeader-companyName"><a>Acme</a></div><a>not this</a><h1 class="x jobTitle">Dev</h1>'
+                  '<div id="jobDescriptionText">Long <b>text</b></div>',
+        "timesjobs": '<h1 class="jd-job-title">Dev</h1><h2 class="heading other">Acme</h2><li title="salary"><i>9 LPA</i></li>',
+        "wellfound": '<h1 class="startup-header">Dev</h1><h1 class="styles_name__x">Dev at Acme | Site</h1>',
+        "linkedin": '<h1 class="topcard__title">Dev</h1><a class="topcard__org-name-link">Acme</a><time>2 days ago</time>',
+        "unknown": "<h1>Dev</h1>",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in marked.items()], "site string, html string")
+    got = {r.site: r for r in pages.site_fields(df).collect()}
+    assert all((got[s].title, got[s].company) == ("Dev", "Acme") for s in marked if s != "unknown")
+    assert got["indeed"].description == "Long text" and got["timesjobs"].salary == "9 LPA"
+    assert got["linkedin"].posted_date == "2 days ago" and got["unknown"].title is None
+
+
+@pytest.mark.parametrize("selector,html,want", [
+    ("h2 a", "<h2>x</h2><a>out</a><h2><a>in</a></h2>", "in"), ("div.a", '<div class="aa">1</div><div class="b a">2</div>', "2"),
+    ("[id-x]", "", None), ('li[title="s"] i', '<li title="t"><i>1</i></li><li title="s"><b>x</b><i>2</i></li>', "2"),
+    ("h2 a", "<h2>" + "x " * 300000 + "<a>deep</a></h2>", "deep"),
+])
+def test_selector_patterns(spark, selector, html, want):
+    if want is None:
+        with pytest.raises(ValueError):
+            pages.selector_pattern(selector)
+        return
+    df = spark.createDataFrame([(html,)], "html string")
+    assert df.select(F.regexp_extract("html", *pages.selector_pattern(selector))).first()[0] == want
+
+
+def test_cards(spark):
+    html = ('<div class="individual_internship"><h3><a href="/internship/1">A</a></h3><p class="company_name"> C </p></div>'
+            '<div class="individual_internship"><h3><a>B</a></h3></div><div class="individual_internship">empty</div>' + " tail" * 200000)
+    rows = pages.card_listings(spark.createDataFrame([(1, html)], "page_id bigint, html string"), "internshala").collect()
+    assert [(r.title, r.company, r.url, r.description) for r in rows] == [
+        ("A", "C", "https://internshala.com/internship/1", "Internship: A at C"),
+        ("B", "Unknown", "https://internshala.com", "Internship: B at ")]
