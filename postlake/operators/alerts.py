@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake import constants as K
-from postlake.session import checkpoint_root
+from postlake.session import drop_path, materialize
 
 
 def _pointers(times: DataFrame, cooldown_us: int) -> DataFrame:
@@ -64,31 +64,36 @@ def _pointers(times: DataFrame, cooldown_us: int) -> DataFrame:
 
 def suppress_cooldown(alerts: DataFrame, minutes: int = K.ALERT_COOLDOWN_MINUTES) -> DataFrame:
     """Alerts that go out.  ``alerts`` holds (channel, severity, ts, event_id)."""
-    checkpoint_root(alerts.sparkSession)
+    spark = alerts.sparkSession
     cooldown_us = minutes * 60 * 1000000
     keyed = alerts.withColumn("key", F.concat_ws(":", "channel", "severity")).withColumn("us", F.unix_micros("ts"))
     times = keyed.select("key", "us").distinct()
-    jump = _pointers(times, cooldown_us).checkpoint()
-    reached = jump.filter("head").select("key", "us")
+    links, links_path = materialize(_pointers(times, cooldown_us), "cooldown-links")
     # A link into a head adds nothing, so chains end where a quiet spell ends
     # them: the rounds depend on the longest busy spell, not on the history.
-    jump = jump.filter(F.col("nxt").isNotNull()).select("key", "us", "nxt").join(
-        reached.withColumnRenamed("us", "nxt"), ["key", "nxt"], "left_anti"
-    ).select("key", "us", "nxt").checkpoint()
+    heads = links.filter("head").select("key", F.col("us").alias("nxt"), F.lit(True).alias("_to_head"))
+    chain, path = materialize(links.join(heads, ["key", "nxt"], "left").select(
+        "key", "us", F.when(F.col("_to_head").isNull(), F.col("nxt")).alias("nxt"), F.col("head").alias("sent")
+    ), "cooldown-chain")
+    drop_path(spark, links_path)
 
-    while True:
-        # reached covers every chain position below 2^k, jump leaps 2^k links:
-        # their image covers the positions up to 2^(k+1).
-        landed = reached.join(jump, ["key", "us"]).select("key", F.col("nxt").alias("us"))
-        grown = reached.unionByName(landed).distinct().checkpoint()
-        onward = jump.select("key", "us", F.col("nxt").alias("mid"))
-        step = jump.select("key", F.col("us").alias("mid"), "nxt")
-        jump = onward.join(step, ["key", "mid"]).select("key", "us", "nxt").checkpoint()
-        reached = grown
-        if jump.isEmpty():
-            break
+    while not chain.filter(F.col("nxt").isNotNull()).isEmpty():
+        # ``sent`` covers the chain positions below 2^k and ``nxt`` leaps 2^k
+        # links: one round doubles both.
+        landed = chain.filter(F.col("sent") & F.col("nxt").isNotNull()).select(
+            "key", F.col("nxt").alias("us"), F.lit(True).alias("_landed")
+        ).distinct()
+        onward = chain.select("key", F.col("us").alias("nxt"), F.col("nxt").alias("_far"))
+        doubled = (
+            chain.join(onward, ["key", "nxt"], "left")
+            .join(landed, ["key", "us"], "left")
+            .select("key", "us", F.col("_far").alias("nxt"), (F.col("sent") | F.col("_landed").isNotNull()).alias("sent"))
+        )
+        used = path
+        chain, path = materialize(doubled, "cooldown-chain")
+        drop_path(spark, used)
 
-    first = keyed.join(reached, ["key", "us"], "left_semi")
+    first = keyed.join(chain.filter("sent").select("key", "us"), ["key", "us"], "left_semi")
     w = Window.partitionBy("key", "us").orderBy("event_id")
     return (
         first.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "us")

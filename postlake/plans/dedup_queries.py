@@ -117,13 +117,16 @@ def in_batch_first(spark, sf):
     return dedup.first_in_batch(_fp(V.v_listings(spark, sf)), ["seq"]).select("url_hash", "seq")
 
 
-@query(
-    "source_dedup",
-    f"""WITH {V.SQL_LISTINGS}, f AS (SELECT seq, regexp_replace({S.token('source')}, '[^a-z0-9]+', '-', 'g') || '::'
+def _sql_source_fp(src: str) -> str:
+    return f"""SELECT seq, regexp_replace({S.token('source')}, '[^a-z0-9]+', '-', 'g') || '::'
       || lower(split_part(url, '://', 1)) || '://' || {S.host('url')}
       || coalesce(nullif(rtrim(lower({S.path('url')}), '/'), ''), '/') || '::'
-      || lower({S.ext(S.path('url'), '([^/]+)/*$')}) AS source_fp FROM v_listings)
-    SELECT source_fp, min(seq) AS seq FROM f GROUP BY 1""",
+      || lower({S.ext(S.path('url'), '([^/]+)/*$')}) AS source_fp FROM {src}"""
+
+
+@query(
+    "source_dedup",
+    f"WITH {V.SQL_LISTINGS}, f AS ({_sql_source_fp('v_listings')}) SELECT source_fp, min(seq) AS seq FROM f GROUP BY 1",
 )
 def source_dedup(spark, sf):
     rows = V.v_listings(spark, sf).withColumn(
@@ -149,7 +152,8 @@ def source_dedup_stats(spark, sf):
 
 @query(
     "source_dedup_known",
-    f"""WITH {V.SQL_DOC_LISTINGS}, {V.SQL_DOC_RECRAWL} SELECT count(*) AS unknown_jobs FROM v_doc_recrawl WHERE seq % 4 <> 0""",
+    f"""WITH {V.SQL_DOC_LISTINGS}, {V.SQL_DOC_RECRAWL}, k AS ({_sql_source_fp('v_doc_listings')}), r AS ({_sql_source_fp('v_doc_recrawl')})
+    SELECT count(DISTINCT source_fp) AS unknown_jobs FROM r WHERE source_fp NOT IN (SELECT source_fp FROM k)""",
 )
 def source_dedup_known(spark, sf):
     fp = source_fingerprint("source", "url", F.lit(None).cast("string"))

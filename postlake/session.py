@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -55,3 +55,21 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one run below the shared folder."""
     return os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write a frame below the shared folder and read it back: (frame, path).
+
+    Loops use this instead of ``checkpoint``: a checkpointed plan keeps the
+    constraints of the plan it cut off, and over many self-joins those grow
+    until planning takes longer than the work.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a table written by ``materialize`` that nothing reads any more."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
