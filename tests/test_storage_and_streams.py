@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from postlake.functions.hashing import with_fingerprints
 from postlake.operators import alerts, lifecycle, metrics, traffic
+from postlake.operators.listings import with_run_context
+from postlake.operators.store import read_jobs
 from postlake.sources import tables
 from postlake.streaming import streams
 from postlake.streaming.state import VersionedTable
@@ -182,3 +184,30 @@ def test_stream_ingest(spark, batches):
     streams.run_available(spark, writer, "t7")
     assert spark.read.parquet(target).count() == 10 and sum(counts) == 10
     assert with_fingerprints(spark.read.parquet(target)).select("url_hash").distinct().count() == 10
+
+
+def test_snapshots_are_written_at_intervals(spark):
+    df = request_log(spark, 200)
+    out = fresh_dir() + "/snapshots"
+    counted = streams.domain_counts(
+        as_stream(spark, split(df, 2), df.schema).withColumn("blocked", ~F.col("success")))
+    query = streams.start_snapshots(counted, out, fresh_dir() + "/progress", every="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.json(out).filter("requests > 0").count() > 0
+
+
+def test_report_sink_and_run_context(spark):
+    path = fresh_dir() + "/report"
+    rows = with_run_context(spark.createDataFrame([(1,)], "n int"), "run-1", "2024-01-01 00:00:00", "board")
+    tables.write_report(rows, path)
+    back = spark.read.json(path).first()
+    assert (back.n, back.run_id, back.run_platform) == (1, "run-1", "board")
+
+
+def test_table_grows_columns(spark):
+    path = fresh_dir() + "/jobs"
+    spark.createDataFrame([("u", "t")], "url string, title string").write.parquet(path)
+    old = read_jobs(spark, path).first()
+    assert (old.url, old.experience, old.source_tier) == ("u", None, None)
+    assert read_jobs(spark, path + "-none").count() == 0
