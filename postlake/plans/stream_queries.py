@@ -71,7 +71,7 @@ def stream_attempt_numbers(spark, sf):
     log = V.v_traffic(spark, sf, stream=True).withColumn("success", F.col("status") == 200)
     out = scratch_path(spark, "attempts")
     streams.run_available(spark, streams.attempts_writer(log, out, scratch_path(spark, "attempts-state")), "attempts")
-    return spark.read.parquet(f"{out}/batch-*").select("event_id", F.col("attempt").cast("bigint").alias("attempt"))
+    return spark.read.option("recursiveFileLookup", True).parquet(out).select("event_id", F.col("attempt").cast("bigint").alias("attempt"))
 
 
 @query("stream_alert_cooldown", ORACLES["alert_cooldown"])
@@ -79,7 +79,7 @@ def stream_alert_cooldown(spark, sf):
     out = scratch_path(spark, "alerts")
     writer = streams.cooldown_writer(V.v_alerts(spark, sf, stream=True), out, scratch_path(spark, "alerts-state"))
     streams.run_available(spark, writer, "alerts")
-    return spark.read.parquet(f"{out}/batch-*").select(
+    return spark.read.option("recursiveFileLookup", True).parquet(out).select(
         F.concat_ws(":", "channel", "severity").alias("key"), F.unix_micros("ts").alias("ts_us")
     )
 
