@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postlake.llm import warc
+from postlake.llm import packing, sharding, warc
 from postlake.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,17 @@ SELECT page_id, n::BIGINT AS payload_bytes, g AS payload_digest,
        CASE WHEN n >= 1000 AND page_id <> first_page THEN first_page END AS refers_to
 FROM f
 """
+
+
+@query
+def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    return sharding.assign(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, cut and packed into sequences of at most 1024 tokens."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
