@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import packing, sharding, warc
+from postlake.llm import decontaminate, licenses, packing, sharding, warc
 from postlake.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,16 @@ def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cut and packed into sequences of at most 1024 tokens."""
     return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and edited notices of all documents."""
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that a benchmark item contaminates, one row per such pair."""
+    found = decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "n_tiles", "item_words")
