@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import decontaminate, licenses, packing, sharding, warc
+from postlake.llm import decontaminate, html_text, licenses, packing, sharding, warc
 from postlake.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,9 @@ def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that a benchmark item contaminates, one row per such pair."""
     found = decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "coverage", "n_tiles", "item_words")
+
+
+@query
+def op10_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages"))
