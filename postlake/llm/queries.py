@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import decontaminate, html_text, licenses, packing, sharding, warc
+from postlake.llm import decontaminate, html_text, licenses, packing, quality, sharding, warc
 from postlake.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,9 @@ def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of every page."""
     return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
