@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import decontaminate, html_text, licenses, packing, quality, sharding, warc
+from postlake.llm import decontaminate, embeddings, html_text, licenses, packing, quality, sharding, warc
 from postlake.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,29 @@ def op10_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op9_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of each label."""
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_tiled_cosine"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e,
+           label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+           AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+           AND len([x FOR x IN embedding IF x <> 0]) > 0 AS ok
+    FROM embeddings
+), link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE a.ok AND b.ok AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+), walk AS (
+    SELECT vec_id, vec_id AS node FROM v
+    UNION
+    SELECT w.vec_id, l.b FROM walk w JOIN link l ON l.a = w.node
+), comp AS (SELECT vec_id, min(node) AS component_id FROM walk GROUP BY vec_id)
+SELECT v.vec_id, (SELECT count(*) FROM link l WHERE l.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN comp c USING (vec_id)
+"""
