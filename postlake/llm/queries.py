@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import decontaminate, embeddings, html_text, licenses, packing, quality, sharding, warc
+from postlake.llm import decontaminate, embeddings, html_text, licenses, minhash, packing, quality, sharding, warc
 from postlake.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, (SELECT count(*) FROM link l WHERE l.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN comp c USING (vec_id)
 """
+
+
+@query
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents at a Jaccard similarity of 0.85."""
+    return minhash.components(read(spark, sf_dir, "documents"), percent=85)
