@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import decontaminate, embeddings, html_text, licenses, minhash, packing, quality, sharding, warc
+from postlake.llm import (
+    decontaminate,
+    embeddings,
+    html_text,
+    licenses,
+    minhash,
+    packing,
+    quality,
+    sharding,
+    suffix_tree,
+    warc,
+)
 from postlake.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +120,9 @@ FROM v JOIN comp c USING (vec_id)
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents at a Jaccard similarity of 0.85."""
     return minhash.components(read(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document under the suffix tree and under word counts."""
+    return suffix_tree.score(read(spark, sf_dir, "documents"))
