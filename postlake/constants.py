@@ -89,6 +89,8 @@ TRACKER_FRAGMENTS = [
 ]
 HEAVY_ASSET_TYPES = ["image", "stylesheet", "font", "media"]
 
+# Elements whose text a browser never shows.
+UNSEEN_BLOCKS = ["script", "style", "noscript", "template", "svg", "iframe"]
 BOILERPLATE_BLOCKS = ["script", "style", "nav", "footer", "header", "svg", "iframe"]
 LOW_CAP_PROVIDERS = ["anthropic", "openai", "openai-codex", "google"]
 HIGH_CAP_PROVIDERS = ["groq", "cerebras", "ollama", "lmstudio"]

@@ -91,21 +91,49 @@ def normalize_location(c, city_only: bool = False) -> Column:
     return out
 
 
-def normalize_description(c, chars: int = K.DESCRIPTION_HASH_CHARS) -> Column:
-    """Leading part of the base text: the tie-breaker is defined on it."""
-    return F.substring(base_text(F.coalesce(as_col(c), F.lit(""))), 1, chars)
+def head(c, chars: int | None) -> Column:
+    """The first ``chars`` characters, or the whole text."""
+    return as_col(c) if chars is None else F.substring(as_col(c), 1, chars)
+
+
+def normalize_description(c, chars: int | None = None) -> Column:
+    """Base text of a description; ``chars=DESCRIPTION_HASH_CHARS`` compares openings only."""
+    return head(base_text(F.coalesce(as_col(c), F.lit(""))), chars)
 
 
 def strip_tags(c) -> Column:
-    return F.trim(collapse(F.regexp_replace(as_col(c), "<[^>]*>", " ")))
+    """Text without tags. A ``<`` that no ``>`` follows takes the rest of the text with it unchanged, so one pass is enough."""
+    return F.trim(collapse(F.regexp_replace(as_col(c), r"<[^>]*>|(<[^>]*)\z", " $1")))
+
+
+# Marks the end of a text while it is split; no character has this code.
+_END = "￿"
+
+
+def _cut_from(tag: str):
+    """A part that a closing tag ended, without its element; a closing tag that ends nothing is put back."""
+    return lambda part: (
+        F.when(F.endswith(part, F.lit(_END)), part)
+        .when(F.rlike(part, F.lit(f"(?i)<{tag}")), F.regexp_replace(part, f"(?is)<{tag}.*", ""))
+        .otherwise(F.concat(part, F.lit(f"</{tag}>")))
+    )
+
+
+def drop_elements(html, tags: list[str]) -> Column:
+    """Remove each block from its opening tag to the first closing tag after it.
+
+    The text is split at the closing tags, and each part but the last loses what follows its first opening tag: no part
+    is looked at twice, however many tags stay open.
+    """
+    out = F.concat(as_col(html), F.lit(_END))
+    for tag in tags:
+        out = F.array_join(F.transform(F.split(out, f"(?i)</{tag}>"), _cut_from(tag)), "")
+    return F.rtrim(out, F.lit(_END))
 
 
 def drop_boilerplate(html) -> Column:
     """Remove script, style, navigation and media blocks from page HTML."""
-    out = as_col(html)
-    for tag in K.BOILERPLATE_BLOCKS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}.*?</{tag}>", "")
-    return F.regexp_replace(out, r"(?i)<img[^>]*>", "")
+    return F.regexp_replace(drop_elements(html, K.BOILERPLATE_BLOCKS), r"(?i)<img[^<>]*>", "")
 
 
 def content_cap(provider) -> Column:
@@ -122,8 +150,16 @@ def page_text(html) -> Column:
     return strip_tags(drop_boilerplate(html))
 
 
+def visible_body(html) -> Column:
+    """Text of everything a page shows, header, navigation and footer included."""
+    return strip_tags(drop_elements(html, K.UNSEEN_BLOCKS))
+
+
 def page_title(html) -> Column:
-    return ws_trim(F.regexp_extract(as_col(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    """Text of the title element: of the part before the first closing tag, what follows its first opening tag."""
+    parts = F.split(as_col(html), "(?i)</title>", 2)
+    before = F.when(F.size(parts) > 1, F.element_at(parts, 1)).otherwise(F.lit(""))
+    return ws_trim(F.regexp_extract(before, r"(?is)<title[^<>]*>(.*)\z", 1))
 
 
 def title_company(c) -> Column:

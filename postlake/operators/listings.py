@@ -94,9 +94,9 @@ def search(df: DataFrame, terms: str) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, [F.array_contains(words, t) for t in wanted], F.lit(True)))
 
 
-def limit_results(df: DataFrame, keys: list[str], order: list, n: int = K.DEFAULT_MAX_RESULTS) -> DataFrame:
-    """At most ``n`` listings per source and query: the user's result limit."""
-    return first_n(df, n, keys, order)
+def limit_results(df: DataFrame, keys: list[str], order: list, n: int | None = None) -> DataFrame:
+    """At most ``n`` listings per source and query, where the user asks for a limit; ``DEFAULT_MAX_RESULTS`` is the usual one."""
+    return df if n is None else first_n(df, n, keys, order)
 
 
 def fallback_union(primary: DataFrame, secondary: DataFrame, key: list[str], n: int = 1) -> DataFrame:

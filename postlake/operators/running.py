@@ -19,12 +19,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _FN = {"sum": F.sum, "max": F.max, "min": F.min}
+#: Aggregates of the running sum itself: its lowest or highest value so far, over the rows that meet a condition.
+_OF_SUM = {"lowest_sum": F.min, "highest_sum": F.max}
 
 
 def _combine(fn: str, a: Column, b: Column) -> Column:
     if fn == "sum":
         return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-    return F.greatest(a, b) if fn == "max" else F.least(a, b)
+    return F.greatest(a, b) if fn in ("max", "highest_sum") else F.least(a, b)
+
+
+def _plain_keys(df: DataFrame, keys: list[str]) -> dict[str, Column]:
+    """Key columns that are never null, so that joins and windows need the same distribution."""
+    kinds = dict(df.dtypes)
+
+    def filler(kind: str) -> Column:
+        text = "1970-01-01" if kind.startswith(("date", "timestamp")) else "false" if kind == "boolean" else "0"
+        return F.lit(text).cast(kind)
+
+    out = {f"_k{n}": F.coalesce(F.col(k), filler(kinds[k])) for n, k in enumerate(keys)}
+    return out | {f"_k{n}_null": F.col(k).isNull() for n, k in enumerate(keys)}
 
 
 def time_bucket(ts, seconds: int) -> Column:
@@ -38,37 +52,62 @@ def running(
     keys: list[str],
     order: list,
     bucket: Column,
-    specs: dict[str, tuple[str, Column]],
+    specs: dict[str, tuple],
     inclusive: bool = True,
 ) -> DataFrame:
     """Add running aggregates over ``keys`` in ``order``.
 
-    ``bucket`` must not decrease along ``order`` within a key.  ``specs`` maps
-    the new column to ``(sum|max|min, expression)``.  With ``inclusive=False``
-    the current row is left out.  ``order`` must be total within a key.
+    ``bucket`` must not decrease along ``order`` within a key.  ``specs`` maps the new column to ``(sum|max|min,
+    expression)``, or to ``(lowest_sum|highest_sum, expression, condition)``: the extreme of the running sum so far, over
+    the rows that meet the condition (null until one does).  With ``inclusive=False`` the current row is left out, for
+    plain aggregates only.  ``order`` must be total within a key.
+
+    A bucket is summed up by its total and, where asked, the extreme of its own running sum; prefixes over those few rows
+    give what every bucket starts from.  All aggregates of a call share one shuffle of the rows.
     """
-    marked = df.withColumn("_bucket", bucket)
-    group = [*keys, "_bucket"]
-    totals = marked.groupBy(*group).agg(*[_FN[fn](expr).alias(f"_t_{name}") for name, (fn, expr) in specs.items()])
-
-    # One row per (key, bucket): its size follows the number of buckets, not
-    # the number of rows.
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *[F.col(g).alias(f"_c_{g}") for g in group],
-        *[_FN[fn](f"_t_{name}").over(before).alias(f"_b_{name}") for name, (fn, _) in specs.items()],
-    )
-    on = [F.col(g).eqNullSafe(F.col(f"_c_{g}")) for g in group]
-    joined = marked.join(carried, on, "left")
+    plain = _plain_keys(df, keys)
+    group = [*plain, "_bucket"]
+    marked = df.withColumns({**plain, "_bucket": bucket})
+    of_sum = {name: spec for name, spec in specs.items() if spec[0] in _OF_SUM}
+    if of_sum and not inclusive:
+        raise ValueError("extremes of running sums include the current row")
 
     end = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    out = joined.select(
-        *df.columns,
-        *[_combine(fn, F.col(f"_b_{name}"), _FN[fn](expr).over(inside)).alias(name)
-          for name, (fn, expr) in specs.items()],
+
+    def own_sums(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({f"_s_{name}": F.sum(spec[1]).over(inside) for name, spec in of_sum.items()}) if of_sum else rows
+        return rows.withColumns({
+            f"_m_{name}": F.when(spec[2], F.col(f"_s_{name}")) if len(spec) > 2 else F.col(f"_s_{name}") for name, spec in of_sum.items()
+        }) if of_sum else rows
+
+    totals = own_sums(marked).groupBy(*group).agg(*[
+        agg for name, spec in specs.items() for agg in (
+            [F.sum(spec[1]).alias(f"_t_{name}"), _OF_SUM[spec[0]](f"_m_{name}").alias(f"_e_{name}")] if spec[0] in _OF_SUM
+            else [_FN[spec[0]](spec[1]).alias(f"_t_{name}")]
+        )
+    ])
+
+    # One row per (key, bucket): its size follows the number of buckets, not the number of rows.
+    before = Window.partitionBy(*plain).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    started = totals.withColumns({
+        f"_b_{name}": (F.sum if spec[0] in _OF_SUM else _FN[spec[0]])(f"_t_{name}").over(before) for name, spec in specs.items()
+    })
+    for name, spec in of_sum.items():
+        reached = F.coalesce(F.col(f"_b_{name}"), F.lit(0)) + F.col(f"_e_{name}")
+        started = started.withColumn(f"_r_{name}", reached).withColumn(f"_x_{name}", _OF_SUM[spec[0]](f"_r_{name}").over(before))
+    carried = started.select(
+        *group, *[f"_b_{name}" for name in specs], *[f"_x_{name}" for name in of_sum],
     )
-    return out
+    joined = own_sums(marked.join(carried, group, "left"))
+
+    def value(name: str, spec: tuple) -> Column:
+        if spec[0] not in _OF_SUM:
+            return _combine(spec[0], F.col(f"_b_{name}"), _FN[spec[0]](spec[1]).over(inside))
+        own = F.coalesce(F.col(f"_b_{name}"), F.lit(0)) + _OF_SUM[spec[0]](f"_m_{name}").over(inside)
+        return _combine(spec[0], F.col(f"_x_{name}"), own)
+
+    return joined.select(*df.columns, *[value(name, spec).alias(name) for name, spec in specs.items()])
 
 
 def trailing_count(

@@ -101,10 +101,11 @@ def clamp_running(steps: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> Dat
     """``active`` after each step of ``(domain, event_id, ts, step)``."""
     order = ["ts", F.col("step").desc(), "event_id"]
     bucket = time_bucket("ts", bucket_seconds)
-    level = running(steps, ["domain"], order, bucket, {"_level": ("sum", F.col("step"))})
-    lowest = running(level, ["domain"], order, bucket, {"_low": ("min", F.col("_level"))})
+    both = running(
+        steps, ["domain"], order, bucket, {"_level": ("sum", F.col("step")), "_low": ("lowest_sum", F.col("step"))}
+    )
     active = F.col("_level") - F.least(F.col("_low"), F.lit(0))
-    return lowest.withColumn("active", active.cast("bigint")).drop("_level", "_low")
+    return both.withColumn("active", active.cast("bigint")).drop("_level", "_low")
 
 
 def violations(requests: DataFrame) -> DataFrame:
@@ -121,22 +122,29 @@ def recent_violations(stats: DataFrame, viol: DataFrame, as_of, minutes: int, na
     return stats.join(counts, "domain", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
 
 
-def attempt_no(log: DataFrame, bucket_seconds: int = BUCKET_SECONDS, cap: int = K.MAX_BACKOFF_ATTEMPTS) -> DataFrame:
-    """Failures since the last success of the domain, capped, on failure rows.
+def attempt_no(
+    log: DataFrame, bucket_seconds: int = BUCKET_SECONDS, cap: int | None = None, carried: DataFrame | None = None,
+) -> DataFrame:
+    """Failures since the last success of the domain, on failure rows.
 
     ``log`` holds (domain, ts, event_id, success).  Failures so far minus
     failures at the latest success gives the number inside the current run.
+    ``carried`` (domain, fails) counts earlier failures that no success has
+    ended yet; ``cap=MAX_BACKOFF_ATTEMPTS`` stops counting as backoff does.
     """
     order, bucket = ["ts", "event_id"], time_bucket("ts", bucket_seconds)
     failed = F.when(F.col("success"), F.lit(0)).otherwise(F.lit(1))
-    so_far = running(log, ["domain"], order, bucket, {"_fails": ("sum", failed)})
-    at_success = F.when(F.col("success"), F.col("_fails"))
-    both = running(so_far, ["domain"], order, bucket, {"_reset": ("max", at_success)})
-    return (
-        both.filter(~F.col("success"))
-        .withColumn("attempt", F.least(F.col("_fails") - F.coalesce("_reset", F.lit(0)), F.lit(cap)).cast("int"))
-        .drop("_fails", "_reset")
-    )
+    both = running(
+        log, ["domain"], order, bucket, {"_fails": ("sum", failed), "_reset": ("highest_sum", failed, F.col("success"))}
+    ).filter(~F.col("success"))
+    number = F.col("_fails") - F.coalesce("_reset", F.lit(0))
+    if carried is not None:
+        earlier = carried.select(F.col("domain").alias("_domain"), F.col("fails").alias("_earlier"))
+        both = both.join(earlier, F.col("domain").eqNullSafe(F.col("_domain")), "left").drop("_domain")
+        number = number + F.when(F.col("_reset").isNull(), F.coalesce("_earlier", F.lit(0))).otherwise(F.lit(0))
+    if cap is not None:
+        number = F.least(number, F.lit(cap))
+    return both.withColumn("attempt", number.cast("bigint")).drop("_fails", "_reset", "_earlier")
 
 
 def recent_history(viol: DataFrame, n: int = K.RECENT_VIOLATIONS_SHOWN) -> DataFrame:

@@ -127,13 +127,13 @@ _PLANTED = K.BLOCK_PHRASES + ["just a moment", "sign in to linkedin", "robot", "
 
 
 def _block_pages(spark, sf):
-    """Pages with a planted phrase in title, early text or late text, per site."""
+    """Pages with a planted phrase in title, header or late text, per site."""
     n = F.col("page_id")
     phrase = V._pick(_PLANTED, (n % len(_PLANTED) + 1).cast("int"))
     late = F.repeat(F.lit("filler "), 500)
     extra = (
         F.when(n % 4 == 0, F.concat(F.lit("<title>"), F.upper(phrase), F.lit("</title>"), F.col("html")))
-        .when(n % 4 == 1, F.concat(F.lit("<p>"), phrase, F.lit("</p>"), F.col("html")))
+        .when(n % 4 == 1, F.concat(F.lit("<header>"), phrase, F.lit("</header>"), F.col("html")))
         .when(n % 4 == 2, F.concat(F.lit("<p>"), late, phrase, F.lit("</p>"), F.col("html")))
         .otherwise(F.col("html"))
     )
@@ -156,8 +156,8 @@ _SQL_SITE = "CASE site " + " ".join(
     f"""WITH q AS (SELECT page_id, url, html, ([{', '.join(S.lit(p) for p in _PLANTED)}])[page_id % {len(_PLANTED)} + 1] AS ph,
       ([{', '.join(S.lit(p) for p in K.SITE_BLOCK_TITLE_PHRASES)}])[page_id % {len(K.SITE_BLOCK_TITLE_PHRASES)} + 1] AS site FROM pages),
     b AS (SELECT page_id, url, site, CASE page_id % 4 WHEN 0 THEN '<title>' || upper(ph) || '</title>' || html
-      WHEN 1 THEN '<p>' || ph || '</p>' || html WHEN 2 THEN '<p>' || repeat('filler ', 500) || ph || '</p>' || html ELSE html END AS html FROM q),
-    x AS (SELECT page_id, url, site, lower({S.page_title('html')}) AS t, lower(substring({S.page_text('html')}, 1, 3000)) AS body FROM b)
+      WHEN 1 THEN '<header>' || ph || '</header>' || html WHEN 2 THEN '<p>' || repeat('filler ', 500) || ph || '</p>' || html ELSE html END AS html FROM q),
+    x AS (SELECT page_id, url, site, lower({S.page_title('html')}) AS t, lower({S.visible_body('html')}) AS body FROM b)
     SELECT page_id, site, {_sql_any('t', K.BLOCK_PHRASES)} OR {_sql_any('body', K.BLOCK_PHRASES)} AS blocked, {_SQL_SITE} AS site_blocked FROM x""",
 )
 def blocked_pages(spark, sf):

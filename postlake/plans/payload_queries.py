@@ -25,12 +25,12 @@ def _docs(spark, sf):
     """Documents with the plain texts that the payloads carry."""
     return read_table(spark, sf, "documents").select(
         "doc_id", "source", "lang", "text",
-        F.concat(F.lit("role "), F.substring(base_text("text"), 1, 30)).alias("t"),
+        F.concat(F.lit("role "), base_text("text")).alias("t"),
         base_text("text").alias("b"),
     )
 
 
-_SQL_DOCS = f"""docs AS (SELECT doc_id, source, lang, text, 'role ' || substring({S.base_text('text')}, 1, 30) AS t,
+_SQL_DOCS = f"""docs AS (SELECT doc_id, source, lang, text, 'role ' || {S.base_text('text')} AS t,
   {S.base_text('text')} AS b FROM documents)"""
 
 
@@ -61,7 +61,7 @@ _N = "doc_id % 4"
     rf"""WITH {_SQL_DOCS} SELECT doc_id, trim(t) AS title, CASE WHEN {_N} = 0 THEN 'Src ' || source WHEN {_N} = 1 THEN 'Auth ' || source
       ELSE 'Unknown' END AS company, CASE WHEN {_N} < 2 THEN 'Pune ' || lang
       WHEN length(trim(t) || ' ') < 60 THEN trim(t) END AS location,
-      substring(CASE WHEN {_N} < 2 THEN 'Pune ' || lang || ' - ' ELSE trim(t) || ' -  ' END || b, 1, 5000) AS description,
+      CASE WHEN {_N} < 2 THEN 'Pune ' || lang || ' - ' ELSE trim(t) || ' -  ' END || b AS description,
       'https://feed.example.com/i?a=1&d=' || doc_id AS url, 'Mon, 01 Jan 2024 00:00:00 GMT' AS posted_date FROM docs""".replace("-  ", "- "),
 )
 def feed_location_in_description(spark, sf):
@@ -91,7 +91,7 @@ def feed_location_in_description(spark, sf):
     SELECT doc_id, ti AS title,
       CASE {_N} WHEN 0 THEN 'Creator ' || source WHEN 1 THEN 'Firm ' || source
         ELSE CASE WHEN contains(ti, ' at ') THEN trim(list_last(string_split(ti, ' at '))) ELSE 'Unknown' END END AS company,
-      substring(b, 1, 5000) AS description, 'https://feed.example.com/c/' || doc_id AS url, 'api' AS source_tier FROM x""",
+      b AS description, 'https://feed.example.com/c/' || doc_id AS url, 'api' AS source_tier FROM x""",
 )
 def feed_creator_company(spark, sf):
     n = F.col("doc_id") % 4
@@ -110,7 +110,7 @@ def feed_creator_company(spark, sf):
     rf"""WITH {_SQL_DOCS}, x AS (SELECT *, CASE WHEN {_N} = 1 THEN 'dev AT Big ' || source ELSE 'dev ' || doc_id END AS ti FROM docs)
     SELECT doc_id, CASE WHEN {_N} = 1 THEN 'dev' ELSE ti END AS title, CASE {_N} WHEN 0 THEN 'Tag ' || source WHEN 1 THEN 'Big ' || source
       WHEN 2 THEN 'Acme BIG ' || upper(source[1:1]) || source[2:] ELSE 'Unknown' END AS company,
-      trim(substring(b, 1, 5000)) AS description,
+      trim(b) AS description,
       CASE WHEN {_N} = 2 THEN 'https://feed.example.com/companies/acme-BIG-' || source || '/jobs/' || doc_id
         ELSE 'https://feed.example.com/j/' || doc_id END AS url FROM x""",
 )
@@ -161,7 +161,7 @@ def api_search_results(spark, sf):
 @query(
     "api_board_results",
     f"""WITH {_SQL_DOCS} SELECT doc_id, CASE WHEN {_N} = 3 THEN 'Designated ' || doc_id ELSE t END AS title, CASE WHEN {_N} = 2 THEN 'Unknown' ELSE 'Firm ' || source END AS company,
-      CASE {_N} WHEN 0 THEN 'Place ' || lang WHEN 1 THEN 'Loc ' || lang END AS location, substring(text, 1, 5000) AS description,
+      CASE {_N} WHEN 0 THEN 'Place ' || lang WHEN 1 THEN 'Loc ' || lang END AS location, text AS description,
       CASE {_N} WHEN 0 THEN 'https://b.example.com/' || doc_id WHEN 1 THEN 'https://www.naukri.com/rel/' || doc_id
         ELSE 'https://www.naukri.com/job-listings-' || doc_id END AS url,
       CASE WHEN {_N} = 0 THEN '5 LPA' END AS salary, CASE WHEN {_N} = 0 THEN '0-1 yrs' END AS job_type,
@@ -199,7 +199,7 @@ def api_board_results(spark, sf):
 @query(
     "api_aggregator_results",
     f"""WITH {_SQL_DOCS} SELECT doc_id, t AS title, CASE WHEN {_N} = 0 THEN 'Unknown' ELSE 'Firm ' || source END AS company,
-      CASE {_N} WHEN 0 THEN 'Remote' WHEN 1 THEN 'Pune, MH, IN' WHEN 2 THEN 'Pune, IN' END AS location, substring(text, 1, 5000) AS description,
+      CASE {_N} WHEN 0 THEN 'Remote' WHEN 1 THEN 'Pune, MH, IN' WHEN 2 THEN 'Pune, IN' END AS location, text AS description,
       'https://a.example.com/' || doc_id AS url, CASE {_N} WHEN 0 THEN 'USD100-200/MONTH' WHEN 1 THEN '₹100+/year' END AS salary FROM docs""",
 )
 def api_aggregator_results(spark, sf):
@@ -249,7 +249,7 @@ def fetch_batches(spark, sf):
 @query(
     "jsonld_postings",
     f"""WITH {_SQL_DOCS} SELECT doc_id, CASE WHEN {_N} = 3 THEN t || ' second' ELSE t END AS title, 'Firm ' || source AS company, 'Pune' AS location,
-      substring(b, 1, 5000) AS description, 'https://ld.example.com/' || doc_id AS url, '5000' AS salary, CAST(doc_id AS VARCHAR) AS platform_job_id
+      b AS description, 'https://ld.example.com/' || doc_id AS url, '5000' AS salary, CAST(doc_id AS VARCHAR) AS platform_job_id
       FROM docs""",
 )
 def jsonld_postings(spark, sf):
@@ -368,19 +368,41 @@ def _responses(spark, sf):
     )
 
 
+def _sql_object(*pairs: tuple[str, str]) -> str:
+    """JSON text of an object; the values are SQL for JSON values."""
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in pairs) + " || '}'"
+
+
+def _sql_records(ordered: bool) -> str:
+    """The two records as JSON text, with names in the order written or in the order of a parsed object."""
+    def text(x):
+        return f"""'"' || {x} || '"'"""
+
+    first = [
+        ("title", text("' ' || t")), ("company", text("'Firm ' || source || ' '")), ("location", text("''")),
+        ("applyLink", text("'apply/' || doc_id")), ("isFresher", "CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END"),
+        ("experienceNormalized", text("CASE WHEN doc_id % 3 = 1 THEN '0-1 years' ELSE '2+ years' END")), ("rawDescription", text("b")),
+    ]
+    second = [
+        ("title", text("t || ' two'")), ("company", text("'Firm ' || source")), ("location", text("'Pune'")),
+        ("applyLink", text("'https://x.example.com/' || doc_id")), ("isFresher", "'false'"), ("experienceNormalized", text("'Fresher'")),
+    ]
+    if ordered:
+        first, second = sorted(first), sorted(second)
+    return f"'[' || {_sql_object(*first)} || ',' || {_sql_object(*second)} || ']'"
+
+
 @query(
     "model_payloads",
-    f"""SELECT doc_id, (['openai', 'anthropic', 'gemini', 'ollama'])[doc_id % 4 + 1] AS api_format,
-      CASE (doc_id // 4) % 4 WHEN 0 THEN '{{"job' WHEN 1 THEN 'Here ' WHEN 2 THEN '{{"not' ELSE '[{{"ti' END AS starts,
-      CASE (doc_id // 4) % 4 WHEN 1 THEN 'helps.' ELSE NULL END AS ends FROM documents""",
+    f"""WITH {_SQL_DOCS}, arr AS (SELECT doc_id, {_sql_records(False)} AS plain, {_sql_records(True)} AS parsed FROM docs)
+    SELECT doc_id, (['openai', 'anthropic', 'gemini', 'ollama'])[doc_id % 4 + 1] AS api_format,
+      sha256(CASE (doc_id // 4) % 4 WHEN 0 THEN '{{"jobs":' || CASE WHEN doc_id % 4 = 0 THEN plain ELSE parsed END || '}}'
+        WHEN 1 THEN 'Here you go: ' || plain || ' Hope it helps.' WHEN 2 THEN '{{"note":"[none]","zeta":' || plain || ',"alpha":[]}}'
+        ELSE plain END) AS payload_hash FROM arr""",
 )
 def model_payloads(spark, sf):
     rows = R.response_payload(_responses(spark, sf))
-    way = F.floor(F.col("doc_id") / 4) % 4
-    return rows.select(
-        "doc_id", "api_format", F.substring("payload", 1, 5).alias("starts"),
-        F.when(way == 1, F.substring("payload", -6, 6)).alias("ends"),
-    )
+    return rows.select("doc_id", "api_format", F.sha2("payload", 256).alias("payload_hash"))
 
 
 _SQL_RECORDS = f"""{_SQL_DOCS}, rec AS (
@@ -456,7 +478,7 @@ def page_extraction(spark, sf):
 
 @query(
     "feed_keyword_matches",
-    f"""WITH {_SQL_DOCS} SELECT doc_id FROM docs WHERE contains(lower('dev ' || doc_id), 'thining') OR contains(substring(b, 1, 5000), 'thining')""",
+    f"""WITH {_SQL_DOCS} SELECT doc_id FROM docs WHERE contains(lower('dev ' || doc_id), 'thining') OR contains(b, 'thining')""",
 )
 def feed_keyword_matches(spark, sf):
     body = _feed(

@@ -58,7 +58,7 @@ def normalize_location(x: str) -> str:
 
 
 def normalize_description(x: str) -> str:
-    return f"substring({base_text(f'coalesce({x}, {lit(str())})')}, 1, {K.DESCRIPTION_HASH_CHARS})"
+    return base_text(f"coalesce({x}, {lit(str())})")
 
 
 def hash16(x: str) -> str:
@@ -66,7 +66,7 @@ def hash16(x: str) -> str:
 
 
 def strip_tags(x: str) -> str:
-    return ws_trim(rep(rep(x, "<[^>]*>", " "), f"{WS}+", " "))
+    return ws_trim(rep(rep(x, r"<[^>]*>|(<[^>]*)\z", r" \1"), f"{WS}+", " "))
 
 
 def drop_boilerplate(x: str) -> str:
@@ -75,6 +75,12 @@ def drop_boilerplate(x: str) -> str:
     return rep(x, r"(?i)<img[^>]*>", "")
 
 
+def visible_body(x: str) -> str:
+    for tag in K.UNSEEN_BLOCKS:
+        x = rep(x, rf"(?is)<{tag}.*?</{tag}>", "")
+    return strip_tags(x)
+
+
 def page_text(x: str) -> str:
     return strip_tags(drop_boilerplate(x))
 

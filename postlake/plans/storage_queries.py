@@ -143,7 +143,7 @@ _CALL_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extend
 )
 def budget_gate(spark, sf):
     gated = ledger.budget_gate(
-        V.v_ledger(spark, sf), _CALL_ORDER, F.floor(F.col("l_orderkey") / 10000).cast("bigint"), limit=2.0
+        V.v_ledger(spark, sf), _CALL_ORDER, F.floor(F.col("l_orderkey") / 10_000_000).cast("bigint"), limit=2.0
     )
     return gated.select(
         "day", "provider", "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "tokens_before", "skipped"

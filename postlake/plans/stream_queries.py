@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlake.operators import metrics
@@ -18,6 +19,22 @@ from postlake.streaming import streams
 _SQL_FINAL = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
+# Streams below are fed in parts of ten days; of each part's last five minutes, rows with an even id come a part later.
+_PART_DAYS = 10
+
+
+def _part_of(ts: str) -> Column:
+    width = _PART_DAYS * 86400
+    second = F.unix_seconds(F.col(ts)) - F.unix_seconds(F.lit(V.RUN_START).cast("timestamp"))
+    late = (F.pmod(second, F.lit(width)) >= width - 300) & (F.col("event_id") % 2 == 0)
+    return F.least(F.greatest(F.floor(second / width) + late.cast("int"), F.lit(0)), F.lit(_PARTS - 1))
+
+
+_PARTS = 4
+
+_SQL_ALERT_TIMES = f"WITH {V.SQL_ALERTS} SELECT ts FROM v_alerts"
+
+
 def _sql_windows(group: str, step: int) -> str:
     names = ", ".join(f"count(*) FILTER (event_type = '{v}') AS {k}" for k, v in metrics._COUNTERS.items())
     return f"""w AS (SELECT *, unnest(range({60 // step})) AS k FROM v_run_events),
@@ -56,29 +73,52 @@ def stream_dedup(spark, sf):
     return streams.run_to_table(spark, streams.dedup_stream(rows).select("url_hash"), "dedup")
 
 
+def _sql_idle(rows: str, minutes: int) -> str:
+    """Last time before every gap of a domain, final once the watermark has passed the end of the gap."""
+    return f"""r AS ({rows}), g AS (SELECT domain, ts, lead(ts) OVER (PARTITION BY domain ORDER BY ts) AS nxt FROM r)
+    SELECT domain, epoch_us(ts) AS last_us FROM g WHERE (nxt IS NULL OR nxt - ts >= INTERVAL {minutes} MINUTE)
+      AND ts + INTERVAL {minutes} MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM r)"""
+
+
+def _idle(spark, rows, build, label):
+    out = scratch_path(spark, label)
+    streams.run_in_slices(
+        spark, rows, _part_of("ts"), _PARTS, lambda s: build(s).writeStream.outputMode("append").format("parquet").option("path", out), label
+    )
+    return spark.read.schema("domain string, last_us bigint").parquet(out)
+
+
 @query(
     "stream_idle_domains",
-    f"""WITH {V.SQL_RUN_EVENTS}, l AS (SELECT domain, max(ts) AS last FROM v_run_events WHERE event_type = 'extracted' GROUP BY 1)
-    SELECT domain, epoch_us(last) AS last_us FROM l
-      WHERE last + INTERVAL 20 MINUTE < (SELECT max(ts) - INTERVAL 10 MINUTE FROM v_run_events WHERE event_type = 'extracted')""",
+    f"WITH {V.SQL_RUN_EVENTS}, " + _sql_idle("SELECT domain, ts FROM v_run_events WHERE event_type = 'extracted'", 20),
 )
 def stream_idle_domains(spark, sf):
-    return streams.run_to_table(spark, streams.no_progress(V.v_run_events(spark, sf, stream=True)), "idle")
+    return _idle(spark, V.v_run_events(spark, sf), streams.no_progress, "idle")
+
 
+@query("stream_idle_keys", f"WITH {V.SQL_TRAFFIC}, " + _sql_idle("SELECT domain, ts FROM v_traffic", 10))
+def stream_idle_keys(spark, sf):
+    return _idle(spark, V.v_traffic(spark, sf), lambda s: streams.idle_keys(s, "domain"), "idle-keys")
 
-@query("stream_attempt_numbers", ORACLES["attempt_numbers"])
+
+@query(
+    "stream_attempt_numbers",
+    f"WITH a AS ({ORACLES['attempt_numbers']}) SELECT a.* FROM a JOIN events e USING (event_id) WHERE e.ts <= {_SQL_FINAL}",
+)
 def stream_attempt_numbers(spark, sf):
-    log = V.v_traffic(spark, sf, stream=True).withColumn("success", F.col("status") == 200)
-    out = scratch_path(spark, "attempts")
-    streams.run_available(spark, streams.attempts_writer(log, out, scratch_path(spark, "attempts-state")), "attempts")
+    log = V.v_traffic(spark, sf).withColumn("success", F.col("status") == 200)
+    out, state = scratch_path(spark, "attempts"), scratch_path(spark, "attempts-state")
+    streams.run_in_slices(spark, log, _part_of("ts"), _PARTS, lambda s: streams.attempts_writer(s, out, state), "attempts")
     return spark.read.option("recursiveFileLookup", True).parquet(out).select("event_id", F.col("attempt").cast("bigint").alias("attempt"))
 
 
-@query("stream_alert_cooldown", ORACLES["alert_cooldown"])
+@query(
+    "stream_alert_cooldown",
+    f"WITH RECURSIVE a AS ({ORACLES['alert_cooldown']}) SELECT * FROM a WHERE make_timestamp(ts_us) <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ({_SQL_ALERT_TIMES}))",
+)
 def stream_alert_cooldown(spark, sf):
-    out = scratch_path(spark, "alerts")
-    writer = streams.cooldown_writer(V.v_alerts(spark, sf, stream=True), out, scratch_path(spark, "alerts-state"))
-    streams.run_available(spark, writer, "alerts")
+    out, state = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-state")
+    streams.run_in_slices(spark, V.v_alerts(spark, sf), _part_of("ts"), _PARTS, lambda s: streams.cooldown_writer(s, out, state), "alerts")
     return spark.read.option("recursiveFileLookup", True).parquet(out).select(
         F.concat_ws(":", "channel", "severity").alias("key"), F.unix_micros("ts").alias("ts_us")
     )
@@ -91,8 +131,12 @@ def stream_alert_cooldown(spark, sf):
       QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY seq) = 1""",
 )
 def stream_ingest(spark, sf):
-    target = scratch_path(spark, "jobs")
-    rows = V.v_listings(spark, sf, stream=True)
-    writer = streams.ingest_writer(rows, target, scratch_path(spark, "seen"), V.AS_OF, ["seq"])
-    streams.run_available(spark, writer, "ingest")
+    """Listings in three parts by number; each part is dated by its own rows."""
+    target, seen = scratch_path(spark, "jobs"), scratch_path(spark, "seen")
+    part = F.when(F.col("seq") >= V.RECRAWL, 2).otherwise((F.col("seq") % V.RECRAWL >= 100).cast("int"))
+    at = F.lit(V.AS_OF).cast("timestamp") + F.make_dt_interval(hours=part)
+    rows = V.v_listings(spark, sf).withColumn("crawled_at", at)
+    streams.run_in_slices(
+        spark, rows, part, 3, lambda s: streams.ingest_writer(s, target, seen, V.AS_OF, ["seq"], clock="crawled_at"), "ingest"
+    )
     return spark.read.parquet(target).select("fingerprint")

@@ -20,11 +20,11 @@ def base_text(spark, sf):
 # Titles and companies carry the noise words through the part and nation names.
 @query(
     "normalize_title",
-    f"""SELECT doc_id, {S.normalize_title("'Sr. ' || substring(text, 1, 80) || ' (Remote) - Full Time ' || source")} AS norm_title
+    f"""SELECT doc_id, {S.normalize_title("'Sr. ' || text || ' (Remote) - Full Time ' || source")} AS norm_title
     FROM documents""",
 )
 def normalize_title(spark, sf):
-    title = F.concat(F.lit("Sr. "), F.substring("text", 1, 80), F.lit(" (Remote) - Full Time "), "source")
+    title = F.concat(F.lit("Sr. "), F.col("text"), F.lit(" (Remote) - Full Time "), "source")
     return read_table(spark, sf, "documents").select("doc_id", text.normalize_title(title).alias("norm_title"))
 
 
@@ -192,9 +192,8 @@ _PROVIDER_PICK = ["anthropic", "groq", "mistral"]
 @query(
     "content_gate",
     f"""WITH c AS (SELECT page_id, ([{', '.join(S.lit(p) for p in _PROVIDER_PICK)}])[page_id % 3 + 1] AS provider,
-      {S.page_text('html')} AS t FROM pages WHERE length(html) >= {K.MIN_BODY_CHARS})
-    SELECT page_id, provider, substring(t, 1, CASE provider WHEN 'anthropic' THEN {K.LOW_CAP} WHEN 'groq' THEN {K.HIGH_CAP}
-      ELSE {K.DEFAULT_CAP} END) AS content FROM c WHERE length(trim(t)) >= {K.MIN_CLEAN_CHARS}""",
+      {S.page_text('html')} AS t FROM pages)
+    SELECT page_id, provider, t AS content FROM c WHERE trim(t) <> ''""",
 )
 def content_gate(spark, sf):
     from postlake.sources.pages import content_gate as gate

@@ -348,7 +348,7 @@ def active_requests(spark, sf):
     "attempt_numbers",
     f"""WITH {V.SQL_TRAFFIC}, g AS (SELECT *, sum(CASE WHEN status = 200 THEN 1 ELSE 0 END) OVER (PARTITION BY domain
       ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM v_traffic)
-    SELECT event_id, least(row_number() OVER (PARTITION BY domain, island ORDER BY ts, event_id), 5) AS attempt
+    SELECT event_id, row_number() OVER (PARTITION BY domain, island ORDER BY ts, event_id) AS attempt
     FROM g WHERE status <> 200""",
 )
 def attempt_numbers(spark, sf):

@@ -92,7 +92,7 @@ def v_doc_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/d/"), F.col("doc_id").cast("string")).alias("url"),
-        F.substring("text", 1, 60).alias("title"),
+        F.col("text").alias("title"),
         F.col("source").alias("company"),
         F.col("text").alias("description"),
         F.col("source").alias("source"),
@@ -102,7 +102,7 @@ def v_doc_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_DOC_LISTINGS = """
 v_doc_listings AS (SELECT doc_id AS seq, 'https://' || source || '.example.com/d/' || doc_id AS url,
-  substring(text, 1, 60) AS title, source AS company, text AS description, source AS source, lang AS location
+  text AS title, source AS company, text AS description, source AS source, lang AS location
   FROM documents)
 """
 

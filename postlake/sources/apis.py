@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake import constants as K
-from postlake.functions.text import empty_to_null, first_filled
+from postlake.functions.text import empty_to_null, first_filled, head
 
 _SERP = (
     "jobs ARRAY<STRUCT<title STRING, company STRING, location STRING, snippet STRING, link STRING>>, "
@@ -70,7 +69,7 @@ def api_serp(payloads: DataFrame) -> DataFrame:
     )
 
 
-def api_board(payloads: DataFrame, origin: str = "https://www.naukri.com") -> DataFrame:
+def api_board(payloads: DataFrame, origin: str = "https://www.naukri.com", max_chars: int | None = None) -> DataFrame:
     """Board API: ``jobDetails`` or ``data``, with per-field fallbacks."""
     job = F.col("job")
 
@@ -87,9 +86,7 @@ def api_board(payloads: DataFrame, origin: str = "https://www.naukri.com") -> Da
             F.coalesce(job["title"], job["designation"], F.lit("")).alias("title"),
             F.coalesce(job["companyName"], job["company"], F.lit("Unknown")).alias("company"),
             F.coalesce(placeholder("location"), job["jobLocation"], job["location"]).alias("location"),
-            F.substring(
-                F.coalesce(job["jobDescription"], job["snippet"], job["title"], F.lit("")), 1, K.DESCRIPTION_MAX_CHARS
-            ).alias("description"),
+            head(F.coalesce(job["jobDescription"], job["snippet"], job["title"], F.lit("")), max_chars).alias("description"),
             F.when(F.startswith(link, F.lit("http")), link).otherwise(F.concat(F.lit(origin), path)).alias("url"),
             F.coalesce(placeholder("salary"), job["salary"]).alias("salary"),
             F.coalesce(placeholder("experience"), job["experienceText"]).alias("job_type"),
@@ -100,7 +97,7 @@ def api_board(payloads: DataFrame, origin: str = "https://www.naukri.com") -> Da
     )
 
 
-def api_aggregator(payloads: DataFrame) -> DataFrame:
+def api_aggregator(payloads: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Aggregator API: remote flag or city, state, country; salary as text."""
     job = F.col("job")
     place = F.concat_ws(", ", *[empty_to_null(job[k]) for k in ("job_city", "job_state", "job_country")])
@@ -116,7 +113,7 @@ def api_aggregator(payloads: DataFrame) -> DataFrame:
             job["job_title"].alias("title"),
             F.coalesce(job["employer_name"], F.lit("Unknown")).alias("company"),
             F.when(job["job_is_remote"], F.lit("Remote")).otherwise(empty_to_null(place)).alias("location"),
-            F.substring(F.coalesce(job["job_description"], F.lit("")), 1, K.DESCRIPTION_MAX_CHARS).alias("description"),
+            head(F.coalesce(job["job_description"], F.lit("")), max_chars).alias("description"),
             F.coalesce(job["job_apply_link"], F.lit("")).alias("url"),
             F.when(low.isNotNull() & high.isNotNull(), F.concat(currency, low, F.lit("-"), high, F.lit("/"), period))
             .when(low.isNotNull(), F.concat(currency, low, F.lit("+/"), period)).alias("salary"),

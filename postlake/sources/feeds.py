@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake import constants as K
 from postlake.functions.text import (
-    WS, capitalize_words, empty_to_null, first_filled, strip_tags, ws_trim,
+    WS, capitalize_words, empty_to_null, first_filled, head, strip_tags, ws_trim,
 )
 
 _ITEM_TAGS = [
@@ -44,8 +43,11 @@ def _items(payloads: DataFrame) -> DataFrame:
     ).filter(F.col("item").isNotNull())
 
 
-def rss_items(payloads: DataFrame, dialect: str) -> DataFrame:
-    """Listings of one feed dialect; rows without title or link are dropped."""
+def rss_items(payloads: DataFrame, dialect: str, max_chars: int | None = None) -> DataFrame:
+    """Listings of one feed dialect; rows without title or link are dropped.
+
+    Descriptions are whole; ``max_chars=DESCRIPTION_MAX_CHARS`` cuts them as the collected system does.
+    """
     if dialect not in DIALECTS:
         raise ValueError(f"dialect must be one of {DIALECTS}")
     title, link = _tag("title"), first_filled(_tag("link"), _tag("guid"))
@@ -53,7 +55,7 @@ def rss_items(payloads: DataFrame, dialect: str) -> DataFrame:
     location = F.lit(None).cast("string")
     listing_title: Column = title
     tier = F.lit("api")
-    description = F.substring(stripped, 1, K.DESCRIPTION_MAX_CHARS)
+    description = head(stripped, max_chars)
 
     if dialect == "location_in_description":
         company = first_filled(_tag("source"), _tag("author"), F.lit("Unknown"))
@@ -77,7 +79,7 @@ def rss_items(payloads: DataFrame, dialect: str) -> DataFrame:
         slug = empty_to_null(F.regexp_extract(F.coalesce(link, F.lit("")), "/companies/([^/]+)", 1))
         company = F.coalesce(tagged, named, capitalize_words(slug), F.lit("Unknown"))
         listing_title = F.when(has_role, ws_trim(F.regexp_extract(title, role, 1))).otherwise(title)
-        description = strip_tags(F.substring(_tag("description"), 1, K.DESCRIPTION_MAX_CHARS))
+        description = strip_tags(head(_tag("description"), max_chars))
 
     return (
         _items(payloads)

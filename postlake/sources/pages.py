@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from postlake import constants as K
 from postlake.functions.text import (
-    as_col, contains_any, content_cap, empty_to_null, first_filled, literal_pattern, page_text, page_title, strip_tags,
-    title_company, ws_trim,
+    as_col, contains_any, content_cap, empty_to_null, first_filled, head, literal_pattern, page_text, page_title, strip_tags,
+    title_company, visible_body, ws_trim,
 )
 from postlake.functions.urls import url_host, url_origin, url_scheme
 
 _LD_BLOCK = r'(?is)<script[^>]*type\s*=\s*["\']application/ld\+json["\'][^>]*>(.*?)</script>'
 
 
-def jsonld_postings(pages: DataFrame, graph: bool = True) -> DataFrame:
+def jsonld_postings(pages: DataFrame, graph: bool = True, max_chars: int | None = None) -> DataFrame:
     """JobPosting blocks embedded in pages: object, array or ``@graph`` form."""
     blocks = pages.select(
         *[c for c in pages.columns if c != "html"],
@@ -44,10 +44,8 @@ def jsonld_postings(pages: DataFrame, graph: bool = True) -> DataFrame:
             get("$.title").alias("title"),
             F.coalesce(get("$.hiringOrganization.name"), F.lit("Unknown")).alias("company"),
             F.coalesce(get("$.jobLocation.address.addressLocality"), get("$.jobLocation.name")).alias("location"),
-            F.substring(
-                ws_trim(F.regexp_replace(F.coalesce(get("$.description"), F.lit("")), "<[^>]*>", " ")),
-                1, K.DESCRIPTION_MAX_CHARS,
-            ).alias("description"),
+            head(ws_trim(F.regexp_replace(F.coalesce(get("$.description"), F.lit("")), "<[^<>]*>", " ")), max_chars)
+            .alias("description"),
             F.coalesce(get("$.url"), get("$.directApply"), F.lit("")).alias("url"),
             F.coalesce(get("$.baseSalary.value.value"), get("$.estimatedSalary[0].value")).alias("salary"),
             get("$.employmentType").alias("job_type"),
@@ -275,11 +273,10 @@ def distinct_links(links: DataFrame) -> DataFrame:
     return links.select("link").distinct()
 
 
-def is_blocked_page(title, body) -> Column:
-    """Block phrases in the title, else in the leading part of the body."""
-    head = F.lower(F.substring(as_col(body), 1, K.BLOCK_BODY_CHARS))
+def is_blocked_page(title, body, head_chars: int | None = None) -> Column:
+    """Block phrases in the title or the body; ``head_chars=BLOCK_BODY_CHARS`` looks at the body's opening only."""
     return contains_any(F.lower(as_col(title)), K.BLOCK_PHRASES) | F.rlike(
-        head, F.lit(literal_pattern(K.BLOCK_PHRASES))
+        F.lower(head(body, head_chars)), F.lit(literal_pattern(K.BLOCK_PHRASES))
     )
 
 
@@ -299,7 +296,7 @@ def with_block_flags(pages: DataFrame) -> DataFrame:
     """Add ``blocked`` and ``site_blocked`` to pages with a ``site`` column."""
     title = page_title("html")
     return pages.withColumns({
-        "blocked": is_blocked_page(title, page_text("html")),
+        "blocked": is_blocked_page(title, visible_body("html")),
         "site_blocked": is_site_blocked(F.col("site"), title, F.col("url")),
     })
 
@@ -308,12 +305,18 @@ def classify_blocked(pages: DataFrame) -> DataFrame:
     return with_block_flags(pages).select("page_id", "url", "site", "blocked", "site_blocked")
 
 
-def content_gate(pages: DataFrame, provider: str = "provider") -> DataFrame:
-    """Cleaned page text cut for its reader; pages with too little text leave."""
+def content_gate(
+    pages: DataFrame, provider: str = "provider", capped: bool = False, min_html: int = 0, min_text: int = 1,
+) -> DataFrame:
+    """Cleaned page text for its reader; pages without text leave.
+
+    ``capped`` cuts the text at the reader's size; ``min_html=MIN_BODY_CHARS`` and ``min_text=MIN_CLEAN_CHARS`` also turn
+    away short pages, as the collected system does.
+    """
+    text = page_text("html")
+    content = F.substring(text, F.lit(1), content_cap(provider)) if capped else text
     return (
-        pages.filter(F.length("html") >= K.MIN_BODY_CHARS)
-        .withColumn("content", F.substring(page_text("html"), F.lit(1), content_cap(provider)))
-        .filter(F.length(F.trim("content")) >= K.MIN_CLEAN_CHARS)
-        .drop("html")
+        pages.filter(F.length("html") >= min_html).withColumn("content", content)
+        .filter(F.length(F.trim("content")) >= min_text).drop("html")
     )
 

@@ -8,13 +8,11 @@ never handled row by row in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postlake import constants as K
 from postlake import schema
@@ -67,40 +65,13 @@ def dedup_stream(rows: DataFrame, days: int = K.SEEN_RETENTION_DAYS) -> DataFram
 # --- idle keys ----------------------------------------------------------------------
 
 def idle_keys(events: DataFrame, key: str, minutes: int = K.IDLE_KEY_MINUTES, delay: str = DEFAULT_DELAY) -> DataFrame:
-    """Keys with no event for ``minutes``: reported with their last time.
+    """Keys with no event for ``minutes``: one row per gap, with the last time before it.
 
-    A key is reported when its time runs out, or when it comes back after a
-    longer gap than that.  The state is one timestamp per key and is dropped on
-    timeout; rows are only folded to a minimum and a maximum.  Gaps inside one
-    micro-batch are the business of the batch form (``stall_gaps``).
+    A session of a key ends ``minutes`` after its last event, so every closed session is one gap, however the rows were
+    dealt to micro-batches. Parts of a session are merged before the shuffle; the state is one row per open session.
     """
-    gap_ms = minutes * 60000
-
-    def advance(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        idle = None
-        if state.hasTimedOut:
-            idle = last
-            state.remove()
-        else:
-            first = None
-            newest = last if last is not None else -1
-            for pdf in batches:
-                low = int(pdf["us"].min())
-                first = low if first is None else min(first, low)
-                newest = max(newest, int(pdf["us"].max()))
-            if last is not None and first is not None and first - last >= gap_ms * 1000:
-                idle = last
-            state.update((newest,))
-            # A timeout must lie ahead of the watermark even for a late row.
-            state.setTimeoutTimestamp(max(newest // 1000 + gap_ms, state.getCurrentWatermarkMs() + 1))
-        if idle is not None:
-            yield pd.DataFrame({key: [keys[0]], "last_us": [idle]})
-
-    slim = events.withWatermark("ts", delay).select(F.col(key), "ts", F.unix_micros("ts").alias("us"))
-    return slim.groupBy(key).applyInPandasWithState(
-        advance, f"{key} string, last_us bigint", "last_us bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    sessions = events.withWatermark("ts", delay).groupBy(F.session_window("ts", f"{minutes} minutes"), key)
+    return sessions.agg(F.max("ts").alias("last")).select(key, F.unix_micros("last").alias("last_us"))
 
 
 def no_progress(events: DataFrame, key: str = "domain", minutes: int = K.HEALTH_THRESHOLDS["no_progress_warn_min"]) -> DataFrame:
@@ -110,75 +81,112 @@ def no_progress(events: DataFrame, key: str = "domain", minutes: int = K.HEALTH_
 
 # --- per micro-batch with carried state ----------------------------------------------
 
-def attempts_writer(log: DataFrame, out_path: str, state_path: str) -> DataStreamWriter:
-    """Attempt numbers of failures, continued across micro-batches."""
+class RipeRows:
+    """Rows of a stream in event-time order over micro-batches.
+
+    A row waits until the latest time seen is ``delay`` ahead of it; then all rows up to there are handed out together.
+    A row that comes after its time was handed out is too late and left out, as behind a watermark. So what is handed
+    out over time does not depend on how rows were dealt to micro-batches.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema_of: str, delay: str) -> None:
+        self.delay = F.expr(f"INTERVAL {delay}")
+        self.waiting = VersionedTable(spark, f"{path}/waiting", schema_of)
+        self.marks = VersionedTable(spark, f"{path}/mark", "mark timestamp")
+
+    def take(self, batch: DataFrame, epoch: int) -> DataFrame:
+        names = [f.name for f in self.waiting.before(epoch).schema]
+        held = self.waiting.before(epoch)
+        last = self.marks.before(epoch).agg(F.max("mark")).first()[0]
+        fresh = batch.select(*names) if last is None else batch.select(*names).filter(F.col("ts") > F.lit(last))
+        both = held.unionByName(fresh)
+        mark = both.agg(F.max(F.col("ts") - self.delay)).first()[0]
+        mark = max((m for m in (last, mark) if m is not None), default=None)
+        if mark is None:
+            return both
+        self.waiting.write(both.filter(F.col("ts") > F.lit(mark)), epoch)
+        self.marks.write(both.sparkSession.range(1).select(F.lit(mark).alias("mark")), epoch)
+        return both.filter(F.col("ts") <= F.lit(mark))
+
+
+def attempts_writer(log: DataFrame, out_path: str, state_path: str, delay: str = DEFAULT_DELAY) -> DataStreamWriter:
+    """Attempt numbers of failures, continued across micro-batches in event-time order."""
     spark = log.sparkSession
-    carried = VersionedTable(spark, state_path, "domain string, fails bigint")
+    carried = VersionedTable(spark, f"{state_path}/fails", "domain string, fails bigint")
+    ripe = RipeRows(spark, state_path, "domain string, ts timestamp, event_id bigint, success boolean", delay)
 
     def step(batch: DataFrame, epoch: int) -> None:
-        number_attempts(batch, carried, f"{out_path}/batch-{epoch}", epoch)
+        number_attempts(ripe.take(batch, epoch), carried, f"{out_path}/batch-{epoch}", epoch)
 
     return log.writeStream.foreachBatch(step)
 
 
 def number_attempts(batch: DataFrame, carried: VersionedTable, out_path: str, epoch: int) -> None:
-    """One micro-batch: earlier failures count until the first success."""
-    cap = K.MAX_BACKOFF_ATTEMPTS
+    """One micro-batch: earlier failures count until the first success; one count per domain is carried on."""
     before = carried.before(epoch)
-    # The carried failures join as rows in front of the batch: at most ``cap``
-    # per domain, since more never shows.
-    lead = before.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("fails").cast("int")))).select(
-        "domain", F.timestamp_seconds(F.lit(0)).alias("ts"), (F.col("n").cast("bigint") - cap - 1).alias("event_id"),
-        F.lit(False).alias("success"),
-    ).filter(F.col("event_id") < 0)
-    both = lead.unionByName(batch.select("domain", "ts", "event_id", "success"))
-    numbered = traffic.attempt_no(both)
-    numbered.filter(F.col("event_id") >= 0).write.mode("overwrite").parquet(out_path)
-    last_ok = F.max(F.when(F.col("success"), F.struct("ts", "event_id")))
-    resets = both.groupBy("domain").agg(last_ok.alias("ok"))
-    open_fails = (
-        both.filter(~F.col("success")).join(resets, "domain")
-        .filter(F.col("ok").isNull() | (F.struct("ts", "event_id") > F.col("ok")))
-        .groupBy("domain").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("fails"))
+    rows = batch.select("domain", "ts", "event_id", "success")
+    traffic.attempt_no(rows, carried=before).write.mode("overwrite").parquet(out_path)
+    last_ok = rows.filter("success").groupBy("domain").agg(F.max(F.struct("ts", "event_id")).alias("ok"))
+    fails = (
+        rows.filter(~F.col("success")).join(last_ok, "domain", "left")
+        .filter(F.col("ok").isNull() | (F.struct("ts", "event_id") > F.col("ok"))).groupBy("domain").agg(F.count(F.lit(1)).alias("own"))
+    )
+    earlier = before.join(last_ok, "domain", "left_anti")
+    both = earlier.join(fails, "domain", "full_outer").select(
+        "domain", (F.coalesce("fails", F.lit(0)) + F.coalesce("own", F.lit(0))).cast("bigint").alias("fails")
     )
-    carried.write(open_fails, epoch)
+    carried.write(both.filter("fails > 0"), epoch)
 
 
-def cooldown_writer(stream: DataFrame, out_path: str, state_path: str, minutes: int = K.ALERT_COOLDOWN_MINUTES) -> DataStreamWriter:
-    """Alerts that go out, with the last one per key carried along."""
+def cooldown_writer(
+    stream: DataFrame, out_path: str, state_path: str, minutes: int = K.ALERT_COOLDOWN_MINUTES, delay: str = DEFAULT_DELAY,
+) -> DataStreamWriter:
+    """Alerts that go out, in event-time order, with the last one per key carried along."""
     spark = stream.sparkSession
-    carried = VersionedTable(spark, state_path, "channel string, severity string, ts timestamp")
+    carried = VersionedTable(spark, f"{state_path}/sent", "channel string, severity string, ts timestamp")
+    ripe = RipeRows(spark, state_path, "event_id bigint, ts timestamp, channel string, severity string", delay)
 
     def step(batch: DataFrame, epoch: int) -> None:
-        suppress_batch(batch, carried, f"{out_path}/batch-{epoch}", epoch, minutes)
+        suppress_batch(ripe.take(batch, epoch), carried, f"{out_path}/batch-{epoch}", epoch, minutes)
 
     return stream.writeStream.foreachBatch(step)
 
 
 def suppress_batch(batch: DataFrame, carried: VersionedTable, out_path: str, epoch: int, minutes: int) -> None:
-    """One micro-batch: the last emitted alert stands in front of the new ones."""
+    """One micro-batch: the last emitted alert stands in front of the new ones.
+
+    What comes before the end of its key's cooldown cannot go out, late rows included, and goes before the fold; the
+    carried time never falls.
+    """
+    key = ["channel", "severity"]
     last = carried.before(epoch)
-    lead = last.select(F.lit(-1).cast("bigint").alias("event_id"), "ts", "channel", "severity")
-    sent = alerts.suppress_cooldown(
-        lead.unionByName(batch.select("event_id", "ts", "channel", "severity")), minutes
-    ).checkpoint()
-    sent.filter(F.col("event_id") >= 0).select("event_id", "ts", "channel", "severity").write.mode("overwrite").parquet(out_path)
-    carried.write(sent.groupBy("channel", "severity").agg(F.max("ts").alias("ts")), epoch)
+    quiet = F.expr(f"INTERVAL {minutes} MINUTES")
+    rows = batch.select("event_id", "ts", *key).join(last.withColumnRenamed("ts", "sent_ts"), key, "left").filter(
+        F.col("sent_ts").isNull() | (F.col("ts") >= F.col("sent_ts") + quiet)
+    ).select("event_id", "ts", *key)
+    lead = last.select(F.lit(-1).cast("bigint").alias("event_id"), "ts", *key)
+    sent = alerts.suppress_cooldown(lead.unionByName(rows), minutes).checkpoint()
+    sent.filter(F.col("event_id") >= 0).select("event_id", "ts", *key).write.mode("overwrite").parquet(out_path)
+    carried.write(sent.groupBy(*key).agg(F.max("ts").alias("ts")), epoch)
 
 
 def ingest_writer(
     rows: DataFrame, target_path: str, state_path: str, as_of, order: list[str],
-    content_key: str = "url_title", report: Callable[[DataFrame, int], None] | None = None,
+    content_key: str = "url_title", report: Callable[[DataFrame, int], None] | None = None, clock: str | None = None,
 ) -> DataStreamWriter:
     """Micro-batch ingest: validate, deduplicate, insert if absent.
 
+    ``clock`` names the column of collection times: a micro-batch is dated by its latest one, so dates move on with the
+    data and a replay finds the same date. Without it every batch is dated ``as_of``.
+
     A replayed batch sees the seen store of the batch before it, and the insert
     skips fingerprints that already arrived, so nothing is stored twice.
     """
     seen = VersionedTable(rows.sparkSession, state_path, schema.SEEN_STORE)
 
     def step(batch: DataFrame, epoch: int) -> None:
-        done = jobs.ingest(batch, seen.before(epoch), target_path, as_of, order, content_key)
+        now = batch.agg(F.date_format(F.max(clock), "yyyy-MM-dd HH:mm:ss")).first()[0] if clock else as_of
+        done = jobs.ingest(batch, seen.before(epoch), target_path, now or as_of, order, content_key)
         seen.write(done["seen"].select([f.name for f in schema.SEEN_STORE]), epoch)
         if report:
             report(done["counts"], epoch)
@@ -194,6 +202,17 @@ def run_available(spark: SparkSession, writer: DataStreamWriter, label: str) ->
     query.awaitTermination()
 
 
+def run_in_slices(
+    spark: SparkSession, rows: DataFrame, slice_of, slices: int, start: Callable[[DataFrame], DataStreamWriter], label: str,
+) -> None:
+    """Let rows arrive in ``slices`` parts and work through each before the next one comes, as one continued stream."""
+    landing, progress = scratch_path(spark, f"{label}-landing"), scratch_path(spark, f"{label}-progress")
+    for part in range(slices):
+        rows.filter(slice_of == part).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        start(stream).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream to a table in the shared folder and read it back."""
     out = scratch_path(spark, label)

@@ -89,6 +89,21 @@ def test_running_reads_the_rows_through_one_shuffle(spark):
     assert "event_id" in df.columns and plan(df).count("Exchange hashpartitioning") <= 4
 
 
+@pytest.mark.parametrize("build", ["active", "attempts"])
+def test_running_extremes_take_few_exchanges(spark, build):
+    """With broadcast joins off, as at size: rows, bucket totals, their prefixes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = V.v_traffic(spark, SF).withColumn("success", F.col("status") == 200)
+        if build == "attempts":
+            df = traffic.attempt_no(rows)
+        else:
+            df = traffic.clamp_running(rows.select("domain", "event_id", "ts", F.lit(1).alias("step")))
+        assert plan(df).count("Exchange hashpartitioning") <= 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_keep_first_plan(spark):
     df = keep_first(traffic.violations(V.v_traffic(spark, SF)), ["domain"], ["ts", "event_id"])
     assert plan(df).count("WindowGroupLimit") == 2

@@ -105,7 +105,7 @@ def request_log(spark, n=120):
 def test_attempts_continue_over_batches(spark, batches):
     df = request_log(spark)
     out = fresh_dir()
-    writer = streams.attempts_writer(as_stream(spark, split(df, batches), df.schema), out, fresh_dir() + "/s")
+    writer = streams.attempts_writer(as_stream(spark, split(df, batches), df.schema), out, fresh_dir() + "/s", delay="0 seconds")
     streams.run_available(spark, writer, "t4")
     got = {r.event_id: r.attempt for r in spark.read.parquet(out + "/batch-*").collect()}
     assert got == {r.event_id: r.attempt for r in traffic.attempt_no(df).collect()}
@@ -116,7 +116,7 @@ def test_cooldown_continues_over_batches(spark, batches):
     df = request_log(spark, 200).select(
         "event_id", "ts", F.col("domain").alias("channel"), F.lit("warning").alias("severity"))
     out = fresh_dir()
-    writer = streams.cooldown_writer(as_stream(spark, split(df, batches), df.schema), out, fresh_dir() + "/s")
+    writer = streams.cooldown_writer(as_stream(spark, split(df, batches), df.schema), out, fresh_dir() + "/s", delay="0 seconds")
     streams.run_available(spark, writer, "t5")
     got = {r.event_id for r in spark.read.parquet(out + "/batch-*").collect()}
     assert got == {r.event_id for r in alerts.suppress_cooldown(df).collect()}
@@ -133,6 +133,34 @@ def test_a_replayed_batch_changes_nothing(spark):
     assert got == sorted((r.event_id, r.attempt) for r in traffic.attempt_no(df).collect())
 
 
+def test_a_late_alert_never_moves_the_cooldown_back(spark):
+    """Alerts at minute 100, then a late one of minute 90, then 106: one goes out."""
+    carried = VersionedTable(spark, fresh_dir() + "/s", "channel string, severity string, ts timestamp")
+    out = fresh_dir()
+    for epoch, minute in enumerate([100, 90, 106, 115]):
+        batch = spark.createDataFrame([(epoch, minute * 60, "chat", "warning")], "event_id bigint, sec bigint, channel string, severity string")
+        batch = batch.select("event_id", F.timestamp_seconds("sec").alias("ts"), "channel", "severity")
+        streams.suppress_batch(batch, carried, f"{out}/batch-{epoch}", epoch, 15)
+    assert sorted(r.event_id for r in spark.read.parquet(out + "/batch-*").collect()) == [0, 3]
+    assert carried.latest().first().ts.timestamp() == 115 * 60
+
+
+def test_rows_ripen_in_event_time_order(spark):
+    """Late rows inside the delay are handed out in their place, later ones not at all; the dealing does not matter."""
+    times = [0, 50, 30, 200, 150, 400, 10, 390, 800]
+
+    def handed_out(parts):
+        ripe = streams.RipeRows(spark, fresh_dir() + "/r", "ts timestamp, sec bigint", "100 seconds")
+        got = []
+        for epoch, part in enumerate(parts):
+            batch = spark.createDataFrame([(x,) for x in part], "sec bigint").withColumn("ts", F.timestamp_seconds("sec"))
+            got += sorted(r.sec for r in ripe.take(batch, epoch).collect())
+        return got
+
+    assert handed_out([[t] for t in times]) == [0, 30, 50, 150, 200, 390, 400]
+    assert handed_out([times[:3], times[3:6], [390, 800]]) == [0, 30, 50, 150, 200, 390, 400]
+
+
 def test_old_state_versions_are_dropped(spark):
     path = fresh_dir() + "/s"
     table = VersionedTable(spark, path, "k string")

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from postlake import constants as K
 from postlake.operators import alerts, traffic
 from postlake.operators.running import keep_first, last_n, running, time_bucket, trailing_count
 
@@ -63,8 +64,10 @@ def test_attempt_numbers(spark):
         for r in rows:
             n = 0 if r[3] else n + 1
             if not r[3]:
-                want[r[0]] = min(n, 5)
+                want[r[0]] = n
     assert got == want
+    capped = {r.event_id: r.attempt for r in traffic.attempt_no(df, bucket_seconds=700, cap=K.MAX_BACKOFF_ATTEMPTS).collect()}
+    assert capped == {k: min(n, 5) for k, n in want.items()}
 
 
 def test_active_never_below_zero(spark):
