@@ -46,6 +46,14 @@ TRACKING_PARAMS = [
 
 JOB_ID_PARAMS = ["id", "jobid", "jobId", "jk", "vjk"]
 
+# Named entities of HTML that XML does not know (fixed values).
+HTML_ENTITIES = {
+    "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’",
+    "ldquo": "“", "rdquo": "”", "bull": "•", "middot": "·", "euro": "€", "pound": "£", "deg": "°", "laquo": "«", "raquo": "»",
+    "times": "×", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß",
+    "ntilde": "ñ", "aacute": "á", "iacute": "í", "oacute": "ó", "uacute": "ú",
+}
+
 DESCRIPTION_HASH_CHARS = 500
 DESCRIPTION_MAX_CHARS = 5000
 
@@ -157,6 +165,7 @@ ALERT_COOLDOWN_MINUTES = 15
 IDLE_KEY_MINUTES = 10
 ARCHIVE_AFTER_DAYS = 7
 DELETE_AFTER_DAYS = 90
+COVERAGE_REASONS = {"enough": "skip-threshold-reached", "partial": "partial-api-collection", "none": "no-api-jobs-collected"}
 COVERAGE_MIN_JOBS = 15
 COVERAGE_SKIP_THRESHOLD = 25
 DEFAULT_MAX_RESULTS = 50

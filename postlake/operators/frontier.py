@@ -23,22 +23,24 @@ def _percent_encode(c: Column) -> Column:
     return out
 
 
-def _fill(template: str, style: str, size: int) -> Column:
-    """A site's URL for the query and page of the row."""
-    page, keywords = F.col("page_no"), F.col("keywords")
-    location = F.coalesce("location", F.lit(""))
+def _encodings() -> dict[str, Column]:
+    """What the marks of a template stand for; none of it depends on site or page."""
+    keywords, location = F.col("keywords"), F.coalesce("location", F.lit(""))
     with_default = first_filled("location", F.lit(K.DEFAULT_LOCATION))
+    return {
+        "q": F.url_encode(keywords), "qc": _percent_encode(keywords), "slug": _slug(keywords), "loc": F.url_encode(location),
+        "locd": F.url_encode(with_default), "locslug": _slug(with_default),
+        "gq": F.url_encode(F.concat(keywords, F.lit(" jobs in "), with_default)),
+    }
+
+
+def _fill(template: str, style: str, size: int) -> Column:
+    """A site's URL for the encoded query and the page of the row."""
+    page = F.col("page_no")
     later = lambda text: F.when(page > 1, text).otherwise(F.lit(""))  # noqa: E731 - page 1 has no page part
     offset = later(F.concat(F.lit("&start="), ((page - 1) * size).cast("string")))
     number = page.cast("string")
-    marks = {
-        "{q}": F.url_encode(keywords),
-        "{qc}": _percent_encode(keywords),
-        "{slug}": _slug(keywords),
-        "{loc}": F.url_encode(location),
-        "{locd}": F.url_encode(with_default),
-        "{locslug}": _slug(with_default),
-        "{gq}": F.url_encode(F.concat(keywords, F.lit(" jobs in "), with_default)),
+    marks = {f"{{{name}}}": F.col(f"_e.{name}") for name in _encodings()} | {
         "{page}": number if style == "sequence" else later(F.concat(F.lit("page-"), number, F.lit("/"))),
         "{start}": offset,
     }
@@ -69,9 +71,10 @@ def frontier(queries: DataFrame, sites=K.FRONTIER_SITES) -> DataFrame:
         F.col("site").isin(K.OPTIONAL_LOCATION_SITES), F.regexp_replace(url, r"&(?:l|location)=(?=&|$)", "")
     ).otherwise(url)
     return (
-        queries.withColumn("_s", F.explode(site_list))
+        queries.withColumn("_e", F.struct(*[c.alias(n) for n, c in _encodings().items()]))  # once per query, before it unfolds
+        .withColumn("_s", F.explode(site_list))
         .withColumn("page_no", F.explode(F.sequence(F.lit(1), F.col("_s.cap"))))
         .withColumn("site", F.col("_s.site"))
         .withColumn("seed_url", trimmed)
-        .drop("_s")
+        .drop("_s", "_e")
     )

@@ -63,9 +63,10 @@ def _live(cache: DataFrame, as_of) -> DataFrame:
 def cache_split(pages: DataFrame, cache: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """(hits with their cached jobs, misses) by content hash within 24 hours.
 
-    The cache holds one entry per content hash.
+    Of several entries of a content hash the latest counts.
     """
-    live = _live(cache, as_of)
+    latest = F.max_by(F.struct(*[c for c in cache.columns if c != "content_hash"]), "cached_at").alias("entry")
+    live = _live(cache, as_of).groupBy("content_hash").agg(latest).select("content_hash", "entry.*")
     hits = pages.join(live, "content_hash", "inner")
     misses = pages.join(live.select("content_hash"), "content_hash", "left_anti")
     return hits, misses

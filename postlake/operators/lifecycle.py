@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postlake import constants as K
 from postlake.functions.scalars import age_days, age_days_rounded, day_key, human_size
-from postlake.session import scratch_path
+from postlake.session import path_exists, scratch_path
 
 
 def split_by_age(shards: DataFrame, as_of, days: int = K.ARCHIVE_AFTER_DAYS) -> tuple[DataFrame, DataFrame]:
@@ -117,12 +117,16 @@ def storage_usage(files: DataFrame) -> DataFrame:
     )
 
 
-def archive(hot: DataFrame, archive_root: str, as_of, days: int = K.ARCHIVE_AFTER_DAYS, dry_run: bool = False) -> dict:
+def archive(
+    hot: DataFrame, archive_root: str, as_of, days: int = K.ARCHIVE_AFTER_DAYS, dry_run: bool = False, key: str = "fingerprint",
+) -> dict:
     """Move old rows of the hot table to gzip day partitions.
 
-    ``hot`` holds ``scraped_at``.  The archive is written first; only after it
-    succeeded does the caller get the remaining hot rows, written to a new
-    folder to swap in.  Returns the counts and that folder.
+    ``hot`` holds ``scraped_at`` and ``key``.  The archive is written first; only
+    after it succeeded does the caller get the remaining hot rows, written to a
+    new folder to swap in.  A row whose key its day already holds is not written
+    again, so a run that is repeated after a failure adds nothing twice.
+    Returns the counts and that folder.
     """
     aged = hot.withColumn("_old", age_days("scraped_at", as_of) >= days)
     counts = aged.agg(
@@ -136,6 +140,12 @@ def archive(hot: DataFrame, archive_root: str, as_of, days: int = K.ARCHIVE_AFTE
         "month": F.date_format("scraped_at", "MM"),
         "day": F.date_format("scraped_at", "dd"),
     })
+    spark = hot.sparkSession
+    parts = ["year", "month", "day"]
+    if path_exists(spark, archive_root):
+        there = spark.read.schema(f"{key} string, year string, month string, day string").option("recursiveFileLookup", False).json(archive_root)
+        touched = old.select(*parts).distinct()
+        old = old.join(there.join(touched, parts, "left_semi").select(key, *parts), [key, *parts], "left_anti")
     by_day = old.hint("rebalance", "year", "month", "day")
     by_day.write.mode("append").partitionBy("year", "month", "day").option("compression", "gzip").json(archive_root)
     result["hot_path"] = scratch_path(hot.sparkSession, "hot")

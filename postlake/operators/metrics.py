@@ -179,7 +179,7 @@ def coverage_gate(
     return counts.withColumns({
         "should_launch": launch,
         "partial_collection": partial,
-        "reason": F.when(~launch, F.concat(F.lit("skip-threshold-reached ("), text, F.lit(f" >= {threshold})")))
-        .when(partial, F.concat(F.lit("partial-api-collection ("), text, F.lit(f"/{threshold})")))
-        .otherwise(F.lit(f"no-api-jobs-collected (threshold={threshold})")),
+        "reason": F.when(~launch, F.concat(F.lit(f"{K.COVERAGE_REASONS['enough']} ("), text, F.lit(f" >= {threshold})")))
+        .when(partial, F.concat(F.lit(f"{K.COVERAGE_REASONS['partial']} ("), text, F.lit(f"/{threshold})")))
+        .otherwise(F.lit(f"{K.COVERAGE_REASONS['none']} (threshold={threshold})")),
     })

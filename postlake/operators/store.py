@@ -9,7 +9,7 @@ from postlake import schema
 from postlake.functions.hashing import row_fingerprint
 from postlake.functions.scalars import ts_literal
 from postlake.operators.running import keep_first
-from postlake.session import scratch_path
+from postlake.session import path_exists, scratch_path
 
 
 def to_stored(df: DataFrame, as_of) -> DataFrame:
@@ -68,10 +68,7 @@ def upsert_jobs(rows: DataFrame, target_path: str, order: list) -> DataFrame:
 
 def read_jobs(spark, target_path: str) -> DataFrame:
     """The stored table; an absent one reads as empty, absent columns as null."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target_path)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    if not path_exists(spark, target_path):
         return spark.createDataFrame([], schema.STORED_LISTING)
     return spark.read.schema(schema.STORED_LISTING).parquet(target_path)
 

@@ -6,6 +6,7 @@ from postlake.plans import (  # noqa: F401 - registering
     dedup_queries,
     page_queries,
     payload_queries,
+    roundtrip_queries,
     storage_queries,
     stream_queries,
     text_queries,

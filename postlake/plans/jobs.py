@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from postlake import constants as K
 from postlake.functions.hashing import hash16, with_fingerprints
+from postlake.functions.scalars import ts_literal
+from postlake.functions.text import page_text
 from postlake.functions.urls import domain_of
 from postlake.operators import dedup, ledger, lifecycle, listings, metrics, store
 from postlake.session import checkpoint_root
@@ -85,22 +87,33 @@ def extract_from_responses(responses: DataFrame) -> DataFrame:
     return model.to_listing(model.normalize_records(model.fresher_only(model.sanitize_records(records))))
 
 
-def extract_pages(pages: DataFrame, responses: DataFrame, cache: DataFrame, as_of) -> dict[str, DataFrame]:
+def extract_pages(
+    pages: DataFrame, responses: DataFrame, cache: DataFrame, as_of, allowed: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """Page path: block check, cached or landed model output, else field rules.
 
     ``pages`` holds page_id, url, site, html; ``responses`` page_url next to the
-    response columns; ``cache`` content_hash, jobs (JSON), cached_at.
+    response columns; ``cache`` content_hash, jobs (JSON), cached_at. Pages
+    without text, or outside ``allowed`` (page_id; what the budget lets pass),
+    are not taken to the model; the rules read them.
+
+    ``cache_entries`` are the entries to add to the cache: per answered page
+    without a live entry its early-career records, so that the next run hits.
     """
     checkpoint_root(pages.sparkSession)
     # The keys are read several times below; the wide HTML is not carried along.
     keys = (
         page_rules.with_block_flags(pages)
-        .select("page_id", "url", "site", "blocked", "site_blocked", hash16("html").alias("content_hash"))
+        .select("page_id", "url", "site", "blocked", "site_blocked", hash16("html").alias("content_hash"),
+                (F.length(F.trim(page_text("html"))) > 0).alias("readable"))
         .checkpoint()
     )
     blocked = F.col("blocked") | F.col("site_blocked")
     usable = keys.filter(~blocked).drop("blocked", "site_blocked")
     hits, misses = ledger.cache_split(usable, cache, as_of)
+    misses = misses.filter("readable")
+    if allowed is not None:
+        misses = misses.join(allowed.select("page_id"), "page_id", "left_semi")
 
     cached = hits.select(
         F.lit("cache").alias("api_format"), F.lit("cache").alias("provider"),
@@ -116,9 +129,19 @@ def extract_pages(pages: DataFrame, responses: DataFrame, cache: DataFrame, as_o
     # Fields come out before the join, so only short columns are shuffled.
     by_rules = page_rules.extract_fields(pages).join(left_over, "page_id", "left_semi").withColumn("source", F.col("site"))
     columns = ["title", "company", "description", "url", "source", "location", "experience", "job_type"]
+    # Records go back to JSON under the names they are read with.
+    names = {"title": "title", "company": "company", "location": "location", "experience": "experience", "jobType": "job_type",
+             "applyLink": "apply_link", "isFresher": "is_fresher", "fresherReason": "fresher_reason",
+             "experienceNormalized": "experience_normalized", "rawDescription": "raw_description"}
+    record = F.struct(*[F.col(c).alias(n) for n, c in names.items()])
+    found = fresh.groupBy("page_url").agg(F.array_sort(F.collect_list(record)).alias("records"))  # the records of one page
+    entries = misses.select(F.col("url").alias("page_url"), "content_hash").join(found, "page_url").select(
+        "page_url", "content_hash", F.to_json("records").alias("jobs"), ts_literal(as_of).alias("cached_at")
+    )
     return {
+        "cache_entries": entries,
         "blocked": keys.filter(blocked).select("page_id", "url", "site"),
-        "extracted": model.to_listing(model.normalize_records(fresh)),
+        "extracted": model.to_listing(model.normalize_records(fresh), "page_url"),
         "by_rules": by_rules.select(*columns, F.lit("headless").alias("source_tier")),
     }
 

@@ -18,14 +18,26 @@ def _pages(spark, sf):
     return read_table(spark, sf, "pages")
 
 
-_H1 = r"(?is)<h1[^>]*>(.*?)</h1>"
-_ART = r"(?is)<article[^>]*>(.*?)</article>"
+_H1 = r"(?is)<h1[^>]*>(.*?)(?:</h1>|$)"
+_ART = r"(?is)<article[^>]*>(.*?)(?:</article>|$)"
+
+
+def _sql_text(pattern: str) -> str:
+    """Text of an element, with the entities that the pages hold (some cut off at the end) decoded."""
+    return _decoded(S.strip_tags(S.ext("html", pattern)))
+
+
+def _decoded(text: str) -> str:
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+        text = f"replace({text}, {S.lit(name)}, {S.lit(char)})"
+    return f"regexp_replace({text}, '&amp$', '&')"
 
 
 @query(
     "extract_fields",
-    f"""SELECT page_id, url, coalesce(nullif({S.strip_tags(S.ext('html', _H1))}, ''), {S.strip_tags(S.ext('html', '(?is)<title[^>]*>(.*?)</title>'))}) AS title,
-      {S.strip_tags(S.ext('html', _ART))} AS description FROM pages""",
+    f"""WITH p AS (SELECT page_id, url, regexp_replace(html, '<[a-zA-Z/!][^>]*$', '') AS html FROM pages)
+    SELECT page_id, url, coalesce(nullif({_sql_text(_H1)}, ''), {_sql_text('(?is)<title[^>]*>(.*?)(?:</title>|$)')}) AS title,
+      {_sql_text(_ART)} AS description FROM p""",
 )
 def extract_fields(spark, sf):
     return P.extract_fields(_pages(spark, sf)).select("page_id", "url", "title", F.coalesce("description", F.lit("")).alias("description"))
@@ -41,10 +53,12 @@ def extract_fields(spark, sf):
         WHEN starts_with(href, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || href
         ELSE regexp_extract(regexp_extract(url, '^([^?#]*)', 1), '^(.*/)', 1) || href END AS link FROM h)
     SELECT DISTINCT page_id, link FROM r WHERE regexp_matches(link, '(?i)^https?://')
-      AND lower(regexp_extract(link, '^[a-zA-Z]+://([^/?#:]*)', 1)) = lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1))""",
+      AND lower(regexp_extract(link, '^[a-zA-Z]+://([^/?#:]*)', 1)) = lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1))
+    UNION SELECT page_id, lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) || unnest(['/single?a=1&b=2', '/bare']) FROM pages""",
 )
 def page_links(spark, sf):
-    return P.page_links(_pages(spark, sf))
+    quoted = F.lit("<a href='/single?a=1&amp;b=2'>s</a><a href=/bare>b</a>")
+    return P.page_links(_pages(spark, sf).withColumn("html", F.concat(quoted, "html")))
 
 
 @query(
@@ -70,7 +84,8 @@ def distinct_links(spark, sf):
 
 
 _MARKUP = {  # site: markup of title and company around the page's own words
-    "cutshort": ('<h1 class="a job-title b">{t}</h1>', '<div class="company-box"><i>x</i><span>{c}</span></div>'),
+    "cutshort": ('<h1 class="a job-title b">{t}</h1>', '<div class="company-box"><i>x</i><span>{c}</span></div>'
+                 "<div class='description'><div>Intro</div><p>Must know C &amp; SQL</p></div>"),
     "foundit": ('<h3 class="jobTitle">{t}</h3>', '<span class="companyName">{c}</span>'),
     "timesjobs": ('<h1 class="jd-job-title">{t}</h1>', '<h2 class="heading">{c}</h2>'),
     "wellfound": ('<h1 class="startup-header">{t}</h1>', '<h1 class="styles_name__9">Job at {c} | Site</h1>'),
@@ -97,15 +112,16 @@ def _marked(spark, sf):
 @query(
     "site_fields",
     f"""SELECT page_id, ([{', '.join(S.lit(s) for s in _MARKUP)}])[page_id % {len(_MARKUP)} + 1] AS site,
-      nullif({S.strip_tags(S.page_title('html'))}, '') AS title, {S.host('url')} AS company FROM pages""",
+      nullif({_decoded(S.strip_tags(S.page_title('html')))}, '') AS title, {S.host('url')} AS company,
+      CASE WHEN page_id % {len(_MARKUP)} = 0 THEN 'Intro Must know C & SQL' END AS description FROM pages""",
 )
 def site_fields(spark, sf):
-    return P.site_fields(_marked(spark, sf)).select("page_id", "site", "title", "company")
+    return P.site_fields(_marked(spark, sf)).select("page_id", "site", "title", "company", "description")
 
 
 @query(
     "card_listings",
-    f"""WITH p AS (SELECT page_id, url, {S.strip_tags(S.page_title('html'))} AS t, {S.host('url')} AS c FROM pages)
+    f"""WITH p AS (SELECT page_id, url, {_decoded(S.strip_tags(S.page_title('html')))} AS t, {S.host('url')} AS c FROM pages)
     SELECT page_id, CAST(0 AS BIGINT) AS card_no, t AS title, c AS company, 'https://www.naukri.com/j/' || page_id AS url,
       t || ' at ' || c AS description FROM p WHERE t <> ''
     UNION ALL SELECT page_id, 1, 'second', 'Unknown', url, 'details' FROM p""",

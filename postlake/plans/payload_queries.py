@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlake.functions.hashing import hash16
 from postlake.functions.text import base_text
 from postlake.operators import listings
 from postlake.plans import jobs
@@ -42,10 +43,17 @@ def _str(c: str) -> Column:
     return F.col(c).cast("string")
 
 
+# Every fifth feed opens with an item that can be mended and one that cannot; neither takes the others along.
+_DAMAGED = (
+    "<item><title>R & D&nbsp;</title><link>https://damaged.example.com/?a=1&b=2</link><description>one<br>two</description></item>"
+    "<item><title>open<link>https://lost.example.com/</link></item>"
+)
+
+
 def _feed(*parts) -> Column:
     return F.concat(
-        F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:dc="urn:dc" xmlns:himalayasJobs="urn:h"><channel><title>feed</title><item>'),
-        *parts, F.lit("</item><item><title></title><link>https://dropped.example.com/</link></item></channel></rss>"),
+        F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:dc="urn:dc" xmlns:himalayasJobs="urn:h"><channel><title>feed</title>'),
+        F.when(F.col("doc_id") % 5 == 0, F.lit(_DAMAGED)).otherwise(F.lit("")), F.lit("<item>"), *parts, F.lit("</item><item><title></title><link>https://dropped.example.com/</link></item></channel></rss>"),
     )
 
 
@@ -62,7 +70,9 @@ _N = "doc_id % 4"
       ELSE 'Unknown' END AS company, CASE WHEN {_N} < 2 THEN 'Pune ' || lang
       WHEN length(trim(t) || ' ') < 60 THEN trim(t) END AS location,
       CASE WHEN {_N} < 2 THEN 'Pune ' || lang || ' - ' ELSE trim(t) || ' -  ' END || b AS description,
-      'https://feed.example.com/i?a=1&d=' || doc_id AS url, 'Mon, 01 Jan 2024 00:00:00 GMT' AS posted_date FROM docs""".replace("-  ", "- "),
+      'https://feed.example.com/i?a=1&d=' || doc_id AS url, 'Mon, 01 Jan 2024 00:00:00 GMT' AS posted_date FROM docs
+    UNION ALL SELECT doc_id, 'R & D', 'Unknown', NULL, 'one two', 'https://damaged.example.com/?a=1&b=2', NULL FROM docs
+      WHERE doc_id % 5 = 0""".replace("-  ", "- "),
 )
 def feed_location_in_description(spark, sf):
     n = F.col("doc_id") % 4
@@ -91,7 +101,8 @@ def feed_location_in_description(spark, sf):
     SELECT doc_id, ti AS title,
       CASE {_N} WHEN 0 THEN 'Creator ' || source WHEN 1 THEN 'Firm ' || source
         ELSE CASE WHEN contains(ti, ' at ') THEN trim(list_last(string_split(ti, ' at '))) ELSE 'Unknown' END END AS company,
-      b AS description, 'https://feed.example.com/c/' || doc_id AS url, 'api' AS source_tier FROM x""",
+      b AS description, 'https://feed.example.com/c/' || doc_id AS url, 'api' AS source_tier FROM x
+    UNION ALL SELECT doc_id, 'R & D', 'Unknown', 'one two', 'https://damaged.example.com/?a=1&b=2', 'api' FROM docs WHERE doc_id % 5 = 0""",
 )
 def feed_creator_company(spark, sf):
     n = F.col("doc_id") % 4
@@ -112,7 +123,8 @@ def feed_creator_company(spark, sf):
       WHEN 2 THEN 'Acme BIG ' || upper(source[1:1]) || source[2:] ELSE 'Unknown' END AS company,
       trim(b) AS description,
       CASE WHEN {_N} = 2 THEN 'https://feed.example.com/companies/acme-BIG-' || source || '/jobs/' || doc_id
-        ELSE 'https://feed.example.com/j/' || doc_id END AS url FROM x""",
+        ELSE 'https://feed.example.com/j/' || doc_id END AS url FROM x
+    UNION ALL SELECT doc_id, 'R & D', 'Unknown', 'one two', 'https://damaged.example.com/?a=1&b=2' FROM docs WHERE doc_id % 5 = 0""",
 )
 def feed_role_at_company(spark, sf):
     n = F.col("doc_id") % 4
@@ -127,6 +139,21 @@ def feed_role_at_company(spark, sf):
     return feeds.rss_items(payloads, "role_at_company").select("doc_id", "title", "company", "description", "url")
 
 
+@query(
+    "feed_rejects",
+    """SELECT doc_id, item_no, reason FROM (
+      SELECT doc_id, CAST(1 AS BIGINT) AS item_no, 'item does not parse' AS reason FROM documents WHERE doc_id % 5 = 0
+      UNION ALL SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 1 END, 'no title' FROM documents)""",
+)
+def feed_rejects(spark, sf):
+    body = _feed(
+        _tag("title", F.concat(F.lit("dev "), _str("doc_id"))),
+        _tag("link", F.concat(F.lit("https://feed.example.com/j/"), _str("doc_id"))), _tag("description", F.col("b")),
+    )
+    payloads = _docs(spark, sf).select("doc_id", body.alias("body"))
+    return feeds.rejected_items(payloads).select("doc_id", F.col("item_no").cast("bigint").alias("item_no"), "reason")
+
+
 # --- JSON APIs ------------------------------------------------------------------------
 
 @query(
@@ -327,7 +354,9 @@ def _records() -> Column:
         F.lit("Pune").alias("location"), F.concat(F.lit("https://x.example.com/"), _str("doc_id")).alias("applyLink"),
         F.lit(False).alias("isFresher"), F.lit("Fresher").alias("experienceNormalized"), F.lit(None).cast("string").alias("rawDescription"),
     )
-    return F.to_json(F.array(first, second))
+    records = F.to_json(F.array(first, second))
+    # every fifth answer names a title twice: the last one counts
+    return F.when(F.col("doc_id") % 5 == 0, F.replace(records, F.lit('[{"title":'), F.lit('[{"title":"old","title":'))).otherwise(records)
 
 
 def _responses(spark, sf):
@@ -394,7 +423,8 @@ def _sql_records(ordered: bool) -> str:
 
 @query(
     "model_payloads",
-    f"""WITH {_SQL_DOCS}, arr AS (SELECT doc_id, {_sql_records(False)} AS plain, {_sql_records(True)} AS parsed FROM docs)
+    f"""WITH {_SQL_DOCS}, arr AS (SELECT doc_id, {_sql_records(True)} AS parsed,
+      CASE WHEN doc_id % 5 = 0 THEN replace({_sql_records(False)}, '[{{"title":', '[{{"title":"old","title":') ELSE {_sql_records(False)} END AS plain FROM docs)
     SELECT doc_id, (['openai', 'anthropic', 'gemini', 'ollama'])[doc_id % 4 + 1] AS api_format,
       sha256(CASE (doc_id // 4) % 4 WHEN 0 THEN '{{"jobs":' || CASE WHEN doc_id % 4 = 0 THEN plain ELSE parsed END || '}}'
         WHEN 1 THEN 'Here you go: ' || plain || ' Hope it helps.' WHEN 2 THEN '{{"note":"[none]","zeta":' || plain || ',"alpha":[]}}'
@@ -456,24 +486,52 @@ def model_token_usage(spark, sf):
     return R.token_usage(_responses(spark, sf)).select("doc_id", "tokens")
 
 
+_VIA = "doc_id % 4"  # 0: cached answer, 1: landed answer, 2: blocked page, 3: no answer, read by rules
+
+
 @query(
     "page_extraction",
-    f"""WITH {_SQL_FRESH} SELECT CAST(count(*) AS BIGINT) AS from_model, (SELECT count(*) FROM pages) AS from_rules FROM fresh""",
+    f"""WITH {_SQL_FRESH} SELECT doc_id, 'model' AS via, title FROM fresh WHERE {_VIA} < 2
+    UNION ALL SELECT doc_id, 'blocked', NULL FROM docs WHERE {_VIA} = 2
+    UNION ALL SELECT doc_id, 'rules', 'Heading ' || doc_id FROM docs WHERE {_VIA} = 3
+    UNION ALL SELECT doc_id, 'rules', 'Heading ' || doc_id FROM docs WHERE {_VIA} < 2 AND doc_id NOT IN (SELECT doc_id FROM fresh)""",
 )
 def page_extraction(spark, sf):
-    """Pages answered by a model response next to pages read by rules."""
-    pages = read_table(spark, sf, "pages").select("page_id", "url", F.lit("board").alias("site"), "html")
-    answered = _docs(spark, sf).select(
-        (F.col("doc_id") + V.RECRAWL).alias("page_id"),
-        F.concat(F.lit("https://m.example.com/p/"), _str("doc_id")).alias("url"), F.lit("board").alias("site"),
-        F.concat(F.lit("<html><p>page "), _str("doc_id"), F.lit("</p></html>")).alias("html"),
+    """A page per document: cached, answered, blocked or read by rules, over a cache with outdated entries."""
+    out = _extracted(spark, sf)
+    number = lambda c: F.regexp_extract(c, r"/(\d+)$", 1).cast("bigint").alias("doc_id")
+    return out["extracted"].select(number("page_url"), F.lit("model").alias("via"), "title").unionByName(
+        out["blocked"].select(number("url"), F.lit("blocked").alias("via"), F.lit(None).cast("string").alias("title"))
+    ).unionByName(out["by_rules"].select(number("url"), F.lit("rules").alias("via"), "title"))
+
+
+@query(
+    "page_cache_entries",
+    f"""WITH {_SQL_FRESH} SELECT doc_id, count(*) AS jobs FROM fresh WHERE {_VIA} = 1 GROUP BY 1""",
+)
+def page_cache_entries(spark, sf):
+    """What a run adds to the cache: the records of the pages it had no entry for."""
+    entries = _extracted(spark, sf)["cache_entries"]
+    return entries.select(
+        F.regexp_extract("page_url", r"/(\d+)$", 1).cast("bigint").alias("doc_id"),
+        F.size(F.from_json("jobs", "array<string>")).cast("bigint").alias("jobs"),
+    )
+
+
+def _extracted(spark, sf):
+    via = F.col("doc_id") % 4
+    phrase = F.when(via == 2, F.lit("<header>Access denied</header>")).otherwise(F.lit(""))
+    docs = _docs(spark, sf).withColumn("url", F.concat(F.lit("https://m.example.com/p/"), _str("doc_id"))).withColumn(
+        "html", F.concat(F.lit("<html><h1>Heading "), _str("doc_id"), F.lit("</h1>"), phrase, F.lit("<p>"), F.col("lang"), F.lit("</p></html>"))
     )
-    cache = spark.createDataFrame([], "content_hash string, jobs string, cached_at timestamp")
-    out = jobs.extract_pages(pages.unionByName(answered), _responses(spark, sf), cache, V.AS_OF)
-    counts = out["extracted"].select(F.lit(1).alias("m"), F.lit(0).alias("r")).unionByName(
-        out["by_rules"].select(F.lit(0).alias("m"), F.lit(1).alias("r"))
+    pages = docs.select("doc_id", F.col("doc_id").alias("page_id"), "url", F.lit("board").alias("site"), "html")
+    held = docs.withColumn("jobs", _records()).filter(via == 0).select(hash16("html").alias("content_hash"), "jobs")
+    now = F.lit(V.AS_OF).cast("timestamp")
+    cache = held.withColumn("cached_at", now - F.expr("INTERVAL 1 HOUR")).unionByName(
+        held.select("content_hash", F.lit("[]").alias("jobs"), (now - F.expr("INTERVAL 5 HOURS")).alias("cached_at"))
     )
-    return counts.agg(F.sum("m").cast("bigint").alias("from_model"), F.sum("r").cast("bigint").alias("from_rules"))
+    answers = _responses(spark, sf).filter(via == 1)
+    return jobs.extract_pages(pages.drop("doc_id"), answers, cache, V.AS_OF)
 
 
 @query(

@@ -80,11 +80,11 @@ def pending_uploads(spark, sf):
     return lifecycle.pending_uploads(*V.v_archives(spark, sf)).select("archive_path")
 
 
-_SQL_PLAN = f"""{_SQL_WITH}, plan AS (SELECT *, {_AGE} AS age_days, CASE WHEN {_AGE} < 90 THEN 'keep'
+SQL_PLAN = f"""{_SQL_WITH}, plan AS (SELECT *, {_AGE} AS age_days, CASE WHEN {_AGE} < 90 THEN 'keep'
   WHEN uploaded_at IS NULL THEN 'not_uploaded' ELSE 'delete' END AS action FROM wm)"""
 
 
-@query("cleanup_plan", f"WITH {_SQL_PLAN} SELECT archive_path, age_days, action FROM plan ORDER BY age_days DESC, archive_path")
+@query("cleanup_plan", f"WITH {SQL_PLAN} SELECT archive_path, age_days, action FROM plan ORDER BY age_days DESC, archive_path")
 def cleanup_plan(spark, sf):
     plan = lifecycle.cleanup_plan(*V.v_archives(spark, sf), V.STORAGE_AS_OF, guard=True)
     return lifecycle.oldest_first(plan).select("archive_path", "age_days", "action")
@@ -92,7 +92,7 @@ def cleanup_plan(spark, sf):
 
 @query(
     "cleanup_outcome",
-    f"""WITH {_SQL_PLAN} SELECT count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (action = 'keep') AS kept_by_age,
+    f"""WITH {SQL_PLAN} SELECT count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (action = 'keep') AS kept_by_age,
       count(*) FILTER (action = 'not_uploaded') AS kept_by_upload,
       CAST(coalesce(sum(size_bytes) FILTER (action = 'delete'), 0) AS BIGINT) AS freed_bytes FROM plan""",
 )
@@ -102,7 +102,7 @@ def cleanup_outcome(spark, sf):
 
 @query(
     "storage_usage",
-    f"""WITH {_SQL_PLAN}, files AS (SELECT 'warm' AS tier, size_bytes FROM plan WHERE action <> 'delete' UNION ALL
+    f"""WITH {SQL_PLAN}, files AS (SELECT 'warm' AS tier, size_bytes FROM plan WHERE action <> 'delete' UNION ALL
       SELECT 'hot', size_bytes FROM v_shards WHERE (epoch_us({_NOW}) - epoch_us(mtime)) / 8.64e10::DOUBLE < 7)
     SELECT coalesce(tier, 'total') AS tier, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, count(*) AS files FROM files
     GROUP BY ROLLUP (tier)""",
@@ -113,18 +113,18 @@ def storage_usage(spark, sf):
 
 # --- ledger ----------------------------------------------------------------------------
 
-_SQL_COST = f"""{V.SQL_LEDGER}, led AS (SELECT *, tokens * {S.rate_case('provider')} / 1e6::DOUBLE AS cost_usd FROM (
+SQL_COST = f"""{V.SQL_LEDGER}, led AS (SELECT *, tokens * {S.rate_case('provider')} / 1e6::DOUBLE AS cost_usd FROM (
   SELECT day, provider, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM v_ledger GROUP BY 1, 2))"""
 
 
-@query("cost_ledger", f"WITH {_SQL_COST} SELECT day, provider, calls, tokens, cost_usd FROM led")
+@query("cost_ledger", f"WITH {SQL_COST} SELECT day, provider, calls, tokens, cost_usd FROM led")
 def cost_ledger(spark, sf):
     return ledger.cost_ledger(V.v_ledger(spark, sf))
 
 
 @query(
     "budget_report",
-    f"""WITH {_SQL_COST} SELECT day, provider, calls, tokens, cost_usd, greatest(2.0::DOUBLE - cost_usd, 0.0::DOUBLE) AS budget_left,
+    f"""WITH {SQL_COST} SELECT day, provider, calls, tokens, cost_usd, greatest(2.0::DOUBLE - cost_usd, 0.0::DOUBLE) AS budget_left,
       cost_usd / 2.0::DOUBLE * 100 AS used_pct, cost_usd >= 2.0 AS exceeded, cost_usd < 2.0 AND cost_usd / 2.0::DOUBLE * 100 >= 80 AS warning FROM led""",
 )
 def budget_report(spark, sf):
@@ -155,7 +155,7 @@ def budget_gate(spark, sf):
 _CACHE_AT = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
-def _cache(spark, sf):
+def cache_view(spark, sf):
     """One entry per distinct document text, cached up to 47 hours ago."""
     docs = read_table(spark, sf, "documents").groupBy(hash16("text").alias("content_hash")).agg(
         F.min("doc_id").alias("entry_id"), F.min("n_chars").alias("size_bytes")
@@ -164,37 +164,37 @@ def _cache(spark, sf):
     return docs.withColumn("cached_at", F.lit(V.AS_OF).cast("timestamp") - age)
 
 
-_SQL_CACHE = f"""cache AS (SELECT *, {_CACHE_AT} - to_hours(entry_id % 48) AS cached_at FROM (
+SQL_CACHE = f"""cache AS (SELECT *, {_CACHE_AT} - to_hours(entry_id % 48) AS cached_at FROM (
     SELECT {S.hash16('text')} AS content_hash, min(doc_id) AS entry_id, min(n_chars) AS size_bytes FROM documents GROUP BY 1)),
   d AS (SELECT doc_id, {S.hash16('text')} AS content_hash FROM documents)"""
 
 
 @query(
     "cache_hits",
-    f"""WITH {_SQL_CACHE} SELECT doc_id, entry_id FROM d JOIN cache USING (content_hash)
+    f"""WITH {SQL_CACHE} SELECT doc_id, entry_id FROM d JOIN cache USING (content_hash)
       WHERE cached_at >= {_CACHE_AT} - INTERVAL 24 HOUR""",
 )
 def cache_hits(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", hash16("text").alias("content_hash"))
-    return ledger.cache_split(docs, _cache(spark, sf), V.AS_OF)[0].select("doc_id", "entry_id")
+    return ledger.cache_split(docs, cache_view(spark, sf), V.AS_OF)[0].select("doc_id", "entry_id")
 
 
 @query(
     "cache_misses",
-    f"""WITH {_SQL_CACHE} SELECT doc_id FROM d WHERE content_hash NOT IN (SELECT content_hash FROM cache
+    f"""WITH {SQL_CACHE} SELECT doc_id FROM d WHERE content_hash NOT IN (SELECT content_hash FROM cache
       WHERE cached_at >= {_CACHE_AT} - INTERVAL 24 HOUR)""",
 )
 def cache_misses(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", hash16("text").alias("content_hash"))
-    return ledger.cache_split(docs, _cache(spark, sf), V.AS_OF)[1].select("doc_id")
+    return ledger.cache_split(docs, cache_view(spark, sf), V.AS_OF)[1].select("doc_id")
 
 
 @query(
     "cache_stats",
-    f"WITH {_SQL_CACHE} SELECT count(*) AS entries, {S.half_up('sum(size_bytes) / 1024')} AS size_kb FROM cache",
+    f"WITH {SQL_CACHE} SELECT count(*) AS entries, {S.half_up('sum(size_bytes) / 1024')} AS size_kb FROM cache",
 )
 def cache_stats(spark, sf):
-    return ledger.cache_stats(_cache(spark, sf))
+    return ledger.cache_stats(cache_view(spark, sf))
 
 
 # --- frontier --------------------------------------------------------------------------------

@@ -70,7 +70,7 @@ def stream_domain_counts(spark, sf):
 def stream_dedup(spark, sf):
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("seq") % 86400)
     rows = V.v_listings(spark, sf, stream=True).withColumn("ts", at)
-    return streams.run_to_table(spark, streams.dedup_stream(rows).select("url_hash"), "dedup")
+    return streams.run_to_table(spark, streams.dedup_stream(rows, columns=[]).select("url_hash"), "dedup")
 
 
 def _sql_idle(rows: str, minutes: int) -> str:

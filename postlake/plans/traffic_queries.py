@@ -143,18 +143,18 @@ def _sql_check(name, value, warn, crit, crit_text, warn_text, worse=">="):
 _MIN = S.half_up(f"(epoch_us({_NOW}) - epoch_us(last_extracted_at)) / 6e7::DOUBLE")
 _CHECKS = " UNION ALL ".join([
     _sql_check("success_rate", "success_rate_pct", 70, 40,
-               "'Success rate ' || success_rate_pct || '% is below critical threshold 40%'",
-               "'Success rate ' || success_rate_pct || '% is below warning threshold 70%'", "<"),
+               "success_rate_pct || ' of 100 requests succeed; critical below 40'",
+               "success_rate_pct || ' of 100 requests succeed; warning below 70'", "<"),
     _sql_check("no_progress", f"({_MIN})", 20, 45,
-               f"'No job extracted for ' || {_MIN} || ' min (critical threshold: 45 min)'",
-               f"'No job extracted for ' || {_MIN} || ' min (warning threshold: 20 min)'"),
+               f"'nothing extracted in the last ' || {_MIN} || ' minutes; critical from 45'",
+               f"'nothing extracted in the last ' || {_MIN} || ' minutes; warning from 20'"),
     _sql_check("memory_usage", "current_memory_mb", 2500, 3500,
-               "'Memory ' || current_memory_mb || ' MB exceeds critical limit 3500 MB'",
-               "'Memory ' || current_memory_mb || ' MB exceeds warning limit 2500 MB'"),
+               "current_memory_mb || ' MB in use; critical from 3500'",
+               "current_memory_mb || ' MB in use; warning from 2500'"),
     _sql_check("rate_limit_hits", "rate_limit_hits", 10, 30,
-               "rate_limit_hits || ' rate-limit hits (critical: 30)'", "rate_limit_hits || ' rate-limit hits (warning: 10)'"),
+               "rate_limit_hits || ' requests were throttled; critical from 30'", "rate_limit_hits || ' requests were throttled; warning from 10'"),
     _sql_check("proxy_failures", "proxy_failures", 5, 20,
-               "proxy_failures || ' proxy failures (critical: 20)'", "proxy_failures || ' proxy failures (warning: 5)'"),
+               "proxy_failures || ' requests failed at a proxy; critical from 20'", "proxy_failures || ' requests failed at a proxy; warning from 5'"),
     "SELECT {keys} 'zero_jobs_early' AS name, true AS passed, 'warning' AS severity, 'OK' AS reason, "
     "CAST(jobs_extracted AS VARCHAR) AS value, '0' AS threshold FROM {src}",
 ])
@@ -165,7 +165,7 @@ def health_checks(spark, sf):
     return health.health_checks(_snapshot(spark, sf))
 
 
-_SQL_SUMMARY = """'Crawler ' || upper(severity) || ': ' || reasons || ' | Productivity: '
+_SQL_SUMMARY = """'run is ' || severity || ': ' || reasons || '; '
   || regexp_replace(CAST(jobs_per_minute AS VARCHAR), '[.]0$', '') || ' jobs/min, dedup '
   || regexp_replace(CAST(dedup_ratio_pct AS VARCHAR), '[.]0$', '') || '% (' || jobs_deduplicated || '/' || jobs_extracted
   || '), stored ' || jobs_stored"""
@@ -175,7 +175,7 @@ _SQL_SUMMARY = """'Crawler ' || upper(severity) || ': ' || reasons || ' | Produc
     "health_report",
     f"""WITH {_SQL_SNAPSHOT}, checks AS ({_CHECKS.format(keys='', src='snap')}),
     f AS (SELECT CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'critical' WHEN count(*) > 0 THEN 'degraded'
-        ELSE 'healthy' END AS severity, string_agg('[' || upper(severity) || '] ' || reason, ' | ' ORDER BY
+        ELSE 'healthy' END AS severity, string_agg(severity || ' (' || reason || ')', ', ' ORDER BY
         list_position(['success_rate', 'no_progress', 'memory_usage', 'rate_limit_hits', 'proxy_failures', 'zero_jobs_early'], name)) AS reasons
       FROM checks WHERE NOT passed)
     SELECT severity, {_SQL_SUMMARY} AS summary FROM f, snap""",
@@ -197,12 +197,13 @@ def _domain_snapshots(spark, sf):
     checks AS ({_CHECKS.format(keys='domain,', src='snap')}),
     f AS (SELECT domain, CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'critical' ELSE 'degraded' END AS severity
       FROM checks WHERE NOT passed GROUP BY domain)
-    SELECT CASE f.severity WHEN 'critical' THEN 'critical' ELSE 'warning' END AS alert_severity, jobs_extracted,
+    SELECT CASE f.severity WHEN 'critical' THEN 'critical' ELSE 'warning' END AS alert_severity, f.severity AS message, jobs_extracted,
       success_rate_pct || '%' AS success_rate, rate_limit_hits, current_memory_mb AS memory_mb, uptime_seconds AS uptime_sec
     FROM f JOIN snap USING (domain)""",
 )
 def health_alerts_by_domain(spark, sf):
-    return health.alert_rows(health.health_report(_domain_snapshots(spark, sf))).drop("message")
+    return health.alert_rows(health.health_report(_domain_snapshots(spark, sf))).withColumn(
+        "message", F.regexp_extract("message", "^run is ([a-z]+):", 1))
 
 
 @query(

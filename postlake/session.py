@@ -19,6 +19,10 @@ def build_session(app_name: str = "postlake", master: str | None = None, cores:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
+        # Stream state on disk: days of keys do not fit the heap.
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if master:
         builder = (
@@ -47,6 +51,10 @@ def checkpoint_root(spark: SparkSession) -> str:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="postlake-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, root)
+    own_disk = os.path.abspath(tempfile.gettempdir())
+    plain = root.removeprefix("file://")
+    if not _scheme_is_local(spark) and "://" not in plain and (plain == own_disk or plain.startswith(f"{own_disk}/")):
+        raise RuntimeError(f"{CHECKPOINT_CONF}={root} is the temporary folder of one machine, not a folder that executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -69,6 +77,11 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a table written by ``materialize`` that nothing reads any more."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

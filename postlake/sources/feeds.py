@@ -1,8 +1,11 @@
 """RSS payloads to listings.
 
 Input is a landed payload table ``(source, body, ...)``, one feed document per
-row.  A feed is parsed with ``from_xml`` in one projection, its items are
-exploded, and each dialect maps item tags to the listing columns.
+row.  A feed is split into items, every item is parsed with ``from_xml`` by
+itself, and each dialect maps item tags to the listing columns.  An item that
+is not well-formed is mended and parsed again; what still fails, or has no
+title or link, is returned by ``rejected_items`` with the reason and takes
+nothing else along.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postlake.functions.documents import repair_item
 from postlake.functions.text import (
     WS, capitalize_words, empty_to_null, first_filled, head, strip_tags, ws_trim,
 )
@@ -22,11 +26,8 @@ _ITEM_TAGS = [
 # Leaf tags may carry attributes (<guid isPermaLink="false">): the text is then
 # in _VALUE, which stays null for an empty tag.
 _LEAF = T.StructType([T.StructField("_VALUE", T.StringType())])
-_FEED = T.StructType([
-    T.StructField("channel", T.StructType([
-        T.StructField("item", T.ArrayType(T.StructType([T.StructField(t, _LEAF) for t in _ITEM_TAGS]))),
-    ])),
-])
+_ITEM = T.StructType([*[T.StructField(t, _LEAF) for t in _ITEM_TAGS], T.StructField("_bad", T.StringType())])
+_PARSE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
 
 DIALECTS = ("location_in_description", "creator_company", "role_at_company")
 
@@ -36,11 +37,32 @@ def _tag(name: str) -> Column:
 
 
 def _items(payloads: DataFrame) -> DataFrame:
-    feed = F.from_xml(F.col("body"), _FEED, {"mode": "PERMISSIVE"})
-    return payloads.withColumn("feed", feed).select(
-        *[c for c in payloads.columns if c != "body"],
-        F.posexplode_outer("feed.channel.item").alias("item_no", "item"),
-    ).filter(F.col("item").isNotNull())
+    """One row per item: ``item`` is its parsed form, null when even the mended text does not parse."""
+    inside = r"(?is)<item(?:\s[^<>]*)?>(.*)\z"
+    closed = F.split("body", r"(?i)</item\s*>")
+    kept = [c for c in payloads.columns if c != "body"]
+    raw = payloads.select(*kept, F.posexplode(closed).alias("item_no", "part"), F.size(closed).alias("_parts")).filter(
+        F.rlike("part", F.lit(r"(?i)<item(?:\s[^<>]*)?>"))
+    ).withColumn("raw", F.concat(F.lit("<item>"), F.regexp_extract("part", inside, 1), F.lit("</item>")))
+    open_end = F.col("item_no") == F.col("_parts") - 1
+    strict = F.from_xml(F.col("raw"), _ITEM, _PARSE)
+    mended = F.from_xml(F.concat(F.lit("<item>"), repair_item(F.regexp_extract("raw", r"(?s)^<item>(.*)</item>$", 1), _ITEM_TAGS),
+                                 F.lit("</item>")), _ITEM, _PARSE)
+    return (
+        raw.withColumn("strict", F.when(~open_end, strict))
+        .withColumn("item", F.when(open_end, F.lit(None).cast(_ITEM)).when(F.col("strict._bad").isNull(), F.col("strict")).otherwise(mended))
+        .withColumn("reason", F.when(open_end, "item is not closed").when(
+            F.col("item").isNull() | F.col("item._bad").isNotNull(), "item does not parse"))
+        .select(*kept, "item_no", "item", "reason", "raw")
+    )
+
+
+def rejected_items(payloads: DataFrame) -> DataFrame:
+    """Items that give no listing, with the reason and their text."""
+    kept = [c for c in payloads.columns if c != "body"]
+    title, link = _tag("title"), first_filled(_tag("link"), _tag("guid"))
+    reason = F.coalesce("reason", F.when(title == "", "no title").when(link.isNull(), "no link"))
+    return _items(payloads).select(*kept, "item_no", reason.alias("reason"), "raw").filter(F.col("reason").isNotNull())
 
 
 def rss_items(payloads: DataFrame, dialect: str, max_chars: int | None = None) -> DataFrame:
@@ -82,7 +104,7 @@ def rss_items(payloads: DataFrame, dialect: str, max_chars: int | None = None) -
         description = strip_tags(head(_tag("description"), max_chars))
 
     return (
-        _items(payloads)
+        _items(payloads).filter(F.col("reason").isNull())
         .select(
             *[c for c in payloads.columns if c != "body"], "item_no",
             listing_title.alias("title"), company.alias("company"), location.alias("location"),

@@ -1,32 +1,39 @@
 """Page HTML to listings, links and block verdicts.
 
-All rules are regular expressions compiled into one projection over the page
-table; the wide ``html`` column is dropped as soon as its fields are out.
+Rules on whole elements run in one Arrow pass over the page table, everything
+else in one projection; the wide ``html`` column is dropped as soon as its
+fields are out.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake import constants as K
+from postlake.functions import markup
+from postlake.functions.documents import parse_json
 from postlake.functions.text import (
-    as_col, contains_any, content_cap, empty_to_null, first_filled, head, literal_pattern, page_text, page_title, strip_tags,
-    title_company, visible_body, ws_trim,
+    as_col, contains_any, content_cap, empty_to_null, head, literal_pattern, page_text, page_title, title_company,
+    visible_body, ws_trim,
 )
 from postlake.functions.urls import url_host, url_origin, url_scheme
 
-_LD_BLOCK = r'(?is)<script[^>]*type\s*=\s*["\']application/ld\+json["\'][^>]*>(.*?)</script>'
+_LD_BLOCK = r'(?is)<script(?=[^<>]*\stype\s*=\s*["\']?application/ld\+json["\'\s>])[^<>]*>(.*)\z'
 
 
 def jsonld_postings(pages: DataFrame, graph: bool = True, max_chars: int | None = None) -> DataFrame:
     """JobPosting blocks embedded in pages: object, array or ``@graph`` form."""
     blocks = pages.select(
         *[c for c in pages.columns if c != "html"],
-        F.explode(F.regexp_extract_all("html", F.lit(_LD_BLOCK), 1)).alias("block"),
-    ).withColumn("doc", F.try_parse_json("block"))
+        F.explode(F.filter(  # what stands before a closing tag, from the last opening tag of its kind on
+            F.transform(F.split("html", r"(?i)</script\s*>"), lambda part: F.regexp_extract(part, _LD_BLOCK, 1)), lambda b: b != ""
+        )).alias("block"),
+    ).withColumn("doc", parse_json("block"))
     as_items = F.try_variant_get("doc", "$", "array<variant>")
     wrapped = F.when(F.col("doc").isNotNull(), F.array("doc"))
     if graph:
@@ -88,142 +95,105 @@ def script_var_listings(pages: DataFrame, origin: str = "https://internshala.com
     )
 
 
-# (field, priority, pattern): the first non-empty match in priority order wins.
+# (field, priority, selectors): the first element with text in priority order wins.
 DEFAULT_RULES = [
-    ("title", 1, r"(?is)<h1[^>]*class=\"[^\"]*title[^\"]*\"[^>]*>(.*?)</h1>"),
-    ("title", 2, r"(?is)<h2[^>]*class=\"[^\"]*title[^\"]*\"[^>]*>(.*?)</h2>"),
-    ("title", 3, r"(?is)<h1[^>]*>(.*?)</h1>"),
-    ("title", 4, r"(?is)<title[^>]*>(.*?)</title>"),
-    ("company", 1, r"(?is)<(?:span|a|div)[^>]*class=\"[^\"]*company[^\"]*\"[^>]*>(.*?)</(?:span|a|div)>"),
-    ("location", 1, r"(?is)<(?:span|div)[^>]*class=\"[^\"]*loc[^\"]*\"[^>]*>(.*?)</(?:span|div)>"),
-    ("description", 1, r"(?is)<(?:div|section)[^>]*class=\"[^\"]*desc[^\"]*\"[^>]*>(.*?)</(?:div|section)>"),
-    ("description", 2, r"(?is)<article[^>]*>(.*?)</article>"),
-    ("experience", 1, r"(?is)<(?:span|div)[^>]*class=\"[^\"]*exp[^\"]*\"[^>]*>(.*?)</(?:span|div)>"),
-    ("salary", 1, r"(?is)<span[^>]*class=\"[^\"]*sal[^\"]*\"[^>]*>(.*?)</span>"),
-    ("job_type", 1, r"(?is)<span[^>]*class=\"[^\"]*type[^\"]*\"[^>]*>(.*?)</span>"),
-    ("posted_date", 1, r"(?is)<(?:span|time)[^>]*class=\"[^\"]*date[^\"]*\"[^>]*>(.*?)</(?:span|time)>"),
+    ("title", 1, 'h1[class*="title"]'), ("title", 2, 'h2[class*="title"]'), ("title", 3, "h1"), ("title", 4, "title"),
+    ("company", 1, 'span[class*="company"],a[class*="company"],div[class*="company"]'),
+    ("location", 1, 'span[class*="loc"],div[class*="loc"]'),
+    ("description", 1, 'div[class*="desc"],section[class*="desc"]'), ("description", 2, "article"),
+    ("experience", 1, 'span[class*="exp"],div[class*="exp"]'), ("salary", 1, 'span[class*="sal"]'),
+    ("job_type", 1, 'span[class*="type"]'), ("posted_date", 1, 'span[class*="date"],time[class*="date"]'),
 ]
 
 
-def extract_fields(pages: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
-    """Apply ordered field rules; every field is one expression of one scan."""
-    by_field: dict[str, list[tuple[int, str]]] = {}
-    for field, priority, pattern in rules:
-        by_field.setdefault(field, []).append((priority, pattern))
-    fields = [
-        first_filled(*[strip_tags(F.regexp_extract("html", p, 1)) for _, p in sorted(ps)]).alias(field)
-        for field, ps in by_field.items()
-    ]
-    return pages.select(*[c for c in pages.columns if c != "html"], *fields)
-
-
-def _step(selector: str) -> tuple[str, str]:
-    """(tag, attributes) of one selector step as patterns."""
-    m = re.fullmatch(r"([a-z0-9]*)((?:\.[\w-]+)*)(?:#([\w-]+))?(?:\[([\w-]+)(\*?)=\"([^\"]*)\"\])?", selector)
-    if not m:
-        raise ValueError(f"unsupported selector step {selector!r}")
-    tag, classes, ident, attr, part, value = m.groups()
-    tests = [rf"(?=[^>]*\sclass=\"(?:[^\"]*\s)?{re.escape(c)}[\s\"])" for c in classes.split(".")[1:]]
-    if ident:
-        tests.append(rf"(?=[^>]*\sid=\"{re.escape(ident)}\")")
-    if attr:
-        inner = f"[^\"]*{re.escape(value)}[^\"]*" if part else re.escape(value)
-        tests.append(rf"(?=[^>]*\s{attr}=\"{inner}\")")
-    return tag or "[a-z][a-z0-9]*", "".join(tests)
-
-
-def _open_tag(selector: str, capture: bool = False) -> str:
-    tag, tests = _step(selector)
-    return rf"<({tag})\b{tests}[^>]*>" if capture else rf"<(?:{tag})\b{tests}[^>]*>"
-
-
-def selector_pattern(selector: str) -> tuple[str, int]:
-    """(pattern, group of the content) of a simple selector.
-
-    Steps are a tag, classes, an id and one attribute test; a blank means
-    inside.  An element ends at the first closing tag of its own kind.
-    """
-    *outer, last = selector.split(" ")
-    lead = "".join(
-        rf"{_open_tag(step, capture=True)}(?:(?!</\{n}\s*>).)*?" for n, step in enumerate(outer, start=1)
-    )
-    own = len(outer) + 1
-    return rf"(?is){lead}{_open_tag(last, capture=True)}(.*?)</\{own}\s*>", own + 1
+def _over_pages(pages: DataFrame, kept: list[str], names: list[str], rows_of) -> DataFrame:
+    """Rows that ``rows_of(page, site)`` finds in each page, next to the page's own columns; one Arrow pass, no shuffle."""
+    site = "site" in pages.columns
+    schema = pages.select(*kept).schema
+    for name in names:
+        schema = schema.add(name, "long" if name == "card_no" else "string")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sites = batch.column("_site").to_pylist()
+            source, found = [], []
+            for k, (page, of) in enumerate(zip(batch.column("_html"), sites)):
+                for values in rows_of(markup.Page(page.as_py() or ""), of):
+                    source.append(k)
+                    found.append(values)
+            at = pa.array(source, pa.int32())
+            columns = [batch.column(c).take(at) for c in kept]
+            columns += [pa.array([r[k] for r in found], pa.int64() if n == "card_no" else pa.string()) for k, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
 
-def _first_match(html, selectors: list[str]) -> Column:
-    return first_filled(*[strip_tags(F.regexp_extract(as_col(html), *selector_pattern(s))) for s in selectors])
+    return pages.select(
+        *kept, F.col("html").alias("_html"), (F.col("site") if site else F.lit(None).cast("string")).alias("_site")
+    ).mapInArrow(run, schema)
 
 
-_RULES = "ARRAY<STRUCT<pattern STRING, content INT>>"
+def extract_fields(pages: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
+    """Apply ordered field rules; whole elements count, with their nested tags."""
+    by_field: dict[str, list[tuple[int, str]]] = {}
+    for field, priority, selector in rules:
+        by_field.setdefault(field, []).append((priority, selector))
+    ordered = {field: [s for _, s in sorted(own)] for field, own in by_field.items()}
+    return _over_pages(
+        pages, [c for c in pages.columns if c != "html"], list(ordered),
+        lambda page, site: [[page.first_text(own) for own in ordered.values()]],
+    )
 
 
-def _rules_by_site(name: str) -> Column:
-    """Site to its ordered patterns for one field, as a constant map."""
-    entries = []
-    for site, fields in K.SITE_FIELDS.items():
-        patterns = [selector_pattern(sel) for sel in fields.get(name, [])]
-        entries += [F.lit(site), F.array(*[
-            F.struct(F.lit(p).alias("pattern"), F.lit(g).alias("content")) for p, g in patterns
-        ]).cast(_RULES)]
-    return F.create_map(*entries)
+_SITE_NAMES = ["title", "company", "location", "description", "experience", "job_type", "salary", "posted_date", "seniority"]
 
 
 def site_fields(pages: DataFrame) -> DataFrame:
-    """Detail fields by the selectors of each page's own site.
-
-    ``pages`` holds a ``site`` column.  The selectors are data, not code: a
-    field walks the few patterns of its site and stops at the first that gives
-    text, where one branch per site and selector would outgrow what a generated
-    method may hold.
-    """
-    names = ["title", "company", "location", "description", "experience", "job_type", "salary", "posted_date", "seniority"]
+    """Detail fields by the selectors of each page's own ``site``; a field stops at its first selector that gives text."""
+    def rows_of(page: markup.Page, site: str | None) -> list[list]:
+        own = K.SITE_FIELDS.get(site, {})
+        return [[page.first_text(own.get(name, [])) for name in _SITE_NAMES]]
 
-    def field(name: str) -> Column:
-        def step(found: Column, rule: Column) -> Column:
-            content = F.call_function("regexp_extract", F.col("html"), rule["pattern"], rule["content"])
-            return F.when(found.isNotNull(), found).otherwise(empty_to_null(strip_tags(content)))
-
-        rules = F.try_element_at(_rules_by_site(name), F.col("site"))
-        found = F.aggregate(rules, F.lit(None).cast("string"), step)
-        if name == "company":  # one site writes "Role at Company | .." there
-            found = F.when(F.col("site") == "wellfound", title_company(found)).otherwise(found)
-        return found.alias(name)
-
-    return pages.select(*[c for c in pages.columns if c != "html"], *[field(n) for n in names])
+    found = _over_pages(pages, [c for c in pages.columns if c != "html"], _SITE_NAMES, rows_of)
+    # one site writes "Role at Company | .." there
+    return found.withColumn("company", F.when(F.col("site") == "wellfound", title_company("company")).otherwise(F.col("company")))
 
 
 def card_listings(pages: DataFrame, site: str) -> DataFrame:
-    """One listing per result card of a search page.
-
-    A card reaches from its opening tag to the next card or the page end.
-    """
-    card_selectors, fields = K.SITE_CARDS[site]
-    start = "|".join(_open_tag(s) for s in card_selectors)
-    blocks = F.regexp_extract_all("html", F.lit(rf"(?is)(?:{start})(?:(?!{start}).)*+"), 0)
+    """One listing per result card of a search page; a card is a whole element, cards inside a card belong to it."""
+    selectors, fields = K.SITE_CARDS[site]
+    cards, names = ",".join(selectors), list(fields)
     kept = [c for c in pages.columns if c not in ("html", "url", "site")]
     origin = K.SITE_CARD_ORIGINS[site]
-    href = F.regexp_extract("card", _HREF, 1)
-    found = {name: _first_match("card", sels) for name, sels in fields.items()}
-    company = F.coalesce(found["company"], F.lit("Unknown"))
+
+    def rows_of(page: markup.Page, _: str | None) -> list[list]:
+        out, last = [], None
+        for card in page.find(cards):
+            if last is not None and card.number <= last.last:
+                continue
+            last = card
+            link = next((e.attributes["href"] for e in [card, *page.find("a", card)] if e.attributes.get("href")), "")
+            out.append([len(out), link, *(page.first_text(fields[n], card) for n in names)])
+        return out
+
+    rows = _over_pages(pages.drop("site"), kept, ["card_no", "_href", *names], rows_of).filter(F.col("title").isNotNull())
     lead = "Internship: " if site == "internshala" else ""
-    rows = (
-        pages.select(*kept, F.posexplode(blocks).alias("card_no", "card"))
-        .select(
-            *kept, "card_no", found["title"].alias("title"), company.alias("company"),
-            *[v.alias(n) for n, v in found.items() if n not in ("title", "company", "description")],
-            found["description"].alias("_text"), found["company"].alias("_company"),
-            F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(F.lit(origin), href)).alias("url"),
-        )
-        .filter(F.col("title").isNotNull())
-    )
-    described = F.coalesce(
-        "_text", F.concat(F.lit(lead), F.col("title"), F.lit(" at "), F.coalesce("_company", F.lit("")))
+    said = F.concat(F.lit(lead), F.col("title"), F.lit(" at "), F.coalesce("company", F.lit("")))
+    return rows.select(
+        *kept, "card_no", "title", F.coalesce("company", F.lit("Unknown")).alias("company"),
+        *[n for n in names if n not in ("title", "company", "description")],
+        F.when(F.startswith("_href", F.lit("http")), F.col("_href")).otherwise(F.concat(F.lit(origin), F.col("_href"))).alias("url"),
+        F.coalesce("description", said).alias("description"), F.lit(site).alias("source"),
     )
-    return rows.withColumn("description", described).withColumn("source", F.lit(site)).drop("_text", "_company")
 
 
-_HREF = r'(?i)href="([^"]+)"'
+_HREF = r"""(?i)\shref\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)"""
+
+
+def _href(found: Column) -> Column:
+    """The value of a found attribute, without its quotes and with its ampersands decoded."""
+    value = F.regexp_replace(found, r"""(?is)^\s*href\s*=\s*["']?|["']$""", "")
+    for name, char in (("#38", "&"), ("#x26", "&"), ("quot", '"'), ("#39", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        value = F.replace(value, F.lit(f"&{name};"), F.lit(char))
+    return F.trim(value)
 
 
 def resolve_link(href, page_url) -> Column:
@@ -253,7 +223,8 @@ def page_links(pages: DataFrame, pattern: str | None = None, scope: str = "same-
     """Links of hub pages inside the given scope, once per page."""
     # Repeats only arise inside one page, so they go before the rows fan out
     # and no shuffle is needed.
-    found = F.transform(F.regexp_extract_all("html", F.lit(_HREF), 1), lambda h: resolve_link(h, F.col("url")))
+    hrefs = F.filter(F.transform(F.regexp_extract_all("html", F.lit(_HREF), 0), _href), lambda h: h != "")
+    found = F.transform(hrefs, lambda h: resolve_link(h, F.col("url")))
     links = pages.select("page_id", "url", F.explode(F.array_distinct(found)).alias("link")).filter(
         F.rlike("link", F.lit("(?i)^https?://"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake import constants as K
+from postlake.functions.documents import parse_json
 from postlake.functions.hashing import hash16
 from postlake.functions.text import empty_to_null, first_filled, ws_trim
 from postlake.functions.urls import is_http_url, url_origin
@@ -100,7 +101,7 @@ def response_payload(responses: DataFrame) -> DataFrame:
         .otherwise(chat)
     )
     return (
-        responses.withColumn("doc", F.try_parse_json("body"))
+        responses.withColumn("doc", parse_json("body"))
         .withColumn("payload", F.coalesce(payload, F.lit("")))
         .drop("doc")
     )
@@ -117,7 +118,7 @@ def salvage_records(df: DataFrame) -> DataFrame:
     in_brackets = empty_to_null(F.regexp_extract(text, r"(?s)\[.*\]", 0))
     in_braces = empty_to_null(F.regexp_extract(text, r"(?s)\{.*\}", 0))
     chosen = (
-        F.when(F.try_parse_json(text).isNotNull(), text)
+        F.when(parse_json(text).isNotNull(), text)
         .when(in_brackets.isNotNull(), in_brackets)
         .otherwise(in_braces)
     )
@@ -143,7 +144,7 @@ def salvage_records(df: DataFrame) -> DataFrame:
     ]
     return (
         df.withColumn("chosen", chosen)
-        .withColumn("doc", F.try_parse_json("chosen"))
+        .withColumn("doc", parse_json("chosen"))
         # Unparsed text explodes to nothing; a filter here would be pushed down
         # and repeat the whole parse.
         .select(*kept, F.posexplode(items).alias("item_no", "item"))
@@ -200,11 +201,11 @@ def normalize_records(df: DataFrame) -> DataFrame:
     )
 
 
-def to_listing(df: DataFrame) -> DataFrame:
-    """Project extracted records to raw listings."""
+def to_listing(df: DataFrame, *keep: str) -> DataFrame:
+    """Project extracted records to raw listings, with ``keep`` in front."""
     url = first_filled(F.col("apply_link"), F.col("page_url"))
     return df.select(
-        "title", "company",
+        *keep, "title", "company",
         F.coalesce("raw_description", F.concat("title", F.lit(" at "), "company")).alias("description"),
         url.alias("url"), "source", empty_to_null("location").alias("location"), url.alias("apply_url"),
         empty_to_null("job_type").alias("job_type"), empty_to_null("experience").alias("experience"),
@@ -230,7 +231,7 @@ def token_usage(responses: DataFrame) -> DataFrame:
         .otherwise(n("$.usageMetadata.totalTokenCount"))
     )
     return (
-        responses.withColumn("doc", F.try_parse_json("body"))
+        responses.withColumn("doc", parse_json("body"))
         .withColumn("tokens", F.greatest(tokens, F.lit(0.0)).cast("bigint"))
         .drop("doc")
     )

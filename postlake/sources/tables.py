@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake import schema
+from postlake.functions.documents import parse_json
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
@@ -23,7 +24,7 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     fixed = {f.name for f in schema.RUN_LOG}
     lines = spark.read.text(path)
     return (
-        lines.withColumn("doc", F.try_parse_json("value"))
+        lines.withColumn("doc", parse_json("value"))
         .filter(F.col("doc").isNotNull())
         .select(
             F.try_variant_get("doc", "$.timestamp", "timestamp").alias("ts"),
@@ -37,15 +38,17 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Records and size of every shard: lines that start a JSON object count."""
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_size").alias("size_bytes"),
-        F.col("_metadata.file_modification_time").alias("mtime"),
+    """Records and size of every shard: lines that start a JSON object count; an empty shard has none.
+
+    The file listing carries the facts of a file; its bytes are read as lines only.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    records = lines.groupBy("path").agg(F.count_if(F.startswith(F.trim("value"), F.lit("{"))).alias("record_count"))
+    files = spark.read.format("binaryFile").load(path).select(
+        "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime")
     )
-    return lines.groupBy("path", "size_bytes", "mtime").agg(
-        F.count_if(F.startswith(F.trim("value"), F.lit("{"))).alias("record_count")
+    return files.join(records.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")), "path", "left").withColumn(
+        "record_count", F.coalesce("record_count", F.lit(0))
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from postlake import constants as K
 from postlake import schema
 from postlake.functions.hashing import with_fingerprints
-from postlake.operators import alerts, metrics, traffic
+from postlake.operators import alerts, dedup, metrics, traffic
 from postlake.plans import jobs
 from postlake.session import scratch_path
 from postlake.streaming.state import VersionedTable
@@ -56,9 +56,14 @@ def domain_counts(requests: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
     )
 
 
-def dedup_stream(rows: DataFrame, days: int = K.SEEN_RETENTION_DAYS) -> DataFrame:
-    """First row per URL; a URL is forgotten after the retention time."""
+def dedup_stream(rows: DataFrame, days: int = K.SEEN_RETENTION_DAYS, columns: list[str] | None = None) -> DataFrame:
+    """First row per URL; a URL is forgotten after the retention time.
+
+    ``columns`` go through the state's shuffle next to ``ts`` and ``url_hash``; by default all do.
+    """
     hashed = with_fingerprints(rows)
+    if columns is not None:
+        hashed = hashed.select("ts", "url_hash", *columns)
     return hashed.withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["url_hash"])
 
 
@@ -187,7 +192,8 @@ def ingest_writer(
     def step(batch: DataFrame, epoch: int) -> None:
         now = batch.agg(F.date_format(F.max(clock), "yyyy-MM-dd HH:mm:ss")).first()[0] if clock else as_of
         done = jobs.ingest(batch, seen.before(epoch), target_path, now or as_of, order, content_key)
-        seen.write(done["seen"].select([f.name for f in schema.SEEN_STORE]), epoch)
+        kept = dedup.prune_seen(done["seen"], now or as_of)  # entries older than the retention time leave with every batch
+        seen.write(kept.select([f.name for f in schema.SEEN_STORE]), epoch)
         if report:
             report(done["counts"], epoch)
 

@@ -91,10 +91,10 @@ def test_health_limits(spark, change, check, passed, severity):
 def test_health_report_and_alerts(spark):
     reports = health.health_report(snaps(spark, {}, {"success_rate_pct": 60}, {"rate_limit_hits": 31, "proxy_failures": 6}))
     got = {r.severity: r.summary for r in reports.collect()}
-    assert got["healthy"] == ("Crawler healthy — 10 jobs extracted, 90% success rate, "
+    assert got["healthy"] == ("all checks passed: 10 listings, 90% of requests succeeded, "
                               "60 jobs/min, dedup 30.4% (1/10), stored 9")
-    assert got["degraded"].startswith("Crawler DEGRADED: [WARNING] Success rate 60% is below warning threshold 70% | Productivity: ")
-    assert "[CRITICAL] 31 rate-limit hits (critical: 30) | [WARNING] 6 proxy failures (warning: 5)" in got["critical"]
+    assert got["degraded"].startswith("run is degraded: warning (60 of 100 requests succeed; warning below 70); ")
+    assert "critical (31 requests were throttled; critical from 30), warning (6 requests failed at a proxy; warning from 5)" in got["critical"]
     alerts = {r.alert_severity for r in health.alert_rows(reports).collect()}
     assert alerts == {"warning", "critical"}
 

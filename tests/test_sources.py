@@ -1,10 +1,13 @@
 """Feed, API, page and response payloads on inline fixtures."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from postlake.functions import markup
+from postlake.operators import ledger
 from postlake.plans import jobs
 from postlake.sources import apis, feeds, pages, responses
 
@@ -102,8 +105,8 @@ def test_rules_and_links(spark):
             '<a href="/a">a</a><a href="/a">again</a><a href="b?x=1">b</a><a href="https://other.com/c">c</a>'
             '<a href="mailto:x@y.z">m</a><a href="//h.example.com/d">d</a>')
     df = spark.createDataFrame([(1, "https://h.example.com/dir/p.html?q=1", html)], "page_id bigint, url string, html string")
-    row = pages.extract_fields(df, [("title", 2, "(?s)<h1>(.*?)</h1>"), ("title", 1, '(?s)<h1 class="x">(.*?)</h1>'),
-                                    ("company", 1, '(?s)<span class="company[^>]*>(.*?)</span>')]).first()
+    row = pages.extract_fields(df, [("title", 2, "h1"), ("title", 1, "h1.x"),
+                                    ("company", 1, 'span[class*="company"]')]).first()
     assert (row.title, row.company) == ("Fallback", "Acme Co")
     assert {r.link for r in pages.page_links(df).collect()} == {
         "https://h.example.com/a", "https://h.example.com/dir/b?x=1", "https://h.example.com/d"}
@@ -189,16 +192,85 @@ def test_site_fields(spark):
 
 @pytest.mark.parametrize("selector,html,want", [
     ("h2 a", "<h2>x</h2><a>out</a><h2><a>in</a></h2>", "in"), ("div.a", '<div class="aa">1</div><div class="b a">2</div>', "2"),
-    ("[id-x]", "", None), ('li[title="s"] i', '<li title="t"><i>1</i></li><li title="s"><b>x</b><i>2</i></li>', "2"),
-    ("h2 a", "<h2>" + "x " * 300000 + "<a>deep</a></h2>", "deep"),
+    ('li[title="s"] i', '<li title="t"><i>1</i></li><li title="s"><b>x</b><i>2</i></li>', "2"), ("p,h1", "<h1>a</h1><p>b</p>", "a"),
+    ("h2 a", "<h2>" + "x " * 300000 + "<a>deep</a></h2>", "deep"), ("#x", "<div id=x>bare</div>", "bare"), ("div.a", "<div class='a'>q</div>", "q"),
+    ("div.d", '<div class="d"><div>Intro</div><p>Must know SQL</p>..</div><p>after</p>', "Intro Must know SQL .."),
+    ("title", "<title>Tom &amp; Co</title>", "Tom & Co"), ("i", "<i>&amp;amp;</i>", "&amp;"), ("li", "<ul><li>one<li>two</ul>", "one"),
+    ("div", "<div>a<script>no</script>b", "a b"), ("b", "<p>none</p>", None), ('a[href*=">"]', '<a href="x>y">in</a>', "in"),
 ])
-def test_selector_patterns(spark, selector, html, want):
-    if want is None:
-        with pytest.raises(ValueError):
-            pages.selector_pattern(selector)
-        return
-    df = spark.createDataFrame([(html,)], "html string")
-    assert df.select(F.regexp_extract("html", *pages.selector_pattern(selector))).first()[0] == want
+def test_whole_elements(selector, html, want):
+    assert markup.Page(html).first_text([selector]) == want
+
+
+def test_unknown_selectors_are_refused():
+    with pytest.raises(ValueError):
+        markup.Page("<p>x").first_text(["[id-x]"])
+
+
+@pytest.mark.parametrize("part", ["<nav ", '<div class="company-box">', '<a "', "<p>", "</p>", "<li><ul>", "<", "<script>", "<title>"])
+def test_time_of_field_rules_grows_with_the_page(part):
+    def seconds(size):
+        started = time.process_time()
+        page = markup.Page(part * (size // len(part)))
+        for field in pages.K.SITE_FIELDS["cutshort"].values():
+            page.first_text(field)
+        return time.process_time() - started
+
+    seconds(10_000)
+    assert seconds(400_000) < 12 * max(seconds(100_000), 0.05)
+
+
+FEED = "<rss><channel>{}</channel></rss>"
+GOOD = "<item><title>Good</title><link>https://g/1</link><description>d</description></item>"
+
+
+@pytest.mark.parametrize("bad,title,description", [
+    ("<item><title>A&nbsp;B</title><link>https://b</link></item>", "A\u00a0B", ""), ("<item><title>R & D</title><link>https://b</link></item>", "R & D", ""),
+    ("<item><title>T</title><link>https://b</link><description>one<br>two</description></item>", "T", "one two"),
+    ("<item><title><![CDATA[C & <b>D</b>]]></title><link>https://b/?a=1&b=2</link></item>", "C & <b>D</b>", ""),
+])
+def test_a_damaged_item_is_mended_and_takes_nothing_along(spark, bad, title, description):
+    df = spark.createDataFrame([(FEED.format(GOOD + bad + GOOD),)], "body string")
+    got = [(r.title, r.description) for r in feeds.rss_items(df, "creator_company").orderBy("item_no").collect()]
+    assert got == [("Good", "d"), (title, description), ("Good", "d")]
+    assert feeds.rejected_items(df).count() == 0
+
+
+def test_lost_items_are_returned_with_their_reason(spark):
+    body = FEED.format(GOOD + "<item><title>open<link>x</link></item>" + GOOD + "<item><link>https://n</link></item><item><title>cut off")
+    df = spark.createDataFrame([(1, body)], "id int, body string")
+    assert feeds.rss_items(df, "creator_company").count() == 2
+    rejected = [(r.id, r.item_no, r.reason) for r in feeds.rejected_items(df).orderBy("item_no").collect()]
+    assert rejected == [(1, 1, "item does not parse"), (1, 3, "no title"), (1, 4, "item is not closed")]
+
+
+def test_repeated_keys_keep_the_last_value(spark):
+    reply = json.dumps({"choices": [{"message": {"content": '[{"title":"a","title":"A"},{"title":"B","title":"B2"}]'}}]})
+    df = spark.createDataFrame([("openai", "p", "https://h/1", "X_HUB", reply)], "api_format string, provider string, page_url string, source_label string, body string")
+    assert [r.title for r in responses.salvage_records(responses.response_payload(df)).orderBy("item_no").collect()] == ["A", "B2"]
+    usage = df.withColumn("body", F.lit('{"usage":{"total_tokens":5,"total_tokens":7}}'))
+    assert responses.token_usage(usage).first().tokens == 7
+
+
+def test_unquoted_type_and_unclosed_scripts(spark):
+    block = '{"@type":"JobPosting","title":"t","title":"T"}'
+    df = spark.createDataFrame([("u", f"<script>x<script type=application/ld+json>{block}</script><script type='application/ld+json'>open")], "url string, html string")
+    assert [r.title for r in pages.jsonld_postings(df).collect()] == ["T"]
+
+
+def test_links_in_any_quotes(spark):
+    html = "<a href='/single?a=1&amp;b=2'>x</a><a href=/bare>y</a><a HREF = \"/double\">z</a><a href=''>empty</a>"
+    df = spark.createDataFrame([(1, "https://h.example.com/", html)], "page_id bigint, url string, html string")
+    assert {r.link for r in pages.page_links(df).collect()} == {
+        "https://h.example.com/single?a=1&b=2", "https://h.example.com/bare", "https://h.example.com/double"}
+
+
+def test_of_repeated_cache_entries_the_latest_counts(spark):
+    page = spark.createDataFrame([(1, "h")], "page_id int, content_hash string")
+    entries = spark.createDataFrame([("h", "old", "2024-01-01 01:00:00"), ("h", "new", "2024-01-01 02:00:00")], "content_hash string, jobs string, at string")
+    cache = entries.select("content_hash", "jobs", F.col("at").cast("timestamp").alias("cached_at"))
+    hits, misses = ledger.cache_split(page, cache, "2024-01-01 03:00:00")
+    assert [r.jobs for r in hits.collect()] == ["new"] and misses.count() == 0
 
 
 def test_cards(spark):
