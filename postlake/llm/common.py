@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.session import drop_path, materialize, scratch_path
 
 __all__ = [
-    "TABLE_ROWS", "connected_components", "crc32_bucket", "drop_path", "encoded", "materialize", "read", "run_starts",
-    "scratch_path", "text_slices", "words", "whole_runs",
+    "connected_components", "crc32_bucket", "drop_path", "encoded", "materialize", "maybe_among", "read", "run_starts", "scratch_path",
+    "whole_runs", "words",
 ]
 
-#: Rows of one Arrow batch that the text operators build; a bound on memory, not on the result.
-TABLE_ROWS = 65_536
+#: Size of a bitmap of hashes; beyond a quarter of it the bitmap would pass nearly every row and is not made.
+BITMAP_BITS = 1 << 26
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,11 +46,6 @@ def encoded(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield cell.as_py() or b""
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, bytes]]:
-    """(row of the batch, UTF-8 bytes) for each row."""
-    yield from enumerate(encoded(batch.column(column)))
-
-
 def run_starts(*keys: np.ndarray) -> np.ndarray:
     """Positions where any of the sorted keys changes, the first row included."""
     n = len(keys[0])
@@ -88,6 +82,34 @@ def whole_runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def maybe_among(keys: DataFrame, column: str) -> Callable[[str], Column]:
+    """A test on a 64-bit hash column: true for every hash among ``keys``, and for few others.
+
+    It spares a join the rows that cannot match; the join still decides. The bitmap has at most BITMAP_BITS bits, so what
+    the tasks receive is bounded; with too many keys for it the test is true everywhere, and all rows take the join.
+    """
+    n = keys.count()
+    if n > BITMAP_BITS // 4:
+        return lambda _: F.lit(True)
+    bits = min(BITMAP_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    bit = F.pmod(F.col(column), F.lit(bits))
+    cells = (
+        keys.select(F.floor(bit / 64).cast("int").alias("cell"), F.pmod(bit, F.lit(64)).cast("int").alias("bit"))
+        .groupBy("cell").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("set")).toArrow()  # at most BITMAP_BITS / 64 rows
+    )
+    bitmap = np.zeros(bits // 64, dtype=np.uint64)
+    bitmap[cells.column("cell").to_numpy()] = cells.column("set").to_numpy().view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def among(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for h in batches:
+            at = h.to_numpy().view(np.uint64) & np.uint64(bits - 1)
+            yield pd.Series((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0)
+
+    return among
+
+
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) of an undirected graph given as distinct ``a``, ``b`` of bigint: component is the smallest node reachable.
 

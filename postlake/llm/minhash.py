@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import connected_components, encoded, materialize, run_starts, whole_runs, words
+from postlake.llm.common import connected_components, drop_path, encoded, materialize, maybe_among, run_starts, whole_runs, words
 
 SHINGLE = 5
 #: Positions of a signature, one byte each; trees of the forest and the prefix lengths a region goes through.
@@ -133,25 +133,35 @@ def _keys(rows: DataFrame, depth: int, all_trees: bool) -> DataFrame:
     return rows.mapInArrow(run, "cls long, tree int, key long")
 
 
-def _regions(classes: DataFrame) -> DataFrame:
-    """(cls, tree, key, unit): the region of a class in a tree, and the step that compares it; regions of one member left out."""
+def _regions(classes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(cls, tree, key, unit): the region of a class in a tree, and the step that compares it; regions of one member left out.
+
+    Also returns the paths of the tables that the frame reads.
+    """
     signatures = classes.select("cls", "signature")
-    level, _ = materialize(_keys(signatures, DEPTHS[0], True), "forest-keys")
-    found = []
+    level, path = materialize(_keys(signatures, DEPTHS[0], True), "forest-keys")
+    found, paths = [], [path]
     for depth in DEPTHS:
         last = depth == DEPTHS[-1]
-        counts, _ = materialize(
+        counts, path = materialize(
             level.groupBy("key").agg(
                 F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"),
                 F.sum(F.shiftrightunsigned(F.xxhash64("cls", F.lit(1)), 24)).alias("s"),
             ).where("n > 1"), "forest-regions",
         )
-        small = counts.where(F.col("n") <= REGION).groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
-        found.append(level.join(small, "key").select("cls", "tree", "key", F.col("key").alias("unit")))
+        paths.append(path)
+        # nearly all prefixes belong to one class: rows of the others are told by a bitmap before anything is shuffled
+        small, path = materialize(
+            counts.where(F.col("n") <= REGION).groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"), "forest-small"
+        )
+        paths.append(path)
+        found.append(
+            level.where(maybe_among(small, "key")("key")).join(small, "key").select("cls", "tree", "key", F.col("key").alias("unit"))
+        )
         crowded = counts.where(F.col("n") > REGION).select("key", "n")
         if crowded.isEmpty():
             break
-        hot = level.join(crowded, "key")
+        hot = level.where(maybe_among(crowded, "key")("key")).join(crowded, "key")
         if last:
             blocks = F.ceil(2 * F.col("n") / REGION).cast("int")
             own = F.pmod(F.xxhash64("cls", F.lit(2)), blocks).cast("int")
@@ -160,13 +170,23 @@ def _regions(classes: DataFrame) -> DataFrame:
                 .select("cls", "tree", "key", F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other")).alias("unit"))
             )
         else:
-            level, _ = materialize(
-                _keys(hot.select("cls", "tree").join(signatures, "cls"), DEPTHS[DEPTHS.index(depth) + 1], False), "forest-keys"
-            )
+            rows, path = materialize(hot.select("cls", "tree"), "forest-crowded")
+            paths.append(path)
+            if depth == DEPTHS[0]:  # deeper levels hold none but these classes
+                signatures, path = materialize(signatures_of(classes, rows, "cls", "signature"), "forest-signatures")
+                paths.append(path)
+            level, path = materialize(_keys(rows.join(signatures, "cls"), DEPTHS[DEPTHS.index(depth) + 1], False), "forest-keys")
+            paths.append(path)
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
-    return out
+    return out, paths
+
+
+def signatures_of(classes: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the classes that ``rows`` may name by ``cls``; the others are told before the join by a bitmap."""
+    among = maybe_among(rows.select(F.xxhash64("cls").alias("h")).distinct(), "h")
+    return classes.select(*columns, F.xxhash64("cls").alias("h")).where(among("h")).drop("h")
 
 
 def _members(classes: DataFrame, regions: DataFrame) -> DataFrame:
@@ -192,7 +212,7 @@ def _members(classes: DataFrame, regions: DataFrame) -> DataFrame:
             )
 
     entries = regions.groupBy("cls").agg(F.collect_list(F.struct("tree", "key", "unit")).alias("entries"))  # a few per tree
-    joined = entries.join(classes.select("cls", "n_shingles", "signature"), "cls")
+    joined = entries.join(signatures_of(classes, regions, "cls", "n_shingles", "signature"), "cls")
     return joined.select("cls", "entries", "n_shingles", "signature").mapInArrow(
         run, "unit long, tree int, cls long, n_shingles long, signature binary, keys binary"
     )
@@ -276,6 +296,14 @@ def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
+_TEXT_KEY = ("text_hash", "id", "no_id")
+
+
+def _text_key(doc_id, text_hash) -> list:
+    """What names a text, without nulls: grouping and joining by it need the same distribution."""
+    return [text_hash.alias("text_hash"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id")]
+
+
 def _state(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(one row per document, one row per class with its component's smallest doc_id)."""
     sets, _ = materialize(_sets(docs), "shingle-sets")
@@ -286,15 +314,22 @@ def _state(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         ).withColumn("cls", F.monotonically_increasing_id()),
         "shingle-classes",
     )
-    candidates, _ = materialize(_partners(_members(classes, _regions(classes)), percent), "forest-candidates")
-    wanted = candidates.select("cls").distinct().join(classes.select("cls", "source"), "cls").select(
-        "cls", F.col("source.doc_id").alias("wanted_id"), F.col("source.text_hash").alias("wanted_hash")
-    )
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = (
-        keyed.join(wanted, (F.col("text_hash") == F.col("wanted_hash")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")))
-        .groupBy("cls").agg(F.first("text").alias("text"))
+    regions, paths = _regions(classes)
+    regions, path = materialize(regions, "forest-members")
+    paths.append(path)
+    candidates, _ = materialize(_partners(_members(classes, regions), percent), "forest-candidates")
+    for path in paths:
+        drop_path(docs.sparkSession, path)
+    wanted, _ = materialize(
+        candidates.select("cls").distinct().join(classes.select("cls", "source"), "cls").select(
+            "cls", *_text_key(F.col("source.doc_id"), F.col("source.text_hash"))
+        ), "forest-wanted",
     )
+    among = maybe_among(wanted, "text_hash")
+    keyed = docs.select(*_text_key(F.col("doc_id").cast("long"), F.xxhash64("text")), "text").where(among("text_hash"))
+    # repeated rows are merged where they are read, so each text moves once to its key and once to its class
+    single = keyed.groupBy(*_TEXT_KEY).agg(F.first("text").alias("text"))
+    texts = single.join(wanted, list(_TEXT_KEY)).select("cls", "text")
     edges, _ = materialize(
         _confirmed(candidates.join(texts, "cls").select("unit", "cls", "partners", "text"), percent), "forest-links"
     )
