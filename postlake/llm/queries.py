@@ -126,3 +126,22 @@ def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log probability of every document under the suffix tree and under word counts."""
     return suffix_tree.score(read(spark, sf_dir, "documents"))
+
+
+# Links decided pair by pair on the shingles that two documents share: quick on small tables only.
+ORACLES["op6_lsh_forest"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sh AS (
+    SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END)) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+walk AS (SELECT doc_id, doc_id AS node FROM documents UNION SELECT k.doc_id, l.b FROM walk k JOIN ways l ON l.a = k.node),
+comp AS (SELECT doc_id, min(node) AS component_id FROM walk GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN comp c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
