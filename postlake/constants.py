@@ -303,6 +303,25 @@ SITE_FIELDS = {
     },
 }
 
+# Detail links of hub pages (fixed values).
+HUB_LINKS = {
+    "cutshort": ['a[href*="/job/"]', 'a[href*="/jobs/"]', 'div[class*="job-card"] a'],
+    "timesjobs": ["h2 a"],
+    "wellfound": ['a[href*="/jobs/"]', 'a[class*="styles_jobTitle__"]'],
+    "shine": ['a[href*="/job/"]', 'a[href*="/jobs/"]', "h2 a", 'h3 a[class*="title"]'],
+    "indeed": ['a[data-testid="job-title"]', "h2.jobTitle a", ".jobtitle a"],
+    "foundit": ['a[href*="/job/"]', 'a[href*="/job-listings/"]', "h3.jobTitle a", 'a[class*="cardTitle"]'],
+}
+# Hubs whose listings are numbered: cards, the card's own mark, links of a card, address of a detail page.
+HUB_NUMBERED = {
+    "linkedin": (
+        ["li.jobs-search-results__list-item", 'li[class*="job-card-container"]', "div[data-occludable-job-id]"],
+        "data-entity-urn", ['a[href*="/jobs/view/"]', ".base-card__full-link", ".job-card-list__title"], "https://www.linkedin.com/jobs/view/{id}/",
+    ),
+}
+SEARCH_CARDS = ["li[data-jds]", "[data-jdh]", "article[data-encoded-doc]"]
+SEARCH_TITLES = ['[role="heading"]', 'div[class*="title"]', "h2", "h3"]
+
 # Result cards: card selectors, then the fields inside one card.
 SITE_CARDS = {
     "internshala": (

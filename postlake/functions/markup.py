@@ -19,7 +19,7 @@ SIBLINGS = frozenset("p li option tr td th dt dd".split())
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>`]+)))?""")
 _TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _BLANKS = re.compile(r"[\s ﻿]+")
-_STEP = re.compile(r"""([a-z0-9]*)((?:\.[\w-]+)*)(?:#([\w-]+))?(?:\[([\w-]+)(\*?)="([^"]*)"\])?""")
+_STEP = re.compile(r"""([a-z0-9]*)((?:\.[\w-]+)*)(?:#([\w-]+))?(?:\[([\w-]+)(?:(\*?)="([^"]*)")?\])?""")
 
 
 class Element:
@@ -105,7 +105,7 @@ def _step(step: str) -> tuple:
     if not m or not step:
         raise ValueError(f"unsupported selector step {step!r}")
     tag, classes, ident, attribute, part, value = m.groups()
-    return tag, frozenset(classes.split(".")[1:]), ident, attribute, bool(part), value
+    return tag, frozenset(classes.split(".")[1:]), ident, attribute, bool(part), value  # value None: the attribute is there
 
 
 def _fits(e: Element, step: tuple) -> bool:
@@ -121,7 +121,7 @@ def _fits(e: Element, step: tuple) -> bool:
         return False
     if ident and a.get("id") != ident:
         return False
-    return not attribute or (attribute in a and (value in a[attribute] if part else a[attribute] == value))
+    return not attribute or (attribute in a and (value is None or (value in a[attribute] if part else a[attribute] == value)))
 
 
 def _matches(e: Element, steps: list[tuple], inside: Element | None) -> bool:

@@ -139,6 +139,48 @@ def card_listings(spark, sf):
     )
 
 
+@query(
+    "hub_detail_links",
+    """SELECT page_id, 'https://www.linkedin.com/jobs/view/' || (10000000000 + page_id) || '/' AS link FROM pages WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id, 'https://www.linkedin.com/jobs/view/' || page_id || '/' FROM pages WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id, lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) || '/job/' || page_id || '?a=1&b=2' FROM pages WHERE page_id % 3 = 1
+    UNION ALL SELECT page_id, lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) || '/d/' || page_id FROM pages WHERE page_id % 3 = 2""",
+)
+def hub_detail_links(spark, sf):
+    """Hubs of three sites around the pages' own markup: numbered cards, some of them twice, and links by selector."""
+    number, way = F.col("page_id").cast("string"), F.col("page_id") % 3
+    card = lambda *inside: F.concat(F.lit('<li class="jobs-search-results__list-item"'), *inside, F.lit("</li>"))
+    marked = card(F.lit(" data-entity-urn='urn:li:jobPosting:"), (F.col("page_id") + 10_000_000_000).cast("string"), F.lit("'><i>x</i>"))
+    linked = card(F.lit('><a href="/other">o</a><a href="https://in.linkedin.com/jobs/view/'), number, F.lit('?trk=1">go</a>'))
+    hub = (
+        F.when(way == 0, F.concat(marked, linked, marked, card(F.lit(">no number"))))
+        .when(way == 1, F.concat(F.lit("<div class='job-card-x'><a href='/job/"), number, F.lit("?a=1&amp;b=2'>t</a></div><a href='https://else.example.com/job/1'>x</a>")))
+        .otherwise(F.concat(F.lit("<h2><span><a href=/d/"), number, F.lit(">t</a></span></h2><a href='/no'>n</a>")))
+    )
+    site = V._pick(["linkedin", "cutshort", "timesjobs"], (way + 1).cast("int"))
+    return P.hub_detail_links(_pages(spark, sf).select("page_id", "url", site.alias("site"), hub.alias("html")))
+
+
+@query(
+    "search_cards",
+    f"""WITH p AS (SELECT page_id, coalesce(nullif({_decoded(S.strip_tags(S.page_title('html')))}, ''), 'none') AS t, {S.host('url')} AS c FROM pages)
+    SELECT page_id, CAST(0 AS BIGINT) AS card_no, 'Card ' || t AS title, c AS company, 'Pune' AS location,
+      'https://share.example.com/' || page_id AS url FROM p WHERE page_id % 2 = 0
+    UNION ALL SELECT page_id, 1, 'Second ' || page_id, 'Unknown', NULL, 'https://www.google.com/r/' || page_id FROM p WHERE page_id % 2 = 0
+    UNION ALL SELECT page_id, 0, 'Flat ' || t, c, 'Delhi', '' FROM p WHERE page_id % 2 = 1""",
+)
+def search_cards(spark, sf):
+    number = F.col("page_id").cast("string")
+    title = F.coalesce(F.nullif(page_title("html"), F.lit("")), F.lit("none"))
+    first = F.concat(F.lit("<li data-jds='1' data-share-url='https://share.example.com/"), number, F.lit("'><div role=\"heading\">Card "), title,
+                     F.lit("</div><div>"), url_host("url"), F.lit("</div><div>Pune</div><a href='/not'>x</a></li>"))
+    second = F.concat(F.lit("<article data-encoded-doc=x><h3>Second "), number, F.lit("</h3><a href='/r/"), number, F.lit("'>go</a></article>"))
+    flat = F.concat(F.lit("<ul><div role='listitem'><div>mark</div><h3>Flat "), title, F.lit("</h3><div>"), url_host("url"),
+                    F.lit("</div><div>Delhi</div></div></ul>"))
+    html = F.when(F.col("page_id") % 2 == 0, F.concat(first, second, first)).otherwise(flat)
+    return P.search_cards(_pages(spark, sf).select("page_id", html.alias("html"))).drop("description")
+
+
 _PLANTED = K.BLOCK_PHRASES + ["just a moment", "sign in to linkedin", "robot", "plain page"]
 
 

@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlake import constants as K
 from postlake.functions import markup
@@ -21,7 +21,7 @@ from postlake.functions.text import (
     as_col, contains_any, content_cap, empty_to_null, head, literal_pattern, page_text, page_title, title_company,
     visible_body, ws_trim,
 )
-from postlake.functions.urls import url_host, url_origin, url_scheme
+from postlake.functions.urls import numeric_job_id, url_host, url_origin, url_scheme
 
 _LD_BLOCK = r'(?is)<script(?=[^<>]*\stype\s*=\s*["\']?application/ld\+json["\'\s>])[^<>]*>(.*)\z'
 
@@ -106,12 +106,13 @@ DEFAULT_RULES = [
 ]
 
 
-def _over_pages(pages: DataFrame, kept: list[str], names: list[str], rows_of) -> DataFrame:
+def _over_pages(pages: DataFrame, kept: list[str], names: list[str], rows_of, lists: tuple[str, ...] = ()) -> DataFrame:
     """Rows that ``rows_of(page, site)`` finds in each page, next to the page's own columns; one Arrow pass, no shuffle."""
     site = "site" in pages.columns
     schema = pages.select(*kept).schema
     for name in names:
-        schema = schema.add(name, "long" if name == "card_no" else "string")
+        kind = T.LongType() if name == "card_no" else T.ArrayType(T.StringType()) if name in lists else T.StringType()
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +124,8 @@ def _over_pages(pages: DataFrame, kept: list[str], names: list[str], rows_of) ->
                     found.append(values)
             at = pa.array(source, pa.int32())
             columns = [batch.column(c).take(at) for c in kept]
-            columns += [pa.array([r[k] for r in found], pa.int64() if n == "card_no" else pa.string()) for k, n in enumerate(names)]
+            kinds = [pa.int64() if n == "card_no" else pa.list_(pa.string()) if n in lists else pa.string() for n in names]
+            columns += [pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
 
     return pages.select(
@@ -196,6 +198,72 @@ def _href(found: Column) -> Column:
     return F.trim(value)
 
 
+def hub_detail_links(pages: DataFrame) -> DataFrame:
+    """Detail pages that a hub page of its own ``site`` leads to, once per hub page, and never off the hub's host.
+
+    Sites with numbered listings give the number in a card's own mark or in a link of the card; the detail address is
+    built from it, so a listing that stands twice under different links counts once.
+    """
+    def rows_of(page: markup.Page, site: str | None) -> list[list]:
+        if site in K.HUB_NUMBERED:
+            cards, mark, links, _ = K.HUB_NUMBERED[site]
+            out = []
+            for card in page.find(",".join(cards)):
+                tries = [card.attributes.get(mark, "")]
+                tries += [a.attributes.get("href", "") for a in page.find(",".join(links), card)]
+                out.append([None, tries])
+            return out
+        selectors = K.HUB_LINKS.get(site)
+        return [[a.attributes["href"], None] for a in page.find(",".join(selectors)) if a.attributes.get("href")] if selectors else []
+
+    found = _over_pages(pages, ["page_id", "url", "site"], ["href", "tries"], rows_of, lists=("tries",))
+    number = F.get(F.filter(F.transform("tries", numeric_job_id), lambda n: n.isNotNull()), F.lit(0))
+    template = F.lit(None).cast("string")
+    for site, (_, _, _, address) in K.HUB_NUMBERED.items():
+        template = F.when(F.col("site") == site, F.lit(address)).otherwise(template)
+    absolute = resolve_link("href", "url")
+    link = F.when(F.col("tries").isNotNull(), F.replace(template, F.lit("{id}"), number)).when(url_host(absolute) == url_host("url"), absolute)
+    return found.select("page_id", link.alias("link")).filter(F.col("link").isNotNull()).distinct()
+
+
+def search_cards(pages: DataFrame, origin: str = "https://www.google.com") -> DataFrame:
+    """Listings among search results: marked cards, or the items of a flat list where a page has no marked card.
+
+    A listing stands once per page; descriptions are whole.
+    """
+    names = ["title", "company", "location", "url", "description"]
+
+    def rows_of(page: markup.Page, _: str | None) -> list[list]:
+        out, seen = [], set()
+
+        def add(title, company, location, link, text, key):
+            if title and key not in seen:
+                seen.add(key)
+                out.append([len(out), title, company or "Unknown", location or None, link, text])
+
+        for card in page.find(",".join(K.SEARCH_CARDS)):
+            title = page.first_text(K.SEARCH_TITLES, card)
+            blocks = [page.text(e) for e in page.find("div,div span", card)]
+            blocks = [b for b in blocks if b and b != title]
+            company = page.first_text(['[class*="company"]'], card) or (blocks[0] if blocks else "")
+            place = page.first_text(['[class*="location"]'], card) or (blocks[1] if len(blocks) > 1 else "")
+            link = card.attributes.get("data-share-url") or next((a.attributes["href"] for a in page.find("a[href]", card)), "")
+            if title and len(title) > 3:
+                add(title, company, place, link, page.text(card), (title, company))
+        if not out:
+            for item in page.find('[role="listitem"]'):
+                blocks = [page.text(e) for e in page.find("div", item)]
+                link = next((a.attributes["href"] for a in page.find("a[href]", item)), "")
+                title = page.first_text(["h3", '[role="heading"]'], item)
+                add(title, *(blocks[1:3] + ["", ""])[:2], link, page.text(item), title)
+        return out
+
+    kept = [c for c in pages.columns if c not in ("html", "url", "site")]
+    found = _over_pages(pages, kept, ["card_no", *names], rows_of)
+    return found.withColumn("url", F.when((F.col("url") == "") | F.startswith("url", F.lit("http")), F.col("url"))
+                            .otherwise(F.concat(F.lit(origin), F.col("url"))))
+
+
 def resolve_link(href, page_url) -> Column:
     """Absolute form of a link found on a page."""
     h, base = as_col(href), as_col(page_url)

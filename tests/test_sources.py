@@ -196,7 +196,7 @@ def test_site_fields(spark):
     ("h2 a", "<h2>" + "x " * 300000 + "<a>deep</a></h2>", "deep"), ("#x", "<div id=x>bare</div>", "bare"), ("div.a", "<div class='a'>q</div>", "q"),
     ("div.d", '<div class="d"><div>Intro</div><p>Must know SQL</p>..</div><p>after</p>', "Intro Must know SQL .."),
     ("title", "<title>Tom &amp; Co</title>", "Tom & Co"), ("i", "<i>&amp;amp;</i>", "&amp;"), ("li", "<ul><li>one<li>two</ul>", "one"),
-    ("div", "<div>a<script>no</script>b", "a b"), ("b", "<p>none</p>", None), ('a[href*=">"]', '<a href="x>y">in</a>', "in"),
+    ("div", "<div>a<script>no</script>b", "a b"), ("b", "<p>none</p>", None), ("[data-x]", "<i>1</i><i data-x>2</i>", "2"), ('a[href*=">"]', '<a href="x>y">in</a>', "in"),
 ])
 def test_whole_elements(selector, html, want):
     assert markup.Page(html).first_text([selector]) == want
@@ -204,7 +204,7 @@ def test_whole_elements(selector, html, want):
 
 def test_unknown_selectors_are_refused():
     with pytest.raises(ValueError):
-        markup.Page("<p>x").first_text(["[id-x]"])
+        markup.Page("<p>x").first_text(["ul > li"])
 
 
 @pytest.mark.parametrize("part", ["<nav ", '<div class="company-box">', '<a "', "<p>", "</p>", "<li><ul>", "<", "<script>", "<title>"])
@@ -280,3 +280,22 @@ def test_cards(spark):
     assert [(r.title, r.company, r.url, r.description) for r in rows] == [
         ("A", "C", "https://internshala.com/internship/1", "Internship: A at C"),
         ("B", "Unknown", "https://internshala.com", "Internship: B at ")]
+
+
+def test_hub_links_by_site(spark):
+    card = '<li class="jobs-search-results__list-item" {}>{}</li>'
+    linkedin = (card.format('data-entity-urn="urn:li:jobPosting:3912345678"', "a") + card.format("", '<a href="/jobs/view/42?x=1">b</a>')
+                + card.format("", '<a href="https://www.linkedin.com/jobs/view/3912345678">again</a>') + card.format("", "<a href='/else'>c</a>"))
+    timesjobs = "<h2><a href='/d/1?a=1&amp;b=2'>t</a></h2><h2><a href='https://other.example.com/2'>off</a></h2><a href='/no'>n</a>"
+    df = spark.createDataFrame([(1, "https://www.linkedin.com/jobs/search", "linkedin", linkedin), (2, "https://t.example.com/s", "timesjobs", timesjobs),
+                                (3, "https://u.example.com/", "unknown", timesjobs), (4, None, None, None)], "page_id bigint, url string, site string, html string")
+    assert {(r.page_id, r.link) for r in pages.hub_detail_links(df).collect()} == {
+        (1, "https://www.linkedin.com/jobs/view/3912345678/"), (1, "https://www.linkedin.com/jobs/view/42/"), (2, "https://t.example.com/d/1?a=1&b=2")}
+
+
+def test_search_cards_fall_back_to_the_flat_list(spark):
+    cards = "<li data-jds='1'><h3>First job</h3><div>Acme</div><div>Pune</div><a href='/r'>go</a></li><li data-jds='2'><h3>abc</h3></li>"
+    flat = "<div role='listitem'><div>x</div><h3>Flat</h3><div>Co</div></div>"
+    df = spark.createDataFrame([(1, cards + flat), (2, flat + flat), (3, None)], "page_id bigint, html string")
+    got = [(r.page_id, r.title, r.company, r.location, r.url) for r in pages.search_cards(df).orderBy("page_id").collect()]
+    assert got == [(1, "First job", "Acme", "Pune", "https://www.google.com/r"), (2, "Flat", "Co", None, "")]
