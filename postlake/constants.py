@@ -219,12 +219,6 @@ FRONTIER_SITES = [
 # Sites that leave out the location parameter when there is no location.
 OPTIONAL_LOCATION_SITES = ["indeed", "wellfound"]
 
-DEFAULT_QUERIES = [
-    ("software developer fresher", "India", 50),
-    ("software engineer intern", "India", 50),
-    ("web developer junior", "India", 30),
-    ("data analyst fresher", "India", 30),
-]
 
 # --- page fields per site (fixed values) ----------------------------------------
 # Selectors in order of preference.

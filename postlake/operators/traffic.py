@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake import constants as K
-from postlake.functions.scalars import half_up, is_rate_limited, ts_literal
+from postlake import schema
+from postlake.functions.scalars import backoff_ms, failure_class, half_up, is_rate_limited, ts_literal
 from postlake.functions.text import as_col
 from postlake.functions.urls import domain_of
 from postlake.operators.running import last_n, running, time_bucket, trailing_count
@@ -147,6 +148,21 @@ def attempt_no(
     return both.withColumn("attempt", number.cast("bigint")).drop("_fails", "_reset", "_earlier")
 
 
+def violation_records(log: DataFrame, n: int | None = None) -> DataFrame:
+    """Throttled and blocked requests with reason, attempt and the wait before the next try.
+
+    ``log`` holds (event_id, domain, ts, status). ``n=VIOLATION_HISTORY`` keeps the newest, as the collected system does.
+    """
+    failed = attempt_no(log.withColumn("success", F.coalesce(F.col("status") == 200, F.lit(False))))
+    rows = with_policy(failed.filter(is_rate_limited("status"))).withColumns({
+        "reason": failure_class("status"), "backoff_ms": backoff_ms("attempt", "backoff_mult", "max_backoff_ms"),
+    })
+    if n is not None:
+        rows = last_n(rows, n, ["ts", "event_id"])
+    columns = {"status_code": "status"}
+    return rows.select(*[F.col(columns.get(f.name, f.name)).cast(f.dataType).alias(f.name) for f in schema.VIOLATION], "event_id")
+
+
 def recent_history(viol: DataFrame, n: int = K.RECENT_VIOLATIONS_SHOWN) -> DataFrame:
     """The newest violations, newest first."""
     return last_n(viol, n, ["ts", "event_id"])

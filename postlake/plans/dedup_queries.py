@@ -184,7 +184,7 @@ def _sql_hashes(src: str, mode: str) -> str:
     )
 
 
-def _sql_history(mode: str) -> str:
+def sql_history(mode: str) -> str:
     return f"""{V.SQL_DOC_LISTINGS}, {V.SQL_DOC_RECRAWL},
     seen AS (SELECT url_hash, content_hash, desc_hash, TIMESTAMP '{V.AS_OF}' - to_days(CAST(seq % 40 AS INTEGER)) AS stored_at
       FROM ({_sql_hashes('v_doc_listings', mode)})),
@@ -196,50 +196,50 @@ def _sql_history(mode: str) -> str:
       ELSE 'none' END AS verdict FROM batch b LEFT JOIN content_keys k ON b.content_hash = k.content_hash)"""
 
 
-_BOARDS = "title_company_location"
+BOARDS = "title_company_location"
 
 
-@query("history_url_match", f"WITH {_sql_history('url_title')} SELECT seq FROM verdicts WHERE verdict = 'url'")
+@query("history_url_match", f"WITH {sql_history('url_title')} SELECT seq FROM verdicts WHERE verdict = 'url'")
 def history_url_match(spark, sf):
     return dedup.match_url(_fp(V.v_doc_recrawl(spark, sf)), _seen(spark, sf, "url_title")).select("seq")
 
 
 @query(
     "history_content_match",
-    f"""WITH {_sql_history(_BOARDS)} SELECT b.seq FROM batch b JOIN content_keys k ON b.content_hash = k.content_hash
+    f"""WITH {sql_history(BOARDS)} SELECT b.seq FROM batch b JOIN content_keys k ON b.content_hash = k.content_hash
       WHERE list_contains(k.texts, b.desc_hash) OR k.last_seen > TIMESTAMP '{V.AS_OF}' - INTERVAL 7 DAY""",
 )
 def history_content_match(spark, sf):
-    batch = _fp(V.v_doc_recrawl(spark, sf), _BOARDS)
-    return dedup.match_content(batch, _seen(spark, sf, _BOARDS), V.AS_OF).select("seq")
+    batch = _fp(V.v_doc_recrawl(spark, sf), BOARDS)
+    return dedup.match_content(batch, _seen(spark, sf, BOARDS), V.AS_OF).select("seq")
 
 
-@query("dedup_verdict", f"WITH {_sql_history('url_title')} SELECT seq, verdict FROM verdicts")
+@query("dedup_verdict", f"WITH {sql_history('url_title')} SELECT seq, verdict FROM verdicts")
 def dedup_verdict(spark, sf):
     batch = _fp(V.v_doc_recrawl(spark, sf))
     return dedup.dedup_verdict(batch, _seen(spark, sf, "url_title"), V.AS_OF).select("seq", "verdict")
 
 
-@query("dedup_verdict_cross_board", f"WITH {_sql_history(_BOARDS)} SELECT seq, verdict FROM verdicts")
+@query("dedup_verdict_cross_board", f"WITH {sql_history(BOARDS)} SELECT seq, verdict FROM verdicts")
 def dedup_verdict_cross_board(spark, sf):
-    batch = _fp(V.v_doc_recrawl(spark, sf), _BOARDS)
-    return dedup.dedup_verdict(batch, _seen(spark, sf, _BOARDS), V.AS_OF).select("seq", "verdict")
+    batch = _fp(V.v_doc_recrawl(spark, sf), BOARDS)
+    return dedup.dedup_verdict(batch, _seen(spark, sf, BOARDS), V.AS_OF).select("seq", "verdict")
 
 
 @query(
     "dedup_stats",
-    f"""WITH {_sql_history(_BOARDS)} SELECT count(*) AS processed, count(*) FILTER (verdict = 'url') AS skipped_url,
+    f"""WITH {sql_history(BOARDS)} SELECT count(*) AS processed, count(*) FILTER (verdict = 'url') AS skipped_url,
       count(*) FILTER (verdict = 'content') AS skipped_content, count(*) FILTER (verdict = 'none') AS stored,
       {S.half_up("count(*) FILTER (verdict <> 'none') / count(*) * 100")} AS dup_rate_pct FROM verdicts""",
 )
 def dedup_stats(spark, sf):
-    batch = _fp(V.v_doc_recrawl(spark, sf), _BOARDS)
-    return dedup.dedup_stats(dedup.dedup_verdict(batch, _seen(spark, sf, _BOARDS), V.AS_OF))
+    batch = _fp(V.v_doc_recrawl(spark, sf), BOARDS)
+    return dedup.dedup_stats(dedup.dedup_verdict(batch, _seen(spark, sf, BOARDS), V.AS_OF))
 
 
 @query(
     "mark_seen",
-    f"""WITH {_sql_history('url_title')}, added AS (SELECT url_hash, content_hash, desc_hash, TIMESTAMP '{V.AS_OF}' AS stored_at FROM batch),
+    f"""WITH {sql_history('url_title')}, added AS (SELECT url_hash, content_hash, desc_hash, TIMESTAMP '{V.AS_OF}' AS stored_at FROM batch),
     both_ AS (SELECT *, 0 AS n FROM seen UNION ALL SELECT *, 1 AS n FROM added)
     SELECT url_hash, content_hash, desc_hash, epoch_us(stored_at) AS stored_us FROM both_
       QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY n DESC, stored_at DESC, content_hash, desc_hash) = 1""",
@@ -253,7 +253,7 @@ def mark_seen(spark, sf):
 
 @query(
     "prune_seen",
-    f"""WITH {_sql_history('url_title')} SELECT url_hash, epoch_us(stored_at) AS stored_us FROM seen
+    f"""WITH {sql_history('url_title')} SELECT url_hash, epoch_us(stored_at) AS stored_us FROM seen
       WHERE stored_at >= TIMESTAMP '{V.AS_OF}' - INTERVAL 30 DAY""",
 )
 def prune_seen(spark, sf):
@@ -262,7 +262,7 @@ def prune_seen(spark, sf):
     )
 
 
-@query("seen_store_size", f"WITH {_sql_history('url_title')} SELECT count(*) AS store_size FROM seen")
+@query("seen_store_size", f"WITH {sql_history('url_title')} SELECT count(*) AS store_size FROM seen")
 def seen_store_size(spark, sf):
     return dedup.store_size(_seen(spark, sf, "url_title"))
 
@@ -361,7 +361,7 @@ def union_sources(spark, sf):
 
 # --- the whole batch -----------------------------------------------------------------
 
-_SQL_INGEST = f"""{_sql_history('url_title')}, {SQL_DIRTY},
+_SQL_INGEST = f"""{sql_history('url_title')}, {SQL_DIRTY},
     offered AS (SELECT seq, url, title, company, description, source FROM v_doc_recrawl
       UNION ALL SELECT seq + {V.RECRAWL}, url, title, company, description, source FROM dirty),
     ok AS (SELECT seq, url, title, coalesce(company, 'Unknown Company') AS company, description, source,

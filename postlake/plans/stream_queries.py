@@ -9,6 +9,7 @@ from postlake.operators import metrics
 from postlake.plans import sqltext as S
 from postlake.plans import traffic_queries  # noqa: F401 - its SQL is reused
 from postlake.plans import views as V
+from postlake.plans.dedup_queries import BOARDS, sql_history
 from postlake.plans.registry import ORACLES, query
 from postlake.plans.text_queries import SQL_FP
 from postlake.session import scratch_path
@@ -73,6 +74,23 @@ def stream_dedup(spark, sf):
     return streams.run_to_table(spark, streams.dedup_stream(rows, columns=[]).select("url_hash"), "dedup")
 
 
+@query(
+    "stream_dedup_content",
+    f"WITH {sql_history(BOARDS)} SELECT DISTINCT content_hash, desc_hash FROM (SELECT content_hash, desc_hash FROM seen UNION ALL SELECT content_hash, desc_hash FROM batch)",
+)
+def stream_dedup_content(spark, sf):
+    """Every document and its second sighting, one after the other: each pair of content and text goes through once."""
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("seq") % 86400)
+    met = V.v_doc_listings(spark, sf).withColumn("part", F.lit(0)).unionByName(V.v_doc_recrawl(spark, sf).withColumn("part", F.lit(1)))
+    out = scratch_path(spark, "dedup-content")
+    streams.run_in_slices(
+        spark, met.withColumn("ts", at), F.col("part"), 2,
+        lambda s: streams.dedup_stream(s, columns=[], content_key=BOARDS).select("content_hash", "desc_hash")
+        .writeStream.outputMode("append").format("parquet").option("path", out), "dedup-content",
+    )
+    return spark.read.schema("content_hash string, desc_hash string").parquet(out)
+
+
 def _sql_idle(rows: str, minutes: int) -> str:
     """Last time before every gap of a domain, final once the watermark has passed the end of the gap."""
     return f"""r AS ({rows}), g AS (SELECT domain, ts, lead(ts) OVER (PARTITION BY domain ORDER BY ts) AS nxt FROM r)

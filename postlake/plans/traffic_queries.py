@@ -11,7 +11,7 @@ from postlake.operators import alerts, health, metrics, traffic
 from postlake.operators.running import last_n, trailing_count
 from postlake.plans import sqltext as S
 from postlake.plans import views as V
-from postlake.plans.registry import query
+from postlake.plans.registry import ORACLES, query
 from postlake.sources.tables import read_table
 
 _START, _NOW = f"TIMESTAMP '{V.RUN_START}'", f"TIMESTAMP '{V.AS_OF}'"
@@ -368,6 +368,20 @@ def recent_violations(spark, sf):
     return traffic.recent_violations(stats, traffic.violations(rows), V.AS_OF, 3000).select("domain", "recent")
 
 
+@query(
+    "violation_records",
+    f"""WITH {V.SQL_TRAFFIC}, {S.POL}, j AS {S.policy_join('v_traffic')}, a AS ({ORACLES['attempt_numbers']})
+    SELECT event_id, j.domain, CASE j.status WHEN 429 THEN 'soft_block' WHEN 403 THEN 'hard_block' ELSE 'permanent' END AS reason,
+      CAST(j.status AS BIGINT) AS status_code, epoch_us(j.ts) AS ts_us, attempt,
+      {S.half_up('least(30000 * pow(CAST(p_backoff_mult AS DOUBLE), attempt - 1), p_max_backoff_ms)')} AS backoff_ms
+    FROM j JOIN a USING (event_id) WHERE j.status IN (429, 403, 503)""",
+)
+def violation_records(spark, sf):
+    return traffic.violation_records(V.v_traffic(spark, sf)).select(
+        "event_id", "domain", "reason", F.col("status_code").cast("bigint").alias("status_code"), _us("ts").alias("ts_us"), "attempt", "backoff_ms"
+    )
+
+
 @query(
     "violation_history",
     f"""WITH {V.SQL_TRAFFIC} SELECT event_id, domain FROM v_traffic WHERE status IN (429, 403, 503)

@@ -21,12 +21,6 @@ OPTIONAL_LISTING = [
 # validation operator, never trusted from the input.
 RAW_LISTING = T.StructType(_fields(REQUIRED_LISTING + OPTIONAL_LISTING))
 
-VALIDATED_LISTING = T.StructType(
-    _fields(REQUIRED_LISTING + OPTIONAL_LISTING + ["platform"])
-    + [T.StructField("scraped_at", T.TimestampType())]
-)
-
-# The stored table; `created_at` and `scraped_date` are filled on insert.
 STORED_LISTING = T.StructType(
     _fields([
         "platform", "platform_job_id", "url", "apply_url", "title", "company", "source",
@@ -44,23 +38,10 @@ SEEN_STORE = T.StructType(
     _fields(["url_hash", "content_hash", "desc_hash"]) + [T.StructField("stored_at", T.TimestampType())]
 )
 
-# One fetch: its source, tier, listings, duration and error.
-SOURCE_BATCH = T.StructType([
-    T.StructField("source", _S), T.StructField("tier", _S),
-    T.StructField("jobs", T.ArrayType(RAW_LISTING)),
-    T.StructField("duration_ms", T.LongType()), T.StructField("error", _S),
-])
-
-SOURCE_TIERS = ["TIER_0", "TIER_1", "TIER_2", "TIER_3"]
-
-SEARCH_QUERY = T.StructType([
-    T.StructField("keywords", _S), T.StructField("location", _S), T.StructField("max_results", T.IntegerType()),
-])
-
 RUN_LOG = T.StructType(_fields(["timestamp", "level", "message", "runId"]))
 
 VIOLATION = T.StructType([
     T.StructField("domain", _S), T.StructField("reason", _S), T.StructField("status_code", T.IntegerType()),
     T.StructField("ts", T.TimestampType()), T.StructField("backoff_ms", T.LongType()),
-    T.StructField("attempt", T.IntegerType()),
+    T.StructField("attempt", T.LongType()),
 ])

@@ -56,15 +56,21 @@ def domain_counts(requests: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
     )
 
 
-def dedup_stream(rows: DataFrame, days: int = K.SEEN_RETENTION_DAYS, columns: list[str] | None = None) -> DataFrame:
+def dedup_stream(
+    rows: DataFrame, days: int = K.SEEN_RETENTION_DAYS, columns: list[str] | None = None, content_key: str | None = None,
+) -> DataFrame:
     """First row per URL; a URL is forgotten after the retention time.
 
+    With ``content_key`` the same content with the same text counts as met before too, under whatever URL.
+
     ``columns`` go through the state's shuffle next to ``ts`` and ``url_hash``; by default all do.
     """
-    hashed = with_fingerprints(rows)
+    content = ["content_hash", "desc_hash"] if content_key else []
+    hashed = with_fingerprints(rows, content_key or "url_title")
     if columns is not None:
-        hashed = hashed.select("ts", "url_hash", *columns)
-    return hashed.withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["url_hash"])
+        hashed = hashed.select(*dict.fromkeys(["ts", "url_hash", *content, *columns]))
+    first = hashed.withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["url_hash"])
+    return first.dropDuplicatesWithinWatermark(content) if content else first
 
 
 # --- idle keys ----------------------------------------------------------------------
