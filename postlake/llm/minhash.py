@@ -350,27 +350,34 @@ def components(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the document with the smallest doc_id, with all columns."""
+    """The rows of docs without near-duplicates: of each component the document with the smallest doc_id, with all columns.
+
+    Rows whose text is that of no dropped document go straight through; only the others meet the list of kept ones.
+    """
     sets, state = _state(docs, percent)
     tagged, _ = materialize(
         sets.join(state, ["d1", "d2"], "left").select("doc_id", "text_hash", "n_shingles", "component_id"), "shingle-groups"
     )
-    single = tagged.where("n_shingles = 0").select("doc_id", "text_hash").distinct()
-    grouped = tagged.where("n_shingles > 0")
-    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("f"))
-    chosen = first.select(F.col("f.doc_id").alias("doc_id"), F.col("f.text_hash").alias("text_hash"))
-    wanted, _ = materialize(
-        chosen.withColumn("one", F.lit(True)).unionAll(single.withColumn("one", F.lit(False)))
-        .select(F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"), "one"), "shingle-kept",
+    keys = tagged.groupBy("doc_id", "text_hash").agg(
+        F.count("*").alias("n"), F.first("component_id").alias("component_id"), F.first("n_shingles").alias("n_shingles")
     )
+    first = tagged.where("n_shingles > 0").groupBy(F.col("component_id").alias("group")).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    )
+    # of a component, one text under one doc_id stays, and of rows repeated in full one; empty texts stay as they are
+    verdicts, _ = materialize(
+        keys.where("n_shingles > 0").join(first, F.col("component_id").eqNullSafe(F.col("group")), "left").select(
+            F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "n",
+            (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"),
+        ).where("n > 1 or not stays"), "shingle-verdicts",
+    )
+    among = maybe_among(verdicts, "own_hash")
     packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("text_hash"),
-                         F.col("doc_id").cast("long").alias("key"))
-    joined = packed.join(wanted, (F.col("text_hash") == F.col("wanted_hash")) & F.col("key").eqNullSafe(F.col("wanted_id")))
-    # rows repeated in full: one of them stays
-    repeated = grouped.join(chosen.withColumnsRenamed({"doc_id": "i", "text_hash": "h"}),
-                            (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i"))) \
-        .groupBy("i", "h").count().where("count > 1").limit(1)
-    if not repeated.isEmpty():
-        some = joined.where("one").groupBy("key", "text_hash").agg(F.first("doc").alias("doc"))
-        joined = some.select("doc").unionAll(joined.where("not one").select("doc"))
-    return joined.select("doc.*")
+                         F.col("doc_id").cast("long").alias("key")).withColumn("maybe", among("text_hash"))
+    free = packed.where("not maybe").select("doc")
+    met = packed.where("maybe").join(
+        verdicts, (F.col("text_hash") == F.col("own_hash")) & F.col("key").eqNullSafe(F.col("own_id")), "left"
+    )
+    single = met.where("n is null").select("doc")
+    repeated = met.where("stays").groupBy("key", "text_hash").agg(F.first("doc").alias("doc")).select("doc")
+    return free.unionAll(single).unionAll(repeated).select("doc.*")
