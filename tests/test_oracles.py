@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from postlake.plans import catalog
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
