@@ -12,6 +12,7 @@ from postlake.llm import embeddings, minhash, queries, warc
 from postlake.llm.common import connected_components
 from tests.llm.conftest import edited, prose
 from tests.llm.test_text_operators import check_sequences, rows
+from tests.oracle import compare, connect
 
 
 class Union:
@@ -304,3 +305,10 @@ def test_registered_queries_return_their_columns(spark):
         assert len(own) == 1
         df = queries.QUERIES[own[0]](spark, "/root/testdata/sf0.001")
         assert columns <= set(df.columns) and df.count() > 0, own
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    ok, note = compare(spark, connect(folder), name, queries.QUERIES[name], queries.ORACLES[name], folder)
+    assert ok, note
