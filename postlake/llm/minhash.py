@@ -1,14 +1,18 @@
 """Near-duplicate documents with an LSH forest.
 
 Every distinct shingle set gets one MinHash signature. A tree of the forest is one fixed order of the signature's positions;
-sorting by that order puts sets with a long common prefix side by side. A region is a maximal run that shares a prefix: all
-trees start at the same short prefix, and a region with too many members is entered again with a longer one until it is small,
-so the depth adapts to how crowded a neighbourhood is. Members of a region are candidates of each other; the full signatures
-weed them out, and what is left is confirmed on the full shingle sets, read from the whole texts.
+sorting by that order puts sets with a long common prefix side by side. A region is a maximal run that shares a prefix; its
+members are candidates of each other, the full signatures weed them out, and what is left is confirmed on the full shingle
+sets, read from the whole texts.
+
+The forest works in rounds of growing prefixes. Each round has as many trees as its prefix needs: a pair at the threshold that
+passes the signature test shares no region of a round with a chance of at most ``MISS``. A round compares its small regions.
+Of a crowded region all members enter the next round, with all trees of that round, unless a longer prefix would hardly part
+them; then, and at the last round, the region is cut into blocks and compared block by block. So a pair that shares a region is
+either compared there or meets again in the next round, however many similar sets there are.
 
 No stage emits pairs: a region returns one row per member with its partners, a verified region returns a spanning forest of
-its links. Regions with equal members are compared once, and a pair only in the first region that holds it. Regions still
-crowded at the longest prefix are cut into blocks and compared block by block, so nothing is dropped.
+its links. Regions with equal members are compared once, and a pair is passed on only by the first region that compares it.
 
 Defined results: words are what lies between ASCII white space, A-Z in lower case; texts without words (null and empty ones
 too) have an empty set and link with nothing; shorter texts than a shingle form one shingle; repeated rows fall into one
@@ -19,6 +23,7 @@ ignored by ``components`` and kept by ``keep_first``, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +33,18 @@ from pyspark.sql import functions as F
 from postlake.llm.common import connected_components, drop_path, encoded, materialize, maybe_among, run_starts, whole_runs, words
 
 SHINGLE = 5
-#: Positions of a signature, one byte each; trees of the forest and the prefix lengths a region goes through.
-POSITIONS, TREES, DEPTHS = 512, 32, (5, 7, 9, 11, 13, 15)
+#: Positions of a signature, one byte each; least and most trees of a round, and the prefix lengths of the rounds;
+#: a threshold so low that the first round needs more trees gets the most.
+POSITIONS, TREES, MOST_TREES, DEPTHS = 512, 32, 512, (5, 7, 9, 11, 13, 15)
+#: Chance that a pair at the threshold may have to share no region of a round.
+MISS = 1e-6
 #: Members of a region that are compared in one step.
 REGION = 256
 #: Standard deviations by which an estimate may miss the threshold before the pair is given up.
 MARGIN = 4.5
 _RNG = np.random.default_rng(20240607)
 _FACTORS = _RNG.integers(1, 1 << 32, POSITIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ORDERS = np.stack([_RNG.permutation(POSITIONS)[: DEPTHS[-1]] for _ in range(TREES)])
+_ORDERS = np.stack([_RNG.permutation(POSITIONS)[: DEPTHS[-1] + 2] for _ in range(MOST_TREES)])
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _CHUNK = 2048
@@ -102,81 +110,108 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS)
 
 
-def _prefix_keys(signatures: np.ndarray, trees: np.ndarray, depth: int) -> np.ndarray:
-    key = trees.astype(np.uint64) * np.uint64(64) + np.uint64(depth)
-    picked = np.take_along_axis(signatures, _ORDERS[trees, :depth], axis=1).astype(np.uint64)
+def _least(percent: int) -> float:
+    """Equal positions from which a pair may reach the threshold."""
+    level = percent / 100
+    return POSITIONS * (level - MARGIN * np.sqrt(level * (1 - level) / POSITIONS))
+
+
+def rounds(percent: int) -> list[tuple[int, int]]:
+    """(prefix length, trees) of each round: the fewest trees that keep a pair at the threshold but for a chance of MISS.
+
+    The chance is over how many positions such a pair has in common and over the positions a tree happens to begin with.
+    """
+    level, m = percent / 100, np.arange(POSITIONS + 1)
+    if not 0 < level < 1:
+        return [(DEPTHS[0], TREES if level else MOST_TREES)]
+    ways = np.array([lgamma(POSITIONS + 1) - lgamma(k + 1) - lgamma(POSITIONS - k + 1) for k in m])
+    chance = np.where(m >= _least(percent), np.exp(ways + m * np.log(level) + (POSITIONS - m) * np.log(1 - level)), 0.0)
+    out = []
+    for depth in DEPTHS:
+        shared = np.prod([np.maximum(m - k, 0) / (POSITIONS - k) for k in range(depth)], axis=0)
+        trees = next((t for t in range(TREES, MOST_TREES + 1) if (chance * (1 - shared) ** t).sum() <= MISS), None)
+        if trees is None:
+            break
+        out.append((depth, trees))
+    return out or [(DEPTHS[0], MOST_TREES)]
+
+
+def _prefix_keys(signatures: np.ndarray, tree: int, depth: int) -> np.ndarray:
+    picked = signatures[:, _ORDERS[tree, :depth]].astype(np.uint64)
+    key = np.full(len(signatures), tree * 64 + depth, dtype=np.uint64)
     for k in range(depth):
         key = _mix(key * _P + picked[:, k] + np.uint64(1))
     return key.view(np.int64)
 
 
-def _keys(rows: DataFrame, depth: int, all_trees: bool) -> DataFrame:
-    """(cls, tree, key) at a prefix length, for all trees of a class or for the tree named in the row."""
+def _keys(rows: DataFrame, depth: int, trees: int, first: int) -> DataFrame:
+    """(cls, slot, key, beyond) in every tree of a round whose slots begin with ``first``; beyond: the two positions after the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix, cls = _matrix(batch.column("signature")), batch.column("cls").to_numpy()
-            if not all_trees:
-                tree = batch.column("tree").to_numpy()
+            matrix, cls = _matrix(batch.column("signature")), pa.array(batch.column("cls").to_numpy())
+            for t in range(trees):
+                after = matrix[:, _ORDERS[t, depth : depth + 2]].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls), pa.array(tree), pa.array(_prefix_keys(matrix, tree, depth))], ["cls", "tree", "key"]
-                )
-                continue
-            for t in range(TREES):
-                tree = np.full(len(cls), t, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls), pa.array(tree), pa.array(_prefix_keys(matrix, tree, depth))], ["cls", "tree", "key"]
+                    [cls, pa.array(np.full(len(cls), first + t, dtype=np.int32)), pa.array(_prefix_keys(matrix, t, depth)),
+                     pa.array(after[:, 0] * 256 + after[:, 1])],
+                    ["cls", "slot", "key", "beyond"],
                 )
 
-    return rows.mapInArrow(run, "cls long, tree int, key long")
+    return rows.mapInArrow(run, "cls long, slot int, key long, beyond int")
 
 
-def _regions(classes: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(cls, tree, key, unit): the region of a class in a tree, and the step that compares it; regions of one member left out.
+def _regions(classes: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """(cls, slot, key, blocks): the compared regions of a class and into how many blocks each is cut; regions of one left out.
 
-    Also returns the paths of the tables that the frame reads.
+    A slot is a tree of a round. Also returns the paths of the tables that the frame reads.
     """
     signatures = classes.select("cls", "signature")
-    level, path = materialize(_keys(signatures, DEPTHS[0], True), "forest-keys")
-    found, paths = [], [path]
-    for depth in DEPTHS:
-        last = depth == DEPTHS[-1]
+    found, paths, first = [], [], 0
+    plan = rounds(percent)
+    for depth, trees in plan:
+        level, path = materialize(_keys(signatures, depth, trees, first), "forest-keys")
+        paths.append(path)
+        first += trees
         counts, path = materialize(
             level.groupBy("key").agg(
                 F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"),
                 F.sum(F.shiftrightunsigned(F.xxhash64("cls", F.lit(1)), 24)).alias("s"),
-            ).where("n > 1"), "forest-regions",
+            ).where("n > 1").groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n"), "forest-regions",
         )
         paths.append(path)
         # nearly all prefixes belong to one class: rows of the others are told by a bitmap before anything is shuffled
-        small, path = materialize(
-            counts.where(F.col("n") <= REGION).groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"), "forest-small"
-        )
-        paths.append(path)
+        small = counts.where(F.col("n") <= REGION).select("key")
         found.append(
-            level.where(maybe_among(small, "key")("key")).join(small, "key").select("cls", "tree", "key", F.col("key").alias("unit"))
+            level.where(maybe_among(small, "key")("key")).join(small, "key").select("cls", "slot", "key", F.lit(1).alias("blocks"))
         )
-        crowded = counts.where(F.col("n") > REGION).select("key", "n")
+        crowded = counts.where(F.col("n") > REGION)
         if crowded.isEmpty():
             break
-        hot = level.where(maybe_among(crowded, "key")("key")).join(crowded, "key")
-        if last:
-            blocks = F.ceil(2 * F.col("n") / REGION).cast("int")
-            own = F.pmod(F.xxhash64("cls", F.lit(2)), blocks).cast("int")
-            found.append(
-                hot.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                .select("cls", "tree", "key", F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other")).alias("unit"))
+        hot, path = materialize(level.where(maybe_among(crowded, "key")("key")).join(crowded, "key"), "forest-crowded")
+        paths.append(path)
+        cut = hot
+        if (depth, trees) != plan[-1]:
+            # trees grow as 1 / level^2 from round to round: worth it where fewer than level^2 of the pairs stay together
+            parted, path = materialize(
+                hot.groupBy("key", "n", "beyond").agg(F.count("*").cast("double").alias("c")).groupBy("key", "n")
+                .agg(F.sum(F.col("c") * F.col("c")).alias("together"))
+                .where(F.col("together") < F.lit((percent / 100) ** 2) * F.col("n") * F.col("n")).select("key"), "forest-parted",
             )
-        else:
-            rows, path = materialize(hot.select("cls", "tree"), "forest-crowded")
             paths.append(path)
-            if depth == DEPTHS[0]:  # deeper levels hold none but these classes
-                signatures, path = materialize(signatures_of(classes, rows, "cls", "signature"), "forest-signatures")
-                paths.append(path)
-            level, path = materialize(_keys(rows.join(signatures, "cls"), DEPTHS[DEPTHS.index(depth) + 1], False), "forest-keys")
+            cut = hot.join(parted, "key", "left_anti")
+            deeper, path = materialize(hot.join(parted, "key").select("cls").distinct(), "forest-deeper")
             paths.append(path)
+        blocks = F.ceil(2 * F.col("n") / REGION).cast("int")
+        found.append(cut.select("cls", "slot", "key", blocks.alias("blocks")))
+        if (depth, trees) == plan[-1] or deeper.isEmpty():
+            break
+        signatures, path = materialize(
+            signatures_of(classes, deeper, "cls", "signature").join(deeper, "cls").select("cls", "signature"), "forest-signatures"
+        )
+        paths.append(path)
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
@@ -189,8 +224,9 @@ def signatures_of(classes: DataFrame, rows: DataFrame, *columns: str) -> DataFra
     return classes.select(*columns, F.xxhash64("cls").alias("h")).where(among("h")).drop("h")
 
 
-def _members(classes: DataFrame, regions: DataFrame) -> DataFrame:
-    """(unit, tree, cls, n_shingles, signature, keys): one row per class and step; ``keys`` names its region in every tree."""
+def _members(classes: DataFrame, regions: DataFrame, slots: int) -> DataFrame:
+    """(unit, slot, cls, n_shingles, signature, compared): one row per class and step; ``compared`` has a bit for every slot
+    where a region of the class is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,47 +235,67 @@ def _members(classes: DataFrame, regions: DataFrame) -> DataFrame:
             entries = batch.column("entries")
             flat = entries.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(entries.offsets.to_numpy()))
-            tree = flat.field("tree").to_numpy()
-            keys = np.zeros((batch.num_rows, TREES), dtype=np.uint32)
-            folded = flat.field("key").to_numpy().view(np.uint64)
-            keys[row, tree] = ((folded ^ (folded >> np.uint64(32))) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
-            packed = [k.tobytes() for k in keys]
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [flat.field("unit"), pa.array(tree), batch.column("cls").take(at), batch.column("n_shingles").take(at),
-                 batch.column("signature").take(at), pa.array(packed, pa.binary()).take(at)],
-                ["unit", "tree", "cls", "n_shingles", "signature", "keys"],
-            )
+            compared = np.zeros((batch.num_rows, slots), dtype=bool)
+            compared[row, flat.field("slot").to_numpy()] = True
+            packed = pa.array([k.tobytes() for k in np.packbits(compared, axis=1)], pa.binary())
+            for s in range(0, len(row), _CHUNK):
+                part, at = flat.slice(s, _CHUNK), pa.array(row[s : s + _CHUNK])
+                yield pa.RecordBatch.from_arrays(
+                    [part.field("slot"), part.field("key"), part.field("blocks"), batch.column("cls").take(at),
+                     batch.column("n_shingles").take(at), batch.column("signature").take(at), packed.take(at)],
+                    ["slot", "key", "blocks", "cls", "n_shingles", "signature", "compared"],
+                )
 
-    entries = regions.groupBy("cls").agg(F.collect_list(F.struct("tree", "key", "unit")).alias("entries"))  # a few per tree
+    entries = regions.groupBy("cls").agg(F.collect_list(F.struct("slot", "key", "blocks")).alias("entries"))  # one per slot at most
     joined = entries.join(signatures_of(classes, regions, "cls", "n_shingles", "signature"), "cls")
-    return joined.select("cls", "entries", "n_shingles", "signature").mapInArrow(
-        run, "unit long, tree int, cls long, n_shingles long, signature binary, keys binary"
+    rows = joined.select("cls", "entries", "n_shingles", "signature").mapInArrow(
+        run, "slot int, key long, blocks int, cls long, n_shingles long, signature binary, compared binary"
+    )
+    own = F.pmod(F.xxhash64("cls", F.lit(2)), "blocks").cast("int")
+    unit = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other")))
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        unit.alias("unit"), "slot", "cls", "n_shingles", "signature", "compared"
     )
 
 
 def _partners(members: DataFrame, percent: int) -> DataFrame:
     """(unit, cls, partners): the candidates of each class in a step whose signatures come near the threshold."""
-    level = percent / 100
-    least = POSITIONS * (level - MARGIN * np.sqrt(level * (1 - level) / POSITIONS))
+    least, plan = _least(percent), rounds(percent)
+    begins = np.cumsum([0, *(trees for _, trees in plan)])
+
+    def new(slot: int, equal: np.ndarray, compared: np.ndarray) -> np.ndarray:
+        """Pairs that no earlier slot compares: ``equal`` has the positions they share, ``compared`` the slots where both are."""
+        left = np.arange(len(equal))
+        for (depth, _), begin, end in zip(plan, begins, np.minimum(begins[1:], slot)):
+            for s in range(begin, end, 16):
+                e = min(s + 16, end)
+                held = compared[left, s:e]
+                some = np.flatnonzero(held.any(axis=0))
+                if len(some):
+                    met = equal[left][:, _ORDERS[s - begin + some, :depth]].all(axis=2) & held[:, some]
+                    left = left[~met.any(axis=1)]
+                    if not len(left):
+                        return left
+        return left
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "unit"):
-            units, tree = table.column("unit").to_numpy(), table.column("tree").to_numpy()
+            units, slot = table.column("unit").to_numpy(), table.column("slot").to_numpy()
             cls, n = table.column("cls").to_numpy(), table.column("n_shingles").to_numpy()
             matrix = _matrix(table.column("signature"))
-            keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint32).reshape(-1, TREES)
+            packed = np.frombuffer(b"".join(table.column("compared").to_pylist()), dtype=np.uint8).reshape(len(units), -1)
             starts = run_starts(units)
             out: tuple[list, list, list] = ([], [], [])
             for s, e in zip(starts, [*starts[1:], len(units)]):
                 lists: dict[int, list[int]] = {}
                 for i in range(s, e - 1):
-                    same = np.count_nonzero(matrix[i + 1 : e] == matrix[i], axis=1)
+                    equal = matrix[i + 1 : e] == matrix[i]
+                    same = np.count_nonzero(equal, axis=1)
                     low, high = np.minimum(n[i + 1 : e], n[i]), np.maximum(n[i + 1 : e], n[i])
-                    near = np.flatnonzero((same >= least) & (100 * low >= percent * high)) + i + 1
+                    near = np.flatnonzero((same >= least) & (100 * low >= percent * high))
                     if len(near):
-                        shared = (keys[near] == keys[i]) & (keys[near] != 0)
-                        near = near[shared.argmax(axis=1) == tree[i]]
+                        both = np.unpackbits(packed[near + i + 1] & packed[i], axis=1)
+                        near = near[new(int(slot[i]), equal[near], both)] + i + 1
                         if len(near):
                             lists.setdefault(i, []).extend(cls[near].tolist())
                             for j in near:
@@ -314,10 +370,12 @@ def _state(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         ).withColumn("cls", F.monotonically_increasing_id()),
         "shingle-classes",
     )
-    regions, paths = _regions(classes)
+    regions, paths = _regions(classes, percent)
     regions, path = materialize(regions, "forest-members")
     paths.append(path)
-    candidates, _ = materialize(_partners(_members(classes, regions), percent), "forest-candidates")
+    candidates, _ = materialize(
+        _partners(_members(classes, regions, sum(trees for _, trees in rounds(percent))), percent), "forest-candidates"
+    )
     for path in paths:
         drop_path(docs.sparkSession, path)
     wanted, _ = materialize(

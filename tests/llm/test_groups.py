@@ -100,6 +100,31 @@ def test_crowded_regions_go_deeper_and_are_cut_into_blocks(spark, monkeypatch):
     assert got == {i: c for i, _, c in brute_groups(data, 85)}
 
 
+def test_template_pages_keep_their_one_partner(spark, monkeypatch):
+    """Pages of one template fill every region; each has one partner just above the threshold and resembles all others."""
+    rng = random.Random(25)
+    template = prose(rng, 255)
+    data = []
+    for k in range(100):
+        own = template + " " + prose(rng, 3)
+        for side in range(2):
+            data.append((2 * k + side, own + " " + prose(rng, 31)))
+    want = {i: c for i, _, c in brute_groups(data, 80)}
+    assert want == {i: i // 2 * 2 for i, _ in data}
+    monkeypatch.setattr(minhash, "REGION", 4)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in rows(minhash.components(df, 80))} == want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_every_round_has_enough_trees(percent):
+    rng = np.random.default_rng(26)
+    p = percent / 100
+    for depth, trees in minhash.rounds(percent):
+        chances = np.prod((rng.binomial(minhash.POSITIONS, p, 20_000)[:, None] - np.arange(depth)) / (512 - np.arange(depth)), axis=1)
+        assert np.mean((1 - chances) ** trees) < 3 * minhash.MISS
+
+
 def test_one_of_each_group_stays(spark, copies):
     df = spark.createDataFrame([(*x, "c", 1) for x in copies], "doc_id long, text string, doc string, one int")
     out = rows(minhash.keep_first(df, 80))
