@@ -3,16 +3,18 @@
 Every distinct shingle set gets one MinHash signature. A tree of the forest is one fixed order of the signature's positions;
 sorting by that order puts sets with a long common prefix side by side. A region is a maximal run that shares a prefix; its
 members are candidates of each other, the full signatures weed them out, and what is left is confirmed on the full shingle
-sets, read from the whole texts.
+sets, read from the whole texts. A pair at the threshold that passes the signature test shares no region with a chance of at
+most ``MISS``.
 
-The forest works in rounds of growing prefixes. Each round has as many trees as its prefix needs: a pair at the threshold that
-passes the signature test shares no region of a round with a chance of at most ``MISS``. A round compares its small regions.
-Of a crowded region all members enter the next round, with all trees of that round, unless a longer prefix would hardly part
-them; then, and at the last round, the region is cut into blocks and compared block by block. So a pair that shares a region is
-either compared there or meets again in the next round, however many similar sets there are.
+Depth adapts to the region. A small region is compared as it is. A crowded one is sorted on by the positions that follow its
+prefix and cut into chunks of neighbours with the longest common prefixes; the links found there join most of its members. A
+region that then lies in one component is finished: components are asked for, not pairs. What is left open are pairs of
+different components. At the threshold such a pair shares one of the rarest shingles of each side, a few in a hundred of them,
+where shingles that lie in one component only come first and can match nothing. Only sets that share one of those meet again.
+This last step is exact, and its rows follow the open sets' own sizes, not the pairs of a region.
 
 No stage emits pairs: a region returns one row per member with its partners, a verified region returns a spanning forest of
-its links. Regions with equal members are compared once, and a pair is passed on only by the first region that compares it.
+its links. Regions with equal members are compared once, and a pair is passed on only by the first small region that holds it.
 
 Defined results: words are what lies between ASCII white space, A-Z in lower case; texts without words (null and empty ones
 too) have an empty set and link with nothing; shorter texts than a shingle form one shingle; repeated rows fall into one
@@ -33,18 +35,22 @@ from pyspark.sql import functions as F
 from postlake.llm.common import connected_components, drop_path, encoded, materialize, maybe_among, run_starts, whole_runs, words
 
 SHINGLE = 5
-#: Positions of a signature, one byte each; least and most trees of a round, and the prefix lengths of the rounds;
-#: a threshold so low that the first round needs more trees gets the most.
-POSITIONS, TREES, MOST_TREES, DEPTHS = 512, 32, 512, (5, 7, 9, 11, 13, 15)
-#: Chance that a pair at the threshold may have to share no region of a round.
+#: Positions of a signature, one byte each; least and most trees, and the prefix that makes a region; a threshold so low that
+#: it needs more trees gets the most.
+POSITIONS, TREES, MOST_TREES, DEPTH = 512, 32, 512, 5
+#: Positions after the prefix by which crowded regions are sorted on, and the trees whose crowded regions are.
+FURTHER, SORTED_TREES = 12, 8
+#: Chance that a pair at the threshold may have to share no region.
 MISS = 1e-6
 #: Members of a region that are compared in one step.
 REGION = 256
+#: Most shingles that are handed to every task with their counts: those that more than 1 / FREQUENT of all shingles are.
+FREQUENT = 1 << 17
 #: Standard deviations by which an estimate may miss the threshold before the pair is given up.
 MARGIN = 4.5
 _RNG = np.random.default_rng(20240607)
 _FACTORS = _RNG.integers(1, 1 << 32, POSITIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ORDERS = np.stack([_RNG.permutation(POSITIONS)[: DEPTHS[-1] + 2] for _ in range(MOST_TREES)])
+_ORDERS = np.stack([_RNG.permutation(POSITIONS)[: DEPTH + FURTHER] for _ in range(MOST_TREES)])
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _CHUNK = 2048
@@ -116,106 +122,60 @@ def _least(percent: int) -> float:
     return POSITIONS * (level - MARGIN * np.sqrt(level * (1 - level) / POSITIONS))
 
 
-def rounds(percent: int) -> list[tuple[int, int]]:
-    """(prefix length, trees) of each round: the fewest trees that keep a pair at the threshold but for a chance of MISS.
+def trees(percent: int) -> int:
+    """The fewest trees that keep a pair at the threshold but for a chance of MISS.
 
     The chance is over how many positions such a pair has in common and over the positions a tree happens to begin with.
     """
     level, m = percent / 100, np.arange(POSITIONS + 1)
     if not 0 < level < 1:
-        return [(DEPTHS[0], TREES if level else MOST_TREES)]
+        return TREES if level else MOST_TREES
     ways = np.array([lgamma(POSITIONS + 1) - lgamma(k + 1) - lgamma(POSITIONS - k + 1) for k in m])
     chance = np.where(m >= _least(percent), np.exp(ways + m * np.log(level) + (POSITIONS - m) * np.log(1 - level)), 0.0)
-    out = []
-    for depth in DEPTHS:
-        shared = np.prod([np.maximum(m - k, 0) / (POSITIONS - k) for k in range(depth)], axis=0)
-        trees = next((t for t in range(TREES, MOST_TREES + 1) if (chance * (1 - shared) ** t).sum() <= MISS), None)
-        if trees is None:
-            break
-        out.append((depth, trees))
-    return out or [(DEPTHS[0], MOST_TREES)]
-
-
-def _prefix_keys(signatures: np.ndarray, tree: int, depth: int) -> np.ndarray:
-    picked = signatures[:, _ORDERS[tree, :depth]].astype(np.uint64)
-    key = np.full(len(signatures), tree * 64 + depth, dtype=np.uint64)
-    for k in range(depth):
+    shared = np.prod([np.maximum(m - k, 0) / (POSITIONS - k) for k in range(DEPTH)], axis=0)
+    return next((t for t in range(TREES, MOST_TREES) if (chance * (1 - shared) ** t).sum() <= MISS), MOST_TREES)
+
+
+def _prefix_keys(signatures: np.ndarray, tree: int) -> np.ndarray:
+    picked = signatures[:, _ORDERS[tree, :DEPTH]].astype(np.uint64)
+    key = np.full(len(signatures), tree, dtype=np.uint64)
+    for k in range(DEPTH):
         key = _mix(key * _P + picked[:, k] + np.uint64(1))
     return key.view(np.int64)
 
 
-def _keys(rows: DataFrame, depth: int, trees: int, first: int) -> DataFrame:
-    """(cls, slot, key, beyond) in every tree of a round whose slots begin with ``first``; beyond: the two positions after the prefix."""
+def _keys(rows: DataFrame, n_trees: int) -> DataFrame:
+    """(cls, slot, key) in every tree; slot: the tree's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             matrix, cls = _matrix(batch.column("signature")), pa.array(batch.column("cls").to_numpy())
-            for t in range(trees):
-                after = matrix[:, _ORDERS[t, depth : depth + 2]].astype(np.int32)
+            for t in range(n_trees):
                 yield pa.RecordBatch.from_arrays(
-                    [cls, pa.array(np.full(len(cls), first + t, dtype=np.int32)), pa.array(_prefix_keys(matrix, t, depth)),
-                     pa.array(after[:, 0] * 256 + after[:, 1])],
-                    ["cls", "slot", "key", "beyond"],
+                    [cls, pa.array(np.full(len(cls), t, dtype=np.int32)), pa.array(_prefix_keys(matrix, t))], ["cls", "slot", "key"]
                 )
 
-    return rows.mapInArrow(run, "cls long, slot int, key long, beyond int")
+    return rows.mapInArrow(run, "cls long, slot int, key long")
 
 
-def _regions(classes: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
-    """(cls, slot, key, blocks): the compared regions of a class and into how many blocks each is cut; regions of one left out.
+def _regions(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(cls, slot, key) of the small regions and of the crowded ones, regions of one left out; and the paths of their tables."""
+    level, keys_path = materialize(_keys(classes.select("cls", "signature"), trees(percent)), "forest-keys")
+    counts, path = materialize(
+        level.groupBy("key").agg(
+            F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"),
+            F.sum(F.shiftrightunsigned(F.xxhash64("cls", F.lit(1)), 24)).alias("s"),
+        ).where("n > 1").groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n"), "forest-regions",
+    )
 
-    A slot is a tree of a round. Also returns the paths of the tables that the frame reads.
-    """
-    signatures = classes.select("cls", "signature")
-    found, paths, first = [], [], 0
-    plan = rounds(percent)
-    for depth, trees in plan:
-        level, path = materialize(_keys(signatures, depth, trees, first), "forest-keys")
-        paths.append(path)
-        first += trees
-        counts, path = materialize(
-            level.groupBy("key").agg(
-                F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"),
-                F.sum(F.shiftrightunsigned(F.xxhash64("cls", F.lit(1)), 24)).alias("s"),
-            ).where("n > 1").groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n"), "forest-regions",
-        )
-        paths.append(path)
+    def of(keys: DataFrame) -> DataFrame:
         # nearly all prefixes belong to one class: rows of the others are told by a bitmap before anything is shuffled
-        small = counts.where(F.col("n") <= REGION).select("key")
-        found.append(
-            level.where(maybe_among(small, "key")("key")).join(small, "key").select("cls", "slot", "key", F.lit(1).alias("blocks"))
-        )
-        crowded = counts.where(F.col("n") > REGION)
-        if crowded.isEmpty():
-            break
-        hot, path = materialize(level.where(maybe_among(crowded, "key")("key")).join(crowded, "key"), "forest-crowded")
-        paths.append(path)
-        cut = hot
-        if (depth, trees) != plan[-1]:
-            # trees grow as 1 / level^2 from round to round: worth it where fewer than level^2 of the pairs stay together
-            parted, path = materialize(
-                hot.groupBy("key", "n", "beyond").agg(F.count("*").cast("double").alias("c")).groupBy("key", "n")
-                .agg(F.sum(F.col("c") * F.col("c")).alias("together"))
-                .where(F.col("together") < F.lit((percent / 100) ** 2) * F.col("n") * F.col("n")).select("key"), "forest-parted",
-            )
-            paths.append(path)
-            cut = hot.join(parted, "key", "left_anti")
-            deeper, path = materialize(hot.join(parted, "key").select("cls").distinct(), "forest-deeper")
-            paths.append(path)
-        blocks = F.ceil(2 * F.col("n") / REGION).cast("int")
-        found.append(cut.select("cls", "slot", "key", blocks.alias("blocks")))
-        if (depth, trees) == plan[-1] or deeper.isEmpty():
-            break
-        signatures, path = materialize(
-            signatures_of(classes, deeper, "cls", "signature").join(deeper, "cls").select("cls", "signature"), "forest-signatures"
-        )
-        paths.append(path)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out, paths
+        return level.where(maybe_among(keys, "key")("key")).join(keys, "key").select("cls", "slot", "key")
+
+    crowded, crowded_path = materialize(of(counts.where(F.col("n") > REGION).select("key")), "forest-crowded")
+    return of(counts.where(F.col("n") <= REGION).select("key")), crowded, [keys_path, path, crowded_path]
 
 
 def signatures_of(classes: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
@@ -224,8 +184,8 @@ def signatures_of(classes: DataFrame, rows: DataFrame, *columns: str) -> DataFra
     return classes.select(*columns, F.xxhash64("cls").alias("h")).where(among("h")).drop("h")
 
 
-def _members(classes: DataFrame, regions: DataFrame, slots: int) -> DataFrame:
-    """(unit, slot, cls, n_shingles, signature, compared): one row per class and step; ``compared`` has a bit for every slot
+def _members(classes: DataFrame, regions: DataFrame, n_trees: int) -> DataFrame:
+    """(unit, slot, cls, n_shingles, signature, compared): one row per class and region; ``compared`` has a bit for every tree
     where a region of the class is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,81 +195,255 @@ def _members(classes: DataFrame, regions: DataFrame, slots: int) -> DataFrame:
             entries = batch.column("entries")
             flat = entries.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(entries.offsets.to_numpy()))
-            compared = np.zeros((batch.num_rows, slots), dtype=bool)
+            compared = np.zeros((batch.num_rows, n_trees), dtype=bool)
             compared[row, flat.field("slot").to_numpy()] = True
             packed = pa.array([k.tobytes() for k in np.packbits(compared, axis=1)], pa.binary())
             for s in range(0, len(row), _CHUNK):
                 part, at = flat.slice(s, _CHUNK), pa.array(row[s : s + _CHUNK])
                 yield pa.RecordBatch.from_arrays(
-                    [part.field("slot"), part.field("key"), part.field("blocks"), batch.column("cls").take(at),
+                    [part.field("key"), part.field("slot"), batch.column("cls").take(at),
                      batch.column("n_shingles").take(at), batch.column("signature").take(at), packed.take(at)],
-                    ["slot", "key", "blocks", "cls", "n_shingles", "signature", "compared"],
+                    ["unit", "slot", "cls", "n_shingles", "signature", "compared"],
                 )
 
-    entries = regions.groupBy("cls").agg(F.collect_list(F.struct("slot", "key", "blocks")).alias("entries"))  # one per slot at most
+    entries = regions.groupBy("cls").agg(F.collect_list(F.struct("slot", "key")).alias("entries"))  # one per tree at most
     joined = entries.join(signatures_of(classes, regions, "cls", "n_shingles", "signature"), "cls")
-    rows = joined.select("cls", "entries", "n_shingles", "signature").mapInArrow(
-        run, "slot int, key long, blocks int, cls long, n_shingles long, signature binary, compared binary"
-    )
-    own = F.pmod(F.xxhash64("cls", F.lit(2)), "blocks").cast("int")
-    unit = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other")))
-    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        unit.alias("unit"), "slot", "cls", "n_shingles", "signature", "compared"
+    return joined.select("cls", "entries", "n_shingles", "signature").mapInArrow(
+        run, "unit long, slot int, cls long, n_shingles long, signature binary, compared binary"
     )
 
 
+class _Lists:
+    """Rows (unit, cls, partners) under way: a row for every class that is on either side of a pair."""
+
+    SCHEMA = "unit long, cls long, partners array<long>"
+
+    def __init__(self) -> None:
+        self.rows: tuple[list, list, list] = ([], [], [])
+        self.own: dict[int, list[int]] = {}
+
+    def add(self, one: int, others: list[int]) -> None:
+        self.own.setdefault(one, []).extend(others)
+        for other in others:
+            self.own.setdefault(other, [])
+
+    def close(self, unit: int) -> None:
+        for cls, partners in self.own.items():
+            for column, value in zip(self.rows, (unit, cls, partners)):
+                column.append(value)
+        self.own = {}
+
+    def batch(self) -> pa.RecordBatch:
+        rows, self.rows = self.rows, ([], [], [])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64()))],
+            ["unit", "cls", "partners"],
+        )
+
+
+def _near(matrix: np.ndarray, n: np.ndarray, i: int, others: slice | np.ndarray, percent: int) -> np.ndarray:
+    """Which of ``others`` come near the threshold with row ``i`` by signature and size."""
+    same = np.count_nonzero(matrix[others] == matrix[i], axis=1)
+    low, high = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
+    return np.flatnonzero((same >= _least(percent)) & (100 * low >= percent * high))
+
+
 def _partners(members: DataFrame, percent: int) -> DataFrame:
-    """(unit, cls, partners): the candidates of each class in a step whose signatures come near the threshold."""
-    least, plan = _least(percent), rounds(percent)
-    begins = np.cumsum([0, *(trees for _, trees in plan)])
+    """(unit, cls, partners): the candidates of each class in a small region whose signatures come near the threshold."""
 
     def new(slot: int, equal: np.ndarray, compared: np.ndarray) -> np.ndarray:
-        """Pairs that no earlier slot compares: ``equal`` has the positions they share, ``compared`` the slots where both are."""
+        """Pairs that no earlier tree compares: ``equal`` has the positions they share, ``compared`` the trees where both are."""
         left = np.arange(len(equal))
-        for (depth, _), begin, end in zip(plan, begins, np.minimum(begins[1:], slot)):
-            for s in range(begin, end, 16):
-                e = min(s + 16, end)
-                held = compared[left, s:e]
-                some = np.flatnonzero(held.any(axis=0))
-                if len(some):
-                    met = equal[left][:, _ORDERS[s - begin + some, :depth]].all(axis=2) & held[:, some]
-                    left = left[~met.any(axis=1)]
-                    if not len(left):
-                        return left
+        for s in range(0, slot, 16):
+            e = min(s + 16, slot)
+            held = compared[left, s:e]
+            some = np.flatnonzero(held.any(axis=0))
+            if len(some):
+                met = equal[left][:, _ORDERS[s + some, :DEPTH]].all(axis=2) & held[:, some]
+                left = left[~met.any(axis=1)]
+                if not len(left):
+                    break
         return left
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = _Lists()
         for table in whole_runs(batches, "unit"):
             units, slot = table.column("unit").to_numpy(), table.column("slot").to_numpy()
             cls, n = table.column("cls").to_numpy(), table.column("n_shingles").to_numpy()
             matrix = _matrix(table.column("signature"))
             packed = np.frombuffer(b"".join(table.column("compared").to_pylist()), dtype=np.uint8).reshape(len(units), -1)
             starts = run_starts(units)
-            out: tuple[list, list, list] = ([], [], [])
             for s, e in zip(starts, [*starts[1:], len(units)]):
-                lists: dict[int, list[int]] = {}
                 for i in range(s, e - 1):
-                    equal = matrix[i + 1 : e] == matrix[i]
-                    same = np.count_nonzero(equal, axis=1)
-                    low, high = np.minimum(n[i + 1 : e], n[i]), np.maximum(n[i + 1 : e], n[i])
-                    near = np.flatnonzero((same >= least) & (100 * low >= percent * high))
+                    near = _near(matrix, n, i, slice(i + 1, e), percent) + i + 1
                     if len(near):
-                        both = np.unpackbits(packed[near + i + 1] & packed[i], axis=1)
-                        near = near[new(int(slot[i]), equal[near], both)] + i + 1
+                        both = np.unpackbits(packed[near] & packed[i], axis=1)
+                        near = near[new(int(slot[i]), matrix[near] == matrix[i], both)]
                         if len(near):
-                            lists.setdefault(i, []).extend(cls[near].tolist())
-                            for j in near:
-                                lists.setdefault(int(j), [])
-                for i, own in lists.items():
-                    out[0].append(int(units[s]))
-                    out[1].append(int(cls[i]))
-                    out[2].append(own)
+                            lists.add(int(cls[i]), cls[near].tolist())
+                lists.close(int(units[s]))
+            yield lists.batch()
+
+    return members.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, _Lists.SCHEMA)
+
+
+def _neighbours(classes: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """(unit, cls, partners) of crowded regions: candidates among up to REGION neighbours with the longest common prefixes.
+
+    The sort is one range partitioning over all crowded regions, so a region of any size is spread over many tasks.
+    """
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                picked = _ORDERS[batch.column("slot").to_numpy(), DEPTH:]
+                order = np.take_along_axis(_matrix(batch.column("signature")), picked, axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("key", "cls", "n_shingles", "signature")), pa.array([o.tobytes() for o in order], pa.binary())],
+                    ["key", "cls", "n_shingles", "signature", "order"],
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = _Lists()
+        for batch in batches:
+            keys, cls, n = (batch.column(c).to_numpy() for c in ("key", "cls", "n_shingles"))
+            matrix = _matrix(batch.column("signature"))
+            starts = run_starts(keys)
+            for first, last in zip(starts, [*starts[1:], len(keys)]):
+                for s in range(first, last, REGION):
+                    e = min(s + REGION, last)
+                    for i in range(s, e - 1):
+                        near = _near(matrix, n, i, slice(i + 1, e), percent) + i + 1
+                        if len(near):
+                            lists.add(int(cls[i]), cls[near].tolist())
+                    lists.close(int(_mix(np.array([keys[s]], dtype=np.int64).view(np.uint64) * _P + np.uint64(cls[s])).view(np.int64)[0]))
+            yield lists.batch()
+
+    rows = crowded.where(F.col("slot") < SORTED_TREES)
+    rows = rows.join(signatures_of(classes, rows, "cls", "n_shingles", "signature"), "cls")
+    ordered = rows.select("slot", "key", "cls", "n_shingles", "signature").mapInArrow(
+        further, "key long, cls long, n_shingles long, signature binary, order binary"
+    )
+    return ordered.repartitionByRange("key", "order", "cls").sortWithinPartitions("key", "order", "cls").mapInArrow(run, _Lists.SCHEMA)
+
+
+def _open(crowded: DataFrame, parts: DataFrame) -> DataFrame:
+    """(cls, comp) of the classes in crowded regions that more than one component shares; parts: (node, component)."""
+    rows = crowded.join(parts, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
+    rows, _ = materialize(rows, "forest-grouped")
+    several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    return rows.join(several, "key").select("cls", "comp").distinct()
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """(unit, cls, partners): candidates of different components that share a rare shingle; rows: (cls, comp, signature, text).
+
+    A unit is a shingle, or a pair of blocks of it where more than REGION sets meet.
+    """
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text).view(np.int64) for text in encoded(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cls"), batch.column("comp"), batch.column("signature"), pa.array(sets, pa.list_(pa.int64()))],
+                ["cls", "comp", "signature", "own"],
+            )
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, n = batch.column("own").flatten().to_numpy(), np.diff(batch.column("own").offsets.to_numpy())
+            comp = np.repeat(batch.column("comp").to_numpy(), n)
+            order = np.lexsort((comp, own))
+            own, comp = own[order], comp[order]
+            starts = run_starts(own)
+            ends = np.append(starts[1:], len(own))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))],
-                ["unit", "cls", "partners"],
+                [pa.array(own[starts]), pa.array(ends - starts), pa.array(comp[starts]), pa.array(comp[ends - 1])], ["h", "c", "low", "high"]
             )
 
-    return members.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "unit long, cls long, partners array<long>")
+    sets, _ = materialize(rows.select("cls", "comp", "signature", "text").mapInArrow(
+        to_sets, "cls long, comp long, signature binary, own array<long>"), "forest-sets")
+    # shingles of one component cannot join two: they come first in the order and are left out
+    shared, _ = materialize(
+        sets.select("comp", "own").mapInArrow(tally, "h long, c long, low long, high long").groupBy("h").agg(
+            F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high")
+        ).where("low < high").select("h", "c"), "forest-shared",
+    )
+    total = shared.agg(F.sum("c")).first()[0] or 0
+    level = total // FREQUENT
+    top = shared.where(F.col("c") > level).toArrow()  # fewer than FREQUENT, as their counts add up to at most the total
+    by_hash = np.argsort(top.column("h").to_numpy())
+    frequent = sets.sparkSession.sparkContext.broadcast((top.column("h").to_numpy()[by_hash], top.column("c").to_numpy()[by_hash]))
+    rare = shared.where(F.col("c") <= level)
+
+    def known(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes, counts = frequent.value
+        if not len(hashes):
+            return np.zeros(len(own), dtype=bool), np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        hit = hashes[at] == own
+        return hit, counts[at[hit]]
+
+    def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, n = batch.column("own").flatten().to_numpy(), np.diff(batch.column("own").offsets.to_numpy())
+            left = ~known(own)[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column("cls").to_numpy(), n)[left]), pa.array(own[left])], ["cls", "h"]
+            )
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, comp, signature, size, unit = [], [], [], [], []
+            for k, (own, few) in enumerate(zip(batch.column("own").to_pylist(), batch.column("few").to_pylist())):
+                own = np.array(own, dtype=np.int64)
+                hit, counts = known(own)
+                pairs = sorted([(x["c"], x["h"]) for x in few or ()] + list(zip(counts.tolist(), own[hit].tolist())))
+                # a partner at the threshold shares at least ceil(level * n) shingles, so one of the first n - that + 1
+                want = len(own) - -(-percent * len(own) // 100) + 1 - (len(own) - len(pairs))
+                for _, h in pairs[: max(0, want)]:
+                    unit.append(h)
+                    cls.append(batch.column("cls")[k].as_py())
+                    comp.append(batch.column("comp")[k].as_py())
+                    signature.append(batch.column("signature")[k].as_py())
+                    size.append(len(own))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(unit, pa.int64()), pa.array(cls, pa.int64()), pa.array(comp, pa.int64()), pa.array(size, pa.int64()),
+                 pa.array(signature, pa.binary())], ["unit", "cls", "comp", "n_shingles", "signature"],
+            )
+
+    with_few = sets.withColumn("few", F.lit(None).cast("array<struct<c:bigint,h:bigint>>"))
+    if level:
+        loose = sets.select("cls", "own").mapInArrow(other, "cls long, h long").where(maybe_among(rare, "h")("h")).join(rare, "h")
+        few = loose.groupBy("cls").agg(F.collect_list(F.struct("c", "h")).alias("few"))  # a text's own shingles at most
+        with_few = sets.join(few, "cls", "left")
+    rows, _ = materialize(with_few.select("cls", "comp", "signature", "own", "few").mapInArrow(
+        first, "unit long, cls long, comp long, n_shingles long, signature binary"), "forest-firsts")
+    sizes = rows.groupBy("unit").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(
+        "low < high").select("unit", F.ceil(2 * F.col("n") / REGION).cast("int").alias("blocks"), "n")
+    met = rows.join(sizes, "unit").withColumn("blocks", F.when(F.col("n") <= REGION, 1).otherwise(F.col("blocks")))
+    own = F.pmod(F.xxhash64("cls", F.lit(2)), "blocks").cast("int")
+    step = F.when(F.col("blocks") == 1, F.col("unit")).otherwise(F.xxhash64("unit", F.least(own, "other"), F.greatest(own, "other")))
+    steps = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        step.alias("unit"), "cls", "comp", "n_shingles", "signature"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = _Lists()
+        for table in whole_runs(batches, "unit"):
+            units, cls, comp, n = (table.column(c).to_numpy() for c in ("unit", "cls", "comp", "n_shingles"))
+            matrix = _matrix(table.column("signature"))
+            starts = run_starts(units)
+            for s, e in zip(starts, [*starts[1:], len(units)]):
+                for i in range(s, e - 1):
+                    others = np.flatnonzero(comp[i + 1 : e] != comp[i]) + i + 1
+                    near = others[_near(matrix, n, i, others, percent)]
+                    if len(near):
+                        lists.add(int(cls[i]), cls[near].tolist())
+                lists.close(int(units[s]))
+            yield lists.batch()
+
+    return steps.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, _Lists.SCHEMA)
 
 
 def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
@@ -349,7 +483,8 @@ def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
                             right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+    sorted_rows = rows.select("unit", "cls", "partners", "text").repartition("unit").sortWithinPartitions("unit")
+    return sorted_rows.mapInArrow(run, "a long, b long")
 
 
 _TEXT_KEY = ("text_hash", "id", "no_id")
@@ -360,6 +495,21 @@ def _text_key(doc_id, text_hash) -> list:
     return [text_hash.alias("text_hash"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id")]
 
 
+def _with_text(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the text of the class that each names by ``cls``."""
+    wanted, _ = materialize(
+        rows.select("cls").distinct().join(classes.select("cls", "source"), "cls").select(
+            "cls", *_text_key(F.col("source.doc_id"), F.col("source.text_hash"))
+        ), "forest-wanted",
+    )
+    among = maybe_among(wanted, "text_hash")
+    keyed = docs.select(*_text_key(F.col("doc_id").cast("long"), F.xxhash64("text")), "text").where(among("text_hash"))
+    # repeated rows are merged where they are read, so each text moves once to its key and once to its class
+    single = keyed.groupBy(*_TEXT_KEY).agg(F.first("text").alias("text"))
+    texts = single.join(wanted, list(_TEXT_KEY)).select("cls", "text")
+    return rows.join(texts, "cls")
+
+
 def _state(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(one row per document, one row per class with its component's smallest doc_id)."""
     sets, _ = materialize(_sets(docs), "shingle-sets")
@@ -370,28 +520,32 @@ def _state(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         ).withColumn("cls", F.monotonically_increasing_id()),
         "shingle-classes",
     )
-    regions, paths = _regions(classes, percent)
-    regions, path = materialize(regions, "forest-members")
+    small, crowded, paths = _regions(classes, percent)
+    small, path = materialize(small, "forest-members")
     paths.append(path)
-    candidates, _ = materialize(
-        _partners(_members(classes, regions, sum(trees for _, trees in rounds(percent))), percent), "forest-candidates"
-    )
+    found = _partners(_members(classes, small, trees(percent)), percent)
+    busy = not crowded.isEmpty()
+    if busy:
+        found = found.unionAll(_neighbours(classes, crowded, percent))
+    candidates, path = materialize(found, "forest-candidates")
+    paths.append(path)
+    edges, _ = materialize(_confirmed(_with_text(docs, classes, candidates), percent), "forest-links")
+    parts = connected_components(edges)
+    if busy:
+        left, path = materialize(_open(crowded, parts), "forest-open")
+        paths.append(path)
+        if not left.isEmpty():
+            texts, path = materialize(
+                _with_text(docs, classes, left).join(signatures_of(classes, left, "cls", "signature"), "cls"), "forest-texts"
+            )
+            paths.append(path)
+            candidates, path = materialize(_across(texts, percent), "forest-candidates")
+            paths.append(path)
+            more, _ = materialize(_confirmed(_with_text(docs, classes, candidates), percent), "forest-links")
+            parts = connected_components(edges.unionAll(more).distinct())
     for path in paths:
         drop_path(docs.sparkSession, path)
-    wanted, _ = materialize(
-        candidates.select("cls").distinct().join(classes.select("cls", "source"), "cls").select(
-            "cls", *_text_key(F.col("source.doc_id"), F.col("source.text_hash"))
-        ), "forest-wanted",
-    )
-    among = maybe_among(wanted, "text_hash")
-    keyed = docs.select(*_text_key(F.col("doc_id").cast("long"), F.xxhash64("text")), "text").where(among("text_hash"))
-    # repeated rows are merged where they are read, so each text moves once to its key and once to its class
-    single = keyed.groupBy(*_TEXT_KEY).agg(F.first("text").alias("text"))
-    texts = single.join(wanted, list(_TEXT_KEY)).select("cls", "text")
-    edges, _ = materialize(
-        _confirmed(candidates.join(texts, "cls").select("unit", "cls", "partners", "text"), percent), "forest-links"
-    )
-    parts = connected_components(edges).withColumnRenamed("node", "cls")
+    parts = parts.withColumnRenamed("node", "cls")
     base = classes.select("d1", "d2", "cls", "first").join(parts, "cls", "left")
     firsts = base.where("component is not null").groupBy("component").agg(F.min("first").alias("component_id"))
     state = base.join(firsts, "component", "left").select("d1", "d2", F.coalesce("component_id", "first").alias("component_id"))

@@ -90,16 +90,32 @@ def test_components_equal_all_pairs(spark, copies, percent):
     assert got == want
 
 
-def test_crowded_regions_go_deeper_and_are_cut_into_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("region", "frequent"), [(8, 1 << 17), (16, 64)])
+def test_crowded_regions_are_contracted_and_joined_by_rare_shingles(spark, monkeypatch, region, frequent):
+    """Copies of one text with few and with many edits: one large component and many open sets around it."""
     rng = random.Random(23)
     base = prose(rng, 150)
-    data = [(k, edited(rng, base, rng.randint(0, 5))) for k in range(150)]
-    monkeypatch.setattr(minhash, "REGION", 8)
+    data = [(k, edited(rng, base, rng.randint(0, 7))) for k in range(150)]
+    monkeypatch.setattr(minhash, "REGION", region)
+    monkeypatch.setattr(minhash, "FREQUENT", frequent)
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in rows(minhash.components(df, 85))}
     assert got == {i: c for i, _, c in brute_groups(data, 85)}
 
 
+def test_template_pages_of_full_size_keep_their_partners(spark):
+    """2,000 pages of one template with regions of the default size; every page has one partner above the threshold."""
+    rng = random.Random(27)
+    template = prose(rng, 255)
+    data = []
+    for k in range(1000):
+        own = template + " " + prose(rng, 3)
+        data += [(2 * k + side, own + " " + prose(rng, 31)) for side in range(2)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in rows(minhash.components(df, 80))}
+    assert got == {i: i // 2 * 2 for i, _ in data}
+
+
 def test_template_pages_keep_their_one_partner(spark, monkeypatch):
     """Pages of one template fill every region; each has one partner just above the threshold and resembles all others."""
     rng = random.Random(25)
@@ -117,12 +133,11 @@ def test_template_pages_keep_their_one_partner(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-def test_every_round_has_enough_trees(percent):
+def test_trees_are_enough(percent):
     rng = np.random.default_rng(26)
-    p = percent / 100
-    for depth, trees in minhash.rounds(percent):
-        chances = np.prod((rng.binomial(minhash.POSITIONS, p, 20_000)[:, None] - np.arange(depth)) / (512 - np.arange(depth)), axis=1)
-        assert np.mean((1 - chances) ** trees) < 3 * minhash.MISS
+    depth = minhash.DEPTH
+    chances = np.prod((rng.binomial(minhash.POSITIONS, percent / 100, 20_000)[:, None] - np.arange(depth)) / (512 - np.arange(depth)), axis=1)
+    assert np.mean((1 - chances) ** minhash.trees(percent)) < 3 * minhash.MISS
 
 
 def test_one_of_each_group_stays(spark, copies):
