@@ -178,13 +178,14 @@ def _regions(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, li
     return of(counts.where(F.col("n") <= REGION).select("key")), crowded, [keys_path, path, crowded_path]
 
 
-def signatures_of(classes: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of the classes that ``rows`` may name by ``cls``; the others are told before the join by a bitmap."""
-    among = maybe_among(rows.select(F.xxhash64("cls").alias("h")).distinct(), "h")
-    return classes.select(*columns, F.xxhash64("cls").alias("h")).where(among("h")).drop("h")
+def _signatures_of(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The classes that ``rows`` name by ``cls``; most others are told before the join by a bitmap."""
+    rows, _ = materialize(rows, "forest-named")
+    among = maybe_among(rows.select(F.xxhash64("cls").alias("h")), "h")
+    return classes.withColumn("h", F.xxhash64("cls")).where(among("h")).join(rows, "cls")
 
 
-def _members(classes: DataFrame, regions: DataFrame, n_trees: int) -> DataFrame:
+def _members(held: DataFrame, regions: DataFrame, n_trees: int) -> DataFrame:
     """(unit, slot, cls, n_shingles, signature, compared): one row per class and region; ``compared`` has a bit for every tree
     where a region of the class is compared."""
 
@@ -207,7 +208,7 @@ def _members(classes: DataFrame, regions: DataFrame, n_trees: int) -> DataFrame:
                 )
 
     entries = regions.groupBy("cls").agg(F.collect_list(F.struct("slot", "key")).alias("entries"))  # one per tree at most
-    joined = entries.join(signatures_of(classes, regions, "cls", "n_shingles", "signature"), "cls")
+    joined = entries.join(held, "cls")
     return joined.select("cls", "entries", "n_shingles", "signature").mapInArrow(
         run, "unit long, slot int, cls long, n_shingles long, signature binary, compared binary"
     )
@@ -287,7 +288,7 @@ def _partners(members: DataFrame, percent: int) -> DataFrame:
     return members.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, _Lists.SCHEMA)
 
 
-def _neighbours(classes: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+def _neighbours(held: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
     """(unit, cls, partners) of crowded regions: candidates among up to REGION neighbours with the longest common prefixes.
 
     The sort is one range partitioning over all crowded regions, so a region of any size is spread over many tasks.
@@ -319,8 +320,7 @@ def _neighbours(classes: DataFrame, crowded: DataFrame, percent: int) -> DataFra
                     lists.close(int(_mix(np.array([keys[s]], dtype=np.int64).view(np.uint64) * _P + np.uint64(cls[s])).view(np.int64)[0]))
             yield lists.batch()
 
-    rows = crowded.where(F.col("slot") < SORTED_TREES)
-    rows = rows.join(signatures_of(classes, rows, "cls", "n_shingles", "signature"), "cls")
+    rows = crowded.where(F.col("slot") < SORTED_TREES).join(held, "cls")
     ordered = rows.select("slot", "key", "cls", "n_shingles", "signature").mapInArrow(
         further, "key long, cls long, n_shingles long, signature binary, order binary"
     )
@@ -523,10 +523,13 @@ def _state(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     small, crowded, paths = _regions(classes, percent)
     small, path = materialize(small, "forest-members")
     paths.append(path)
-    found = _partners(_members(classes, small, trees(percent)), percent)
+    members = small.select("cls").unionAll(crowded.select("cls")).distinct()
+    held, path = materialize(_signatures_of(classes, members).select("cls", "n_shingles", "signature"), "forest-signatures")
+    paths.append(path)
+    found = _partners(_members(held, small, trees(percent)), percent)
     busy = not crowded.isEmpty()
     if busy:
-        found = found.unionAll(_neighbours(classes, crowded, percent))
+        found = found.unionAll(_neighbours(held, crowded, percent))
     candidates, path = materialize(found, "forest-candidates")
     paths.append(path)
     edges, _ = materialize(_confirmed(_with_text(docs, classes, candidates), percent), "forest-links")
@@ -535,13 +538,11 @@ def _state(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         left, path = materialize(_open(crowded, parts), "forest-open")
         paths.append(path)
         if not left.isEmpty():
-            texts, path = materialize(
-                _with_text(docs, classes, left).join(signatures_of(classes, left, "cls", "signature"), "cls"), "forest-texts"
-            )
+            texts, path = materialize(_with_text(docs, classes, left).join(held.select("cls", "signature"), "cls"), "forest-texts")
             paths.append(path)
             candidates, path = materialize(_across(texts, percent), "forest-candidates")
             paths.append(path)
-            more, _ = materialize(_confirmed(_with_text(docs, classes, candidates), percent), "forest-links")
+            more, _ = materialize(_confirmed(candidates.join(texts.select("cls", "text"), "cls"), percent), "forest-links")
             parts = connected_components(edges.unionAll(more).distinct())
     for path in paths:
         drop_path(docs.sparkSession, path)
