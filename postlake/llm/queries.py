@@ -18,6 +18,7 @@ from postlake.llm import (
     sharding,
     suffix_tree,
     warc,
+    whitening,
 )
 from postlake.llm.common import read, scratch_path
 
@@ -128,6 +129,12 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(read(spark, sf_dir, "documents"))
 
 
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the 16 leading components of their covariance, scaled to unit variance."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 # Links decided pair by pair on the shingles that two documents share: quick on small tables only.
 ORACLES["op6_lsh_forest"] = r"""
 WITH RECURSIVE w AS (
