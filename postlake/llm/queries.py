@@ -16,6 +16,7 @@ from postlake.llm import (
     packing,
     quality,
     sharding,
+    spelling,
     suffix_tree,
     warc,
     whitening,
@@ -129,6 +130,12 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their spelling variants."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors on the 16 leading components of their covariance, scaled to unit variance."""
