@@ -17,6 +17,7 @@ from postlake.llm import (
     quality,
     sharding,
     spelling,
+    suffix_dedup,
     suffix_tree,
     warc,
     whitening,
@@ -136,6 +137,12 @@ def op11_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+@query
+def op12_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages of 200 bytes that stand elsewhere too."""
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors on the 16 leading components of their covariance, scaled to unit variance."""
