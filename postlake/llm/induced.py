@@ -100,26 +100,26 @@ def _induce_narrow(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, k: int
     n = len(s)
     count = np.bincount(s, minlength=k)
     ends = np.cumsum(count)
-    text, small, sa = s.tolist(), smaller.tolist(), [-1] * n
-    tail = ends.tolist()
-    for at in seeds.tolist()[::-1]:
-        c = text[at]
-        tail[c] -= 1
-        sa[tail[c]] = at
-    head = (ends - count).tolist()
-    for i in range(n):
-        at = sa[i] - 1
-        if at >= 0 and not small[at]:
-            c = text[at]
-            sa[head[c]] = at
+    letters = s[seeds]
+    own = np.bincount(letters, minlength=k)
+    seeded = np.full(n, n, dtype=np.int64)  # n: not there yet
+    seeded[(ends - own)[letters] + np.arange(len(seeds)) - (np.cumsum(own) - own)[letters]] = seeds
+    # what each suffix induces: the bucket of the one before it, if that one is of the scan's kind
+    larger, lower = np.full(n + 1, -1, dtype=np.int64), np.full(n + 1, -1, dtype=np.int64)
+    larger[1:n] = np.where(smaller[:-1], -1, s[:-1])
+    lower[1:n] = np.where(smaller[:-1], s[:-1], -1)
+    sa, bucket, head = seeded.tolist(), larger.tolist(), (ends - count).tolist()
+    for at in sa:  # a list is read on while it is filled
+        c = bucket[at]
+        if c >= 0:
+            sa[head[c]] = at - 1
             head[c] += 1
-    tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        at = sa[i] - 1
-        if at >= 0 and small[at]:
-            c = text[at]
+    bucket, tail = lower.tolist(), ends.tolist()
+    for at in reversed(sa):
+        c = bucket[at]
+        if c >= 0:
             tail[c] -= 1
-            sa[tail[c]] = at
+            sa[tail[c]] = at - 1
     sa[0] = n - 1
     return np.array(sa, dtype=np.int64)
 
@@ -168,11 +168,14 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     return induce(s, smaller, ordered, k)
 
 
-def permuted_prefixes(s: np.ndarray, sa: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+def permuted_prefixes(
+    s: np.ndarray, sa: np.ndarray, starts: np.ndarray, stops: np.ndarray, asked: np.ndarray | None = None, enough: int | None = None
+) -> np.ndarray:
     """For every position, how much its suffix shares with the one before it in ``sa``, up to the end of either's segment.
 
-    The segments start and stop at the given positions. Going through a segment, a position shares at most one less than the
+    The segments start and stop at the given positions. Going through a segment, a position shares at least one less than the
     position before it did; all segments go in step. Only true prefixes inside segments count, so separators share nothing.
+    ``asked``: so many first positions of each segment are wanted; the others stay 0. ``enough``: more than this need not be told.
     """
     n = len(s)
     before = np.full(n, -1, dtype=np.int64)
@@ -186,15 +189,17 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray, starts: np.ndarray, stops:
     room[starts[row] + inside] = stops[row] - starts[row] - inside
     out = np.zeros(n, dtype=np.int64)
     live, shared = np.arange(len(starts)), np.zeros(len(starts), dtype=np.int64)
+    ends = stops if asked is None else starts + asked
+    enough = n if enough is None else enough
     step = 0
     while len(live):
         at = starts[live] + step
-        going = at < stops[live]
+        going = at < ends[live]
         live, at, shared = live[going], at[going], shared[going]
         if not len(live):
             break
         other = before[at]
-        most = np.where(other >= 0, np.minimum(room[at], room[np.maximum(other, 0)]), 0)
+        most = np.where(other >= 0, np.minimum(np.minimum(room[at], room[np.maximum(other, 0)]), enough), 0)
         shared = np.minimum(np.maximum(shared - 1, 0), most)
         open_ = np.flatnonzero(shared < most)
         while len(open_):

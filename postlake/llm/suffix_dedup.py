@@ -198,7 +198,7 @@ def _in_arrays(segments: DataFrame) -> DataFrame:
         s[starts + sizes] = 1  # a separator below all bytes; the end of all below that
         s = np.append(s, 0)
         array = suffix_array(s, 258)
-        shared = permuted_prefixes(s, array, starts, starts + sizes) >= WINDOW
+        shared = permuted_prefixes(s, array, starts, starts + sizes, windows, WINDOW) >= WINDOW
         repeated = shared.copy()
         rank = np.flatnonzero(shared[array])  # both of two neighbours that share a window
         repeated[array[rank - 1]] = True
