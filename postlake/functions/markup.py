@@ -1,7 +1,8 @@
-"""A page as elements, for rules that need whole elements: nested tags, any quoting, decoded entities.
+"""A page as numbered elements: nested tags, any quoting, decoded entities.
 
-One pass finds the tags with string searches, a second one pairs them by depth; both grow in line with the page. Rows go
-through ``fields_of`` in Arrow batches; nothing here knows Spark tables or sites.
+One pass finds the tags with string searches and numbers the elements in document order; an element holds the numbers up to its
+``last``. The text of a page stands once, and an element has its place in it. Both grow in line with the page. What to look for
+on a page is not known here: rules are joined with the element table.
 """
 
 from __future__ import annotations
@@ -19,122 +20,62 @@ SIBLINGS = frozenset("p li option tr td th dt dd".split())
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>`]+)))?""")
 _TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _BLANKS = re.compile(r"[\s ﻿]+")
-_STEP = re.compile(r"""([a-z0-9]*)((?:\.[\w-]+)*)(?:#([\w-]+))?(?:\[([\w-]+)(?:(\*?)="([^"]*)")?\])?""")
 
 
 class Element:
-    __slots__ = ("tag", "source", "parent", "start", "end", "number", "last", "_attributes")
+    __slots__ = ("tag", "source", "begin", "end", "number", "last")
 
-    def __init__(self, tag: str, source: str, parent: Element | None, start: int, number: int) -> None:
-        self.tag, self.source, self.parent, self.start, self.end, self.number = tag, source, parent, start, None, number
-        self.last = number  # number of its last descendant
-        self._attributes = None
+    def __init__(self, tag: str, source: str, begin: int, number: int) -> None:
+        self.tag, self.source, self.begin, self.end, self.number, self.last = tag, source, begin, begin, number, number
 
-    @property
     def attributes(self) -> dict[str, str]:
-        if self._attributes is None:
-            self._attributes = {}
-            for name, double, single, bare in _ATTRIBUTE.findall(self.source):
-                self._attributes.setdefault(name.lower(), html.unescape(double or single or bare))
-        return self._attributes
-
-
-class Page:
-    """Elements in document order and the pieces of text between tags."""
-
-    def __init__(self, source: str) -> None:
-        self.elements: list[Element] = []
-        self.texts: list[str] = []
-        stack: list[Element] = []
-        open_: dict[str, int] = {}
-        unseen = 0
-
-        def close(depth: int) -> None:
-            nonlocal unseen
-            while len(stack) > depth:
-                e = stack.pop()
-                e.end, e.last = len(self.texts), len(self.elements) - 1
-                open_[e.tag] -= 1
-                unseen -= e.tag in UNSEEN
-
-        for kind, value, inside in _tags(source):
-            if kind == "text":
-                if not unseen:
-                    self.texts.append(value)
-            elif kind == "open":
-                if value in SIBLINGS and stack and stack[-1].tag == value:
-                    close(len(stack) - 1)
-                e = Element(value, inside, stack[-1] if stack else None, len(self.texts), len(self.elements))
-                self.elements.append(e)
-                if value in VOID:
-                    e.end = len(self.texts)
-                else:
-                    stack.append(e)
-                    open_[value] = open_.get(value, 0) + 1
-                    unseen += value in UNSEEN
-            elif open_.get(value):
-                depth = len(stack) - 1
-                while stack[depth].tag != value:
-                    depth -= 1
-                close(depth)
-        close(0)
-
-    def text(self, e: Element) -> str:
-        """Text of a whole element: tags part words, blanks are collapsed, entities decoded once."""
-        return _BLANKS.sub(" ", html.unescape(" ".join(self.texts[e.start : e.end]))).strip()
-
-    def find(self, selector: str, inside: Element | None = None) -> Iterator[Element]:
-        """Elements that one of the comma-separated selectors matches, in document order."""
-        wanted = [[_step(s) for s in one.split()] for one in selector.split(",")]
-        own = self.elements[inside.number + 1 : inside.last + 1] if inside else self.elements
-        for e in own:
-            if any(_matches(e, steps, inside) for steps in wanted):
-                yield e
-
-    def first_text(self, selectors: list[str], inside: Element | None = None) -> str | None:
-        """The first text that is not empty, by order of the selectors and then of the page."""
-        for selector in selectors:
-            for e in self.find(selector, inside):
-                if text := self.text(e):
-                    return text
-        return None
-
-
-def _step(step: str) -> tuple:
-    m = _STEP.fullmatch(step)
-    if not m or not step:
-        raise ValueError(f"unsupported selector step {step!r}")
-    tag, classes, ident, attribute, part, value = m.groups()
-    return tag, frozenset(classes.split(".")[1:]), ident, attribute, bool(part), value  # value None: the attribute is there
-
-
-def _fits(e: Element, step: tuple) -> bool:
-    tag, classes, ident, attribute, part, value = step
-    if tag and e.tag != tag:
-        return False
-    if not (classes or ident or attribute):
-        return True
-    if not e.source.strip():
-        return False
-    a = e.attributes
-    if classes and not classes <= set(a.get("class", "").split()):
-        return False
-    if ident and a.get("id") != ident:
-        return False
-    return not attribute or (attribute in a and (value is None or (value in a[attribute] if part else a[attribute] == value)))
-
-
-def _matches(e: Element, steps: list[tuple], inside: Element | None) -> bool:
-    if not _fits(e, steps[-1]):
-        return False
-    k, at = len(steps) - 2, e.parent
-    while k >= 0:
-        while at is not None and at is not inside and not _fits(at, steps[k]):
-            at = at.parent
-        if at is None or at is inside:
-            return False
-        k, at = k - 1, at.parent
-    return True
+        found: dict[str, str] = {}
+        for name, double, single, bare in _ATTRIBUTE.findall(self.source):
+            found.setdefault(name.lower(), html.unescape(double or single or bare))
+        return found
+
+
+def elements_of(source: str) -> tuple[list[Element], str]:
+    """The elements of a page in document order and its text.
+
+    Tags part words, blanks of a piece are collapsed, entities are decoded once. ``begin`` and ``end`` of an element are its
+    place in the text; ``last`` is the number of its last descendant.
+    """
+    elements: list[Element] = []
+    texts: list[str] = []
+    stack: list[Element] = []
+    open_: dict[str, int] = {}
+    unseen = size = 0
+
+    def close(depth: int) -> None:
+        nonlocal unseen
+        while len(stack) > depth:
+            e = stack.pop()
+            e.end, e.last = size, len(elements) - 1
+            open_[e.tag] -= 1
+            unseen -= e.tag in UNSEEN
+
+    for kind, value, inside in _tags(source):
+        if kind == "text":
+            if not unseen and (piece := _BLANKS.sub(" ", html.unescape(value)).strip(" ")):
+                texts.append(piece)
+                size += len(piece) + 1
+        elif kind == "open":
+            if value in SIBLINGS and stack and stack[-1].tag == value:
+                close(len(stack) - 1)
+            e = Element(value, inside, size, len(elements))
+            elements.append(e)
+            if value not in VOID:
+                stack.append(e)
+                open_[value] = open_.get(value, 0) + 1
+                unseen += value in UNSEEN
+        elif open_.get(value):
+            depth = len(stack) - 1
+            while stack[depth].tag != value:
+                depth -= 1
+            close(depth)
+    close(0)
+    return elements, " ".join(texts)
 
 
 def _tags(page: str) -> Iterator[tuple[str, str, str]]:

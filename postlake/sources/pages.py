@@ -1,27 +1,23 @@
 """Page HTML to listings, links and block verdicts.
 
-Rules on whole elements run in one Arrow pass over the page table, everything
-else in one projection; the wide ``html`` column is dropped as soon as its
-fields are out.
+Rules on whole elements are joined with the element table (``elements``),
+everything else is one projection; the wide ``html`` column is dropped as soon
+as its fields are out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postlake import constants as K
-from postlake.functions import markup
 from postlake.functions.documents import parse_json
 from postlake.functions.text import (
     as_col, contains_any, content_cap, empty_to_null, head, literal_pattern, page_text, page_title, title_company,
     visible_body, ws_trim,
 )
 from postlake.functions.urls import numeric_job_id, url_host, url_origin, url_scheme
+from postlake.sources import elements as E
 
 _LD_BLOCK = r'(?is)<script(?=[^<>]*\stype\s*=\s*["\']?application/ld\+json["\'\s>])[^<>]*>(.*)\z'
 
@@ -106,84 +102,69 @@ DEFAULT_RULES = [
 ]
 
 
-def _over_pages(pages: DataFrame, kept: list[str], names: list[str], rows_of, lists: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that ``rows_of(page, site)`` finds in each page, next to the page's own columns; one Arrow pass, no shuffle."""
-    site = "site" in pages.columns
-    schema = pages.select(*kept).schema
-    for name in names:
-        kind = T.LongType() if name == "card_no" else T.ArrayType(T.StringType()) if name in lists else T.StringType()
-        schema = schema.add(name, kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sites = batch.column("_site").to_pylist()
-            source, found = [], []
-            for k, (page, of) in enumerate(zip(batch.column("_html"), sites)):
-                for values in rows_of(markup.Page(page.as_py() or ""), of):
-                    source.append(k)
-                    found.append(values)
-            at = pa.array(source, pa.int32())
-            columns = [batch.column(c).take(at) for c in kept]
-            kinds = [pa.int64() if n == "card_no" else pa.list_(pa.string()) if n in lists else pa.string() for n in names]
-            columns += [pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
-
-    return pages.select(
-        *kept, F.col("html").alias("_html"), (F.col("site") if site else F.lit(None).cast("string")).alias("_site")
-    ).mapInArrow(run, schema)
+def _fields(pages: DataFrame, rules: list[tuple], names: list[str]) -> DataFrame:
+    """The pages' own columns and the first text of each field, by joins of the element table with the rule rows."""
+    own, hits = E.landed(pages, rules)
+    said = E.with_text(E.whole_paths(hits, rules, ["page_no"]), own)
+    found = said.groupBy("page_no").agg(*[E.best(n).alias(n) for n in names])
+    return own.select("page_no", "page").join(found, "page_no", "left").select("page.*", *names)
 
 
 def extract_fields(pages: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     """Apply ordered field rules; whole elements count, with their nested tags."""
-    by_field: dict[str, list[tuple[int, str]]] = {}
-    for field, priority, selector in rules:
-        by_field.setdefault(field, []).append((priority, selector))
-    ordered = {field: [s for _, s in sorted(own)] for field, own in by_field.items()}
-    return _over_pages(
-        pages, [c for c in pages.columns if c != "html"], list(ordered),
-        lambda page, site: [[page.first_text(own) for own in ordered.values()]],
-    )
+    names = list(dict.fromkeys(field for field, _, _ in rules))
+    return _fields(pages, E.rule_rows((None, *rule) for rule in rules), names)
 
 
 _SITE_NAMES = ["title", "company", "location", "description", "experience", "job_type", "salary", "posted_date", "seniority"]
 
 
 def site_fields(pages: DataFrame) -> DataFrame:
-    """Detail fields by the selectors of each page's own ``site``; a field stops at its first selector that gives text."""
-    def rows_of(page: markup.Page, site: str | None) -> list[list]:
-        own = K.SITE_FIELDS.get(site, {})
-        return [[page.first_text(own.get(name, [])) for name in _SITE_NAMES]]
-
-    found = _over_pages(pages, [c for c in pages.columns if c != "html"], _SITE_NAMES, rows_of)
+    """Detail fields by the rules of each page's own ``site``; a field stops at its first rule that gives text."""
+    rules = [(site, name, k, paths) for site, own in K.SITE_FIELDS.items() for name, tries in own.items() for k, paths in enumerate(tries)]
+    found = _fields(pages, E.rule_rows(rules), _SITE_NAMES)
     # one site writes "Role at Company | .." there
     return found.withColumn("company", F.when(F.col("site") == "wellfound", title_company("company")).otherwise(F.col("company")))
 
 
+def _cards(hits: DataFrame, *more: str) -> DataFrame:
+    """(page_no, card, card_last, ...): found elements, each once however many rules find it."""
+    return hits.select("page_no", F.col("number").alias("card"), F.col("last").alias("card_last"), *more).dropDuplicates(["page_no", "card"])
+
+
 def card_listings(pages: DataFrame, site: str) -> DataFrame:
     """One listing per result card of a search page; a card is a whole element, cards inside a card belong to it."""
     selectors, fields = K.SITE_CARDS[site]
-    cards, names = ",".join(selectors), list(fields)
+    names = list(fields)
     kept = [c for c in pages.columns if c not in ("html", "url", "site")]
-    origin = K.SITE_CARD_ORIGINS[site]
-
-    def rows_of(page: markup.Page, _: str | None) -> list[list]:
-        out, last = [], None
-        for card in page.find(cards):
-            if last is not None and card.number <= last.last:
-                continue
-            last = card
-            link = next((e.attributes["href"] for e in [card, *page.find("a", card)] if e.attributes.get("href")), "")
-            out.append([len(out), link, *(page.first_text(fields[n], card) for n in names)])
-        return out
-
-    rows = _over_pages(pages.drop("site"), kept, ["card_no", "_href", *names], rows_of).filter(F.col("title").isNotNull())
+    rules = E.rule_rows([
+        (None, "(card)", 0, ",".join(selectors)), (None, "(own)", 0, "[href]"), (None, "(link)", 0, "a[href]"),
+        *((None, name, k, paths) for name, tries in fields.items() for k, paths in enumerate(tries)),
+    ])
+    own, hits = E.landed(pages.drop("site"), rules)
+    before = Window.partitionBy("page_no").orderBy("card")
+    outer = F.coalesce(F.max("card_last").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    cards = _cards(E.whole_paths(hits.where("field = '(card)'"), rules, ["page_no"])).withColumn("outer", outer).where("card > outer")
+    cards = cards.select("page_no", "card", "card_last", (F.row_number().over(before) - 1).cast("bigint").alias("card_no"))
+    held = E.inside(hits.where(~F.col("field").isin("(card)", "(own)")), cards)
+    said = E.with_text(E.whole_paths(held, rules, ["page_no", "card"]), own)
+    href = F.col("attributes")["href"]
+    found = said.groupBy("page_no", "card").agg(
+        *[E.best(n).alias(n) for n in names], F.min_by(href, F.when((F.col("field") == "(link)") & (href != ""), F.col("number"))).alias("_link")
+    )
+    addressed = hits.where("field = '(own)'").select("page_no", F.col("number").alias("card"), F.nullif(href, F.lit("")).alias("_own"))
+    rows = cards.join(found, ["page_no", "card"], "left").join(addressed, ["page_no", "card"], "left").join(own.select("page_no", "page"), "page_no")
+    rows = rows.select(
+        *[F.col("page")[c].alias(c) for c in kept], "card_no", F.coalesce("_own", "_link", F.lit("")).alias("_href"), *names
+    ).filter(F.col("title").isNotNull())
     lead = "Internship: " if site == "internshala" else ""
-    said = F.concat(F.lit(lead), F.col("title"), F.lit(" at "), F.coalesce("company", F.lit("")))
+    described = F.concat(F.lit(lead), F.col("title"), F.lit(" at "), F.coalesce("company", F.lit("")))
     return rows.select(
         *kept, "card_no", "title", F.coalesce("company", F.lit("Unknown")).alias("company"),
         *[n for n in names if n not in ("title", "company", "description")],
-        F.when(F.startswith("_href", F.lit("http")), F.col("_href")).otherwise(F.concat(F.lit(origin), F.col("_href"))).alias("url"),
-        F.coalesce("description", said).alias("description"), F.lit(site).alias("source"),
+        F.when(F.startswith("_href", F.lit("http")), F.col("_href")).otherwise(
+            F.concat(F.lit(K.SITE_CARD_ORIGINS[site]), F.col("_href"))).alias("url"),
+        F.coalesce("description", described).alias("description"), F.lit(site).alias("source"),
     )
 
 
@@ -204,26 +185,30 @@ def hub_detail_links(pages: DataFrame) -> DataFrame:
     Sites with numbered listings give the number in a card's own mark or in a link of the card; the detail address is
     built from it, so a listing that stands twice under different links counts once.
     """
-    def rows_of(page: markup.Page, site: str | None) -> list[list]:
-        if site in K.HUB_NUMBERED:
-            cards, mark, links, _ = K.HUB_NUMBERED[site]
-            out = []
-            for card in page.find(",".join(cards)):
-                tries = [card.attributes.get(mark, "")]
-                tries += [a.attributes.get("href", "") for a in page.find(",".join(links), card)]
-                out.append([None, tries])
-            return out
-        selectors = K.HUB_LINKS.get(site)
-        return [[a.attributes["href"], None] for a in page.find(",".join(selectors)) if a.attributes.get("href")] if selectors else []
-
-    found = _over_pages(pages, ["page_id", "url", "site"], ["href", "tries"], rows_of, lists=("tries",))
-    number = F.get(F.filter(F.transform("tries", numeric_job_id), lambda n: n.isNotNull()), F.lit(0))
-    template = F.lit(None).cast("string")
-    for site, (_, _, _, address) in K.HUB_NUMBERED.items():
-        template = F.when(F.col("site") == site, F.lit(address)).otherwise(template)
+    rules = E.rule_rows([
+        *((site, "(detail)", 0, ",".join(paths)) for site, paths in K.HUB_LINKS.items()),
+        *((site, "(card)", 0, ",".join(cards)) for site, (cards, _, _, _) in K.HUB_NUMBERED.items()),
+        *((site, "(link)", 0, ",".join(links)) for site, (_, _, links, _) in K.HUB_NUMBERED.items()),
+    ])
+    own, hits = E.landed(pages.select("page_id", "url", "site", "html"), rules)
+    own = own.select("page_no", "page.*")
+    href = F.col("attributes")["href"]
+    details = E.whole_paths(hits.where("field = '(detail)'"), rules, ["page_no"]).where(href != "").select("page_no", href.alias("href"))
     absolute = resolve_link("href", "url")
-    link = F.when(F.col("tries").isNotNull(), F.replace(template, F.lit("{id}"), number)).when(url_host(absolute) == url_host("url"), absolute)
-    return found.select("page_id", link.alias("link")).filter(F.col("link").isNotNull()).distinct()
+    linked = details.join(own, "page_no").where(url_host(absolute) == url_host("url")).select("page_id", absolute.alias("link"))
+
+    template, mark = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for site, (_, name, _, address) in K.HUB_NUMBERED.items():
+        template = F.when(F.col("site") == site, F.lit(address)).otherwise(template)
+        mark = F.when(F.col("site") == site, F.col("attributes")[name]).otherwise(mark)
+    cards = _cards(E.whole_paths(hits.where("field = '(card)'"), rules, ["page_no"]), "attributes")
+    held = E.inside(hits.where("field = '(link)'"), cards.drop("attributes"))
+    links = E.whole_paths(held, rules, ["page_no", "card"]).select("page_no", "card", "number", href.alias("value"))
+    marks = cards.join(own, "page_no").select("page_no", "card", F.lit(-1).alias("number"), mark.alias("value"))
+    tried = marks.unionByName(links).withColumn("id", numeric_job_id("value"))
+    numbers = tried.groupBy("page_no", "card").agg(F.min_by("id", F.when(F.col("id").isNotNull(), F.col("number"))).alias("id")).where("id is not null")
+    numbered = numbers.join(own, "page_no").select("page_id", F.replace(template, F.lit("{id}"), F.col("id")).alias("link"))
+    return linked.unionByName(numbered).filter(F.col("link").isNotNull()).distinct()
 
 
 def search_cards(pages: DataFrame, origin: str = "https://www.google.com") -> DataFrame:
@@ -231,37 +216,47 @@ def search_cards(pages: DataFrame, origin: str = "https://www.google.com") -> Da
 
     A listing stands once per page; descriptions are whole.
     """
-    names = ["title", "company", "location", "url", "description"]
-
-    def rows_of(page: markup.Page, _: str | None) -> list[list]:
-        out, seen = [], set()
-
-        def add(title, company, location, link, text, key):
-            if title and key not in seen:
-                seen.add(key)
-                out.append([len(out), title, company or "Unknown", location or None, link, text])
-
-        for card in page.find(",".join(K.SEARCH_CARDS)):
-            title = page.first_text(K.SEARCH_TITLES, card)
-            blocks = [page.text(e) for e in page.find("div,div span", card)]
-            blocks = [b for b in blocks if b and b != title]
-            company = page.first_text(['[class*="company"]'], card) or (blocks[0] if blocks else "")
-            place = page.first_text(['[class*="location"]'], card) or (blocks[1] if len(blocks) > 1 else "")
-            link = card.attributes.get("data-share-url") or next((a.attributes["href"] for a in page.find("a[href]", card)), "")
-            if title and len(title) > 3:
-                add(title, company, place, link, page.text(card), (title, company))
-        if not out:
-            for item in page.find('[role="listitem"]'):
-                blocks = [page.text(e) for e in page.find("div", item)]
-                link = next((a.attributes["href"] for a in page.find("a[href]", item)), "")
-                title = page.first_text(["h3", '[role="heading"]'], item)
-                add(title, *(blocks[1:3] + ["", ""])[:2], link, page.text(item), title)
-        return out
-
     kept = [c for c in pages.columns if c not in ("html", "url", "site")]
-    found = _over_pages(pages, kept, ["card_no", *names], rows_of)
-    return found.withColumn("url", F.when((F.col("url") == "") | F.startswith("url", F.lit("http")), F.col("url"))
-                            .otherwise(F.concat(F.lit(origin), F.col("url"))))
+    rules = E.rule_rows([
+        (None, "card", 0, ",".join(K.SEARCH_CARDS)), (None, "item", 0, '[role="listitem"]'), (None, "link", 0, "a[href]"),
+        *((None, "title", k, path) for k, path in enumerate(K.SEARCH_TITLES)), (None, "block", 0, "div,div span"),
+        (None, "company", 0, '[class*="company"]'), (None, "place", 0, '[class*="location"]'),
+        *((None, "item_title", k, path) for k, path in enumerate(["h3", '[role="heading"]'])), (None, "item_block", 0, "div"),
+    ])
+    own, hits = E.landed(pages.drop("site"), rules)
+    is_card = F.col("field").isin("card", "item")
+    found = E.with_text(E.whole_paths(hits.where(is_card), rules, ["page_no"]), own)
+    cards = found.select(
+        "page_no", F.col("field").alias("kind"), F.col("number").alias("card"), F.col("last").alias("card_last"),
+        F.col("said").alias("description"), F.col("attributes")["data-share-url"].alias("share"),
+    ).dropDuplicates(["page_no", "kind", "card"])
+    scope = ["page_no", "kind", "card"]
+    held = E.inside(hits.where(~is_card), cards.select(*scope, "card_last"))
+    said = E.with_text(E.whole_paths(held, rules, scope), own)
+    blocks = lambda field: F.transform(F.array_sort(F.collect_list(  # noqa: E731 - the blocks of one card
+        F.when(F.col("field") == field, F.struct("number", "said")))), lambda b: b["said"])
+    parts = said.groupBy(*scope).agg(
+        E.best("title").alias("card_title"), E.best("item_title").alias("item_title"), E.best("company").alias("company"),
+        E.best("place").alias("place"), blocks("block").alias("blocks"), blocks("item_block").alias("item_blocks"),
+        F.min_by(F.col("attributes")["href"], F.when(F.col("field") == "link", F.col("number"))).alias("link"),
+    )
+    full = F.filter("blocks", lambda b: (b != "") & ~b.eqNullSafe(F.col("card_title")))
+    card = F.col("kind") == "card"
+    rows = cards.join(parts, scope).select(
+        *scope, "description", F.when(card, F.col("card_title")).otherwise(F.col("item_title")).alias("title"),
+        F.when(card, F.coalesce("company", F.get(full, F.lit(0)))).otherwise(F.get("item_blocks", F.lit(1))).alias("company"),
+        F.when(card, F.coalesce("place", F.get(full, F.lit(1)))).otherwise(F.get("item_blocks", F.lit(2))).alias("location"),
+        F.coalesce(F.when(card, F.nullif("share", F.lit(""))), "link", F.lit("")).alias("url"),
+    ).where((F.col("title") != "") & (~card | (F.length("title") > 3)))
+    again = Window.partitionBy("page_no", "kind", "title", F.when(card, F.coalesce("company", F.lit("")))).orderBy("card")
+    kinds = Window.partitionBy("page_no")
+    rows = rows.withColumn("again", F.row_number().over(again)).where("again = 1").withColumn("first_kind", F.min("kind").over(kinds)).where(
+        "kind = first_kind").withColumn("card_no", F.row_number().over(kinds.orderBy("card")).cast("bigint") - 1)
+    url = F.when((F.col("url") == "") | F.startswith("url", F.lit("http")), F.col("url")).otherwise(F.concat(F.lit(origin), F.col("url")))
+    return rows.join(own.select("page_no", "page"), "page_no").select(
+        *[F.col("page")[c].alias(c) for c in kept], "card_no", "title", F.coalesce(F.nullif("company", F.lit("")), F.lit("Unknown")).alias("company"),
+        F.nullif("location", F.lit("")).alias("location"), url.alias("url"), "description",
+    )
 
 
 def resolve_link(href, page_url) -> Column:

@@ -1,6 +1,8 @@
 """Feed, API, page and response payloads on inline fixtures."""
 
 import json
+import random
+import re
 import time
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from postlake.functions import markup
 from postlake.operators import ledger
 from postlake.plans import jobs
-from postlake.sources import apis, feeds, pages, responses
+from postlake.sources import apis, elements, feeds, pages, responses
 
 
 def body(spark, *bodies):
@@ -198,22 +200,62 @@ def test_site_fields(spark):
     ("title", "<title>Tom &amp; Co</title>", "Tom & Co"), ("i", "<i>&amp;amp;</i>", "&amp;"), ("li", "<ul><li>one<li>two</ul>", "one"),
     ("div", "<div>a<script>no</script>b", "a b"), ("b", "<p>none</p>", None), ("[data-x]", "<i>1</i><i data-x>2</i>", "2"), ('a[href*=">"]', '<a href="x>y">in</a>', "in"),
 ])
-def test_whole_elements(selector, html, want):
-    assert markup.Page(html).first_text([selector]) == want
+def test_whole_elements(spark, selector, html, want):
+    df = spark.createDataFrame([(1, html)], "page_id bigint, html string")
+    assert pages.extract_fields(df, [("field", 1, selector)]).first().field == want
 
 
-def test_unknown_selectors_are_refused():
+def test_unknown_steps_are_refused():
     with pytest.raises(ValueError):
-        markup.Page("<p>x").first_text(["ul > li"])
+        elements.rule_rows([(None, "field", 1, "ul > li")])
+
+
+def test_paths_follow_nesting_and_not_order(spark):
+    """The running maximum of ends against every pair of elements, on random trees, with paths of up to three steps."""
+    rng = random.Random(61)
+
+    def tree(depth):
+        tag = rng.choice(["div", "b", "i"])
+        inner = "".join(tree(depth - 1) for _ in range(rng.randint(0, 3))) if depth else ""
+        return f'<{tag} class="{rng.choice("xyz")} {rng.choice("xyz")}" id="{rng.choice("pq")}">{rng.choice("klm")}{inner}</{tag}>'
+
+    df = spark.createDataFrame([(k, "".join(tree(5) for _ in range(3))) for k in range(30)], "page_id bigint, html string")
+    rules = elements.rule_rows([(None, p, 1, p) for p in ("div", "div b", "div div", "div .x i", ".x .x .x", "#p b.y", "[class*=z] i".replace("=z", '="z"'))])
+    own, hits = elements.landed(df, rules)
+    got = {(r.page_no, r.field, r.number) for r in elements.whole_paths(hits, rules, ["page_no"]).collect()}
+    want, all_of = set(), {}
+    for r in elements.element_table(df).where("number >= 0").collect():
+        all_of.setdefault(r.page_no, []).append(r)
+
+    def fits(e, step):
+        return all((e.tag == m[0]) if m[0] else True for m in [re.fullmatch(r"(\w*)(.*)", step).groups()]) and (
+            "." not in step or step.split(".")[1] in e.classes) and ("#" not in step or e.attributes.get("id") == step[1:]) and (
+            "*" not in step or "z" in e.attributes["class"])
+
+    for page, own in all_of.items():
+        for path in {r[1] for r in rules}:
+            steps = path.split()
+            reached = [e for e in own if fits(e, steps[0])]
+            for step in steps[1:]:
+                reached = [e for e in own if fits(e, step) and any(a.number < e.number <= a.last for a in reached)]
+            want |= {(page, path, e.number) for e in reached}
+    assert got == want and len(want) > 300
+
+
+def test_rules_are_joins(spark):
+    df = spark.createDataFrame([(1, "s", "<p>x</p>")], "page_id bigint, site string, html string")
+    rules = elements.rule_rows([("s", "f", 1, "div p"), ("t", "f", 1, "p.a")])
+    _, hits = elements.landed(df, rules)
+    plan = elements.whole_paths(hits, rules, ["page_no"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashJoin \[site#\d+, key#\d+\], \[site#\d+, key#\d+\], Inner", plan) and "MapInArrow" not in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 @pytest.mark.parametrize("part", ["<nav ", '<div class="company-box">', '<a "', "<p>", "</p>", "<li><ul>", "<", "<script>", "<title>"])
 def test_time_of_field_rules_grows_with_the_page(part):
     def seconds(size):
         started = time.process_time()
-        page = markup.Page(part * (size // len(part)))
-        for field in pages.K.SITE_FIELDS["cutshort"].values():
-            page.first_text(field)
+        markup.elements_of(part * (size // len(part)))
         return time.process_time() - started
 
     seconds(10_000)
