@@ -33,17 +33,22 @@ def _part_of(ts: str) -> Column:
 
 _PARTS = 4
 
-_SQL_ALERT_TIMES = f"WITH {V.SQL_ALERTS} SELECT ts FROM v_alerts"
+
+_TIMED = "event_type = 'request_ok' AND latency_ms >= 0"
 
 
 def _sql_windows(group: str, step: int) -> str:
     names = ", ".join(f"count(*) FILTER (event_type = '{v}') AS {k}" for k, v in metrics._COUNTERS.items())
     return f"""w AS (SELECT *, unnest(range({60 // step})) AS k FROM v_run_events),
-    g AS (SELECT (epoch_us(ts) // {step * 1000000} - k) * {step * 1000000} AS start_us, {group} {names} FROM w GROUP BY ALL)"""
+    g AS (SELECT (epoch_us(ts) // {step * 1000000} - k) * {step * 1000000} AS start_us, {group} {names},
+      coalesce({S.half_up(f"avg(CAST(latency_ms AS DOUBLE)) FILTER ({_TIMED})")}, 0) AS avg_latency_ms,
+      coalesce(CAST(quantile_disc(latency_ms, 0.95) FILTER ({_TIMED}) AS BIGINT), 0) AS p95_latency_ms FROM w GROUP BY ALL)"""
 
 
 _RATE = f"""CASE WHEN requests_succeeded + requests_failed > 0
-  THEN {S.half_up('requests_succeeded / (requests_succeeded + requests_failed) * 100')} ELSE 100 END AS success_rate_pct"""
+  THEN {S.half_up('requests_succeeded / (requests_succeeded + requests_failed) * 100')} ELSE 100 END AS success_rate_pct,
+  CASE WHEN jobs_extracted > 0 THEN {S.half_up('jobs_deduplicated / jobs_extracted * 100', 1)} ELSE 0.0::DOUBLE END AS dedup_ratio_pct,
+  {S.half_up('CAST(jobs_extracted AS DOUBLE)', 1)} AS jobs_per_minute, avg_latency_ms, p95_latency_ms"""
 
 
 @query(
@@ -53,7 +58,8 @@ _RATE = f"""CASE WHEN requests_succeeded + requests_failed > 0
 )
 def stream_rolling_metrics(spark, sf):
     out = streams.run_to_table(spark, streams.rolling_metrics(V.v_run_events(spark, sf, stream=True)), "rolling")
-    return out.select(F.unix_micros("window_start").alias("start_us"), *metrics._COUNTERS, "success_rate_pct")
+    rates = ["success_rate_pct", "dedup_ratio_pct", "jobs_per_minute", "avg_latency_ms", "p95_latency_ms"]
+    return out.select(F.unix_micros("window_start").alias("start_us"), *metrics._COUNTERS, *rates)
 
 
 @query(
@@ -119,27 +125,26 @@ def stream_idle_keys(spark, sf):
     return _idle(spark, V.v_traffic(spark, sf), lambda s: streams.idle_keys(s, "domain"), "idle-keys")
 
 
-@query(
-    "stream_attempt_numbers",
-    f"WITH a AS ({ORACLES['attempt_numbers']}) SELECT a.* FROM a JOIN events e USING (event_id) WHERE e.ts <= {_SQL_FINAL}",
-)
+def _to_the_end(spark, rows, build, label):
+    """All rows of a finished input, in parts and then closed."""
+    out = scratch_path(spark, label)
+    streams.run_in_slices(
+        spark, rows, _part_of("ts"), _PARTS, lambda s: build(s).writeStream.outputMode("append").format("parquet").option("path", out), label,
+        closing=streams.end_of_input(rows),
+    )
+    return spark.read.parquet(out)
+
+
+@query("stream_attempt_numbers", ORACLES["attempt_numbers"])
 def stream_attempt_numbers(spark, sf):
     log = V.v_traffic(spark, sf).withColumn("success", F.col("status") == 200)
-    out, state = scratch_path(spark, "attempts"), scratch_path(spark, "attempts-state")
-    streams.run_in_slices(spark, log, _part_of("ts"), _PARTS, lambda s: streams.attempts_writer(s, out, state), "attempts")
-    return spark.read.option("recursiveFileLookup", True).parquet(out).select("event_id", F.col("attempt").cast("bigint").alias("attempt"))
+    return _to_the_end(spark, log, streams.attempts, "attempts").select("event_id", "attempt")
 
 
-@query(
-    "stream_alert_cooldown",
-    f"WITH RECURSIVE a AS ({ORACLES['alert_cooldown']}) SELECT * FROM a WHERE make_timestamp(ts_us) <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ({_SQL_ALERT_TIMES}))",
-)
+@query("stream_alert_cooldown", ORACLES["alert_cooldown"])
 def stream_alert_cooldown(spark, sf):
-    out, state = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-state")
-    streams.run_in_slices(spark, V.v_alerts(spark, sf), _part_of("ts"), _PARTS, lambda s: streams.cooldown_writer(s, out, state), "alerts")
-    return spark.read.option("recursiveFileLookup", True).parquet(out).select(
-        F.concat_ws(":", "channel", "severity").alias("key"), F.unix_micros("ts").alias("ts_us")
-    )
+    sent = _to_the_end(spark, V.v_alerts(spark, sf), streams.cooldown, "alerts")
+    return sent.select(F.concat_ws(":", "channel", "severity").alias("key"), F.unix_micros("ts").alias("ts_us"))
 
 
 @query(

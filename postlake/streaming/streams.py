@@ -1,23 +1,27 @@
 """Streaming forms of the rolling metrics, dedup, attempts, alerts and ingest.
 
 Event time drives everything.  Built-in state covers windows and duplicate
-removal; what depends on the order of rows inside a key runs per micro-batch
-with the skew-safe batch operators plus a small carried state, so a hot key is
-never handled row by row in one task.
+removal; what depends on the order of rows inside a key waits in Spark's keyed
+state until the watermark has passed it.  Ingest runs per micro-batch with the
+batch operators.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postlake import constants as K
 from postlake import schema
 from postlake.functions.hashing import with_fingerprints
-from postlake.operators import alerts, dedup, metrics, traffic
+from postlake.functions.scalars import half_up
+from postlake.operators import dedup, metrics
 from postlake.plans import jobs
 from postlake.session import scratch_path
 from postlake.streaming.state import VersionedTable
@@ -31,17 +35,30 @@ def rolling_metrics(
     events: DataFrame, by: list[str] | None = None, delay: str = DEFAULT_DELAY,
     width: str = "60 seconds", slide: str = "10 seconds",
 ) -> DataFrame:
-    """Counters and success rate per sliding window, overall or per key."""
+    """Counters, rates, throughput and latency per sliding window, overall or per key.
+
+    The latency part of a window's state holds a count for each value, which merges before the shuffle and over micro-batches;
+    the mean and the nearest-rank p95 are read from all successes of the window, not from a sample.
+    """
     kind = F.col("event_type")
     counts = [F.count_if(kind == v).alias(k) for k, v in metrics._COUNTERS.items()]
+    if "latency_ms" not in events.columns:
+        events = events.withColumn("latency_ms", F.lit(None).cast("bigint"))
+    timed = F.when((kind == "request_ok") & (F.col("latency_ms") >= 0), F.col("latency_ms"))
+    minutes = (F.unix_micros("window.end") - F.unix_micros("window.start")) / F.lit(60e6)
     return (
-        events.withWatermark("ts", delay)
+        events.withColumn("_timed", timed).withWatermark("ts", delay)
         .groupBy(F.window("ts", width, slide), *(by or []))
-        .agg(*counts)
+        .agg(*counts, F.avg(F.col("_timed").cast("double")).alias("_mean"),
+             F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY _timed)").alias("_p95"))
         .select(
             F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
             *(by or []), *metrics._COUNTERS,
             metrics.success_rate(F.col("requests_succeeded"), F.col("requests_failed")).alias("success_rate_pct"),
+            metrics.dedup_ratio(F.col("jobs_deduplicated"), F.col("jobs_extracted")).alias("dedup_ratio_pct"),
+            metrics.per_minute(F.col("jobs_extracted"), minutes).alias("jobs_per_minute"),
+            F.coalesce(half_up("_mean"), F.lit(0).cast("bigint")).alias("avg_latency_ms"),
+            F.coalesce(half_up("_p95"), F.lit(0).cast("bigint")).alias("p95_latency_ms"),
         )
     )
 
@@ -90,96 +107,88 @@ def no_progress(events: DataFrame, key: str = "domain", minutes: int = K.HEALTH_
     return idle_keys(events.filter(F.col("event_type") == "extracted"), key, minutes)
 
 
-# --- per micro-batch with carried state ----------------------------------------------
+# --- keyed state in event-time order ---------------------------------------------------
 
-class RipeRows:
-    """Rows of a stream in event-time order over micro-batches.
+_STATE = "carried bigint, us array<bigint>, ids array<bigint>, flags array<boolean>"
 
-    A row waits until the latest time seen is ``delay`` ahead of it; then all rows up to there are handed out together.
-    A row that comes after its time was handed out is too late and left out, as behind a watermark. So what is handed
-    out over time does not depend on how rows were dealt to micro-batches.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, schema_of: str, delay: str) -> None:
-        self.delay = F.expr(f"INTERVAL {delay}")
-        self.waiting = VersionedTable(spark, f"{path}/waiting", schema_of)
-        self.marks = VersionedTable(spark, f"{path}/mark", "mark timestamp")
-
-    def take(self, batch: DataFrame, epoch: int) -> DataFrame:
-        names = [f.name for f in self.waiting.before(epoch).schema]
-        held = self.waiting.before(epoch)
-        last = self.marks.before(epoch).agg(F.max("mark")).first()[0]
-        fresh = batch.select(*names) if last is None else batch.select(*names).filter(F.col("ts") > F.lit(last))
-        both = held.unionByName(fresh)
-        mark = both.agg(F.max(F.col("ts") - self.delay)).first()[0]
-        mark = max((m for m in (last, mark) if m is not None), default=None)
-        if mark is None:
-            return both
-        self.waiting.write(both.filter(F.col("ts") > F.lit(mark)), epoch)
-        self.marks.write(both.sparkSession.range(1).select(F.lit(mark).alias("mark")), epoch)
-        return both.filter(F.col("ts") <= F.lit(mark))
-
-
-def attempts_writer(log: DataFrame, out_path: str, state_path: str, delay: str = DEFAULT_DELAY) -> DataStreamWriter:
-    """Attempt numbers of failures, continued across micro-batches in event-time order."""
-    spark = log.sparkSession
-    carried = VersionedTable(spark, f"{state_path}/fails", "domain string, fails bigint")
-    ripe = RipeRows(spark, state_path, "domain string, ts timestamp, event_id bigint, success boolean", delay)
+def _in_order(rows: DataFrame, keys: list[str], flag: Column, value: str, step: Callable, delay: str) -> DataFrame:
+    """Rows of each key go through ``step`` in event-time order, once the watermark has passed them.
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        number_attempts(ripe.take(batch, epoch), carried, f"{out_path}/batch-{epoch}", epoch)
+    ``step(carried, us, flags)`` gets ripe rows in the order of (ts, event_id) and what it carried last time; it returns what to
+    carry on, the places of the rows to hand out and a value for each. Rows that are not ripe wait in the key's state, for which
+    a timer is set; rows behind the watermark are dropped by Spark. A key's state is what it carries and its rows of the last
+    ``delay``. Rows without a time or an event_id only move the watermark, so such a row can end a finished input.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    names = [*keys, "us", "event_id", value]
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        carried, us, ids, flags = state.get if state.exists else (None, [], [], [])
+        parts = [(np.array(us, dtype=np.int64), np.array(ids, dtype=np.int64), np.array(flags, dtype=bool))]
+        if not state.hasTimedOut:
+            for chunk in chunks:
+                chunk = chunk[chunk["event_id"].notna() & chunk["us"].notna()]
+                parts.append((chunk["us"].to_numpy(np.int64), chunk["event_id"].to_numpy(np.int64), chunk["flag"].fillna(False).to_numpy(bool)))
+        us, ids, flags = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((ids, us))
+        us, ids, flags = us[order], ids[order], flags[order]
+        n = int(np.searchsorted(us, state.getCurrentWatermarkMs() * 1000, "right"))
+        if n:
+            carried, at, values = step(carried, us[:n], flags[:n])
+            yield pd.DataFrame({**{k: [v] * len(at) for k, v in zip(keys, key)}, "us": us[at], "event_id": ids[at], value: values})
+        if n < len(us):
+            state.update((carried, us[n:].tolist(), ids[n:].tolist(), flags[n:].tolist()))
+            state.setTimeoutTimestamp(-(-int(us[n]) // 1000))
+        elif carried is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((carried, [], [], []))
+
+    slim = rows.withWatermark("ts", delay).select(*keys, "ts", F.unix_micros("ts").alias("us"), "event_id", flag.alias("flag"))
+    out = slim.groupBy(*keys).applyInPandasWithState(
+        run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"us bigint, event_id bigint, {value} bigint"]), _STATE, "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return out.select(*names).withColumn("ts", F.timestamp_micros("us")).drop("us")
 
-    return log.writeStream.foreachBatch(step)
 
+def attempts(log: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
+    """(domain, event_id, attempt, ts) of failures: failures of the domain since its last success, in event-time order."""
+    def step(carried: int | None, us: np.ndarray, success: np.ndarray) -> tuple:
+        fails = np.cumsum(~success) + (carried or 0)
+        at_success = np.maximum.accumulate(np.where(success, fails, 0))
+        number = fails - at_success
+        at = np.flatnonzero(~success)
+        return int(number[-1]) or None, at, number[at]
 
-def number_attempts(batch: DataFrame, carried: VersionedTable, out_path: str, epoch: int) -> None:
-    """One micro-batch: earlier failures count until the first success; one count per domain is carried on."""
-    before = carried.before(epoch)
-    rows = batch.select("domain", "ts", "event_id", "success")
-    traffic.attempt_no(rows, carried=before).write.mode("overwrite").parquet(out_path)
-    last_ok = rows.filter("success").groupBy("domain").agg(F.max(F.struct("ts", "event_id")).alias("ok"))
-    fails = (
-        rows.filter(~F.col("success")).join(last_ok, "domain", "left")
-        .filter(F.col("ok").isNull() | (F.struct("ts", "event_id") > F.col("ok"))).groupBy("domain").agg(F.count(F.lit(1)).alias("own"))
-    )
-    earlier = before.join(last_ok, "domain", "left_anti")
-    both = earlier.join(fails, "domain", "full_outer").select(
-        "domain", (F.coalesce("fails", F.lit(0)) + F.coalesce("own", F.lit(0))).cast("bigint").alias("fails")
-    )
-    carried.write(both.filter("fails > 0"), epoch)
+    return _in_order(log, ["domain"], F.col("success"), "attempt", step, delay)
 
 
-def cooldown_writer(
-    stream: DataFrame, out_path: str, state_path: str, minutes: int = K.ALERT_COOLDOWN_MINUTES, delay: str = DEFAULT_DELAY,
-) -> DataStreamWriter:
-    """Alerts that go out, in event-time order, with the last one per key carried along."""
-    spark = stream.sparkSession
-    carried = VersionedTable(spark, f"{state_path}/sent", "channel string, severity string, ts timestamp")
-    ripe = RipeRows(spark, state_path, "event_id bigint, ts timestamp, channel string, severity string", delay)
+def cooldown(stream: DataFrame, minutes: int = K.ALERT_COOLDOWN_MINUTES, delay: str = DEFAULT_DELAY) -> DataFrame:
+    """(channel, severity, event_id, ts) of the alerts that go out: none of a key within ``minutes`` of the last that did."""
+    quiet = minutes * 60_000_000
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        suppress_batch(ripe.take(batch, epoch), carried, f"{out_path}/batch-{epoch}", epoch, minutes)
+    def step(carried: int | None, us: np.ndarray, _: np.ndarray) -> tuple:
+        at = []
+        k = 0 if carried is None else int(np.searchsorted(us, carried + quiet))
+        while k < len(us):
+            at.append(k)
+            carried = int(us[k])
+            k = int(np.searchsorted(us, carried + quiet))
+        return carried, np.array(at, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
 
-    return stream.writeStream.foreachBatch(step)
+    return _in_order(stream, ["channel", "severity"], F.lit(False), "sent", step, delay).drop("sent")
 
 
-def suppress_batch(batch: DataFrame, carried: VersionedTable, out_path: str, epoch: int, minutes: int) -> None:
-    """One micro-batch: the last emitted alert stands in front of the new ones.
+def end_of_input(rows: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
+    """One row that moves the watermark behind all of ``rows``: nothing but a time, later than any by twice the delay."""
+    last = rows.agg((F.max("ts") + F.expr(f"INTERVAL {delay}") * 2 + F.expr("INTERVAL 1 SECOND")).alias("ts"))
+    return last.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
 
-    What comes before the end of its key's cooldown cannot go out, late rows included, and goes before the fold; the
-    carried time never falls.
-    """
-    key = ["channel", "severity"]
-    last = carried.before(epoch)
-    quiet = F.expr(f"INTERVAL {minutes} MINUTES")
-    rows = batch.select("event_id", "ts", *key).join(last.withColumnRenamed("ts", "sent_ts"), key, "left").filter(
-        F.col("sent_ts").isNull() | (F.col("ts") >= F.col("sent_ts") + quiet)
-    ).select("event_id", "ts", *key)
-    lead = last.select(F.lit(-1).cast("bigint").alias("event_id"), "ts", *key)
-    sent = alerts.suppress_cooldown(lead.unionByName(rows), minutes).checkpoint()
-    sent.filter(F.col("event_id") >= 0).select("event_id", "ts", *key).write.mode("overwrite").parquet(out_path)
-    carried.write(sent.groupBy(*key).agg(F.max("ts").alias("ts")), epoch)
 
+# --- per micro-batch --------------------------------------------------------------------
 
 def ingest_writer(
     rows: DataFrame, target_path: str, state_path: str, as_of, order: list[str],
@@ -216,11 +225,16 @@ def run_available(spark: SparkSession, writer: DataStreamWriter, label: str) ->
 
 def run_in_slices(
     spark: SparkSession, rows: DataFrame, slice_of, slices: int, start: Callable[[DataFrame], DataStreamWriter], label: str,
+    closing: DataFrame | None = None,
 ) -> None:
-    """Let rows arrive in ``slices`` parts and work through each before the next one comes, as one continued stream."""
+    """Let rows arrive in ``slices`` parts and work through each before the next one comes, as one continued stream.
+
+    ``closing`` arrives last: ``end_of_input`` of a finished input lets everything go that waits for the watermark.
+    """
     landing, progress = scratch_path(spark, f"{label}-landing"), scratch_path(spark, f"{label}-progress")
-    for part in range(slices):
-        rows.filter(slice_of == part).write.mode("append").parquet(landing)
+    parts = [rows.filter(slice_of == part) for part in range(slices)]
+    for part in [*parts, closing] if closing is not None else parts:
+        part.write.mode("append").parquet(landing)
         stream = spark.readStream.schema(rows.schema).parquet(landing)
         start(stream).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 

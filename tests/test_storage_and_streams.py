@@ -1,8 +1,11 @@
 """Sinks, archives and streams over several micro-batches."""
 
+import datetime
 import json
+import math
 import os
 import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,19 +98,23 @@ def split(df, n, order="event_id"):
 
 def request_log(spark, n=120):
     df = spark.range(n).select(
-        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 97).alias("ts"),
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 97 + 1_000_000).alias("ts"),
         F.when(F.col("id") % 3 == 0, F.lit("b")).otherwise(F.lit("hot")).alias("domain"),
         (F.hash("id") % 4 == 0).alias("success"))
     return df
 
 
+def closed(spark, df, batches, delay):
+    """A finished input: its parts and the row that ends it."""
+    parts = split(df, batches) if isinstance(batches, int) else batches
+    return as_stream(spark, [*parts, streams.end_of_input(df, delay)], df.schema)
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_attempts_continue_over_batches(spark, batches):
     df = request_log(spark)
-    out = fresh_dir()
-    writer = streams.attempts_writer(as_stream(spark, split(df, batches), df.schema), out, fresh_dir() + "/s", delay="0 seconds")
-    streams.run_available(spark, writer, "t4")
-    got = {r.event_id: r.attempt for r in spark.read.parquet(out + "/batch-*").collect()}
+    stream = streams.attempts(closed(spark, df, batches, "5 minutes"), delay="5 minutes")
+    got = {r.event_id: r.attempt for r in streams.run_to_table(spark, stream, "t4").collect()}
     assert got == {r.event_id: r.attempt for r in traffic.attempt_no(df).collect()}
 
 
@@ -115,50 +122,38 @@ def test_attempts_continue_over_batches(spark, batches):
 def test_cooldown_continues_over_batches(spark, batches):
     df = request_log(spark, 200).select(
         "event_id", "ts", F.col("domain").alias("channel"), F.lit("warning").alias("severity"))
-    out = fresh_dir()
-    writer = streams.cooldown_writer(as_stream(spark, split(df, batches), df.schema), out, fresh_dir() + "/s", delay="0 seconds")
-    streams.run_available(spark, writer, "t5")
-    got = {r.event_id for r in spark.read.parquet(out + "/batch-*").collect()}
+    stream = streams.cooldown(closed(spark, df, batches, "5 minutes"), delay="5 minutes")
+    got = {r.event_id for r in streams.run_to_table(spark, stream, "t5").collect()}
     assert got == {r.event_id for r in alerts.suppress_cooldown(df).collect()}
 
 
-def test_a_replayed_batch_changes_nothing(spark):
-    df = request_log(spark)
-    first, second = split(df, 2)
-    carried = VersionedTable(spark, fresh_dir() + "/s", "domain string, fails bigint")
-    out = fresh_dir()
-    for epoch, part in ((0, first), (1, second), (1, second)):
-        streams.number_attempts(part, carried, f"{out}/batch-{epoch}", epoch)
-    got = sorted((r.event_id, r.attempt) for r in spark.read.parquet(out + "/batch-*").collect())
-    assert got == sorted((r.event_id, r.attempt) for r in traffic.attempt_no(df).collect())
-
-
-def test_a_late_alert_never_moves_the_cooldown_back(spark):
-    """Alerts at minute 100, then a late one of minute 90, then 106: one goes out."""
-    carried = VersionedTable(spark, fresh_dir() + "/s", "channel string, severity string, ts timestamp")
-    out = fresh_dir()
-    for epoch, minute in enumerate([100, 90, 106, 115]):
-        batch = spark.createDataFrame([(epoch, minute * 60, "chat", "warning")], "event_id bigint, sec bigint, channel string, severity string")
-        batch = batch.select("event_id", F.timestamp_seconds("sec").alias("ts"), "channel", "severity")
-        streams.suppress_batch(batch, carried, f"{out}/batch-{epoch}", epoch, 15)
-    assert sorted(r.event_id for r in spark.read.parquet(out + "/batch-*").collect()) == [0, 3]
-    assert carried.latest().first().ts.timestamp() == 115 * 60
+def at_seconds(spark, times):
+    return spark.createDataFrame([(k, t, "d", False) for k, t in enumerate(times)], "event_id bigint, sec bigint, domain string, success boolean").select(
+        "event_id", F.timestamp_seconds(F.col("sec") + 1_000_000).alias("ts"), "domain", "success")
 
 
-def test_rows_ripen_in_event_time_order(spark):
-    """Late rows inside the delay are handed out in their place, later ones not at all; the dealing does not matter."""
-    times = [0, 50, 30, 200, 150, 400, 10, 390, 800]
+@pytest.mark.parametrize("dealt", [[[0, 50, 30], [200, 150], [400], [10, 390]], [[0], [50], [30], [200], [150], [400], [390], [10]]])
+def test_late_rows_take_their_place_or_go(spark, dealt):
+    """Rows inside the delay are numbered in their place, whatever part they come in; the row behind the watermark is left out."""
+    times = [t for part in dealt for t in part]
+    df = at_seconds(spark, times)
+    ids = iter(range(len(times)))
+    parts = [df.filter(F.col("event_id").isin([next(ids) for _ in part])) for part in dealt]
+    stream = streams.attempts(closed(spark, df, parts, "100 seconds"), delay="100 seconds")
+    got = {int(r.ts.timestamp()) - 1_000_000: r.attempt for r in streams.run_to_table(spark, stream, "late").collect()}
+    want = sorted(t for t in times if t != 10)
+    assert got == {t: k for k, t in enumerate(want, start=1)}
 
-    def handed_out(parts):
-        ripe = streams.RipeRows(spark, fresh_dir() + "/r", "ts timestamp, sec bigint", "100 seconds")
-        got = []
-        for epoch, part in enumerate(parts):
-            batch = spark.createDataFrame([(x,) for x in part], "sec bigint").withColumn("ts", F.timestamp_seconds("sec"))
-            got += sorted(r.sec for r in ripe.take(batch, epoch).collect())
-        return got
 
-    assert handed_out([[t] for t in times]) == [0, 30, 50, 150, 200, 390, 400]
-    assert handed_out([times[:3], times[3:6], [390, 800]]) == [0, 30, 50, 150, 200, 390, 400]
+def test_a_late_alert_never_moves_the_cooldown_back(spark):
+    """A late alert of minute 90 after those of 100 and 104: inside the delay it goes out first, behind the watermark not at all."""
+    df = spark.createDataFrame([(k, m * 60, "chat", "warning") for k, m in enumerate([100, 104, 90, 106, 116])],
+                               "event_id bigint, sec bigint, channel string, severity string")
+    df = df.select("event_id", F.timestamp_seconds("sec").alias("ts"), "channel", "severity")
+    parts = [df.filter(F.col("event_id") == k) for k in range(5)]
+    for delay, want in (("1 hour", [2, 3]), ("1 minute", [0, 4])):
+        stream = streams.cooldown(closed(spark, df, parts, delay), delay=delay)
+        assert sorted(r.event_id for r in streams.run_to_table(spark, stream, "late").collect()) == want
 
 
 def test_old_state_versions_are_dropped(spark):
@@ -170,15 +165,30 @@ def test_old_state_versions_are_dropped(spark):
     assert table.before(7).first().k == "6" and table.latest().first().k == "7"
 
 
-def test_rolling_metrics_stream_equals_batch(spark):
+@pytest.mark.parametrize("batches", [1, 3])
+def test_rolling_metrics_stream_equals_batch(spark, batches):
     events = request_log(spark, 300).select(
-        "event_id", "ts", F.when(F.col("success"), F.lit("request_ok")).otherwise(F.lit("request_failed")).alias("event_type"))
-    stream = streams.rolling_metrics(as_stream(spark, split(events, 3), events.schema))
-    got = {(r.window_start, r.requests_succeeded, r.requests_failed) for r in streams.run_to_table(spark, stream, "t1").collect()}
-    batch = streams.rolling_metrics(events)
-    final = events.agg(F.max("ts") - F.expr("INTERVAL 10 MINUTES")).first()[0]
-    want = {(r.window_start, r.requests_succeeded, r.requests_failed) for r in batch.collect() if r.window_end <= final}
-    assert got == want and got
+        "event_id", "ts", F.when(F.col("event_id") % 7 == 0, F.lit("extracted")).when(F.col("event_id") % 7 == 1, F.lit("deduplicated"))
+        .when(F.col("success"), F.lit("request_ok")).otherwise(F.lit("request_failed")).alias("event_type"),
+        F.when(F.col("event_id") % 11 != 3, F.pmod(F.hash("event_id"), F.lit(50)) - 5).cast("bigint").alias("latency_ms"))
+    stream = streams.rolling_metrics(as_stream(spark, split(events, batches), events.schema), width="1 hour", slide="10 minutes")
+    got = {r.window_start: r.asDict() for r in streams.run_to_table(spark, stream, "t1").collect()}
+    data = events.collect()
+    final = max(r.ts for r in data) - datetime.timedelta(minutes=10)
+    starts = {r.ts.replace(minute=r.ts.minute // 10 * 10, second=0) - datetime.timedelta(minutes=10 * k) for r in data for k in range(6)}
+    want = {s for s in starts if s + datetime.timedelta(hours=1) <= final}
+    assert set(got) == want and want
+    for s in want:
+        own = [r for r in data if s <= r.ts < s + datetime.timedelta(hours=1)]
+        kinds = Counter(r.event_type for r in own)
+        times = sorted(r.latency_ms for r in own if r.event_type == "request_ok" and r.latency_ms is not None and r.latency_ms >= 0)
+        extracted, repeated = kinds["extracted"], kinds["deduplicated"]
+        row = got[s]
+        assert (row["requests_succeeded"], row["requests_failed"]) == (kinds["request_ok"], kinds["request_failed"])
+        assert row["avg_latency_ms"] == (math.floor(sum(times) / len(times) + 0.5) if times else 0)
+        assert row["p95_latency_ms"] == (times[math.ceil(0.95 * len(times)) - 1] if times else 0)
+        assert row["jobs_per_minute"] == math.floor(extracted / 60 * 10 + 0.5) / 10
+        assert row["dedup_ratio_pct"] == (math.floor(repeated / extracted * 1000 + 0.5) / 10 if extracted else 0)
     assert metrics._COUNTERS["requests_failed"] == "request_failed"
 
 
