@@ -394,22 +394,25 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, comp, signature, size, unit = [], [], [], [], []
+            cls, comp, signature, size, unit, lists = [], [], [], [], [], []
             for k, (own, few) in enumerate(zip(batch.column("own").to_pylist(), batch.column("few").to_pylist())):
                 own = np.array(own, dtype=np.int64)
                 hit, counts = known(own)
                 pairs = sorted([(x["c"], x["h"]) for x in few or ()] + list(zip(counts.tolist(), own[hit].tolist())))
                 # a partner at the threshold shares at least ceil(level * n) shingles, so one of the first n - that + 1
                 want = len(own) - -(-percent * len(own) // 100) + 1 - (len(own) - len(pairs))
-                for _, h in pairs[: max(0, want)]:
+                own_firsts = [h for _, h in pairs[: max(0, want)]]
+                for h in own_firsts:
                     unit.append(h)
+                    lists.append(own_firsts)
                     cls.append(batch.column("cls")[k].as_py())
                     comp.append(batch.column("comp")[k].as_py())
                     signature.append(batch.column("signature")[k].as_py())
                     size.append(len(own))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(unit, pa.int64()), pa.array(cls, pa.int64()), pa.array(comp, pa.int64()), pa.array(size, pa.int64()),
-                 pa.array(signature, pa.binary())], ["unit", "cls", "comp", "n_shingles", "signature"],
+                 pa.array(signature, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
+                ["unit", "cls", "comp", "n_shingles", "signature", "firsts"],
             )
 
     with_few = sets.withColumn("few", F.lit(None).cast("array<struct<c:bigint,h:bigint>>"))
@@ -418,27 +421,30 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         few = loose.groupBy("cls").agg(F.collect_list(F.struct("c", "h")).alias("few"))  # a text's own shingles at most
         with_few = sets.join(few, "cls", "left")
     rows, _ = materialize(with_few.select("cls", "comp", "signature", "own", "few").mapInArrow(
-        first, "unit long, cls long, comp long, n_shingles long, signature binary"), "forest-firsts")
+        first, "unit long, cls long, comp long, n_shingles long, signature binary, firsts array<long>"), "forest-firsts")
     sizes = rows.groupBy("unit").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(
         "low < high").select("unit", F.ceil(2 * F.col("n") / REGION).cast("int").alias("blocks"), "n")
     met = rows.join(sizes, "unit").withColumn("blocks", F.when(F.col("n") <= REGION, 1).otherwise(F.col("blocks")))
     own = F.pmod(F.xxhash64("cls", F.lit(2)), "blocks").cast("int")
     step = F.when(F.col("blocks") == 1, F.col("unit")).otherwise(F.xxhash64("unit", F.least(own, "other"), F.greatest(own, "other")))
     steps = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        step.alias("unit"), "cls", "comp", "n_shingles", "signature"
+        step.alias("unit"), F.col("unit").alias("h"), "cls", "comp", "n_shingles", "signature", "firsts"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = _Lists()
         for table in whole_runs(batches, "unit"):
-            units, cls, comp, n = (table.column(c).to_numpy() for c in ("unit", "cls", "comp", "n_shingles"))
-            matrix = _matrix(table.column("signature"))
+            units, cls, comp, n, h = (table.column(c).to_numpy() for c in ("unit", "cls", "comp", "n_shingles", "h"))
+            matrix, firsts = _matrix(table.column("signature")), table.column("firsts").to_pylist()
+            held = [frozenset(own) for own in firsts]
             starts = run_starts(units)
             for s, e in zip(starts, [*starts[1:], len(units)]):
                 for i in range(s, e - 1):
                     others = np.flatnonzero(comp[i + 1 : e] != comp[i]) + i + 1
-                    near = others[_near(matrix, n, i, others, percent)]
-                    if len(near):
+                    near = others[_near(matrix, n, i, others, percent)].tolist()
+                    # a pair that meets under several shingles is passed on by the first one
+                    near = [j for j in near if next(x for x in firsts[i] if x in held[j]) == h[i]]
+                    if near:
                         lists.add(int(cls[i]), cls[near].tolist())
                 lists.close(int(units[s]))
             yield lists.batch()
