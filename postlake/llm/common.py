@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from postlake.session import drop_path, materialize, scratch_path
 
 __all__ = [
-    "connected_components", "crc32_bucket", "drop_path", "encoded", "materialize", "maybe_among", "read", "run_starts", "scratch_path",
-    "whole_runs", "words",
+    "connected_components", "crc32_bucket", "drop_path", "encoded", "materialize", "maybe_among", "named", "read", "run_starts",
+    "scratch_path", "whole_runs", "words",
 ]
 
 #: Size of a bitmap of hashes; beyond a quarter of it the bitmap would pass nearly every row and is not made.
@@ -25,6 +25,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def crc32_bucket(column: str, modulus: int) -> Column:
     """crc32 of a column written as text, modulo ``modulus``; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

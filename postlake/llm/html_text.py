@@ -247,36 +247,23 @@ def _unescape(text: str) -> str:
 
 def _rows(table: Node) -> list[list[Node]] | None:
     """The visible cells by row, or None when a cell holds blocks of its own (a layout table)."""
-    rows, todo = [], [table]
+    rows, todo = [], table.children[::-1]
     while todo:
-        node = todo.pop()
-        kids = []
-        for c in node.children:
-            if isinstance(c, str):
-                if c.strip():
-                    return None
-            elif c.hidden:
-                continue
-            elif c.tag == "tr":
-                cells = [x for x in c.children if not isinstance(x, str) and not x.hidden]
-                if any(x.tag not in ("td", "th") for x in cells) or any(isinstance(x, str) and x.strip() for x in c.children):
-                    return None
-                kids.append(cells)
-            elif c.tag in ("thead", "tbody", "tfoot", "colgroup"):
-                kids.append(c)
-            elif c.tag not in ("caption", "col"):
+        c = todo.pop()
+        if isinstance(c, str):
+            if c.strip():
                 return None
-        if node is table:
-            for k in kids:
-                if isinstance(k, list):
-                    rows.append(k)
-                else:
-                    part = _rows(k) if k.children else []
-                    if part is None:
-                        return None
-                    rows += part
-        else:
-            rows += [k for k in kids if isinstance(k, list)]
+        elif c.hidden:
+            continue
+        elif c.tag == "tr":
+            cells = [x for x in c.children if not isinstance(x, str) and not x.hidden]
+            if any(x.tag not in ("td", "th") for x in cells) or any(isinstance(x, str) and x.strip() for x in c.children):
+                return None
+            rows.append(cells)
+        elif c.tag in ("thead", "tbody", "tfoot", "colgroup"):
+            todo += reversed(c.children)
+        elif c.tag not in ("caption", "col"):
+            return None
     for cells in rows:
         for cell in cells:
             inner = list(cell.children)
@@ -309,14 +296,28 @@ def _aligned(rows: list[list[Node]]) -> list[str]:
 
 
 def render(root: Node) -> str:
-    out = _Out()
-    # (node or text, indent, preformatted, list state) to enter; (tag, None) to leave
+    """The text below a node. A caption is one line: it is written to an ``_Out`` of its own, however deep captions nest in it."""
+    out, outer = _Out(), None
+    # (node or text, indent, preformatted, list state) to enter; a tag to leave; a caption's end; the lines of a table
     todo: list[tuple] = [("enter", c, "", False, None) for c in reversed(root.children)]
     while todo:
         what, node, indent, pre, items = todo.pop()
         if what == "leave":
             out.block(2 if node in SPACED else 1)
             continue
+        if what == "caption":
+            if node == "begin":
+                outer, out = out, _Out()
+            else:
+                outer.text(out.done(), indent)
+                outer, out = None, outer
+                out.block(1)
+            continue
+        if what == "lines":
+            for line in node:
+                out.block(1)
+                out.verbatim(line, indent)
+            continue
         if isinstance(node, str):
             value = _unescape(node)
             (out.verbatim if pre else out.text)(value, indent)
@@ -336,13 +337,14 @@ def render(root: Node) -> str:
         if tag == "table":
             rows = _rows(node)
             if rows is not None:
-                for c in node.children:
-                    if not isinstance(c, str) and c.tag == "caption" and not c.hidden:
-                        out.text(render(c), indent)
-                        out.block(1)
-                for line in _aligned(rows):
-                    out.block(1)
-                    out.verbatim(line, indent)
+                todo.append(("lines", _aligned(rows), indent, False, None))
+                captions = [c for c in node.children if not isinstance(c, str) and c.tag == "caption" and not c.hidden]
+                for c in reversed(captions):
+                    inside = [("enter", x, "", False, None) for x in reversed(c.children)]
+                    if outer is None:
+                        todo += [("caption", "end", indent, False, None), *inside, ("caption", "begin", "", False, None)]
+                    else:  # all of the outer caption becomes one line
+                        todo += [("leave", "div", "", False, None), *inside]
                 continue
         inner = indent
         if tag in ("ul", "ol", "menu", "dir"):

@@ -9,9 +9,11 @@ repeated rows repeat; an empty table gives no rows. Extra columns are ignored, w
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,35 +80,66 @@ class NoticeSearch:
         self.automaton.make_automaton()
 
     def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, edits) of every place in normalised text, each reported once."""
-        windows: dict[int, list[list[int]]] = {}
+        """(notice, start, end, edits) of every place in normalised text; of overlapping ones the one with fewest edits.
+
+        A notice within k edits holds a seed that puts its start at most k away, so seeds whose starts lie within 2k share a
+        window; no window is longer than the notice and four times its edits, which keeps the work linear in the text.
+        """
+        windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, places) in self.automaton.iter(text):
             for at, offset in places:
-                notice, _, k = self.notices[at]
-                start = end + 1 - size - offset
-                low, high = max(0, start - k), start + len(notice) + k
-                own = windows.setdefault(at, [])
-                if own and low <= own[-1][1]:
-                    own[-1][0], own[-1][1] = min(low, own[-1][0]), max(high, own[-1][1])
-                else:
-                    own.append([low, high])
+                windows.setdefault(at, []).append(end + 1 - size - offset)
         found = []
-        for at, own in windows.items():
-            for low, high in own:
-                for m in self.patterns[at].finditer(text, low, min(high, len(text))):
-                    found.append((at, m.start(), m.end(), sum(m.fuzzy_counts)))
+        for at, starts in windows.items():
+            notice, _, k = self.notices[at]
+            starts.sort()
+            own, head = [], 0
+            for i in range(1, len(starts) + 1):
+                if i == len(starts) or starts[i] - starts[head] > 2 * k:
+                    low, high = max(0, starts[head] - k), min(starts[i - 1] + len(notice) + k, len(text))
+                    own += self._places(at, text, low, high)
+                    head = i
+            found += [(at, *place) for place in _apart(own)]
         return found
 
+    def _places(self, at: int, text: str, low: int, high: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) in one window: its best match, then what stands before and after it."""
+        notice, _, k = self.notices[at]
+        out, todo = [], [(low, high)]
+        while todo:
+            low, high = todo.pop()
+            m = self.patterns[at].search(text, low, high) if high - low >= len(notice) - k else None
+            if m and m.end() > m.start():
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                todo += [(low, m.start()), (m.end(), high)]
+        return out
+
+
+def _apart(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Places that do not overlap, those with fewer edits first, in text order."""
+    kept: list[tuple[int, int, int]] = []
+    for start, end, edits in sorted(set(places), key=lambda p: (p[2], p[0], -p[1])):
+        i = bisect.bisect_left(kept, (start,))
+        if (i == 0 or kept[i - 1][1] <= start) and (i == len(kept) or kept[i][0] >= end):
+            kept.insert(i, (start, end, edits))
+    return kept
+
+
+def _blanks(padded: bytes) -> np.ndarray:
+    """Places of the blanks in ``padded``: the number of them before a place is the number of the word there."""
+    return np.flatnonzero(np.frombuffer(padded, dtype=np.uint8) == 32)
+
 
-def _phrase_places(padded: bytes) -> list[tuple[int, str]]:
+def _phrase_places(padded: bytes, blanks: np.ndarray) -> list[tuple[int, str]]:
     """(first word, label) of every place where a phrase's words stand consecutively; ``padded`` has a space on both ends."""
     out = []
     for phrase, label in PHRASES.items():
-        needle = b" " + phrase.encode() + b" "
+        needle, hits = b" " + phrase.encode() + b" ", []
         at = padded.find(needle)
         while at >= 0:
-            out.append((padded.count(b" ", 0, at), label))
+            hits.append(at)
             at = padded.find(needle, at + 1)
+        out += [(int(w), label) for w in np.searchsorted(blanks, hits)] if hits else []
     return out
 
 
@@ -121,13 +154,14 @@ def scan(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id"), encoded(batch.column("text"))):
                 words = text.translate(_FOLD).split()
                 padded = b" " + b" ".join(words) + b" "
-                places = _phrase_places(padded)
+                blanks = _blanks(padded)
+                places = _phrase_places(padded, blanks)
                 plain = padded.decode("latin-1")
                 spans, where = [], None
                 for at, start, end, edits in search(plain):
                     notice, label, _ = search.notices[at]
-                    first = padded.count(b" ", 0, start + (plain[start] == " ")) - 1
-                    last = max(first, padded.count(b" ", 0, end - (plain[end - 1] == " ")) - 1)
+                    first = int(np.searchsorted(blanks, start + (plain[start] == " "))) - 1
+                    last = max(first, int(np.searchsorted(blanks, end - (plain[end - 1] == " "))) - 1)
                     where = where or [m.span() for m in _WORD.finditer(text)]
                     spans.append({
                         "label": label, "notice": notice, "start_word": first, "end_word": last + 1,

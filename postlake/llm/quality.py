@@ -26,7 +26,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import crc32_bucket, encoded, materialize
+from postlake.llm.common import crc32_bucket, encoded, materialize, named
 
 #: A document is predicted good from this score on.
 THRESHOLD = 0.7
@@ -70,18 +70,20 @@ def statistics(text: bytes) -> tuple[float, ...]:
 def with_statistics(docs: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of docs(text, ...) and the statistics as ``prefix`` + name."""
     names = [prefix + s for s in STATISTICS]
-    schema = docs.select(*keep).schema
-    for name in names:
-        schema = schema.add(name, "double")
+    columns = keep if "text" in keep else [*keep, "text"]
+    plain = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(columns)])  # Arrow passes take no dots or ticks in names
+    kept = plain.columns[: len(keep)]
+    schema = plain.select(*kept).schema
+    for i in range(len(names)):
+        schema = schema.add(f"s{i}", "double")
+    text = f"c{columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([statistics(t) for t in encoded(batch.column("text"))], dtype=np.float64).reshape(-1, len(names))
-            kept = [batch.column(k) for k in keep]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v) for v in values.T)], [*keep, *names])
+            values = np.array([statistics(t) for t in encoded(batch.column(text))], dtype=np.float64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *(pa.array(v) for v in values.T)], schema.names)
 
-    columns = keep if "text" in keep else [*keep, "text"]
-    return docs.select(*columns).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*keep, *names)
 
 
 @dataclass
@@ -168,4 +170,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     prefix = "stat_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = f"_{prefix}"
-    return with_statistics(docs, prefix, docs.columns).where(model.score(prefix) >= threshold).select(*[f"`{c}`" for c in docs.columns])
+    return with_statistics(docs, prefix, docs.columns).where(model.score(prefix) >= threshold).select(*map(named, docs.columns))

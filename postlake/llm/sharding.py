@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlake.llm.common import materialize
+from postlake.llm.common import materialize, named
 
 #: Bytes that every record costs besides its text.
 RECORD_BYTES = 16
@@ -75,7 +75,7 @@ def assign(docs: DataFrame, shards: int = 40, columns: tuple[str, ...] = ("doc_i
     payload = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed, _ = materialize(
         docs.select(
-            F.col("doc_id"), F.struct(*[c for c in columns if c != "doc_id"]).alias("carried") if len(columns) > 1
+            F.col("doc_id"), F.struct(*[named(c).alias(c) for c in columns if c != "doc_id"]).alias("carried") if len(columns) > 1
             else F.lit(None).cast("string").alias("carried"),
             (F.octet_length(payload) + RECORD_BYTES).cast("long").alias("size"), F.crc32(payload).alias("text_crc32"),
             F.xxhash64(payload).alias("key"), F.monotonically_increasing_id().alias("row"),

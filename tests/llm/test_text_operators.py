@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postlake.llm import decontaminate, html_text, licenses, packing, quality, sharding, suffix_tree
 from tests.llm.conftest import prose
@@ -208,6 +209,25 @@ def test_seeds_find_all_bounded_edits():
             assert any(f[0] == at for f in search(" lead in " + "".join(chars) + " tail "))
 
 
+def test_every_place_of_a_notice_is_reported(spark):
+    text = "licenced under the apache licence licensed under the apache license"
+    r = rows(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")))[0]
+    found = sorted((s["start_word"], s["end_word"], s["edits"]) for s in r["spans"] if s["notice"] == "licensed under the apache license")
+    assert found == [(0, 5, 2), (5, 10, 0)]
+
+
+def test_a_megabyte_of_notices_is_read_in_linear_time(spark):
+    def seconds(places):
+        df = spark.createDataFrame([(1, "mit license licensd under the apache license " * places)], "doc_id long, text string")
+        started = time.time()
+        r = licenses.scan(df).select("n_base", "first_word", "last_word", F.size("spans").alias("n")).first()
+        assert tuple(r) == (2 * places, 0, 7 * places - 2, places)
+        return time.time() - started
+
+    seconds(10)
+    assert seconds(24_000) < 12 * max(seconds(6_000), 0.5)
+
+
 def test_clean_text_has_no_label(spark):
     r = rows(licenses.scan(spark.createDataFrame([(1, prose(random.Random(4), 3000))], "doc_id long, text string")))[0]
     assert r["labels"] == "" and r["score"] == 0.0
@@ -413,6 +433,12 @@ def test_rendering(page, text):
     assert html_text.visible_text(page or "") == text
 
 
+def test_captions_and_row_groups_may_nest_at_any_depth():
+    assert html_text.visible_text("<table><caption>a" * 5000).split() == ["a"] * 5000
+    assert html_text.visible_text("<table><caption>x <b>y</b>\n<p>z</caption><tr><td>1<td>2</table>t") == "x y z\n1 | 2\n\nt"
+    assert html_text.visible_text("<table><colgroup>" * 2000 + "<colgroup>" * 5000 + "<tr><td>1<td>2") == "1 | 2"
+
+
 def test_extract_keeps_every_row(spark):
     data = [(1, None, 5), (2, "", 5), (None, "<p>x", 5), (3, "<div>" * 5000 + "deep", 5), (3, "<div>" * 5000 + "deep", 5)]
     out = rows(html_text.extract(spark.createDataFrame(data, "page_id long, html string, text int")))
@@ -421,7 +447,7 @@ def test_extract_keeps_every_row(spark):
     )
 
 
-@pytest.mark.parametrize("part", ["<nav ", '<div class="a">', '<a "', "<p>", "</p>", "<li><ul>", "<table><tr><td>", "<", "&", "<script>", "<b><p>"])
+@pytest.mark.parametrize("part", ["<nav ", '<div class="a">', '<a "', "<p>", "</p>", "<li><ul>", "<table><tr><td>", "<table><caption>a", "<", "&", "<script>", "<b><p>"])
 def test_time_grows_with_the_page(part):
     def seconds(size):
         started = time.process_time()
@@ -430,3 +456,15 @@ def test_time_grows_with_the_page(part):
 
     seconds(20_000)
     assert seconds(400_000) < 12 * max(seconds(100_000), 0.02)
+
+
+# odd column names
+
+def test_columns_with_dots_and_ticks_come_through(spark, tmp_path):
+    data = [(k, prose(random.Random(k), 40 + k), k, f"t{k}") for k in range(1, 41)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, `a.b` long, `c``d` string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 41)], "doc_id long, quality int")
+    assert rows(quality.keep_good(docs, labels, threshold=0.0).orderBy("doc_id")) == rows(docs.orderBy("doc_id"))
+    sharding.write_shards(docs, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r["doc_id"], r["a.b"], r["c`d"]) for r in rows(back)) == [(k, k, f"t{k}") for k in range(1, 41)]
