@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlake.functions.hashing import with_fingerprints
 from postlake.operators import metrics
 from postlake.plans import sqltext as S
 from postlake.plans import traffic_queries  # noqa: F401 - its SQL is reused
 from postlake.plans import views as V
-from postlake.plans.dedup_queries import BOARDS, sql_history
+from postlake.plans.dedup_queries import BOARDS, _sql_hashes, sql_history
 from postlake.plans.registry import ORACLES, query
 from postlake.plans.text_queries import SQL_FP
 from postlake.session import scratch_path
@@ -97,6 +98,56 @@ def stream_dedup_content(spark, sf):
     return spark.read.schema("content_hash string, desc_hash string").parquet(out)
 
 
+_KEPT_US, _REFRESH_US = 30 * 86_400_000_000, 7 * 86_400_000_000
+
+
+def _sql_not_met(name: str, src: str, key: str, text: str, refresh: int) -> str:
+    """Rows of ``src`` that go through: a walk from each key's first row to the next one that is not met yet."""
+    return f"""{name}_n AS (SELECT *, {text} AS t, row_number() OVER (PARTITION BY {key} ORDER BY us, seq) AS o FROM {src}),
+    {name} AS (SELECT * EXCLUDE (t, o), o, [{{'us': us, 't': t}}] AS kept FROM {name}_n WHERE o = 1
+      UNION ALL SELECT r.* EXCLUDE (t, o), r.o, list_append(w.kept, {{'us': r.us, 't': r.t}}) FROM {name} w JOIN {name}_n r
+        ON r.{key} = w.{key} AND r.o > w.o AND r.us >= w.us + {refresh}
+        AND len(list_filter(w.kept, lambda x: x.t = r.t AND r.us - x.us <= {_KEPT_US})) = 0
+      QUALIFY row_number() OVER (PARTITION BY r.{key} ORDER BY r.o) = 1)"""
+
+
+def _postings(spark, sf):
+    """Every document up to 39 days before the run, and met again within two days after it."""
+    day = (F.col("seq") % 40).cast("int")
+    docs = V.v_doc_listings(spark, sf).withColumn("ts", F.lit(V.AS_OF).cast("timestamp") - F.make_dt_interval(days=day))
+    again = V.v_doc_recrawl(spark, sf).withColumn(
+        "ts", F.lit(V.AS_OF).cast("timestamp") + F.make_dt_interval(hours=(F.col("seq") % 48 + 1).cast("int"))
+    )
+    both = docs.unionByName(again.withColumn("seq", F.col("seq") + V.RECRAWL))
+    return with_fingerprints(both, BOARDS).select("ts", "url_hash", "content_hash", "desc_hash", "seq")
+
+
+@query(
+    "stream_dedup_refresh",
+    f"""WITH RECURSIVE {sql_history(BOARDS)}, met AS (
+      SELECT epoch_us(TIMESTAMP '{V.AS_OF}') - seq % 40 * 86400000000 AS us, url_hash, content_hash, desc_hash, seq
+        FROM ({_sql_hashes('v_doc_listings', BOARDS)}) UNION ALL
+      SELECT epoch_us(TIMESTAMP '{V.AS_OF}') + (seq % 48 + 1) * 3600000000, url_hash, content_hash, desc_hash, seq + {V.RECRAWL}
+        FROM batch),
+    {_sql_not_met('urls', 'met', 'url_hash', "''", _KEPT_US + 1)},
+    firsts AS (SELECT us, url_hash, content_hash, desc_hash, seq FROM urls),
+    {_sql_not_met('fresh', 'firsts', 'content_hash', 'desc_hash', _REFRESH_US)}
+    SELECT seq, us FROM fresh""",
+)
+def stream_dedup_refresh(spark, sf):
+    """What the seen store would take in, row by row, over 41 days in four parts."""
+    rows, first = _postings(spark, sf), scratch_path(spark, "first-urls")
+    now = F.lit(V.AS_OF).cast("timestamp")
+    after = F.when(F.col("ts") <= now + F.expr("INTERVAL 1 DAY"), 2).otherwise(3)
+    part = F.when(F.col("ts") <= now - F.expr("INTERVAL 20 DAYS"), 0).when(F.col("ts") <= now, 1).otherwise(after)
+    streams.run_in_slices(
+        spark, rows, part, 4,
+        lambda s: streams.first_urls(s).writeStream.outputMode("append").format("parquet").option("path", first), "first-urls",
+    )
+    out = streams.run_to_table(spark, streams.refreshed_content(spark.readStream.schema(rows.schema).parquet(first)), "refreshed")
+    return out.select("seq", F.unix_micros("ts").alias("us"))
+
+
 def _sql_idle(rows: str, minutes: int) -> str:
     """Last time before every gap of a domain, final once the watermark has passed the end of the gap."""
     return f"""r AS ({rows}), g AS (SELECT domain, ts, lead(ts) OVER (PARTITION BY domain ORDER BY ts) AS nxt FROM r)

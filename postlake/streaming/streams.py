@@ -90,6 +90,71 @@ def dedup_stream(
     return first.dropDuplicatesWithinWatermark(content) if content else first
 
 
+_POSTING = ["us", "url_hash", "content_hash", "desc_hash", "seq"]
+
+
+def _not_yet_met(rows: DataFrame, key: str, text: str | None, refresh: int, days: int, delay: str) -> DataFrame:
+    """Rows of postings that their key's memory does not hold; each is remembered for ``days`` and then forgotten.
+
+    A row is met again while a remembered row of its key is younger than ``refresh`` (microseconds), or has the same ``text``.
+    Remembered rows of a key lie at least ``refresh`` apart, so a key's state holds ``days`` / ``refresh`` + 1 of them at most.
+    Micro-batches are judged as they arrive, the rows of one by (ts, seq); rows behind the watermark are left out by Spark,
+    which also times out the state of keys whose last row is older than ``days``.
+    """
+    kept_for = days * 86_400_000_000
+    columns = ["ts", *_POSTING[1:]]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times, texts = (list(x) for x in state.get) if state.exists else ([], [])
+        batch = pd.concat(chunks).sort_values(["us", "seq"], kind="stable")
+        us, own = batch["us"].to_numpy(np.int64), batch[text].tolist() if text else [""] * len(batch)
+        at, k = [], 0
+        while True:
+            if times:
+                k = max(k, int(np.searchsorted(us, times[-1] + refresh)))
+            if k >= len(us):
+                break
+            live = [i for i, t in enumerate(times) if us[k] - t <= kept_for]
+            times, texts = [times[i] for i in live], [texts[i] for i in live]
+            if own[k] not in texts:
+                at.append(k)
+                times.append(int(us[k]))
+                texts.append(own[k])
+            k += 1
+        state.update((times, texts))
+        state.setTimeoutTimestamp((times[-1] + kept_for) // 1000 + 1)
+        if at:
+            yield batch.iloc[at][_POSTING]
+
+    slim = rows.filter(F.col("ts").isNotNull()).withWatermark("ts", delay).select(*columns, F.unix_micros("ts").alias("us"))
+    out = slim.groupBy(key).applyInPandasWithState(
+        run, ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in _POSTING), "times array<bigint>, texts array<string>", "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return out.withColumn("ts", F.timestamp_micros("us")).select(*columns)
+
+
+def first_urls(rows: DataFrame, days: int = K.SEEN_RETENTION_DAYS, delay: str = DEFAULT_DELAY) -> DataFrame:
+    """Postings (ts, url_hash, content_hash, desc_hash, seq) whose URL was not met within ``days``."""
+    return _not_yet_met(rows, "url_hash", None, days * 86_400_000_000 + 1, days, delay)
+
+
+def refreshed_content(
+    rows: DataFrame, days: int = K.SEEN_RETENTION_DAYS, refresh_days: int = K.REFRESH_DAYS, delay: str = DEFAULT_DELAY,
+) -> DataFrame:
+    """Postings to store: content that is new, or comes with a new text and was last stored ``refresh_days`` ago or earlier.
+
+    The rule of ``dedup.dedup_verdict`` on a stream. It reads what ``first_urls`` wrote, as a query of its own: a row that the
+    URL rule drops never reaches the content's memory. Only stored rows are remembered, so a posting that keeps coming back
+    is refreshed every ``refresh_days``. All rows of one content in one micro-batch meet in one task, without their texts.
+    """
+    return _not_yet_met(rows, "content_hash", "desc_hash", refresh_days * 86_400_000_000, days, delay)
+
+
 # --- idle keys ----------------------------------------------------------------------
 
 def idle_keys(events: DataFrame, key: str, minutes: int = K.IDLE_KEY_MINUTES, delay: str = DEFAULT_DELAY) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime
 import json
 import math
 import os
+import random
 import tempfile
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlake.functions.hashing import with_fingerprints
-from postlake.operators import alerts, lifecycle, metrics, traffic
+from postlake.operators import alerts, dedup, lifecycle, metrics, traffic
 from postlake.operators.listings import with_run_context
 from postlake.operators.store import read_jobs
 from postlake.sources import tables
@@ -249,3 +250,71 @@ def test_table_grows_columns(spark):
     old = read_jobs(spark, path).first()
     assert (old.url, old.experience, old.source_tier) == ("u", None, None)
     assert read_jobs(spark, path + "-none").count() == 0
+
+
+# --- the seven-day content rule -----------------------------------------------------------
+
+def _walk(rows, refresh, text):
+    """(seq) of rows that go through, by a plain fold over rows of (key, seconds, text, seq)."""
+    kept, out = {}, []
+    for key, sec, t, seq in sorted(rows, key=lambda r: (r[1], r[3])):
+        own = [e for e in kept.get(key, []) if sec - e[0] <= 30 * 86400]
+        if not any(sec - e[0] < refresh or (text and e[1] == t) for e in own):
+            kept.setdefault(key, []).append((sec, t))
+            out.append(seq)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_refreshed_content_in_parts(spark, parts):
+    rng = random.Random(5)
+    data = [(rng.choice("ABCDEFGH"), rng.randrange(86400, 90 * 86400), rng.choice("xyz"), i) for i in range(1500)]
+    data += [("H", 7 * 86400 * k, "w", 2000 + k) for k in range(1, 6)]
+    df = spark.createDataFrame(data, "content_hash string, sec long, desc_hash string, seq long").withColumns({
+        "ts": F.timestamp_seconds(F.col("sec")), "url_hash": F.concat("content_hash", F.col("seq").cast("string")),
+    })
+    rows, out = df.select("ts", "url_hash", "content_hash", "desc_hash", "seq"), fresh_dir() + "/out"
+    slices = F.floor(F.unix_seconds("ts") / (90 * 86400 / parts)).cast("int")
+    streams.run_in_slices(
+        spark, rows, slices, parts,
+        lambda s: streams.refreshed_content(s).writeStream.outputMode("append").format("parquet").option("path", out), "refresh",
+    )
+    assert sorted(r.seq for r in spark.read.parquet(out).collect()) == _walk(data, 7 * 86400, True)
+
+
+def test_urls_return_after_the_retention(spark):
+    day = 86400
+    data = [("u", 1, "", 1), ("u", 30 * day + 1, "", 2), ("u", 30 * day + 2, "", 3), ("v", 5, "", 4), ("v", 5, "", 5), ("u", 40 * day, "", 6)]
+    df = spark.createDataFrame(data, "url_hash string, sec long, desc_hash string, seq long").withColumn("content_hash", F.lit("c"))
+    rows = df.select(F.timestamp_seconds("sec").alias("ts"), "url_hash", "content_hash", "desc_hash", "seq")
+    out = fresh_dir() + "/out"
+    streams.run_in_slices(
+        spark, rows, (F.col("seq") >= 6).cast("int"), 2,
+        lambda s: streams.first_urls(s).writeStream.outputMode("append").format("parquet").option("path", out), "urls",
+    )
+    assert sorted(r.seq for r in spark.read.parquet(out).collect()) == [1, 3, 4] == _walk(data, 30 * day + 1, False)
+
+
+def test_the_stream_agrees_with_the_batch_verdict(spark):
+    """What the stream stored is history for the batch rule; later rows get the same answer from both."""
+    as_of, day = datetime.datetime(2024, 1, 31), 86400
+    old = [(f"u{i}", f"c{i % 20}", f"t{i % 3}", i % 40, i) for i in range(200)]
+    new = [(f"n{i}" if i % 5 else f"u{i}", f"c{i}", f"t{i % 4}", -1, 1000 + i) for i in range(25)]
+    df = spark.createDataFrame(old + new, "url_hash string, content_hash string, desc_hash string, age long, seq long")
+    rows = df.select(F.timestamp_seconds(F.lit(as_of.timestamp() - 0) - F.col("age") * day).alias("ts"),
+                     "url_hash", "content_hash", "desc_hash", "seq")
+    first, out = fresh_dir() + "/first", fresh_dir() + "/out"
+    streams.run_in_slices(
+        spark, rows, (F.col("seq") >= 1000).cast("int"), 2,
+        lambda s: streams.first_urls(s).writeStream.outputMode("append").format("parquet").option("path", first), "first",
+    )
+    source = spark.readStream.schema(rows.schema).parquet(first)
+    streams.run_available(spark, streams.refreshed_content(source).writeStream.format("parquet").option("path", out), "fresh")
+    stored = spark.read.parquet(out)
+    now = datetime.datetime.fromtimestamp(as_of.timestamp() + day)
+    seen = dedup.prune_seen(stored.filter("seq < 1000").withColumnRenamed("ts", "stored_at"), now)
+    batch = rows.filter("seq >= 1000")
+    met = dedup.match_url(batch, rows.filter("seq < 1000").filter(F.col("ts") >= F.lit(now) - F.expr("INTERVAL 30 DAYS")))
+    verdicts = dedup.dedup_verdict(batch.join(met.select("seq"), "seq", "left_anti"), seen, now)
+    want = sorted(r.seq for r in verdicts.filter("verdict = 'none'").collect())
+    assert sorted(r.seq for r in stored.filter("seq >= 1000").collect()) == want and 0 < len(want) < 25
