@@ -82,16 +82,20 @@ def keyword_any(df: DataFrame, keywords: str | Column) -> DataFrame:
     return df.filter(F.coalesce(keywords, F.lit("")).isin("") | hit)
 
 
+def search_words() -> Column:
+    """The lower-case words of title and company."""
+    both = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("company", F.lit(""))))
+    return F.split(F.trim(F.regexp_replace(both, "[^a-z0-9]+", " ")), " ")
+
+
+def search_terms(terms: str) -> list[str]:
+    return terms.lower().split()
+
+
 def search(df: DataFrame, terms: str) -> DataFrame:
-    """Rows whose title and company hold every term as a whole word."""
-    words = F.split(
-        F.trim(F.regexp_replace(
-            F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("company", F.lit("")))),
-            "[^a-z0-9]+", " ",
-        )), " ",
-    )
-    wanted = [t for t in terms.lower().split() if t]
-    return df.filter(reduce(lambda a, b: a & b, [F.array_contains(words, t) for t in wanted], F.lit(True)))
+    """Rows whose title and company hold every term as a whole word. ``search_index`` answers the same without reading all rows."""
+    words = search_words()
+    return df.filter(reduce(lambda a, b: a & b, [F.array_contains(words, t) for t in search_terms(terms)], F.lit(True)))
 
 
 def limit_results(df: DataFrame, keys: list[str], order: list, n: int | None = None) -> DataFrame:

@@ -136,6 +136,29 @@ def trailing_count(
     )
 
 
+def band_counts(moments: DataFrame, events: DataFrame, key: str, widths: dict[str, int], slots: int = 4) -> DataFrame:
+    """Rows of ``moments`` with, per new column, the ``events`` of the same key in the trailing seconds (``ts > now - seconds``).
+
+    Moments without a time or key count none.
+    """
+    longest = max(widths.values())
+    size = longest * slots
+    own = time_bucket("ts", size)
+    carried = F.struct(*moments.columns)
+    none = F.lit(None).cast(moments.select(carried.alias("r")).schema["r"].dataType)
+    tail = F.unix_micros("ts") >= (own + 1) * (size * 1000000) - longest * 1000000
+    both = moments.select(F.col(key).alias("_key"), F.unix_micros("ts").alias("_us"), own.alias("_slot"), F.lit(0).alias("_n"), carried.alias("_row"))
+    met = events.filter(F.col("ts").isNotNull() & F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.unix_micros("ts").alias("_us"),
+        F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))).alias("_slot"), F.lit(1).alias("_n"), none.alias("_row"),
+    )
+    w = Window.partitionBy("_key", "_slot").orderBy("_us")
+    counted = both.unionByName(met).withColumns({
+        name: F.sum("_n").over(w.rangeBetween(-(seconds * 1000000 - 1), 0)).cast("bigint") for name, seconds in widths.items()
+    })
+    return counted.filter(F.col("_row").isNotNull()).select("_row.*", *widths)
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """First row per key in a total order."""
     w = Window.partitionBy(*keys).orderBy(*order)

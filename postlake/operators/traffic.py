@@ -10,7 +10,7 @@ from postlake import schema
 from postlake.functions.scalars import backoff_ms, failure_class, half_up, is_rate_limited, ts_literal
 from postlake.functions.text import as_col
 from postlake.functions.urls import domain_of
-from postlake.operators.running import last_n, running, time_bucket, trailing_count
+from postlake.operators.running import band_counts, last_n, running, time_bucket, trailing_count
 
 # Ten minutes of one domain are one window group, however busy the domain is.
 BUCKET_SECONDS = 600
@@ -57,6 +57,29 @@ def with_policy(df: DataFrame, domain: str = "domain", policies=K.RATE_POLICIES,
     )
 
 
+def match_policies(df: DataFrame, policies: DataFrame, domain: str = "domain") -> DataFrame:
+    """Add the columns of each row's policy from a table (ordinal, domain, ...), null where none matches.
+
+    The rule of ``policy_ordinal`` for policies that are data: an exact name wins, else the lowest ordinal whose name the domain
+    ends with. Every distinct domain is spread into its endings of a length that some policy has, and those meet the names in
+    an equi-join; the work follows distinct domains and their length, not rows times policies. Of repeated names the lowest
+    ordinal counts; a policy without a name or ordinal matches nothing.
+    """
+    named = policies.filter(F.col("ordinal").isNotNull() & (F.length("domain") > 0))
+    fields = [c for c in policies.columns if c not in ("ordinal", "domain")]
+    firsts = named.groupBy(F.col("domain").alias("_name")).agg(F.min_by(F.struct("ordinal", *fields), "ordinal").alias("_policy"))
+    keys = df.select(F.col(domain).alias("_key")).distinct().select("_key", domain_of("_key").alias("_host")).filter(F.length("_host") > 0)
+    endings = keys.select("_key", "_host", F.explode(F.sequence(F.lit(1), F.length("_host"))).alias("_n")) \
+        .select("_key", F.expr("right(_host, _n)").alias("_name"), (F.col("_n") == F.length("_host")).alias("_exact"))
+    best = endings.join(firsts, "_name").groupBy("_key").agg(
+        F.min_by("_policy", F.struct(~F.col("_exact"), F.col("_policy.ordinal"))).alias("_policy"), F.min_by("_name", F.struct(
+            ~F.col("_exact"), F.col("_policy.ordinal"))).alias("policy_domain"),
+    )
+    return df.join(best, df[domain] == best["_key"], "left").select(
+        *df.columns, "policy_domain", F.col("_policy.ordinal").alias("policy_ordinal"), *[F.col(f"_policy.{f}").alias(f) for f in fields],
+    )
+
+
 def domain_stats(requests: DataFrame, as_of) -> DataFrame:
     """Load, totals and caps per domain.
 
@@ -123,6 +146,16 @@ def recent_violations(stats: DataFrame, viol: DataFrame, as_of, minutes: int, na
     return stats.join(counts, "domain", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
 
 
+def violations_before(requests: DataFrame, viol: DataFrame, minutes: tuple[int, ...] = (10, 30)) -> DataFrame:
+    """Every request with the violations of its domain in the last so many minutes: ``violations_10m``, ``violations_30m``.
+
+    ``recent_violations`` for as many moments as there are requests: a band join that never forms the pairs. Both tables go into
+    slots of time, a violation also into the next slot where it still counts there; one window per width sums them up. A
+    violation exactly ``minutes`` old has left, one at the moment itself counts.
+    """
+    return band_counts(requests, viol, "domain", {f"violations_{m}m": 60 * m for m in minutes})
+
+
 def attempt_no(
     log: DataFrame, bucket_seconds: int = BUCKET_SECONDS, cap: int | None = None, carried: DataFrame | None = None,
 ) -> DataFrame:

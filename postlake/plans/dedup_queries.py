@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from postlake.functions.hashing import with_fingerprints
 from postlake.functions.urls import domain_of, source_fingerprint
-from postlake.operators import dedup, listings, metrics, store
+from postlake.operators import dedup, listings, metrics, search_index, store
 from postlake.plans import jobs
 from postlake.plans import sqltext as S
 from postlake.plans import views as V
 from postlake.plans.registry import query
 from postlake.plans.text_queries import SQL_FP
+from postlake.session import scratch_path
 from postlake.sources.tables import read_table
 
 
@@ -109,6 +110,21 @@ def search_listings(spark, sf):
     return listings.search(V.v_doc_listings(spark, sf), "The of").select("seq")
 
 
+@query(
+    "search_index",
+    f"""WITH {V.SQL_DOC_LISTINGS}, {V.SQL_DOC_RECRAWL}, b AS (SELECT seq, title, company FROM v_doc_listings
+      UNION ALL SELECT seq + {V.RECRAWL}, title, company FROM v_doc_recrawl),
+    w AS (SELECT seq, string_split(trim(regexp_replace(lower(title || ' ' || company), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM b)
+    SELECT seq FROM w WHERE list_contains(words, 'variant') AND list_contains(words, 'the') AND list_contains(words, 'of')""",
+)
+def search_index_query(spark, sf):
+    """Two loads are indexed one after the other, then searched for three words of very different frequency."""
+    path = scratch_path(spark, "search-index")
+    search_index.append(V.v_doc_listings(spark, sf), path, "seq")
+    search_index.append(V.v_doc_recrawl(spark, sf).withColumn("seq", F.col("seq") + V.RECRAWL), path, "seq")
+    return search_index.search(spark, path, "The variant of").select(F.col("id").alias("seq"))
+
+
 @query(
     "in_batch_first",
     f"WITH {V.SQL_LISTINGS}, {SQL_FP} SELECT url_hash, min(seq) AS seq FROM fp GROUP BY 1",

@@ -448,3 +448,44 @@ def rate_limit_report(spark, sf):
 )
 def alert_cooldown(spark, sf):
     return alerts.suppress_cooldown(V.v_alerts(spark, sf)).select("key", _us("ts").alias("ts_us"))
+
+
+# --- policies as data, violations before every request ------------------------------------
+
+@query(
+    "policy_table",
+    """WITH pol AS (SELECT c_custkey AS ordinal, c_custkey % 997 || '.example.com' AS name, 1 + c_custkey % 9 AS max_rpm FROM customer),
+    hosts AS (SELECT o_orderkey, 'shop' || o_custkey % 2003 || CASE WHEN o_orderkey % 5 = 0 THEN '.example.org' ELSE '.example.com' END AS domain
+      FROM orders),
+    exact AS (SELECT o_orderkey, domain, CASE WHEN o_orderkey % 7 = 0 THEN substring(domain, 5) ELSE domain END AS host FROM hosts),
+    d AS (SELECT DISTINCT host FROM exact),
+    m AS (SELECT host, coalesce((SELECT min(ordinal) FROM pol WHERE name = host), (SELECT min(ordinal) FROM pol WHERE ends_with(host, name)))
+      AS ordinal FROM d)
+    SELECT o_orderkey, host, m.ordinal AS policy_ordinal, p.name AS policy_domain, CAST(p.max_rpm AS BIGINT) AS max_rpm
+      FROM exact JOIN m USING (host) LEFT JOIN pol p ON p.ordinal = m.ordinal""",
+)
+def policy_table(spark, sf):
+    """A policy for every customer, by exact name or ending, looked up for the host of every order."""
+    policies = read_table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("ordinal"), F.concat((F.col("c_custkey") % 997).cast("string"), F.lit(".example.com")).alias("domain"),
+        (F.col("c_custkey") % 9 + 1).cast("bigint").alias("max_rpm"),
+    )
+    end = F.when(F.col("o_orderkey") % 5 == 0, F.lit(".example.org")).otherwise(F.lit(".example.com"))
+    number = F.concat((F.col("o_custkey") % 2003).cast("string"), end)
+    host = F.when(F.col("o_orderkey") % 7 == 0, number).otherwise(F.concat(F.lit("shop"), number))
+    rows = read_table(spark, sf, "orders").select("o_orderkey", host.alias("host"))
+    return traffic.match_policies(rows, policies, "host")
+
+
+@query(
+    "violations_before_requests",
+    f"""WITH {V.SQL_TRAFFIC}, dense AS (SELECT event_id, domain, {_SQL_SQUEEZED} AS ts, blocked FROM v_traffic)
+    SELECT event_id, CAST(count(*) FILTER (blocked) OVER (PARTITION BY domain ORDER BY ts
+        RANGE BETWEEN INTERVAL '599.999999 seconds' PRECEDING AND CURRENT ROW) AS BIGINT) AS violations_10m,
+      CAST(count(*) FILTER (blocked) OVER (PARTITION BY domain ORDER BY ts
+        RANGE BETWEEN INTERVAL '1799.999999 seconds' PRECEDING AND CURRENT ROW) AS BIGINT) AS violations_30m FROM dense""",
+)
+def violations_before_requests(spark, sf):
+    start = _us(F.lit(V.RUN_START).cast("timestamp"))
+    log = V.v_traffic(spark, sf).withColumn("ts", F.timestamp_micros(start + F.floor((_us("ts") - start) / 600).cast("bigint")))
+    return traffic.violations_before(log.select("event_id", "domain", "ts"), traffic.violations(log)).drop("domain", "ts")
