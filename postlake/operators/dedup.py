@@ -43,9 +43,12 @@ def match_content(batch: DataFrame, seen: DataFrame, as_of) -> DataFrame:
     return _content_hits(batch, seen, as_of).filter("_content_hit").drop("_content_hit")
 
 
-def dedup_verdict(batch: DataFrame, seen: DataFrame, as_of) -> DataFrame:
-    """Add ``verdict``: ``url`` before ``content`` before ``none``."""
-    urls = seen.select("url_hash").distinct().withColumn("_url_hit", F.lit(True))
+def dedup_verdict(batch: DataFrame, seen: DataFrame, as_of, by_url: DataFrame | None = None) -> DataFrame:
+    """Add ``verdict``: ``url`` before ``content`` before ``none``.
+
+    Where history is laid out twice, ``by_url`` is what the URLs are looked up in, and ``seen`` what the contents are.
+    """
+    urls = (seen if by_url is None else by_url).select("url_hash").distinct().withColumn("_url_hit", F.lit(True))
     return (
         _content_hits(batch, seen, as_of)
         .join(urls, "url_hash", "left")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlake import schema
 from postlake.functions.hashing import row_fingerprint
 from postlake.functions.scalars import ts_literal
 from postlake.operators.running import keep_first
-from postlake.session import path_exists, scratch_path
+from postlake.session import drop_path, materialize, path_exists, scratch_path
+
+#: Characters of a hash that name its folder: 16 folders by default, more for a large table with small batches.
+PREFIX_CHARS = 1
 
 
 def to_stored(df: DataFrame, as_of) -> DataFrame:
@@ -50,27 +54,51 @@ def insert_counts(rows: DataFrame, inserted: DataFrame) -> DataFrame:
     ).withColumn("conflict_skipped", F.col("offered") - F.col("inserted"))
 
 
-def upsert_jobs(rows: DataFrame, target_path: str, order: list) -> DataFrame:
+def upsert_jobs(rows: DataFrame, target_path: str, order: list, chars: int = PREFIX_CHARS) -> DataFrame:
     """Append new rows to the table at ``target_path`` and return them as read back.
 
-    The insert set is written first and re-read, so that a lost executor or a
-    second action never evaluates the anti-join against the grown table.
+    The target is laid out by date and by the first ``chars`` characters of the fingerprint, which are known from the row alone:
+    the anti-join reads the folders of the prefixes that the batch holds, and of those the fingerprints only. A table has one
+    ``chars`` for good; rows of a table without prefixes are all looked at.
+
+    The offered rows are written before the anti-join and the insert set after it, so that neither a lost executor nor a second
+    action evaluates the anti-join against the grown table.
     """
     spark = rows.sparkSession
-    target = read_jobs(spark, target_path)
+    offered, offered_path = materialize(keep_first(rows, ["fingerprint"], order).drop("seq"), "offered")
     staged = scratch_path(spark, "insert")
-    new_rows(rows, target, order).drop("seq").write.parquet(staged)
+    fresh = offered
+    if path_exists(spark, target_path):
+        there = touched(_stored(spark, target_path), "prefix", held_prefixes(offered, "fingerprint", chars))
+        fresh = offered.join(there.select("fingerprint"), "fingerprint", "left_anti").select(*offered.columns)
+    fresh.write.parquet(staged)
     fresh = spark.read.schema(schema.STORED_LISTING).parquet(staged)
     # Rebalancing splits a heavy day over several files and merges light ones.
-    fresh.hint("rebalance", "scraped_date").write.mode("append").partitionBy("scraped_date").parquet(target_path)
+    fresh.withColumn("prefix", F.substring("fingerprint", 1, chars)).hint("rebalance", "scraped_date", "prefix") \
+        .write.mode("append").partitionBy("scraped_date", "prefix").parquet(target_path)
+    drop_path(spark, offered_path)
     return fresh
 
 
+def held_prefixes(df: DataFrame, column: str, chars: int) -> list[str]:
+    """The prefixes of a hash column that occur: at most 16 to the power of ``chars``."""
+    return [r[0] for r in df.select(F.substring(column, 1, chars)).distinct().collect()]
+
+
+def touched(table: DataFrame, prefix: str, held: list[str]) -> DataFrame:
+    """The partitions of ``held`` prefixes, and those without one."""
+    return table.filter(F.col(prefix).isin(held) | F.col(prefix).isNull())
+
+
+def _stored(spark, target_path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.STORED_LISTING.fields, T.StructField("prefix", T.StringType())])).parquet(target_path)
+
+
 def read_jobs(spark, target_path: str) -> DataFrame:
     """The stored table; an absent one reads as empty, absent columns as null."""
     if not path_exists(spark, target_path):
         return spark.createDataFrame([], schema.STORED_LISTING)
-    return spark.read.schema(schema.STORED_LISTING).parquet(target_path)
+    return _stored(spark, target_path).drop("prefix")
 
 
 def count_jobs(target: DataFrame) -> DataFrame:

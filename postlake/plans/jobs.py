@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake import constants as K
+from postlake import schema
 from postlake.functions.hashing import hash16, with_fingerprints
 from postlake.functions.scalars import ts_literal
 from postlake.functions.text import page_text
@@ -29,7 +30,7 @@ def postings_per_domain(rows: DataFrame, order: list | None = None) -> DataFrame
 
 def ingest_outcomes(
     rows: DataFrame, seen: DataFrame, as_of, order: list[str],
-    content_key: str = "url_title", in_batch: bool = True, skip_validation: bool = False,
+    content_key: str = "url_title", in_batch: bool = True, skip_validation: bool = False, by_url: DataFrame | None = None,
 ) -> DataFrame:
     """Every offered row with its ``outcome``: stored, duplicate or invalid.
 
@@ -50,7 +51,7 @@ def ingest_outcomes(
     slim = with_fingerprints(checked, content_key).filter(F.size("reasons") == 0).select(*order, *hashes)
     if in_batch:
         slim = dedup.first_in_batch(slim, order)
-    judged = dedup.dedup_verdict(slim, seen, as_of)
+    judged = dedup.dedup_verdict(slim, seen, as_of, by_url)
     return checked.join(judged, order, "left").withColumn(
         "outcome",
         F.when(F.size("reasons") > 0, F.lit("invalid"))
@@ -61,20 +62,22 @@ def ingest_outcomes(
 
 def ingest(
     rows: DataFrame, seen: DataFrame, target_path: str, as_of, order: list[str],
-    content_key: str = "url_title", in_batch: bool = True,
+    content_key: str = "url_title", in_batch: bool = True, by_url: DataFrame | None = None,
+    chars: int = store.PREFIX_CHARS,
 ) -> dict[str, DataFrame]:
     """Validate, deduplicate, insert, and return what happened.
 
-    Returns ``inserted`` (as stored), ``seen`` (the new seen store), ``results``
-    (outcome per offered row) and ``counts``.
+    Returns ``inserted`` (as stored), ``stored`` (what the seen store takes in), ``seen`` (the new seen store), ``results``
+    (outcome per offered row) and ``counts``. ``by_url`` is as in ``dedup_verdict``; ``seen`` is then not all of history.
     """
-    results = ingest_outcomes(rows, seen, as_of, order, content_key, in_batch)
+    results = ingest_outcomes(rows, seen, as_of, order, content_key, in_batch, by_url=by_url)
     accepted = results.filter(F.col("outcome") == "stored")
     offered = store.to_stored(accepted, as_of)
-    inserted = store.upsert_jobs(offered, target_path, order)
+    inserted = store.upsert_jobs(offered, target_path, order, chars)
     stored_at = accepted.withColumn("stored_at", F.col("scraped_at"))
     return {
         "inserted": inserted,
+        "stored": stored_at.select(*[f.name for f in schema.SEEN_STORE]),
         "seen": dedup.mark_seen(seen, stored_at),
         "results": results,
         "counts": store.insert_counts(offered, inserted),

@@ -18,13 +18,13 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postlake import constants as K
-from postlake import schema
 from postlake.functions.hashing import with_fingerprints
 from postlake.functions.scalars import half_up
-from postlake.operators import dedup, metrics
+from postlake.operators import metrics
+from postlake.operators.seen_store import SeenStore
+from postlake.operators.store import PREFIX_CHARS
 from postlake.plans import jobs
 from postlake.session import scratch_path
-from postlake.streaming.state import VersionedTable
 
 DEFAULT_DELAY = "10 minutes"
 
@@ -258,22 +258,27 @@ def end_of_input(rows: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
 def ingest_writer(
     rows: DataFrame, target_path: str, state_path: str, as_of, order: list[str],
     content_key: str = "url_title", report: Callable[[DataFrame, int], None] | None = None, clock: str | None = None,
+    chars: int = PREFIX_CHARS,
 ) -> DataStreamWriter:
     """Micro-batch ingest: validate, deduplicate, insert if absent.
 
     ``clock`` names the column of collection times: a micro-batch is dated by its latest one, so dates move on with the
     data and a replay finds the same date. Without it every batch is dated ``as_of``.
 
-    A replayed batch sees the seen store of the batch before it, and the insert
-    skips fingerprints that already arrived, so nothing is stored twice.
+    A batch reads the folders of the target and of the seen store that its hashes fall into, and appends to both: what a batch
+    reads of them follows the prefixes it touches, what it writes follows its own rows. A replayed batch looks up the rows of
+    earlier batches, and the insert skips fingerprints that already arrived, so nothing is stored twice. ``chars`` is the
+    length of the prefixes, fixed for a target and its seen store.
     """
-    seen = VersionedTable(rows.sparkSession, state_path, schema.SEEN_STORE)
+    seen = SeenStore(rows.sparkSession, state_path, chars)
 
     def step(batch: DataFrame, epoch: int) -> None:
-        now = batch.agg(F.date_format(F.max(clock), "yyyy-MM-dd HH:mm:ss")).first()[0] if clock else as_of
-        done = jobs.ingest(batch, seen.before(epoch), target_path, now or as_of, order, content_key)
-        kept = dedup.prune_seen(done["seen"], now or as_of)  # entries older than the retention time leave with every batch
-        seen.write(kept.select([f.name for f in schema.SEEN_STORE]), epoch)
+        latest = batch.agg(F.date_format(F.max(clock), "yyyy-MM-dd HH:mm:ss")).first()[0] if clock else None
+        now = latest or as_of
+        by_url, by_content = seen.lookups(with_fingerprints(batch, content_key), epoch, now)
+        done = jobs.ingest(batch, by_content, target_path, now, order, content_key, by_url=by_url, chars=chars)
+        seen.add(done["stored"], epoch)
+        seen.expire(now)
         if report:
             report(done["counts"], epoch)
 

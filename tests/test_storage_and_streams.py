@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from postlake.functions.hashing import with_fingerprints
 from postlake.operators import alerts, dedup, lifecycle, metrics, traffic
-from postlake.operators.listings import with_run_context
-from postlake.operators.store import read_jobs
+from postlake.operators.listings import stamp, with_run_context
+from postlake.operators.seen_store import SeenStore
+from postlake.operators.store import held_prefixes, read_jobs, to_stored, touched, upsert_jobs
 from postlake.sources import tables
 from postlake.streaming import streams
-from postlake.streaming.state import VersionedTable
 
 
 def fresh_dir():
@@ -157,13 +157,58 @@ def test_a_late_alert_never_moves_the_cooldown_back(spark):
         assert sorted(r.event_id for r in streams.run_to_table(spark, stream, "late").collect()) == want
 
 
-def test_old_state_versions_are_dropped(spark):
+def seen_rows(spark, ids, at):
+    df = spark.createDataFrame([(i,) for i in ids], "i int").select(
+        F.sha2(F.col("i").cast("string"), 256).alias("url_hash"), F.sha2(F.concat(F.lit("c"), "i"), 256).alias("content_hash"),
+        F.lit("d").alias("desc_hash"))
+    return df.withColumn("stored_at", F.lit(at).cast("timestamp"))
+
+
+def test_seen_store_shows_a_batch_what_came_before_it(spark):
+    seen = SeenStore(spark, fresh_dir() + "/s")
+    assert seen.rows().count() == 0
+    for epoch, day in enumerate(["2024-01-01", "2024-01-02", "2024-02-15"]):
+        seen.add(seen_rows(spark, range(10 * epoch, 10 * epoch + 10), f"{day} 00:00:00"), epoch)
+    seen.add(seen_rows(spark, range(20, 30), "2024-02-15 00:00:00"), 2)  # a replay
+    batch = seen_rows(spark, range(30), "2024-01-03 00:00:00")
+    for epoch, now, want in ((0, "2024-01-03", 0), (1, "2024-01-03", 10), (2, "2024-01-03", 20), (3, "2024-02-01", 29 - 9)):
+        by_url, by_content = seen.lookups(batch, epoch, f"{now} 00:00:00")
+        assert by_url.distinct().count() == want == by_content.distinct().count()
+    assert seen.rows().count() == 30 and seen.rows("2024-02-15 00:00:00").count() == 10
+    seen.expire("2024-02-01 00:00:00")
+    assert seen.rows().count() == 20
+
+
+def test_a_batch_reads_and_writes_what_it_touches(spark):
     path = fresh_dir() + "/s"
-    table = VersionedTable(spark, path, "k string")
-    for epoch in range(8):
-        table.write(spark.createDataFrame([(str(epoch),)], "k string"), epoch)
-    assert len([d for d in os.listdir(path) if d.startswith("batch-")]) == 5
-    assert table.before(7).first().k == "6" and table.latest().first().k == "7"
+    seen = SeenStore(spark, path, chars=2)
+
+    def size():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet"))
+    written = []
+    for epoch in range(4):
+        before = size()
+        seen.add(seen_rows(spark, range(40 * epoch, 40 * epoch + 40), "2024-01-01 00:00:00"), epoch)
+        written.append(size() - before)
+    assert max(written) < 1.5 * min(written)
+    batch = seen_rows(spark, [5, 500], "2024-01-02 00:00:00")
+    for lookup in seen.lookups(batch, 9, "2024-01-02 00:00:00"):
+        plan = lookup._jdf.queryExecution().executedPlan().toString()
+        assert "prefix" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+        assert 1 <= lookup.count() < 12  # of 160
+
+
+def test_insert_reads_only_touched_prefixes(spark):
+    target, rows = fresh_dir() + "/jobs", [(i, f"https://a.com/{i}", f"T{i}", "Acme", "A long description", "s") for i in range(60)]
+    df = spark.createDataFrame(rows, "seq int, url string, title string, company string, description string, source string")
+    offered = to_stored(stamp(df, "2024-01-01 00:00:00"), "2024-01-01 00:00:00")
+    assert upsert_jobs(offered.filter("seq < 40"), target, ["seq"], chars=2).count() == 40
+    assert upsert_jobs(offered, target, ["seq"], chars=2).count() == 20
+    assert upsert_jobs(offered, target, ["seq"], chars=2).count() == 0 and read_jobs(spark, target).count() == 60
+    assert "prefix" not in read_jobs(spark, target).columns
+    few = held_prefixes(offered.filter("seq = 1"), "fingerprint", 2)
+    plan = touched(spark.read.parquet(target), "prefix", few)._jdf.queryExecution().executedPlan().toString()
+    assert len(few) == 1 and "prefix" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
 
 
 @pytest.mark.parametrize("batches", [1, 3])
