@@ -549,7 +549,9 @@ def _state(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             candidates, path = materialize(_across(texts, percent), "forest-candidates")
             paths.append(path)
             more, _ = materialize(_confirmed(candidates.join(texts.select("cls", "text"), "cls"), percent), "forest-links")
-            parts = connected_components(edges.unionAll(more).distinct())
+            # the components found so far are stars already; only what joins them is new
+            stars = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            parts = connected_components(stars.unionAll(more.select("a", "b")).distinct())
     for path in paths:
         drop_path(docs.sparkSession, path)
     parts = parts.withColumnRenamed("node", "cls")
