@@ -44,6 +44,8 @@ FURTHER, SORTED_TREES = 12, 8
 MISS = 1e-6
 #: Members of a region that are compared in one step.
 REGION = 256
+#: Shingles before its own that a row of an open set carries, to tell pairs that meet under an earlier one.
+WINDOW = 32
 #: Most shingles that are handed to every task with their counts: those that more than 1 / FREQUENT of all shingles are.
 FREQUENT = 1 << 17
 #: Standard deviations by which an estimate may miss the threshold before the pair is given up.
@@ -349,8 +351,16 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                 ["cls", "comp", "signature", "own"],
             )
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of about a million shingles, or of one set."""
         for batch in batches:
+            ends = np.cumsum(np.diff(batch.column("own").offsets.to_numpy()))
+            for rows in np.split(np.arange(len(ends)), run_starts(ends >> 20)[1:]):
+                if len(rows):
+                    yield batch.slice(rows[0], len(rows))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches):
             own, n = batch.column("own").flatten().to_numpy(), np.diff(batch.column("own").offsets.to_numpy())
             comp = np.repeat(batch.column("comp").to_numpy(), n)
             order = np.lexsort((comp, own))
@@ -385,7 +395,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         return hit, counts[at[hit]]
 
     def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             own, n = batch.column("own").flatten().to_numpy(), np.diff(batch.column("own").offsets.to_numpy())
             left = ~known(own)[0]
             yield pa.RecordBatch.from_arrays(
@@ -393,57 +403,61 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             )
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls, comp, signature, size, unit, lists = [], [], [], [], [], []
-            for k, (own, few) in enumerate(zip(batch.column("own").to_pylist(), batch.column("few").to_pylist())):
-                own = np.array(own, dtype=np.int64)
-                hit, counts = known(own)
-                pairs = sorted([(x["c"], x["h"]) for x in few or ()] + list(zip(counts.tolist(), own[hit].tolist())))
+        for batch in parts_of(batches):
+            own, ends = batch.column("own").flatten().to_numpy(), np.cumsum(np.diff(batch.column("own").offsets.to_numpy()))
+            units, lists, at, size = [], [], [], []
+            for k, (s, e) in enumerate(zip([0, *ends[:-1]], ends)):
+                hit, counts = known(own[s:e])
+                few = batch.column("few")[k].as_py() or ()
+                pairs = sorted([(x["c"], x["h"]) for x in few] + list(zip(counts.tolist(), own[s:e][hit].tolist())))
                 # a partner at the threshold shares at least ceil(level * n) shingles, so one of the first n - that + 1
-                want = len(own) - -(-percent * len(own) // 100) + 1 - (len(own) - len(pairs))
-                own_firsts = [h for _, h in pairs[: max(0, want)]]
-                for h in own_firsts:
-                    unit.append(h)
-                    lists.append(own_firsts)
-                    cls.append(batch.column("cls")[k].as_py())
-                    comp.append(batch.column("comp")[k].as_py())
-                    signature.append(batch.column("signature")[k].as_py())
-                    size.append(len(own))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(unit, pa.int64()), pa.array(cls, pa.int64()), pa.array(comp, pa.int64()), pa.array(size, pa.int64()),
-                 pa.array(signature, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                ["unit", "cls", "comp", "n_shingles", "signature", "firsts"],
-            )
+                want = int(e - s) - -(-percent * int(e - s) // 100) + 1 - (int(e - s) - len(pairs))
+                firsts = [h for _, h in pairs[: max(0, want)]]
+                units += firsts
+                lists += [firsts[max(0, j - WINDOW) : j] for j in range(len(firsts))]
+                at += [k] * len(firsts)
+                size += [int(e - s)] * len(firsts)
+            for s in range(0, len(units), _CHUNK):
+                e, row = s + _CHUNK, pa.array(at[s : s + _CHUNK], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(units[s:e], pa.int64()), batch.column("cls").take(row), batch.column("comp").take(row),
+                     pa.array(size[s:e], pa.int64()), pa.array(lists[s:e], pa.list_(pa.int64()))],
+                    ["unit", "cls", "comp", "n_shingles", "before"],
+                )
 
     with_few = sets.withColumn("few", F.lit(None).cast("array<struct<c:bigint,h:bigint>>"))
     if level:
         loose = sets.select("cls", "own").mapInArrow(other, "cls long, h long").where(maybe_among(rare, "h")("h")).join(rare, "h")
         few = loose.groupBy("cls").agg(F.collect_list(F.struct("c", "h")).alias("few"))  # a text's own shingles at most
         with_few = sets.join(few, "cls", "left")
-    rows, _ = materialize(with_few.select("cls", "comp", "signature", "own", "few").mapInArrow(
-        first, "unit long, cls long, comp long, n_shingles long, signature binary, firsts array<long>"), "forest-firsts")
+    rows, _ = materialize(with_few.select("cls", "comp", "own", "few").mapInArrow(
+        first, "unit long, cls long, comp long, n_shingles long, before array<long>"), "forest-firsts")
     sizes = rows.groupBy("unit").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(
         "low < high").select("unit", F.ceil(2 * F.col("n") / REGION).cast("int").alias("blocks"), "n")
-    met = rows.join(sizes, "unit").withColumn("blocks", F.when(F.col("n") <= REGION, 1).otherwise(F.col("blocks")))
+    # signatures are joined to the rows of shingles that do meet: a long text has many that do not
+    met = rows.join(sizes, "unit").join(sets.select("cls", "signature"), "cls").withColumn(
+        "blocks", F.when(F.col("n") <= REGION, 1).otherwise(F.col("blocks"))
+    )
     own = F.pmod(F.xxhash64("cls", F.lit(2)), "blocks").cast("int")
     step = F.when(F.col("blocks") == 1, F.col("unit")).otherwise(F.xxhash64("unit", F.least(own, "other"), F.greatest(own, "other")))
     steps = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        step.alias("unit"), F.col("unit").alias("h"), "cls", "comp", "n_shingles", "signature", "firsts"
+        step.alias("unit"), "cls", "comp", "n_shingles", "signature", "before", own.alias("block"), (own == F.col("other")).alias("within")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = _Lists()
         for table in whole_runs(batches, "unit"):
-            units, cls, comp, n, h = (table.column(c).to_numpy() for c in ("unit", "cls", "comp", "n_shingles", "h"))
-            matrix, firsts = _matrix(table.column("signature")), table.column("firsts").to_pylist()
-            held = [frozenset(own) for own in firsts]
+            units, cls, comp, n, block = (table.column(c).to_numpy() for c in ("unit", "cls", "comp", "n_shingles", "block"))
+            matrix, within = _matrix(table.column("signature")), table.column("within").to_numpy(zero_copy_only=False)
+            before = [frozenset(own) for own in table.column("before").to_pylist()]
             starts = run_starts(units)
             for s, e in zip(starts, [*starts[1:], len(units)]):
                 for i in range(s, e - 1):
-                    others = np.flatnonzero(comp[i + 1 : e] != comp[i]) + i + 1
+                    # rows of one block meet in that block's own step alone
+                    others = np.flatnonzero((comp[i + 1 : e] != comp[i]) & (within[i] | (block[i + 1 : e] != block[i]))) + i + 1
                     near = others[_near(matrix, n, i, others, percent)].tolist()
-                    # a pair that meets under several shingles is passed on by the first one
-                    near = [j for j in near if next(x for x in firsts[i] if x in held[j]) == h[i]]
+                    # a pair that meets under several shingles is passed on by the first one, or again where that is out of sight
+                    near = [j for j in near if before[i].isdisjoint(before[j])]
                     if near:
                         lists.add(int(cls[i]), cls[near].tolist())
                 lists.close(int(units[s]))
@@ -549,9 +563,10 @@ def _state(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             candidates, path = materialize(_across(texts, percent), "forest-candidates")
             paths.append(path)
             more, _ = materialize(_confirmed(candidates.join(texts.select("cls", "text"), "cls"), percent), "forest-links")
-            # the components found so far are stars already; only what joins them is new
-            stars = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            parts = connected_components(stars.unionAll(more.select("a", "b")).distinct())
+            if not more.isEmpty():
+                # the components found so far are stars already; only what joins them is new
+                stars = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+                parts = connected_components(stars.unionAll(more.select("a", "b")).distinct())
     for path in paths:
         drop_path(docs.sparkSession, path)
     parts = parts.withColumnRenamed("node", "cls")
