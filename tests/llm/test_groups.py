@@ -90,14 +90,18 @@ def test_components_equal_all_pairs(spark, copies, percent):
     assert got == want
 
 
-@pytest.mark.parametrize(("region", "frequent"), [(8, 1 << 17), (16, 64)])
-def test_crowded_regions_are_contracted_and_joined_by_rare_shingles(spark, monkeypatch, region, frequent):
-    """Copies of one text with few and with many edits: one large component and many open sets around it."""
+@pytest.mark.parametrize(("region", "frequent", "window"), [(8, 1 << 17, 32), (16, 64, 1)])
+def test_crowded_regions_are_contracted_and_joined_by_rare_shingles(spark, monkeypatch, region, frequent, window):
+    """Copies of one text with few and with many edits: one large component and many open sets around it.
+
+    A window of one shingle lets most pairs be passed on more than once, which must not change the result.
+    """
     rng = random.Random(23)
     base = prose(rng, 150)
     data = [(k, edited(rng, base, rng.randint(0, 7))) for k in range(150)]
     monkeypatch.setattr(minhash, "REGION", region)
     monkeypatch.setattr(minhash, "FREQUENT", frequent)
+    monkeypatch.setattr(minhash, "WINDOW", window)
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in rows(minhash.components(df, 85))}
     assert got == {i: c for i, _, c in brute_groups(data, 85)}
