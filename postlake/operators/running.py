@@ -6,8 +6,9 @@ spreads over as many tasks as it has buckets:
 
 * ``running`` computes prefix sums, maxima and minima in two levels: one small
   aggregate per (key, bucket), prefixes over that, and a window per bucket.
-* ``trailing_count`` copies the rows at the end of a bucket into the next one
-  so that a trailing range never has to look outside its bucket.
+* ``trailing_count`` and ``band_counts`` sum up what enters and leaves a
+  trailing range, and copy what reaches over the end of a bucket into the next
+  one, so that a range never has to look outside its bucket.
 * ``keep_first`` and ``last_n`` rank rows and keep a few; the optimizer limits
   each group before the shuffle (WindowGroupLimit), so copies are dropped on
   the map side.
@@ -15,7 +16,7 @@ spreads over as many tasks as it has buckets:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 _FN = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -117,29 +118,35 @@ def trailing_count(
 
     ``closed`` keeps a row exactly ``seconds`` old (``ts >= now - seconds``);
     otherwise it has just left the window (``ts > now - seconds``).
+
+    Every row enters at its time and leaves when the window has passed it; the count is the running sum of both, so the work
+    follows the rows however many of them one window holds.
     """
     width = seconds * slots
     reach = seconds * 1000000 - (0 if closed else 1)
     us = F.unix_micros("ts")
     own = time_bucket("ts", width)
     tail = us >= (own + 1) * (width * 1000000) - reach
+
+    def step(bucket: Column, at: Column, change: int, moment: bool = False) -> Column:
+        return F.struct(bucket.alias("bucket"), at.alias("us"), F.lit(change).alias("change"), F.lit(moment).alias("moment"))
+
+    enters, left = step(own, us, 1, moment=True), us + F.lit(reach + 1)
+    steps = F.when(tail, F.array(enters, step(own + 1, us, 1), step(own + 1, left, -1))).otherwise(F.array(enters, step(own, left, -1)))
     spread = (
-        df.withColumn("_us", us)
-        .withColumn("_own", own)
-        .withColumn("_bucket", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
-    )
-    w = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-reach, 0)
-    return (
-        spread.withColumn(name, F.count(F.lit(1)).over(w))
-        .filter(F.col("_bucket") == F.col("_own"))
-        .drop("_us", "_own", "_bucket")
+        df.filter(F.col("ts").isNotNull()).withColumn("_step", F.explode(steps))
+        .select(*[F.col(c) if c == key else F.when(F.col("_step.moment"), F.col(c)).alias(c) for c in df.columns],
+                F.col("_step.bucket").alias("_bucket"), F.col("_step.us").alias("_us"), F.col("_step.change").alias("_change"),
+                F.col("_step.moment").alias("_moment"))
     )
+    counted = spread.withColumn(name, F.sum("_change").over(_so_far(key, "_bucket")))
+    return counted.filter("_moment").drop("_bucket", "_us", "_change", "_moment")
 
 
 def band_counts(moments: DataFrame, events: DataFrame, key: str, widths: dict[str, int], slots: int = 4) -> DataFrame:
     """Rows of ``moments`` with, per new column, the ``events`` of the same key in the trailing seconds (``ts > now - seconds``).
 
-    Moments without a time or key count none.
+    Moments without a time or key count none. As in ``trailing_count`` an event enters once and leaves once per width.
     """
     longest = max(widths.values())
     size = longest * slots
@@ -147,18 +154,29 @@ def band_counts(moments: DataFrame, events: DataFrame, key: str, widths: dict[st
     carried = F.struct(*moments.columns)
     none = F.lit(None).cast(moments.select(carried.alias("r")).schema["r"].dataType)
     tail = F.unix_micros("ts") >= (own + 1) * (size * 1000000) - longest * 1000000
-    both = moments.select(F.col(key).alias("_key"), F.unix_micros("ts").alias("_us"), own.alias("_slot"), F.lit(0).alias("_n"), carried.alias("_row"))
+    both = moments.select(F.col(key).alias("_key"), F.unix_micros("ts").alias("_us"), own.alias("_slot"), F.lit(None).cast("int").alias("_left"),
+                          carried.alias("_row"))
+    # What happens to an event: 0 it enters all widths, n it leaves the n-th.
+    happens = F.array(*[F.struct(F.lit(n).alias("left"), F.lit(seconds * 1000000).cast("bigint").alias("after"))
+                        for n, seconds in enumerate([0, *widths.values()])])
     met = events.filter(F.col("ts").isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), F.unix_micros("ts").alias("_us"),
-        F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))).alias("_slot"), F.lit(1).alias("_n"), none.alias("_row"),
-    )
-    w = Window.partitionBy("_key", "_slot").orderBy("_us")
+        F.col(key).alias("_key"), F.unix_micros("ts").alias("_at"), F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))).alias("_slot"),
+    ).select("_key", "_at", "_slot", F.explode(happens).alias("_h")).select(
+        "_key", (F.col("_at") + F.col("_h.after")).alias("_us"), "_slot", F.col("_h.left").alias("_left"), none.alias("_row"),
+    ).filter(F.col("_us") < (F.col("_slot") + 1) * (size * 1000000))
+    w, left = _so_far("_key", "_slot"), F.col("_left")
     counted = both.unionByName(met).withColumns({
-        name: F.sum("_n").over(w.rangeBetween(-(seconds * 1000000 - 1), 0)).cast("bigint") for name, seconds in widths.items()
+        name: F.sum(F.when(left == 0, F.lit(1)).when(left == n, F.lit(-1)).otherwise(F.lit(0))).over(w)
+        for n, name in enumerate(widths, start=1)
     })
     return counted.filter(F.col("_row").isNotNull()).select("_row.*", *widths)
 
 
+def _so_far(*keys: str) -> WindowSpec:
+    """From the first row of the keys to all rows of the current time: a frame that only grows."""
+    return Window.partitionBy(*keys).orderBy("_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """First row per key in a total order."""
     w = Window.partitionBy(*keys).orderBy(*order)

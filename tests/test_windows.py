@@ -1,6 +1,7 @@
 """Skew-safe windows, attempts, concurrency and cooldown against brute force."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postlake import constants as K
 from postlake.operators import alerts, traffic
-from postlake.operators.running import keep_first, last_n, running, time_bucket, trailing_count
+from postlake.operators.running import band_counts, keep_first, last_n, running, time_bucket, trailing_count
 
 
 def log(spark, seed, n=400, span=20000, hot=0.5):
@@ -39,6 +40,39 @@ def test_trailing_count(spark, closed, seconds):
         assert got[i] == sum(1 for r in data if r[1] == key and low <= r[2] <= sec)
 
 
+def frame_starts(df):
+    """Where the window frames of the plan start."""
+    return set(re.findall(r"specifiedwindowframe\(\w+, ([^,]+),", df._jdf.queryExecution().executedPlan().toString()))
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_trailing_count_reads_no_window_anew(spark, closed):
+    """Hundreds of rows in every window: a frame that slides would be summed up once a row."""
+    data, df = log(spark, 11, n=1500, span=3000)
+    out = trailing_count(df, "domain", 600, closed, slots=1)
+    assert frame_starts(out) == {"unboundedpreceding$()"}
+    got = {r.event_id: (r.domain, r.sec, r.success, r.trailing) for r in out.collect()}
+    for i, key, sec, success in data:
+        n = sum(1 for r in data if r[1] == key and sec - 600 + (not closed) <= r[2] <= sec)
+        assert got[i] == (key, sec, success, n)
+
+
+def test_violations_before_read_no_window_anew(spark):
+    data, df = log(spark, 12, n=1500, span=9000)
+    failed = df.filter("success")
+    out = band_counts(df.select("event_id", "domain", "ts"), failed, "domain", {"a": 600, "b": 1800}, slots=1)
+    assert frame_starts(out) == {"unboundedpreceding$()"}
+    got = {r.event_id: (r.a, r.b) for r in out.collect()}
+    for i, key, sec, _ in data:
+        assert got[i] == tuple(sum(1 for r in data if r[3] and r[1] == key and sec - w < r[2] <= sec) for w in (600, 1800))
+
+
+def test_cap_breaches_look_policies_up_before_the_count(spark):
+    _, df = log(spark, 13)
+    text = traffic.cap_breaches(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "linkedin.com" not in text[:text.index("Window")]
+
+
 @pytest.mark.parametrize("bucket", [500, 100000])
 def test_running_sum_max_min(spark, bucket):
     data, df = log(spark, 2)
