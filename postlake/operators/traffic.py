@@ -31,7 +31,10 @@ def policy_ordinal(domain, policies=K.RATE_POLICIES) -> Column:
     An exact name wins, else the first declared name the domain ends with
     (with no dot needed in front: "notlinkedin.com" does match).
     """
-    d = domain_of(domain)
+    return _ordinal_of(domain_of(domain), policies)
+
+
+def _ordinal_of(d: Column, policies) -> Column:
     out = F.when(d == policies[0][0], F.lit(1))
     for i, p in enumerate(policies[1:], start=2):
         out = out.when(d == p[0], F.lit(i))
@@ -44,14 +47,16 @@ def with_policy(df: DataFrame, domain: str = "domain", policies=K.RATE_POLICIES,
     """Add the policy columns of each row's domain.
 
     The policy list is a constant of the plan, so this is a projection: no
-    join, no shuffle, no broadcast.
+    join, no shuffle, no broadcast. The host is a column of its own: read off once
+    a row, not once for every policy it is compared with.
     """
     table = F.array(*[_policy_literal(p) for p in policies], _policy_literal(default))
     fields = [f for f in K.POLICY_FIELDS if f != "domain"]
-    chosen = df.withColumn("policy_ordinal", policy_ordinal(domain, policies)).withColumn(
-        "_p", F.element_at(table, F.col("policy_ordinal"))
+    chosen = (
+        df.withColumn("_host", domain_of(domain)).withColumn("policy_ordinal", _ordinal_of(F.col("_host"), policies))
+        .withColumn("_p", F.element_at(table, F.col("policy_ordinal")))
     )
-    name = F.when(F.col("policy_ordinal") > len(policies), domain_of(domain)).otherwise(F.col("_p.domain"))
+    name = F.when(F.col("policy_ordinal") > len(policies), F.col("_host")).otherwise(F.col("_p.domain"))
     return chosen.select(
         *df.columns, name.alias("policy_domain"), *[F.col(f"_p.{f}").alias(f) for f in fields], "policy_ordinal"
     )
@@ -102,9 +107,13 @@ def load_band(current, cap) -> Column:
 
 
 def cap_breaches(requests: DataFrame, closed: bool = False) -> DataFrame:
-    """Requests sent while the trailing minute was already at the cap."""
-    counted = trailing_count(requests, "domain", 60, closed=closed, name="trailing")
-    return with_policy(counted).filter(F.col("trailing") > F.col("max_rpm"))
+    """Requests sent while the trailing minute was already at the cap.
+
+    The policy comes before the count: a filter on the count cannot move below it, where it would work the policy out anew.
+    """
+    ruled = with_policy(requests)
+    counted = trailing_count(ruled, "domain", 60, closed=closed, name="trailing").filter(F.col("trailing") > F.col("max_rpm"))
+    return counted.select(*requests.columns, "trailing", *[c for c in ruled.columns if c not in requests.columns])
 
 
 def active_over_time(spans: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
@@ -150,8 +159,8 @@ def violations_before(requests: DataFrame, viol: DataFrame, minutes: tuple[int,
     """Every request with the violations of its domain in the last so many minutes: ``violations_10m``, ``violations_30m``.
 
     ``recent_violations`` for as many moments as there are requests: a band join that never forms the pairs. Both tables go into
-    slots of time, a violation also into the next slot where it still counts there; one window per width sums them up. A
-    violation exactly ``minutes`` old has left, one at the moment itself counts.
+    slots of time, a violation also into the next slot where it still counts there; a running sum of violations that enter and
+    leave a width gives its count. A violation exactly ``minutes`` old has left, one at the moment itself counts.
     """
     return band_counts(requests, viol, "domain", {f"violations_{m}m": 60 * m for m in minutes})
 
