@@ -164,3 +164,20 @@ def test_frontier_urls(spark):
     assert got["data analyst", "naukri", 1] == "https://www.naukri.com/data-analyst-jobs-in-india"
     assert got["a&b", "foundit", 2] == "https://www.foundit.in/srp/results?query=a%26b&location=New+Delhi&start=15"
     assert got["a&b", "linkedin", 4].endswith("&pageNum=0&start=75&sortBy=DD")
+
+
+def test_frontier_fills_a_site_once_per_query(spark):
+    """Above the unfolding of pages nothing is encoded or trimmed, and no site's template is left."""
+    q = spark.createDataFrame([("data analyst", None), ("a&b", ""), ("x", "New Delhi"), (None, "Pune")], "keywords string, location string")
+    text = frontier(q)._jdf.queryExecution().optimizedPlan().toString()
+    pages = text[:text.index("Generate explode(sequence")]
+    assert "https://" not in pages and "regexp_replace" not in pages and "encode" not in pages
+    got = {(r.keywords, r.site, r.page_no): r.seed_url for r in frontier(q).collect()}
+    assert len(got) == 4 * 43
+    assert got["a&b", "indeed", 1] == "https://in.indeed.com/jobs?q=a%26b&sort=date&limit=10"
+    assert got["x", "indeed", 2] == "https://in.indeed.com/jobs?q=x&l=New+Delhi&start=10&sort=date&limit=10"
+    assert got["a&b", "timesjobs", 3].endswith("&txtKeywords=a%26b&txtLocation=&sequence=3&startPage=1")
+    assert got["x", "shine", 1] == "https://www.shine.com/job-search/x-jobs/?q=x&experience=0"
+    assert got["x", "cutshort", 2] == "https://cutshort.io/jobs?keywords=x&experience=0-1&page=2"
+    assert got["a&b", "google", 2] == "https://www.google.com/search?q=a%26b+jobs+in+India&ibp=htl%3Bjobs&start=10"
+    assert got[None, "indeed", 1] is None
