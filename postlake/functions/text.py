@@ -52,18 +52,48 @@ def base_text(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(as_col(c)), r"\W+", " "))
 
 
+def _overlap(a: list[str], b: list[str]) -> bool:
+    """True when a text can hold both phrases so that they share a word."""
+    return any(
+        all(b[i - shift] == a[i] for i in range(max(0, shift), min(len(a), shift + len(b))))
+        for shift in range(1 - len(b), len(a))
+    )
+
+
+def _passes(phrases: list[str]) -> list[str]:
+    """Patterns that blank out phrases one after the other, longest first, where order counts, and else in one pass.
+
+    Phrases act as patterns (a dot is any character). What a pass removes becomes a blank between two others, so it completes no
+    phrase of words; it spoils another phrase only if they share a word. Neighbours in order that share none go together,
+    behind a test of the first letter. A phrase with a mark that base text does not hold is never found.
+    """
+    groups: list[list[str] | str] = []
+    for phrase in sorted(phrases, key=len, reverse=True):
+        words = phrase.strip("()")
+        if "-" in words:
+            continue
+        if not re.fullmatch(r"[a-z0-9_]+(?: [a-z0-9_]+)*", words):
+            groups.append(phrase)
+            continue
+        last = groups[-1] if groups and isinstance(groups[-1], list) else None
+        if last is not None and (words in last or not any(_overlap(words.split(), other.split()) for other in last)):
+            last.extend([words] if words not in last else [])
+        else:
+            groups.append([words])
+    return [
+        rf"\b{g}\b" if isinstance(g, str) else rf"\b(?=[{''.join(sorted({w[0] for w in g}))}])(?:{'|'.join(g)})\b" for g in groups
+    ]
+
+
 def _strip_phrases(c: Column, phrases: list[str]) -> Column:
-    """Blank out whole-word phrases, longest first, one pass per phrase.
+    """Blank out whole-word phrases of base text, longest first.
 
-    Phrases act as patterns (a dot is any character).  Passes cannot be merged
-    into one alternation: blanks left by an earlier pass decide word edges for
-    the later ones.  A single alternation does serve as a cheap test whether
-    any pass can change the text at all.
+    A single alternation serves as a cheap test whether any pass can change the text at all.
     """
-    patterns = [rf"\b{p}\b" for p in sorted(phrases, key=len, reverse=True)]
-    stripped = reduce(lambda acc, p: F.regexp_replace(acc, p, " "), patterns, c)
-    tidy = F.trim(F.regexp_replace(stripped, " +", " "))
-    any_phrase = rf"\b(?:{'|'.join(phrases)})\b"  # one edge test a position, not one for each phrase
+    stripped = reduce(lambda acc, p: F.regexp_replace(acc, p, " "), _passes(phrases), c)
+    tidy = F.trim(F.regexp_replace(stripped, " {2,}", " "))
+    firsts = "".join(sorted({p.lstrip("(")[0] for p in phrases}))
+    any_phrase = rf"\b(?=[{firsts}])(?:{'|'.join(phrases)})\b"  # one edge test a position, not one for each phrase
     return F.when(F.rlike(c, F.lit(any_phrase)), tidy).otherwise(c)
 
 

@@ -22,19 +22,21 @@ def match_url(batch: DataFrame, seen: DataFrame) -> DataFrame:
 def _content_hits(batch: DataFrame, seen: DataFrame, as_of) -> DataFrame:
     """Add ``_content_hit``.
 
-    History is first reduced to one row per content hash (latest sighting) and
-    one per (content, description) pair.  Both joins are then equi-joins on a
-    unique side, so a content hash shared by a third of the history cannot
-    multiply rows.
+    History is first reduced to one row per (content, description) pair with
+    its latest sighting, and those to one row per content hash. Both joins are
+    then equi-joins on a unique side, so a content hash shared by a third of the
+    history cannot multiply rows. Both sides need the same columns of the pairs,
+    so history is hashed and shuffled once for the two.
     """
-    latest = seen.groupBy("content_hash").agg(F.max("stored_at").alias("_last_seen"))
-    pairs = seen.select("content_hash", "desc_hash").distinct().withColumn("_same_text", F.lit(True))
-    fresh = F.col("_last_seen") > _cutoff(as_of, K.REFRESH_DAYS)
+    never = F.lit(-(1 << 63)).cast("bigint")
+    pairs = seen.groupBy("content_hash", "desc_hash").agg(F.max(F.coalesce(F.unix_micros("stored_at"), never)).alias("_pair_seen"))
+    latest = pairs.groupBy("content_hash").agg(F.max("_pair_seen").alias("_last_seen"))
+    fresh = F.col("_last_seen") > F.unix_micros(_cutoff(as_of, K.REFRESH_DAYS))
     return (
         batch.join(latest, "content_hash", "left")
         .join(pairs, ["content_hash", "desc_hash"], "left")
-        .withColumn("_content_hit", F.coalesce(F.col("_same_text"), F.lit(False)) | F.coalesce(fresh, F.lit(False)))
-        .drop("_last_seen", "_same_text")
+        .withColumn("_content_hit", F.col("_pair_seen").isNotNull() | F.coalesce(fresh, F.lit(False)))
+        .drop("_last_seen", "_pair_seen")
     )
 
 

@@ -5,6 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from postlake import constants as K
 from postlake.functions.hashing import with_fingerprints
 from postlake.functions.urls import source_fingerprint
 from postlake.operators import dedup, listings, store
@@ -143,3 +144,32 @@ def test_registered_source(spark):
     assert "mine" in tables.registered_sources()
     with pytest.raises(ValueError):
         tables.register_source("mine", lambda p: p)
+
+
+def test_history_is_hashed_once_for_both_content_lookups(spark):
+    """The pairs of content and text feed the lookup by pair and the one by content through one shuffle."""
+    rows = [("u1", "c1", "d1", 3), ("u2", "c1", "d2", 20), ("u3", "c2", "d1", None)]
+    seen = spark.createDataFrame(rows, "url_hash string, content_hash string, desc_hash string, days int").select(
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("url_hash", "content_hash", "desc_hash")], (F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(days=F.col("days"))).alias("stored_at"))
+    batch = spark.createDataFrame(
+        [(1, "u1", "x", "x"), (2, "n", "c1", "d9"), (3, "n", "c2", "d1"), (4, "n", "c2", "d9"), (5, "n", "x", "d1")],
+        "seq int, url_hash string, content_hash string, desc_hash string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = dedup.dedup_verdict(batch, seen, AS_OF)
+        assert {r.seq: r.verdict for r in out.collect()} == {1: "url", 2: "content", 3: "content", 4: "none", 5: "none"}
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_phrases_that_share_no_word_go_in_one_pass(spark):
+    from postlake.functions.text import _passes, normalize_company, normalize_title
+
+    assert len(_passes(K.TITLE_NOISE)) == 5 and len(_passes(["a b", "b c", "d"])) == 2
+    texts = ["Senior Data Engineer (Remote) full-time", "mid level level entry", "immediate joiner immediate joining", "sr sr x srx jr. y",
+             "Acme Private Limited limited pvt. ltd", "contractual contract contracts", "a remote b", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(normalize_title("t").alias("a"), normalize_company("t").alias("b"))
+    # as one pass a phrase, longest first, left them
+    assert [r.a for r in df.collect()] == ["data engineer", "level entry", "", "x y", "acme private limited limited pvt ltd", "contracts", "a b", ""]
+    assert df.collect()[4].b == "acme"
