@@ -12,7 +12,7 @@ from postlake.functions.scalars import ts_literal
 from postlake.functions.text import page_text
 from postlake.functions.urls import domain_of
 from postlake.operators import dedup, ledger, lifecycle, listings, metrics, store
-from postlake.session import checkpoint_root
+from postlake.session import checkpoint_root, materialize
 from postlake.sources import pages as page_rules
 from postlake.sources import responses as model
 
@@ -69,9 +69,11 @@ def ingest(
 
     Returns ``inserted`` (as stored), ``stored`` (what the seen store takes in), ``seen`` (the new seen store), ``results``
     (outcome per offered row) and ``counts``. ``by_url`` is as in ``dedup_verdict``; ``seen`` is then not all of history.
+    Accepted rows are written at ``accepted_path`` and read back, as the insert, the seen store and the counts all take them;
+    the caller may drop the path once it is done with the rest.
     """
     results = ingest_outcomes(rows, seen, as_of, order, content_key, in_batch, by_url=by_url)
-    accepted = results.filter(F.col("outcome") == "stored")
+    accepted, accepted_path = materialize(results.filter(F.col("outcome") == "stored"), "accepted")
     offered = store.to_stored(accepted, as_of)
     inserted = store.upsert_jobs(offered, target_path, order, chars)
     stored_at = accepted.withColumn("stored_at", F.col("scraped_at"))
@@ -81,6 +83,7 @@ def ingest(
         "seen": dedup.mark_seen(seen, stored_at),
         "results": results,
         "counts": store.insert_counts(offered, inserted),
+        "accepted_path": accepted_path,
     }
 
 

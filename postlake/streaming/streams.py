@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,7 +25,7 @@ from postlake.operators import metrics
 from postlake.operators.seen_store import SeenStore
 from postlake.operators.store import PREFIX_CHARS
 from postlake.plans import jobs
-from postlake.session import scratch_path
+from postlake.session import drop_path, scratch_path
 
 DEFAULT_DELAY = "10 minutes"
 
@@ -110,7 +111,21 @@ def _not_yet_met(rows: DataFrame, key: str, text: str | None, refresh: int, days
             state.remove()
             return
         times, texts = (list(x) for x in state.get) if state.exists else ([], [])
-        batch = pd.concat(chunks).sort_values(["us", "seq"], kind="stable")
+        parts = list(chunks)
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts)
+        if len(batch) == 1:  # most keys: nothing to sort or to cut
+            us, own = int(batch["us"].iat[0]), batch[text].iat[0] if text else ""
+            live = [i for i, t in enumerate(times) if us - t <= kept_for]
+            if (times and us < times[-1] + refresh) or own in [texts[i] for i in live]:
+                fresh = False
+            else:
+                fresh, times, texts = True, [*(times[i] for i in live), us], [*(texts[i] for i in live), own]
+            state.update((times, texts))
+            state.setTimeoutTimestamp((times[-1] + kept_for) // 1000 + 1)
+            if fresh:
+                yield batch[_POSTING]
+            return
+        batch = batch.sort_values(["us", "seq"], kind="stable")
         us, own = batch["us"].to_numpy(np.int64), batch[text].tolist() if text else [""] * len(batch)
         at, k = [], 0
         while True:
@@ -130,7 +145,7 @@ def _not_yet_met(rows: DataFrame, key: str, text: str | None, refresh: int, days
         if at:
             yield batch.iloc[at][_POSTING]
 
-    slim = rows.filter(F.col("ts").isNotNull()).withWatermark("ts", delay).select(*columns, F.unix_micros("ts").alias("us"))
+    slim = rows.filter(F.col("ts").isNotNull()).withWatermark("ts", delay).select("ts", F.unix_micros("ts").alias("us"), *_POSTING[1:])
     out = slim.groupBy(key).applyInPandasWithState(
         run, ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in _POSTING), "times array<bigint>, texts array<string>", "append",
         GroupStateTimeout.EventTimeTimeout,
@@ -270,7 +285,8 @@ def ingest_writer(
     earlier batches, and the insert skips fingerprints that already arrived, so nothing is stored twice. ``chars`` is the
     length of the prefixes, fixed for a target and its seen store.
     """
-    seen = SeenStore(rows.sparkSession, state_path, chars)
+    spark = rows.sparkSession
+    seen = SeenStore(spark, state_path, chars)
 
     def step(batch: DataFrame, epoch: int) -> None:
         latest = batch.agg(F.date_format(F.max(clock), "yyyy-MM-dd HH:mm:ss")).first()[0] if clock else None
@@ -281,6 +297,7 @@ def ingest_writer(
         seen.expire(now)
         if report:
             report(done["counts"], epoch)
+        drop_path(spark, done["accepted_path"])
 
     return rows.writeStream.foreachBatch(step)
 
@@ -299,14 +316,21 @@ def run_in_slices(
 ) -> None:
     """Let rows arrive in ``slices`` parts and work through each before the next one comes, as one continued stream.
 
+    The rows are worked out once and wait as files by part; what a part costs follows its own rows.
+
     ``closing`` arrives last: ``end_of_input`` of a finished input lets everything go that waits for the watermark.
     """
     landing, progress = scratch_path(spark, f"{label}-landing"), scratch_path(spark, f"{label}-progress")
-    parts = [rows.filter(slice_of == part) for part in range(slices)]
+    waiting = scratch_path(spark, f"{label}-waiting")
+    rows.withColumn("_part", slice_of.cast("int")).filter(F.col("_part").between(0, slices - 1)) \
+        .write.partitionBy("_part").parquet(waiting)
+    kept = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(waiting)
+    parts = [kept.filter(F.col("_part") == part).drop("_part") for part in range(slices)]
     for part in [*parts, closing] if closing is not None else parts:
         part.write.mode("append").parquet(landing)
         stream = spark.readStream.schema(rows.schema).parquet(landing)
         start(stream).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    drop_path(spark, waiting)
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:

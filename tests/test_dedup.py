@@ -173,3 +173,12 @@ def test_phrases_that_share_no_word_go_in_one_pass(spark):
     # as one pass a phrase, longest first, left them
     assert [r.a for r in df.collect()] == ["data engineer", "level entry", "", "x y", "acme private limited limited pvt ltd", "contracts", "a b", ""]
     assert df.collect()[4].b == "acme"
+
+
+def test_accepted_rows_are_worked_out_once(spark):
+    """What the seen store takes in is read back, not judged a second time."""
+    seen = seen_of(with_fingerprints(batch_rows(spark).limit(0)))
+    done = jobs.ingest(batch_rows(spark), seen, tempfile.mkdtemp() + "/jobs", AS_OF, ["seq"])
+    text = done["stored"]._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in text and "Join" not in text
+    assert done["stored"].count() == done["inserted"].count() > 0

@@ -16,6 +16,7 @@ from postlake.operators import alerts, dedup, lifecycle, metrics, traffic
 from postlake.operators.listings import stamp, with_run_context
 from postlake.operators.seen_store import SeenStore
 from postlake.operators.store import held_prefixes, read_jobs, to_stored, touched, upsert_jobs
+from postlake.session import scratch_path
 from postlake.sources import tables
 from postlake.streaming import streams
 
@@ -363,3 +364,14 @@ def test_the_stream_agrees_with_the_batch_verdict(spark):
     verdicts = dedup.dedup_verdict(batch.join(met.select("seq"), "seq", "left_anti"), seen, now)
     want = sorted(r.seq for r in verdicts.filter("verdict = 'none'").collect())
     assert sorted(r.seq for r in stored.filter("seq >= 1000").collect()) == want and 0 < len(want) < 25
+
+
+def test_rows_of_slices_are_worked_out_once(spark):
+    """A part that is drawn anew for each slice would lose rows and repeat others."""
+    out = scratch_path(spark, "slices")
+    streams.run_in_slices(
+        spark, spark.range(1000), F.pmod(F.hash(F.expr("uuid()")), F.lit(3)), 3,
+        lambda s: s.writeStream.outputMode("append").format("parquet").option("path", out), "slices",
+    )
+    got = [r.id for r in spark.read.schema("id bigint").parquet(out).collect()]
+    assert sorted(got) == list(range(1000))
