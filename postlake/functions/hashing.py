@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.functions.text import (
-    as_col, normalize_company, normalize_description, normalize_location, normalize_title,
-)
+from postlake.functions.text import as_col, base_text, normalize_location, strip_company_noise, strip_title_noise
 from postlake.functions.urls import canonical_url
 
 CONTENT_KEYS = ("url_title", "title_company_location")
@@ -53,18 +51,21 @@ def _never_null(c: Column) -> Column:
 
 
 def with_fingerprints(df: DataFrame, content_key: str = "url_title") -> DataFrame:
-    """Add canonical_url, norm_title, norm_company, url_hash, content_hash, desc_hash."""
+    """Add canonical_url, norm_title, norm_company, url_hash, content_hash, desc_hash.
+
+    Base texts are columns of their own: the rules on them name a text several times, and inside a condition each mention
+    would work it out again.
+    """
     if "location" not in df.columns:
         df = df.withColumn("location", F.lit(None).cast("string"))
+    bases = {f"_base_{c}": base_text(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "company", "description")}
     return (
-        df.withColumns({
-            "canonical_url": canonical_url(F.coalesce(F.col("url"), F.lit(""))),
-            "norm_title": normalize_title(F.coalesce(F.col("title"), F.lit(""))),
-            "norm_company": normalize_company(F.coalesce(F.col("company"), F.lit(""))),
-        })
+        df.withColumns({"canonical_url": canonical_url(F.coalesce(F.col("url"), F.lit("")))} | bases)
+        .withColumns({"norm_title": strip_title_noise("_base_title"), "norm_company": strip_company_noise("_base_company")})
         .withColumns({
             "url_hash": _never_null(hash16("canonical_url")),
             "content_hash": _never_null(hash16(content_input(content_key))),
-            "desc_hash": _never_null(hash16(normalize_description("description"))),
+            "desc_hash": _never_null(hash16("_base_description")),
         })
+        .drop(*bases)
     )

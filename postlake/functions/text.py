@@ -85,24 +85,42 @@ def _passes(phrases: list[str]) -> list[str]:
     ]
 
 
-def _strip_phrases(c: Column, phrases: list[str]) -> Column:
+def _any_phrase(phrases: list[str]) -> str:
+    """A pattern that base text between two blanks holds wherever a phrase is found, and hardly elsewhere.
+
+    There a word's edge is a blank, which is tested faster than ``\\b``. Of a phrase with a dot or a blank at its end
+    the word before that mark is enough; a phrase with a mark that base text does not hold is never found.
+    """
+    words = {p.strip("()") for p in phrases if "-" not in p}
+    starts = sorted({f"{w} " if re.fullmatch(r"[a-z0-9_]+(?: [a-z0-9_]+)*", w) else re.match("[a-z0-9_]*", w)[0] for w in words})
+    return f" (?=[{''.join(sorted({s[0] for s in starts}))}])(?:{'|'.join(starts)})"
+
+
+def _strip_phrases(base: Column, phrases: list[str]) -> Column:
     """Blank out whole-word phrases of base text, longest first.
 
-    A single alternation serves as a cheap test whether any pass can change the text at all.
+    A single alternation serves as a cheap test whether any pass can change the text at all; a text that meets it in vain stays
+    as it is.
     """
-    stripped = reduce(lambda acc, p: F.regexp_replace(acc, p, " "), _passes(phrases), c)
+    stripped = reduce(lambda acc, p: F.regexp_replace(acc, p, " "), _passes(phrases), base)
     tidy = F.trim(F.regexp_replace(stripped, " {2,}", " "))
-    firsts = "".join(sorted({p.lstrip("(")[0] for p in phrases}))
-    any_phrase = rf"\b(?=[{firsts}])(?:{'|'.join(phrases)})\b"  # one edge test a position, not one for each phrase
-    return F.when(F.rlike(c, F.lit(any_phrase)), tidy).otherwise(c)
+    return F.when(F.rlike(F.concat(F.lit(" "), base, F.lit(" ")), F.lit(_any_phrase(phrases))), tidy).otherwise(base)
+
+
+def strip_title_noise(base) -> Column:
+    return _strip_phrases(as_col(base), K.TITLE_NOISE)
+
+
+def strip_company_noise(base) -> Column:
+    return _strip_phrases(as_col(base), K.COMPANY_NOISE)
 
 
 def normalize_title(c) -> Column:
-    return _strip_phrases(base_text(c), K.TITLE_NOISE)
+    return strip_title_noise(base_text(c))
 
 
 def normalize_company(c) -> Column:
-    return _strip_phrases(base_text(c), K.COMPANY_NOISE)
+    return strip_company_noise(base_text(c))
 
 
 def normalize_location(c, city_only: bool = False) -> Column:

@@ -182,3 +182,27 @@ def test_accepted_rows_are_worked_out_once(spark):
     text = done["stored"]._jdf.queryExecution().executedPlan().toString()
     assert "FileScan" in text and "Join" not in text
     assert done["stored"].count() == done["inserted"].count() > 0
+
+
+def test_base_texts_of_offered_and_stored_rows_are_worked_out_once(spark):
+    """A title's base text stands in the plan once a row, not once for each mention in the rule and its conditions."""
+    df = rows(spark, JOB).select("title", "url", "company", "description").withColumn("seq", F.monotonically_increasing_id())
+    out = with_fingerprints(df).select("seq", "url_hash", "content_hash", "desc_hash")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(coalesce(title#") == 1 and plan.count("lower(coalesce(description#") == 1
+
+
+def test_the_test_for_phrases_misses_none(spark):
+    """Titles of noise words and their neighbours, with every pass against the rule behind its test."""
+    import itertools
+    from functools import reduce as fold
+
+    from postlake.functions import text
+
+    for phrases, rule in ((K.TITLE_NOISE, text.normalize_title), (K.COMPANY_NOISE, text.normalize_company)):
+        words = sorted({w for p in phrases for w in p.strip("()").replace(".", " ").replace("-", " ").split()}) + ["x", "srx", "incas", "pvt."]
+        texts = [" ".join(w) for n in (1, 2) for w in itertools.product(words, repeat=n)] + [f"a{w} {w}b" for w in words] + ["", None]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        passes = fold(lambda acc, p: F.regexp_replace(acc, p, " "), text._passes(phrases), text.base_text("t"))
+        always = F.trim(F.regexp_replace(passes, " {2,}", " "))
+        assert df.filter(~rule("t").eqNullSafe(always)).collect() == []
