@@ -206,3 +206,15 @@ def test_the_test_for_phrases_misses_none(spark):
         passes = fold(lambda acc, p: F.regexp_replace(acc, p, " "), text._passes(phrases), text.base_text("t"))
         always = F.trim(F.regexp_replace(passes, " {2,}", " "))
         assert df.filter(~rule("t").eqNullSafe(always)).collect() == []
+
+
+def test_base_text_leaves_single_blanks_alone(spark):
+    import re
+
+    from postlake.functions import text
+
+    assert len(re.findall(text.NOT_WORDS, "one two three, four  five six")) == 2
+    texts = ["", " ", "a", " a", "a ", " a b ", "a  b", "a - b", "a. b", "a .b", "é a", "a é b", "É", "a\tb\n c", "İx K y", "a_b 1 2", "\u00a0a \u00a0b", "😀 a 😀b"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    plain = F.trim(F.regexp_replace(F.lower("t"), r"\W+", " "))
+    assert df.filter(~text.base_text("t").eqNullSafe(plain)).collect() == []
