@@ -93,14 +93,21 @@ def dedup_stream(
 
 _POSTING = ["us", "url_hash", "content_hash", "desc_hash", "seq"]
 
+# Groups of keys that share a state row, fixed for a stream's checkpoint. A call of Python costs milliseconds, a key in it
+# microseconds; a micro-batch writes the groups anew that it touches.
+KEY_GROUPS = 1024
 
-def _not_yet_met(rows: DataFrame, key: str, text: str | None, refresh: int, days: int, delay: str) -> DataFrame:
+
+def _not_yet_met(
+    rows: DataFrame, key: str, text: str | None, refresh: int, days: int, delay: str, groups: int = KEY_GROUPS,
+) -> DataFrame:
     """Rows of postings that their key's memory does not hold; each is remembered for ``days`` and then forgotten.
 
     A row is met again while a remembered row of its key is younger than ``refresh`` (microseconds), or has the same ``text``.
-    Remembered rows of a key lie at least ``refresh`` apart, so a key's state holds ``days`` / ``refresh`` + 1 of them at most.
-    Micro-batches are judged as they arrive, the rows of one by (ts, seq); rows behind the watermark are left out by Spark,
-    which also times out the state of keys whose last row is older than ``days``.
+    Remembered rows of a key lie at least ``refresh`` apart, so a key holds ``days`` / ``refresh`` + 1 of them at most, and those
+    that the watermark has not passed yet. Micro-batches are judged as they arrive, the rows of one by (ts, seq); rows behind the
+    watermark are left out by Spark. Keys are dealt by hash to ``groups``, each with the memory of its keys as one state: it
+    loses what is forgotten whenever rows arrive, and Spark times it out when its last row is older than ``days``.
     """
     kept_for = days * 86_400_000_000
     columns = ["ts", *_POSTING[1:]]
@@ -110,47 +117,41 @@ def _not_yet_met(rows: DataFrame, key: str, text: str | None, refresh: int, days
         if state.hasTimedOut:
             state.remove()
             return
-        times, texts = (list(x) for x in state.get) if state.exists else ([], [])
-        parts = list(chunks)
-        batch = parts[0] if len(parts) == 1 else pd.concat(parts)
-        if len(batch) == 1:  # most keys: nothing to sort or to cut
-            us, own = int(batch["us"].iat[0]), batch[text].iat[0] if text else ""
-            live = [i for i, t in enumerate(times) if us - t <= kept_for]
-            if (times and us < times[-1] + refresh) or own in [texts[i] for i in live]:
-                fresh = False
-            else:
-                fresh, times, texts = True, [*(times[i] for i in live), us], [*(texts[i] for i in live), own]
-            state.update((times, texts))
-            state.setTimeoutTimestamp((times[-1] + kept_for) // 1000 + 1)
-            if fresh:
-                yield batch[_POSTING]
-            return
-        batch = batch.sort_values(["us", "seq"], kind="stable")
-        us, own = batch["us"].to_numpy(np.int64), batch[text].tolist() if text else [""] * len(batch)
-        at, k = [], 0
-        while True:
-            if times:
-                k = max(k, int(np.searchsorted(us, times[-1] + refresh)))
-            if k >= len(us):
-                break
-            live = [i for i, t in enumerate(times) if us[k] - t <= kept_for]
-            times, texts = [times[i] for i in live], [texts[i] for i in live]
-            if own[k] not in texts:
-                at.append(k)
-                times.append(int(us[k]))
-                texts.append(own[k])
-            k += 1
-        state.update((times, texts))
-        state.setTimeoutTimestamp((times[-1] + kept_for) // 1000 + 1)
+        batch = pd.concat(list(chunks)).sort_values(["us", "_none", "seq"], kind="stable")
+        known = list(zip(*state.get)) if state.exists else []
+        memory: dict = {}
+        for own, us, words in known:
+            memory.setdefault(own, []).append((us, words))
+        at, texts = [], batch[text].tolist() if text else [""] * len(batch)
+        for k, (own, us, words) in enumerate(zip(batch[key].tolist(), batch["us"].tolist(), texts)):
+            met = memory.setdefault(own, [])
+            if met and us < met[-1][0] + refresh or any(words == w and us - t <= kept_for for t, w in met):
+                continue
+            met.append((us, words))
+            at.append(k)
+        over = state.getCurrentWatermarkMs() * 1000 - kept_for  # no row that is still to come meets what is not younger
+        kept = [(own, us, words) for own, met in memory.items() for us, words in met if us > over]
+        if kept:
+            if at or len(kept) < len(known):
+                state.update(tuple(list(c) for c in zip(*kept)))
+            state.setTimeoutTimestamp((max(us for _, us, _ in kept) + kept_for) // 1000 + 1)
+        elif state.exists:
+            state.remove()
         if at:
-            yield batch.iloc[at][_POSTING]
-
-    slim = rows.filter(F.col("ts").isNotNull()).withWatermark("ts", delay).select("ts", F.unix_micros("ts").alias("us"), *_POSTING[1:])
-    out = slim.groupBy(key).applyInPandasWithState(
-        run, ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in _POSTING), "times array<bigint>, texts array<string>", "append",
-        GroupStateTimeout.EventTimeTimeout,
+            yield batch.iloc[at][[*_POSTING, "_none"]]
+
+    seq = F.col("seq")
+    if kinds["seq"] in ("tinyint", "smallint", "int", "bigint"):  # a null among them would make pandas read them as floats
+        seq = F.coalesce(seq, F.lit(0).cast(kinds["seq"]))
+    slim = rows.filter(F.col("ts").isNotNull()).withWatermark("ts", delay).select(
+        "ts", F.unix_micros("ts").alias("us"), *_POSTING[1:-1], seq.alias("seq"), F.col("seq").isNull().alias("_none"),
+        F.pmod(F.xxhash64(key), F.lit(groups)).alias("_group"),
+    )
+    out = slim.groupBy("_group").applyInPandasWithState(
+        run, ", ".join([*(f"{c} {kinds.get(c, 'bigint')}" for c in _POSTING), "_none boolean"]),
+        f"keys array<{kinds[key]}>, times array<bigint>, texts array<string>", "append", GroupStateTimeout.EventTimeTimeout,
     )
-    return out.withColumn("ts", F.timestamp_micros("us")).select(*columns)
+    return out.withColumns({"ts": F.timestamp_micros("us"), "seq": F.when(~F.col("_none"), F.col("seq"))}).select(*columns)
 
 
 def first_urls(rows: DataFrame, days: int = K.SEEN_RETENTION_DAYS, delay: str = DEFAULT_DELAY) -> DataFrame:

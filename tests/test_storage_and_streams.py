@@ -341,6 +341,24 @@ def test_urls_return_after_the_retention(spark):
     assert sorted(r.seq for r in spark.read.parquet(out).collect()) == [1, 3, 4] == _walk(data, 30 * day + 1, False)
 
 
+def test_keys_share_state_rows(spark):
+    """More keys than state rows, one of them null; numbers beyond 2**53 stay exact beside a row without one."""
+    n, big = 1500, 2 ** 60
+    data = [(f"u{i % n}" if i % n else None, 86400 + i, big + i if i != 7 else None) for i in range(2 * n)]
+    df = spark.createDataFrame(data, "url_hash string, sec long, seq long")
+    rows = df.select(F.timestamp_seconds("sec").alias("ts"), "url_hash", F.lit("c").alias("content_hash"), F.lit("d").alias("desc_hash"), "seq")
+    path, out = fresh_dir() + "/in", fresh_dir() + "/out"
+    rows.repartition(4).write.parquet(path)
+    writer = streams.first_urls(spark.readStream.schema(rows.schema).parquet(path)).writeStream.format("parquet").option("path", out)
+    query = writer.option("checkpointLocation", fresh_dir()).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(held) <= 1024
+    got = spark.read.parquet(out).collect()
+    assert Counter((r.url_hash, r.seq) for r in got) == Counter((u, s) for u, _, s in data[:n])
+    assert sorted(r.ts.timestamp() for r in got) == [sec for _, sec, _ in data[:n]]
+
+
 def test_the_stream_agrees_with_the_batch_verdict(spark):
     """What the stream stored is history for the batch rule; later rows get the same answer from both."""
     as_of, day = datetime.datetime(2024, 1, 31), 86400
